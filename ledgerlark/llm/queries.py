@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, pieces, simhash
-from .common import read
+from . import chunks, decontaminate, language, pieces, quality, simhash, toxicity
+from .common import fold, read
 
 #: The vocabulary file that op6 and the pipeline encode with.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -18,6 +18,13 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(fold("doc_id", 5) != 0))
+    found = quality.scored(docs, model, ["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -31,15 +38,32 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read(spark, sf_dir, "documents"), piece_model(), ["doc_id"], with_ids=False)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold("doc_id", 5) != 0))
+    found = toxicity.scored(docs, model, ["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("bigint").alias("n_offending"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold("doc_id", 4) != 2))
+    found = language.predicted(docs, model, ["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_pieces": op6_pieces,
+    "op7_toxicity": op7_toxicity,
+    "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
 
