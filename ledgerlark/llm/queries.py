@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, language, pieces, quality, simhash, toxicity
+from . import chunks, decontaminate, language, pieces, quality, secrets, simhash, toxicity
 from .common import fold, read
 
 #: The vocabulary file that op6 and the pipeline encode with.
@@ -25,6 +25,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(read(spark, sf_dir, "documents"), "doc_id", "text")
+    counts = [secrets.count("found", rule).alias(f"n_{rule.kind}") for rule in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("found", secrets.BASE), 256).alias("base_sha256"), secrets.listed("found", secrets.RULES).alias("spans"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_secrets": op3_secrets,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_pieces": op6_pieces,
@@ -69,7 +76,26 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _spans_sql(rule: secrets.Rule) -> str:
+    """DuckDB SQL for the spans of a rule: lengths of matches and of what stands between them, summed up."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, m.start AS s, m.start + len(ms[m.i]) AS e FROM (
+        SELECT doc_id, ms, vs, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{'i': i,
+            'start': CAST(list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: len(g))), 0) AS BIGINT)}})) AS m
+        FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {rule.group}) AS vs, string_split_regex(text, '{pattern}') AS gaps
+              FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE regexp_matches(text, '{pattern}')))
+        WHERE len(vs[m.i]) >= {rule.least}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_secrets": f"""
+        WITH found AS ({" UNION ALL ".join(f"SELECT doc_id, s, {i} AS k, '{r.kind}:' || s || ':' || e AS shown FROM ({_spans_sql(r)})" for i, r in enumerate(secrets.RULES))}),
+        own AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {i}) AS n_{r.kind}" for i, r in enumerate(secrets.BASE))},
+            string_agg(shown, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(shown, ',' ORDER BY s, k) AS spans FROM found GROUP BY doc_id)
+        SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents LEFT JOIN own USING (doc_id)""",
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
