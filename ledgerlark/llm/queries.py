@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, language, pieces, quality, secrets, simhash, toxicity
+from . import chunks, decontaminate, language, lines, pieces, pseudonyms, quality, secrets, simhash, toxicity
 from .common import fold, read
 
 #: The vocabulary file that op6 and the pipeline encode with.
 PIECE_MODEL = "piece_bpe_32k.model"
+#: The key of the registered query's pseudonyms; real runs give their own.
+PSEUDONYM_KEY = "an example key"
 
 
 def piece_model() -> str:
@@ -25,6 +27,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(read(spark, sf_dir, "documents"), "doc_id", "text")
     counts = [secrets.count("found", rule).alias(f"n_{rule.kind}") for rule in secrets.BASE]
@@ -51,6 +57,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("bigint").alias("n_offending"))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    n = lambda *kinds: F.size(F.filter("kinds", lambda k: k.isin(*kinds))).cast("bigint")
+    counts = {"n_mail": ["mail"], "n_address": ["address"], "n_date": ["iso_date", "day_date"], "n_social": ["social"], "n_card": ["card"], "n_phone": ["phone"]}
+    return found.select("doc_id", *[n(*kinds).alias(name) for name, kinds in counts.items()], F.col("clean_text").alias("text"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.train(docs.where(fold("doc_id", 4) != 2))
@@ -65,11 +78,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_secrets": op3_secrets,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_pieces": op6_pieces,
     "op7_toxicity": op7_toxicity,
+    "op8_pseudonyms": op8_pseudonyms,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }

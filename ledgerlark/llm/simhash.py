@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffer_of, cut, map_texts
+from .common import buffer_of, cut, free_names, map_texts
 from .graph import components
 
 BITS = 64
@@ -186,11 +186,27 @@ def link_fingerprints(fps: DataFrame, distance: int = 3, cell_limit: int = 2048)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, words: int = 3, seed: int = 42, cell_limit: int = 2048) -> DataFrame:
-    """One row for each document: its id, fp (bigint) and component_id, the smallest id reachable over links."""
+    """One row for each document: its id, fp (bigint), component_id (the smallest id reachable over
+    links) and component (the smallest fingerprint reachable, which names the component itself)."""
     own = cut(fingerprints(docs, text, [doc_id], "fp", words, seed))
     least = cut(own.groupBy("fp").agg(F.min(doc_id).alias("least")))
     of = components(link_fingerprints(least, distance, cell_limit))
     joined = least.join(of, least["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    class_of = joined.select("fp", "component").join(ids, "component").select("fp", "component_id")
-    return own.join(class_of, "fp").select(doc_id, "fp", "component_id")
+    class_of = joined.select("fp", "component").join(ids, "component").select("fp", "component_id", "component")
+    return own.join(class_of, "fp").select(doc_id, "fp", "component_id", "component")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
+    """One document of each component, that with the smallest id, with all its columns.
+
+    Rows without an id can't stand for others and stay. Rows repeated with one id and fingerprint
+    stay once; rows of one id with texts of different components are different documents.
+    """
+    mark, = free_names(docs, "fp")
+    with_id = docs.where(F.col(f"`{doc_id}`").isNotNull())
+    classes = near_duplicates(with_id, doc_id, text, distance)
+    stay = classes.groupBy("component").agg(F.min(F.struct(doc_id, "fp")).alias("one")).select(F.col(f"one.{doc_id}").alias("stay_id"), F.col("one.fp").alias("stay_fp"))
+    marked = fingerprints(with_id, text, name=mark)
+    kept = marked.join(stay, (marked[f"`{doc_id}`"] == F.col("stay_id")) & (marked[mark] == F.col("stay_fp")), "left_semi")
+    return kept.dropDuplicates([doc_id, mark]).select(*docs.columns).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
