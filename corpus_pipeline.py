@@ -8,7 +8,6 @@ documents and decide which rows stay; the last returns what a trainer reads.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlark.llm import chunks, decontaminate, language, pieces, simhash
 from ledgerlark.llm.common import cut, fold, read
@@ -18,7 +17,7 @@ from ledgerlark.llm.queries import piece_model
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text, or none with a letter) go."""
     model = language.train(docs.where(fold("doc_id", 4) != 2))
-    return language.predicted(docs, model).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return language.told(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

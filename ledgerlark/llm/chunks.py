@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffer_of, cut, free_names, map_texts
+from .common import aside, buffer_of, cut, map_texts
 
 #: Smallest, mean (a power of two) and largest chunk in bytes.
 SIZES = (256, 2048, 16384)
@@ -129,12 +129,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, one of each group of equal texts, with all their columns."""
-    key = F.sha2(F.coalesce(lowered(text), F.lit("")), 256)
-    mark, = free_names(docs, "text_key")
-    stay = exact_duplicates(docs, doc_id, text).where("kept").select(F.col(doc_id).alias("keep_id"), F.col("text_sha256").alias("kept_key")).distinct()
-    keyed = docs.withColumn(mark, key)
-    kept = keyed.join(stay, keyed[f"`{doc_id}`"].eqNullSafe(F.col("keep_id")) & (F.col(mark) == F.col("kept_key")), "left_semi")
-    return kept.dropDuplicates([doc_id, mark]).select(*docs.columns)
+    own, name, restore = aside(docs)
+    at, text = name[doc_id], name[text]
+    stay = exact_duplicates(own, at, text).where("kept").select("keep_id", F.col("text_sha256").alias("kept_key")).distinct()
+    keyed = own.withColumn("text_key", F.sha2(F.coalesce(lowered(text), F.lit("")), 256))
+    kept = keyed.join(stay, F.col(at).eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    return restore(kept.dropDuplicates([at, "text_key"]))
 
 
 def lowered(text: str) -> Column:

@@ -76,12 +76,14 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], make: Callable, *args) -> DataFrame:
     """Append columns computed from a text column, slice by slice, without a shuffle.
 
-    keep: columns that stay. make(*args) runs once a task and returns a function from a null-free
+    keep: columns that stay; a computed column takes the place of one of its name. make(*args) runs once a task and returns a function from a null-free
     string array to one Arrow array for each of fields. Broadcasts may be among args.
     """
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    computed = {f.name.lower() for f in fields}
+    keep = [c for c in keep if c.lower() not in computed]
     source = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].cast("string").alias("__text"))
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     names = schema.names
@@ -96,12 +98,9 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
     return source.mapInArrow(run, schema)
 
 
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """The wanted names, with underscores added where df already has such a column."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """docs with its columns renamed to c0, c1 ... so that no computed name can clash with one; the new
+    name of each; and a function that takes these columns alone and gives them their names back."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.toDF(*names.values())
+    return renamed, names, lambda df: df.select(*[F.col(new).alias(old) for old, new in names.items()])

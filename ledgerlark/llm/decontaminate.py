@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffer_of, map_texts
+from .common import aside, buffer_of, map_texts
 
 WINDOW = 13
 #: Words of a fingerprint; shorter windows use what they have.
@@ -199,7 +199,5 @@ def is_contaminated():
 
 def clean_documents(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
     """The documents of which less than a twentieth of the words are hit, with all their columns."""
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    at = docs.columns.index(text)
-    clean = contamination(renamed, bench, text=f"c{at}").where(~is_contaminated())
-    return clean.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    own, name, restore = aside(docs)
+    return restore(contamination(own, bench, text=name[text]).where(~is_contaminated()))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, cut, map_texts, slices
+from .common import BATCH_ROWS, aside, cut, map_texts, slices
 
 UNKNOWN = "und"
 LONGEST_RUN = 4
@@ -164,3 +164,9 @@ def predicted(docs: DataFrame, model: dict, keep: list[str] | None = None, text:
     """docs' kept columns, lang_pred and score."""
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return map_texts(docs, text, keep if keep is not None else docs.columns, fields, predict_kernel, Packed(docs.sparkSession, model))
+
+
+def told(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The documents whose language can be told, with all their columns."""
+    own, name, restore = aside(docs)
+    return restore(predicted(own, model, text=name[text]).where(F.col("lang_pred") != UNKNOWN))

@@ -181,7 +181,10 @@ def pseudonym(key: str, value: Column, kind: Column) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", name: str = "clean_text", kinds: str = "kinds") -> DataFrame:
-    """docs with the text in which every valid value is replaced, and the kinds found, in order."""
+    """docs with the text in which every valid value is replaced, and the kinds found, in order.
+
+    The two computed columns take the places of columns of their names.
+    """
     own = F.col(f"`{text}`")
     told = F.transform(F.regexp_extract_all(own, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
     stands = lambda found: F.transform(found, lambda m: pseudonym(key, m["value"], m["kind"]))

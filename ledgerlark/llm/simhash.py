@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffer_of, cut, free_names, map_texts
+from .common import aside, buffer_of, cut, map_texts
 from .graph import components
 
 BITS = 64
@@ -203,10 +203,10 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows without an id can't stand for others and stay. Rows repeated with one id and fingerprint
     stay once; rows of one id with texts of different components are different documents.
     """
-    mark, = free_names(docs, "fp")
-    with_id = docs.where(F.col(f"`{doc_id}`").isNotNull())
-    classes = near_duplicates(with_id, doc_id, text, distance)
-    stay = classes.groupBy("component").agg(F.min(F.struct(doc_id, "fp")).alias("one")).select(F.col(f"one.{doc_id}").alias("stay_id"), F.col("one.fp").alias("stay_fp"))
-    marked = fingerprints(with_id, text, name=mark)
-    kept = marked.join(stay, (marked[f"`{doc_id}`"] == F.col("stay_id")) & (marked[mark] == F.col("stay_fp")), "left_semi")
-    return kept.dropDuplicates([doc_id, mark]).select(*docs.columns).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    own, name, restore = aside(docs)
+    at, text = name[doc_id], name[text]
+    with_id = own.where(F.col(at).isNotNull())
+    classes = near_duplicates(with_id, at, text, distance)
+    stay = classes.groupBy("component").agg(F.min(F.struct(at, "fp")).alias("one")).select(F.col(f"one.{at}").alias("stay_id"), F.col("one.fp").alias("stay_fp"))
+    kept = fingerprints(with_id, text).join(stay, (F.col(at) == F.col("stay_id")) & (F.col("fp") == F.col("stay_fp")), "left_semi")
+    return restore(kept.dropDuplicates([at, "fp"]).drop("fp").unionByName(own.where(F.col(at).isNull())))
