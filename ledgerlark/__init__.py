@@ -1,0 +1 @@
+"""Household-finance analytics on Spark."""
