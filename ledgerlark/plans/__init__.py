@@ -1,6 +1,6 @@
 """The adapter from the driver tables to canonical tables, and the registered queries with their SQL."""
 
-from . import reporting, understanding  # noqa: F401
+from . import ingesting, reporting, scheduling, understanding  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
