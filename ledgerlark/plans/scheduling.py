@@ -88,7 +88,7 @@ def F18_pay_cycle(spark, sf_dir):
     return as_of(moves.select("account_id", "id", "date"), ended, ["account_id"], "date", "start", ["period_start", "stop"]).select("id", "period_start", F.col("stop").alias("period_end"))
 
 
-@query(with_sql(LEDGER) + ", s AS (SELECT merchant_id, max(date) AS last FROM ledger GROUP BY 1) SELECT merchant_id, CAST(last + CAST(28 * k AS INTEGER) AS DATE) AS due FROM s, (SELECT unnest(range(1, 30)) AS k) WHERE last + CAST(28 * k AS INTEGER) BETWEEN DATE '2001-08-01' AND DATE '2002-08-01'")
+@query(with_sql(LEDGER) + ", s AS (SELECT merchant_id, max(date) AS last FROM ledger GROUP BY 1) SELECT merchant_id, CAST(last + CAST(28 * k AS INTEGER) AS DATE) AS due FROM s, (SELECT unnest(range(1, 120)) AS k) WHERE last + CAST(28 * k AS INTEGER) BETWEEN DATE '2001-08-01' AND DATE '2002-08-01'")
 def D9_projected_dates(spark, sf_dir):
     last = ledger(spark, sf_dir).groupBy("merchant_id").agg(F.max("date").alias("last"))
     own = last.select("merchant_id", F.lit("four_weekly").alias("cadence"), F.date_add("last", 28).alias("next_due"), F.lit(None).cast("int").alias("expected_day"), F.array().cast("array<int>").alias("skip_months"))
