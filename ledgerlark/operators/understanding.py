@@ -98,3 +98,31 @@ def released(links: DataFrame, statement_id, statements: DataFrame) -> DataFrame
     others = links.where(F.col("statement_id") != statement_id).join(statements.select("statement_id", "created_at"), "statement_id")
     owner = mine.join(others, "transaction_id").groupBy("transaction_id").agg(F.min_by("statement_id", F.struct("created_at", "statement_id")).alias("owner"))
     return mine.join(owner, "transaction_id", "left")
+
+
+def crowded(rows: DataFrame, least_rows: int = 40, least_merchants: int = 4, deepest: int = 5) -> DataFrame:
+    """Categories with so many rows of so many merchants that they're worth splitting."""
+    grouped = rows.where("category_id IS NOT NULL").groupBy("category_id").agg(F.count("*").alias("n"), F.countDistinct("merchant_id").alias("merchants"))
+    return grouped.where((F.col("n") >= least_rows) & (F.col("merchants") >= least_merchants) & (F.size(F.split("category_id", r"\.")) < deepest))
+
+
+def refiled(rows: DataFrame, groups: DataFrame, least_groups: int = 2) -> DataFrame:
+    """Rows moved to the groups that an answer names for their category's merchants: category_id, merchant_id, group.
+
+    A category is split only if its answer has enough groups; confirmed rows stay. Columns id, category_id, moved_to.
+    """
+    enough = groups.groupBy("category_id").agg(F.countDistinct("group").alias("k")).where(F.col("k") >= least_groups).select("category_id")
+    named = groups.join(enough, "category_id", "left_semi").groupBy("category_id", "merchant_id").agg(F.min("group").alias("group"))
+    return rows.where("status <> 'confirmed'").join(named, ["category_id", "merchant_id"]).select("id", "category_id", F.concat_ws(".", "category_id", "group").alias("moved_to"))
+
+
+def undone(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """Moves that can be taken back: those whose rows are still where they were moved to and aren't confirmed."""
+    return moves.join(rows.where("status <> 'confirmed'").select("id", F.col("category_id").alias("now")), "id").where("now = moved_to").select("id", "category_id")
+
+
+def claimed(jobs: DataFrame, now) -> DataFrame:
+    """The job to run next of each kind: the earliest that is due, where none of its kind and scope is running."""
+    running = jobs.where("state = 'running'").select("kind", "scope").distinct()
+    due = jobs.where((F.col("state") == "queued") & (F.col("run_after") <= F.lit(now))).join(running, ["kind", "scope"], "left_anti")
+    return due.groupBy("kind").agg(F.min_by("id", F.struct("run_after", "id")).alias("id"))

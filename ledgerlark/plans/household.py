@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import header_key, iban_valid
-from ..operators import spending
+from ..functions.money import priced
+from ..functions.text import header_key, iban_valid, tokens_estimate
+from ..operators import spending, understanding
+from ..sources import files
 from .adapter import CATEGORY, LEDGER, MOVEMENT, categories, ledger, movements, table, with_sql
 from .registry import query
 
@@ -170,3 +174,55 @@ def D15_refile_undo(spark, sf_dir):
     moves = rows.where("id % 3 = 0").select("id", F.lit("asia").alias("moved_to"))
     same = moves.join(rows.where("status <> 'confirmed'"), "id").where(spending.in_subtree("category_id", "asia"))
     return same.select("id", F.lit("moved").alias("category_id"))
+
+
+_GROUPS = "gr AS (SELECT category_id, merchant_id, 'g' || (merchant_id % 3) AS g FROM (SELECT DISTINCT category_id, merchant_id FROM ledger WHERE category_id LIKE 'asia.%' AND merchant_id % 5 = 0))"
+
+
+@query(with_sql(LEDGER, _GROUPS) + ", ok AS (SELECT category_id FROM gr GROUP BY 1 HAVING count(DISTINCT g) >= 2) SELECT id, category_id, category_id || '.' || g AS moved_to FROM ledger JOIN gr USING (category_id, merchant_id) WHERE status <> 'confirmed' AND category_id IN (SELECT category_id FROM ok)")
+def D4_refile(spark, sf_dir):
+    rows = ledger(spark, sf_dir)
+    groups = rows.where("category_id LIKE 'asia.%' AND merchant_id % 5 = 0").select("category_id", "merchant_id").distinct().withColumn("group", F.concat(F.lit("g"), (F.col("merchant_id") % 3).cast("string")))
+    return understanding.refiled(rows, groups)
+
+
+@query("SELECT event_type AS kind, arg_min(event_id, (ts, event_id)) AS id FROM events e WHERE event_id % 3 = 0 AND ts <= TIMESTAMP '2024-01-20' AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_id % 100 = 1 AND r.event_type = e.event_type AND r.user_id = e.user_id) GROUP BY 1")
+def T8_next_jobs(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    state = F.when(F.col("event_id") % 100 == 1, "running").when(F.col("event_id") % 3 == 0, "queued").otherwise("done")
+    both = events.withColumn("state", state).unionByName(events.where("event_id % 3 = 0 AND event_id % 100 = 1").withColumn("state", F.lit("queued")))
+    jobs = both.select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("scope"), "state", F.col("ts").alias("run_after"))
+    return understanding.claimed(jobs, datetime.datetime(2024, 1, 20)).select("kind", "id")
+
+
+@query("SELECT doc_id, CAST(list_aggregate(list_transform([',', ';', chr(9), '|'], lambda d: len(text) - len(replace(text, d, ''))), 'max') AS INTEGER) AS marks FROM documents")
+def S3_delimiter_counts(spark, sf_dir):
+    counted = [F.length("text") - F.length(F.replace("text", F.lit(d), F.lit(""))) for d in (",", ";", "\t", "|")]
+    return table(spark, sf_dir, "documents").select("doc_id", F.greatest(*counted).alias("marks"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(html, '^\\s*<') THEN NULL ELSE 'csv' END AS kind, sha256(html) AS sha256 FROM pages")
+def S1_file_kinds(spark, sf_dir):
+    content = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", files.kind_of(content)["kind"].alias("kind"), F.sha2(content, 256).alias("sha256"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def S2_decoded_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16"))
+    return docs.select("doc_id", files.decoded(content).alias("text"))
+
+
+@query(with_sql(LEDGER) + "SELECT id, CASE WHEN who = 'p0' THEN 'p0' WHEN who = 'p1' THEN 'p1' ELSE 'household' END AS who, CASE WHEN confidence >= 0.8 THEN 'inferred' ELSE 'low_confidence' END AS status FROM ledger")
+def F36_default_who(spark, sf_dir):
+    owners = F.when(F.col("who").isin("p0", "p1"), F.array("who")).otherwise(F.array(F.lit("p0"), F.lit("p1")))
+    return ledger(spark, sf_dir).select("id", F.when(F.size(owners) == 1, owners[0]).otherwise("household").alias("who"), F.when(F.col("confidence") >= 0.8, "inferred").otherwise("low_confidence").alias("status"))
+
+
+@query("SELECT conv_id, CAST(round(sum(ceil(length(text) / 4) * CASE WHEN role = 'user' THEN 5 ELSE 15 END) / 1000000.0 * 0.8, 9) AS DOUBLE) AS cost FROM conversations GROUP BY conv_id")
+def F28_priced_cost(spark, sf_dir):
+    tokens = tokens_estimate(F.col("text"))
+    own = table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("role") == "user", tokens).otherwise(0).alias("i"), F.when(F.col("role") == "user", 0).otherwise(tokens).alias("o"))
+    summed = own.groupBy("conv_id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    return summed.select("conv_id", F.round(priced(F.col("i"), F.col("o"), F.lit(None).cast("double"), F.lit(None).cast("double"), 0.8), 9).alias("cost"))
