@@ -76,11 +76,11 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("amount_pence <> 0")
 
 
-def balances(moves: DataFrame) -> DataFrame:
-    """Movements with a printed balance after each, every ninth of them wrong by 5 pounds, every fourth unprinted."""
+def balances(moves: DataFrame, wrong: int = 500) -> DataFrame:
+    """Movements with a printed balance after each, every ninth of them wrong by so many pence, every fourth unprinted."""
     by = Window.partitionBy("account_id").orderBy("date", "id")
     running = F.sum("amount_pence").over(by.rowsBetween(Window.unboundedPreceding, 0)) + 100_000
-    printed = F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 9 == 0, running + 500).otherwise(running)
+    printed = F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 9 == 0, running + wrong).otherwise(running)
     return moves.withColumn("pos", F.row_number().over(by)).withColumn("balance_after_pence", printed)
 
 

@@ -20,9 +20,9 @@ def J1_transaction_understanding(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.col("o_orderstatus").alias("status"))
 
 
-@query(with_sql(LEDGER, CATEGORY) + "SELECT l.id, c.label, c.kind, s.s_name AS merchant FROM ledger l LEFT JOIN category c ON l.category_id = c.id LEFT JOIN supplier s ON l.merchant_id = s.s_suppkey AND s.s_suppkey % 2 = 0")
+@query(with_sql(LEDGER, CATEGORY) + "SELECT l.id, c.label, c.kind, s.s_name AS merchant FROM ledger l LEFT JOIN category c ON l.category_id = c.id LEFT JOIN supplier s ON l.merchant_id = s.s_suppkey AND s.s_acctbal > 0")
 def J2_dimensions(spark, sf_dir):
-    named = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("merchant"))
+    named = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("merchant"))
     rows = ledger(spark, sf_dir).select("id", "category_id", "merchant_id")
     return rows.join(categories(spark, sf_dir).select(F.col("id").alias("category_id"), "label", "kind"), "category_id", "left").join(named, "merchant_id", "left").select("id", "label", "kind", "merchant")
 
@@ -33,10 +33,10 @@ def J3_account_owners(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(owners, "c_custkey", "left").select("c_custkey", F.coalesce(F.array_join("owners", ","), F.lit("")).alias("owners"))
 
 
-@query(with_sql(MOVEMENT) + ", p AS (SELECT id, id - id % 7 + (id % 7 + 1) % 7 AS pair_id FROM movement) SELECT DISTINCT id FROM (SELECT id FROM p WHERE id % 50 = 0 UNION ALL SELECT b.id FROM p a JOIN p b ON b.pair_id = a.id WHERE a.id % 50 = 0)")
+@query(with_sql(MOVEMENT) + ", p AS (SELECT id, text, id - id % 7 + (id % 7 + 1) % 7 AS pair_id FROM movement) SELECT DISTINCT id FROM (SELECT id FROM p WHERE text LIKE 'REFUND%' UNION ALL SELECT b.id FROM p a JOIN p b ON b.pair_id = a.id WHERE a.text LIKE 'REFUND%')")
 def J10_released_partners(spark, sf_dir):
-    p = movements(spark, sf_dir).select("id", (F.col("id") - F.col("id") % 7 + (F.col("id") % 7 + 1) % 7).alias("pair_id"))
-    own = p.where("id % 50 = 0").select("id")
+    p = movements(spark, sf_dir).select("id", "text", (F.col("id") - F.col("id") % 7 + (F.col("id") % 7 + 1) % 7).alias("pair_id"))
+    own = p.where("text LIKE 'REFUND%'").select("id")
     return own.unionByName(p.join(own.select(F.col("id").alias("pair_id")), "pair_id").select("id")).distinct()
 
 
@@ -107,10 +107,10 @@ def U5_chunk_merge(spark, sf_dir):
     return chunks.groupBy("account_id").agg(F.sum("n").alias("n"), F.min("a").alias("period_start"), F.max("b").alias("period_end"))
 
 
-@query("SELECT line, (line - 1) // 40 AS chunk FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, user_id FROM events) WHERE user_id < 30")
+@query("SELECT line, (line - 1) // 40 AS chunk FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, user_id FROM events)")
 def S19_chunk_plan(spark, sf_dir):
     line = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").where("user_id < 30").select(line.cast("bigint").alias("line")).select("line", F.floor((F.col("line") - 1) / 40).alias("chunk"))
+    return table(spark, sf_dir, "events").select(line.cast("bigint").alias("line")).select("line", F.floor((F.col("line") - 1) / 40).alias("chunk"))
 
 
 @query("SELECT line, count(DISTINCT doc_id) AS pages FROM (SELECT doc_id, lower(trim(unnest(string_split(text, chr(10))[1:4]))) AS line FROM documents) WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2")
@@ -168,21 +168,21 @@ def D16_retired_subtree(spark, sf_dir):
     return c.join(parents, "id", "left").select("id", F.coalesce("has", F.lit(False)).alias("has_children"), spending.in_subtree("id", "asia").alias("retired"))
 
 
-@query(with_sql(LEDGER) + "SELECT id, 'moved' AS category_id FROM ledger WHERE id % 3 = 0 AND status <> 'confirmed' AND category_id LIKE 'asia.%'")
+@query(with_sql(LEDGER) + "SELECT id, 'moved' AS category_id FROM ledger WHERE decided_by = 'rule' AND status <> 'confirmed' AND category_id LIKE 'asia.%'")
 def D15_refile_undo(spark, sf_dir):
     rows = ledger(spark, sf_dir)
-    moves = rows.where("id % 3 = 0").select("id", F.lit("asia").alias("moved_to"))
+    moves = rows.where("decided_by = 'rule'").select("id", F.lit("asia").alias("moved_to"))
     same = moves.join(rows.where("status <> 'confirmed'"), "id").where(spending.in_subtree("category_id", "asia"))
     return same.select("id", F.lit("moved").alias("category_id"))
 
 
-_GROUPS = "gr AS (SELECT category_id, merchant_id, 'g' || (merchant_id % 3) AS g FROM (SELECT DISTINCT category_id, merchant_id FROM ledger WHERE category_id LIKE 'asia.%' AND merchant_id % 5 = 0))"
+_GROUPS = "gr AS (SELECT category_id, merchant_id, 'g' || (merchant_id % 3) AS g FROM (SELECT DISTINCT category_id, merchant_id FROM ledger WHERE category_id LIKE 'asia.%'))"
 
 
 @query(with_sql(LEDGER, _GROUPS) + ", ok AS (SELECT category_id FROM gr GROUP BY 1 HAVING count(DISTINCT g) >= 2) SELECT id, category_id, category_id || '.' || g AS moved_to FROM ledger JOIN gr USING (category_id, merchant_id) WHERE status <> 'confirmed' AND category_id IN (SELECT category_id FROM ok)")
 def D4_refile(spark, sf_dir):
     rows = ledger(spark, sf_dir)
-    groups = rows.where("category_id LIKE 'asia.%' AND merchant_id % 5 = 0").select("category_id", "merchant_id").distinct().withColumn("group", F.concat(F.lit("g"), (F.col("merchant_id") % 3).cast("string")))
+    groups = rows.where("category_id LIKE 'asia.%'").select("category_id", "merchant_id").distinct().withColumn("group", F.concat(F.lit("g"), (F.col("merchant_id") % 3).cast("string")))
     return understanding.refiled(rows, groups)
 
 

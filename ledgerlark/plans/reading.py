@@ -88,10 +88,9 @@ def F39_aliases(spark, sf_dir):
     return first.select("account_id", F.row_number().over(Window.partitionBy("account_id").orderBy("first", "text")).cast("bigint").alias("alias"), "text")
 
 
-@query("SELECT doc_id, text AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query()
 def F20_normalised(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", X.normalised(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalised(F.col("text")).alias("text"))
 
 
 @query("SELECT page_id, count(*) AS rows FROM (SELECT page_id, unnest(range(0, 4 + CAST(page_id % 3 AS INTEGER))) AS r FROM pages) GROUP BY 1")

@@ -65,9 +65,9 @@ def A9_category_merchants(spark, sf_dir):
     return ledger(spark, sf_dir).where(spending.in_subtree("category_id", "asia")).groupBy("merchant_id").agg(F.count("*").alias("n"), F.sum(F.abs("amount_pence")).alias("pence")).orderBy(F.desc("pence"), "merchant_id").limit(60)
 
 
-@query(with_sql(MOVEMENT) + """SELECT account_id, greatest(max(date), max(last_day(date)) FILTER (id % 3 = 0)) AS covered_to, min(date) AS first_day FROM movement GROUP BY account_id""")
+@query(with_sql(MOVEMENT) + """SELECT account_id, greatest(max(date), max(last_day(date)) FILTER (amount_pence > 0)) AS covered_to, min(date) AS first_day FROM movement GROUP BY account_id""")
 def A10_history_coverage(spark, sf_dir):
-    return movements(spark, sf_dir).groupBy("account_id").agg(F.greatest(F.max("date"), F.max(F.when(F.col("id") % 3 == 0, F.last_day("date")))).alias("covered_to"), F.min("date").alias("first_day"))
+    return movements(spark, sf_dir).groupBy("account_id").agg(F.greatest(F.max("date"), F.max(F.when(F.col("amount_pence") > 0, F.last_day("date")))).alias("covered_to"), F.min("date").alias("first_day"))
 
 
 @query(with_sql(LEDGER) + """, g AS (SELECT merchant_id, account_id, category_id, count(*) AS n, min((date, id)) AS first FROM ledger WHERE amount_pence < 0 AND category_id IS NOT NULL GROUP BY ALL)
@@ -104,10 +104,10 @@ def A15_waiting_counts(spark, sf_dir):
     return ledger(spark, sf_dir).select(F.expr(_WAITING).alias("waiting")).where("waiting IS NOT NULL").groupBy("waiting").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)), 0) AS BIGINT) AS pence FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 1 AND event_type = 'purchase'")
+@query("SELECT CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)), 0) AS BIGINT) AS pence FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50 AND event_type = 'purchase'")
 def A16_debt_total(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("details", F.try_parse_json("props"))
-    return rows.where(F.try_variant_get("details", "$.k", "int") % 2 == 1).agg(F.coalesce(F.sum(F.round(F.col("value") * 100).cast("bigint")), F.lit(0)).alias("pence"))
+    return rows.where(F.try_variant_get("details", "$.k", "int") >= 50).agg(F.coalesce(F.sum(F.round(F.col("value") * 100).cast("bigint")), F.lit(0)).alias("pence"))
 
 
 @query(with_sql(LEDGER) + "SELECT min(date) AS first_day, max(date) AS last_day, coalesce(max(knowledge_version), 0) AS version FROM ledger")

@@ -15,12 +15,12 @@ from .registry import query
 from .scheduling import _HOLIDAY, holidays
 from .understanding import _BEST, _RULE, _VERSIONS, lines, rule_table, versions
 
-_MEMORY = "mem AS (SELECT s_suppkey AS merchant_id, 'asia.nation-2.building' AS memory_category, CASE WHEN s_suppkey % 3 = 0 THEN 'confirmed' ELSE 'inferred' END AS memory, (s_suppkey % 10) / 10.0 AS memory_confidence, s_suppkey % 8 AS seen FROM supplier WHERE s_suppkey % 2 = 0)"
+_MEMORY = "mem AS (SELECT s_suppkey AS merchant_id, 'asia.nation-2.building' AS memory_category, CASE WHEN s_suppkey % 3 = 0 THEN 'confirmed' ELSE 'inferred' END AS memory, (s_suppkey % 10) / 10.0 AS memory_confidence, s_suppkey % 8 AS seen FROM supplier WHERE s_acctbal > 0)"
 
 
 def _memory(spark, sf_dir):
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(k.alias("merchant_id"), F.lit("asia.nation-2.building").alias("memory_category"), F.when(k % 3 == 0, "confirmed").otherwise("inferred").alias("memory"), ((k % 10) / 10.0).alias("memory_confidence"), (k % 8).alias("seen"))
+    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(k.alias("merchant_id"), F.lit("asia.nation-2.building").alias("memory_category"), F.when(k % 3 == 0, "confirmed").otherwise("inferred").alias("memory"), ((k % 10) / 10.0).alias("memory_confidence"), (k % 8).alias("seen"))
 
 
 @query(with_sql(LEDGER, _RULE, _BEST.replace("FROM ledger t JOIN rule r ON", "FROM (SELECT * FROM ledger WHERE status <> 'confirmed') t JOIN rule r ON"), _MEMORY, _VERSIONS, "stale AS (SELECT id FROM ledger l WHERE EXISTS (SELECT 1 FROM v WHERE v.version > l.knowledge_version AND (v.merchant_id = l.merchant_id OR v.category_id = l.category_id)))",
@@ -36,9 +36,9 @@ def D2_code_step(spark, sf_dir):
 @query()
 def D6_transfer_run(spark, sf_dir):
     moves = movements(spark, sf_dir)
-    names = moves.select("account_id").distinct().where("account_id % 7 = 0").select("account_id", F.concat(F.lit("ref"), (F.col("account_id") % 100).cast("string")).alias("phrase"))
+    names = moves.select("account_id").distinct().select("account_id", F.concat(F.lit("ref"), (F.col("account_id") % 100).cast("string")).alias("phrase"))
     covered = moves.groupBy("account_id").agg(F.min("date").alias("first_day"), F.date_add(F.min("date"), 9).alias("last_day"))
-    return composites.transfer_run(moves, moves.where("id % 50 = 0"), names, covered)
+    return composites.transfer_run(moves, moves.where("text LIKE 'REFUND%'"), names, covered)
 
 
 @query()
@@ -91,12 +91,12 @@ def F18_period_or_month(spark, sf_dir):
     return known.select("id", composites.cycle_or_month(F.col("date"), F.col("begun"), F.col("stop")).alias("p")).select("id", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"))
 
 
-@query("""WITH a AS (SELECT s_suppkey AS account_id, 'bank' || (s_suppkey % 12) AS provider, CASE WHEN s_suppkey % 3 = 0 THEN 'credit_card' ELSE 'current' END AS kind, lpad(CAST(s_suppkey % 7 AS VARCHAR), 4, '0') AS last4 FROM supplier WHERE s_suppkey < 40),
+@query("""WITH a AS (SELECT s_suppkey AS account_id, 'bank' || (s_suppkey % 12) AS provider, CASE WHEN s_suppkey % 3 = 0 THEN 'credit_card' ELSE 'current' END AS kind, lpad(CAST(s_suppkey % 7 AS VARCHAR), 4, '0') AS last4 FROM supplier),
     e AS (SELECT c_custkey AS statement_id, 'bank' || (c_custkey % 14) AS provider, lpad(CAST(c_custkey % 9 AS VARCHAR), 4, '0') AS last4 FROM customer)
     SELECT statement_id, CASE WHEN count(account_id) = 1 THEN max(account_id) END AS account_id, count(account_id) AS n_candidates FROM e LEFT JOIN a USING (provider, last4) GROUP BY statement_id""")
 def P18_account_match(spark, sf_dir):
     k, c = F.col("s_suppkey"), F.col("c_custkey")
-    accounts = table(spark, sf_dir, "supplier").where("s_suppkey < 40").select(k.alias("account_id"), F.concat(F.lit("bank"), (k % 12).cast("string")).alias("provider"), F.when(k % 3 == 0, "credit_card").otherwise("current").alias("kind"), F.lpad((k % 7).cast("string"), 4, "0").alias("last4"), F.lit("active").alias("status"))
+    accounts = table(spark, sf_dir, "supplier").select(k.alias("account_id"), F.concat(F.lit("bank"), (k % 12).cast("string")).alias("provider"), F.when(k % 3 == 0, "credit_card").otherwise("current").alias("kind"), F.lpad((k % 7).cast("string"), 4, "0").alias("last4"), F.lit("active").alias("status"))
     evidence = table(spark, sf_dir, "customer").select(c.alias("statement_id"), F.concat(F.lit("bank"), (c % 14).cast("string")).alias("provider"), F.lit(None).cast("string").alias("kind"), F.lpad((c % 9).cast("string"), 4, "0").alias("last4"), F.lit(None).cast("bigint").alias("remembered"))
     return composites.matched_accounts(evidence, accounts).select("statement_id", "account_id", "n_candidates")
 

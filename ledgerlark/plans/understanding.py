@@ -60,23 +60,23 @@ def A23_rule_preview(spark, sf_dir):
     return met.groupBy("rule_id").agg(F.count("*").alias("matches"), F.count_if(changes).alias("will_change"), F.count_if(F.col("status") == "confirmed").alias("kept"))
 
 
-_DECISIONS = "d AS (SELECT merchant_id, split_part(category_id, '.', 1) AS category_id, CASE WHEN who <> 'household' THEN who END AS who, confidence, abs(amount_pence) AS pence FROM ledger WHERE category_id IS NOT NULL AND account_id % 10 < 2)"
+_DECISIONS = "d AS (SELECT merchant_id, split_part(category_id, '.', 1) AS category_id, CASE WHEN who <> 'household' THEN who END AS who, confidence, abs(amount_pence) AS pence FROM ledger WHERE category_id IS NOT NULL)"
 
 
 @query(with_sql(LEDGER, _DECISIONS) + """, c AS (SELECT merchant_id, category_id, count(*) AS n, sum(pence) AS pence, sum(confidence) AS confidence FROM d GROUP BY 1, 2),
     b AS (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY n DESC, pence DESC, category_id) AS k, sum(n) OVER (PARTITION BY merchant_id) AS total FROM c),
     w AS (SELECT merchant_id, category_id, who FROM (SELECT merchant_id, category_id, who, row_number() OVER (PARTITION BY merchant_id, category_id ORDER BY count(*) DESC, who) AS k FROM d WHERE who IS NOT NULL GROUP BY 1, 2, 3) WHERE k = 1)
-    SELECT merchant_id, b.category_id, n AS rows, CAST(round(n / total, 3) AS DOUBLE) AS share, CAST(round_even(n / total * (confidence / n), 3) AS DOUBLE) AS confidence, who FROM b LEFT JOIN w USING (merchant_id, category_id) WHERE k = 1 AND total >= 3 AND n / total >= 0.3""")
+    SELECT merchant_id, b.category_id, n AS rows, CAST(round(n / total, 3) AS DOUBLE) AS share, CAST(round_even(n / total * (confidence / n), 3) AS DOUBLE) AS confidence, who FROM b LEFT JOIN w USING (merchant_id, category_id) WHERE k = 1 AND total >= 3 AND n / total >= 0.25""")
 def A5_merchant_memory(spark, sf_dir):
-    d = ledger(spark, sf_dir).where("category_id IS NOT NULL AND account_id % 10 < 2").select("merchant_id", F.substring_index("category_id", ".", 1).alias("category_id"), F.when(F.col("who") != "household", F.col("who")).alias("who"), "confidence", F.abs("amount_pence").alias("pence"))
-    return understanding.infer_memory(d, 3, 0.3)
+    d = ledger(spark, sf_dir).where("category_id IS NOT NULL").select("merchant_id", F.substring_index("category_id", ".", 1).alias("category_id"), F.when(F.col("who") != "household", F.col("who")).alias("who"), "confidence", F.abs("amount_pence").alias("pence"))
+    return understanding.infer_memory(d, 3, 0.25)
 
 
-_VERSIONS = "v AS (SELECT CAST(event_id % 13 AS INTEGER) AS version, CASE WHEN event_id % 2 = 0 THEN user_id % 97 END AS merchant_id, CASE WHEN event_id % 2 = 1 THEN 'asia.nation-' || (event_id % 25) || '.building' END AS category_id FROM events WHERE event_id % 500 < 20)"
+_VERSIONS = "v AS (SELECT CAST(event_id % 13 AS INTEGER) AS version, CASE WHEN event_id % 2 = 0 THEN user_id % 97 END AS merchant_id, CASE WHEN event_id % 2 = 1 THEN 'asia.nation-' || (event_id % 25) || '.building' END AS category_id FROM events WHERE event_type = 'error')"
 
 
 def versions(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id % 500 < 20").select((F.col("event_id") % 13).cast("int").alias("version"), F.expr("CASE WHEN event_id % 2 = 0 THEN user_id % 97 END").alias("merchant_id"), F.expr("CASE WHEN event_id % 2 = 1 THEN concat('asia.nation-', event_id % 25, '.building') END").alias("category_id"))
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select((F.col("event_id") % 13).cast("int").alias("version"), F.expr("CASE WHEN event_id % 2 = 0 THEN user_id % 97 END").alias("merchant_id"), F.expr("CASE WHEN event_id % 2 = 1 THEN concat('asia.nation-', event_id % 25, '.building') END").alias("category_id"))
 
 
 @query(with_sql(LEDGER, _VERSIONS) + "SELECT id, knowledge_version FROM ledger l WHERE EXISTS (SELECT 1 FROM v WHERE v.version > l.knowledge_version AND (v.merchant_id = l.merchant_id OR v.category_id = l.category_id))")
@@ -94,12 +94,12 @@ def D7_backlog_sweep(spark, sf_dir):
 
 
 _NEW = "CASE WHEN o_orderkey % 2 = 0 THEN 'model' WHEN o_orderkey % 31 = 0 THEN 'human' ELSE 'rule' END"
-_DECIDED = f"dec AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN 'africa.nation-0.building' END AS category_id, CAST(NULL AS VARCHAR) AS who, CAST((o_orderkey % 50) / 50.0 AS DOUBLE) AS confidence, {_NEW} AS decided_by, CASE {_NEW} WHEN 'model' THEN 40 WHEN 'human' THEN 100 ELSE 80 END AS authority FROM orders WHERE o_orderkey % 3 < 2)"
+_DECIDED = f"dec AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN 'africa.nation-0.building' END AS category_id, CAST(NULL AS VARCHAR) AS who, CAST((o_orderkey % 50) / 50.0 AS DOUBLE) AS confidence, {_NEW} AS decided_by, CASE {_NEW} WHEN 'model' THEN 40 WHEN 'human' THEN 100 ELSE 80 END AS authority FROM orders WHERE o_orderstatus <> 'P')"
 
 
 def decisions(spark, sf_dir):
     by = F.expr(_NEW)
-    return table(spark, sf_dir, "orders").where("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("id"), F.expr("CASE WHEN o_orderkey % 9 <> 0 THEN 'africa.nation-0.building' END").alias("category_id"), F.lit(None).cast("string").alias("who"), F.expr("cast((o_orderkey % 50) / 50.0 AS double)").alias("confidence"), by.alias("decided_by"), F.when(by == "model", 40).when(by == "human", 100).otherwise(80).alias("authority"))
+    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.expr("CASE WHEN o_orderkey % 9 <> 0 THEN 'africa.nation-0.building' END").alias("category_id"), F.lit(None).cast("string").alias("who"), F.expr("cast((o_orderkey % 50) / 50.0 AS double)").alias("confidence"), by.alias("decided_by"), F.when(by == "model", 40).when(by == "human", 100).otherwise(80).alias("authority"))
 
 
 _MERGED = f"""merged AS (SELECT l.id, CASE WHEN ok THEN coalesce(d.category_id, l.category_id) ELSE l.category_id END AS category_id, CASE WHEN ok THEN coalesce(d.who, l.who) ELSE l.who END AS who,
@@ -184,11 +184,11 @@ def J9_orphan_halves(spark, sf_dir):
     return p.join(back, "pair_id", "left_anti").select("id")
 
 
-@query("""WITH n AS (SELECT s_suppkey, p_name || ' LTD ' || s_suppkey * 137 || ' LONDON GB' AS text FROM supplier JOIN part ON p_partkey = s_suppkey)
-    SELECT s_suppkey, p_name AS merchant_key FROM n JOIN part ON p_partkey = s_suppkey WHERE s_suppkey * 137 >= 1000""")
+@query("""WITH n AS (SELECT s_suppkey, p_name || ' LTD ' || (1000 + s_suppkey * 137) || ' LONDON GB' AS text FROM supplier JOIN part ON p_partkey = s_suppkey)
+    SELECT s_suppkey, p_name AS merchant_key FROM n JOIN part ON p_partkey = s_suppkey""")
 def F10_merchant_key(spark, sf_dir):
-    named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("s_suppkey")).where("s_suppkey * 137 >= 1000")
-    return named.select("s_suppkey", merchant_key(F.expr("concat(p_name, ' LTD ', s_suppkey * 137, ' LONDON GB')")).alias("merchant_key"))
+    named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("s_suppkey"))
+    return named.select("s_suppkey", merchant_key(F.expr("concat(p_name, ' LTD ', 1000 + s_suppkey * 137, ' LONDON GB')")).alias("merchant_key"))
 
 
 @query("""WITH v AS (SELECT DISTINCT substr(regexp_replace(upper(trim(regexp_replace(p_brand || '  ' || p_name || p_size, '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g'), 1, 120) AS variant, lower(p_name) AS key FROM part)
@@ -214,9 +214,9 @@ def F6_description_copies(spark, sf_dir):
     return docs.join(docs.groupBy("key").agg(F.count("*").alias("copies")), "key").select("doc_id", "copies")
 
 
-@query("SELECT k, min(pos) AS pos FROM (SELECT o_custkey AS k, o_orderkey AS pos FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT user_id, 1000000 + event_id FROM events) GROUP BY k")
+@query("SELECT k, min(pos) AS pos FROM (SELECT o_custkey AS k, o_orderkey AS pos FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT user_id, 1000000 + event_id FROM events) GROUP BY k")
 def U1_ordered_union(spark, sf_dir):
-    new = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("pos"))
+    new = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("pos"))
     queued = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), (F.col("event_id") + 1_000_000).alias("pos"))
     return new.unionByName(queued).groupBy("k").agg(F.min("pos").alias("pos"))
 
@@ -239,19 +239,19 @@ def U8_pending(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(applied, "id", "left_anti")
 
 
-@query("""WITH s AS (SELECT user_id AS k, CAST(count(*) AS BIGINT) AS seen, max(event_type) AS last FROM events WHERE event_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id AS k, CAST(count(*) AS BIGINT) AS seen, max(event_type) AS last FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+@query("""WITH s AS (SELECT user_id AS k, CAST(count(*) AS BIGINT) AS seen, max(event_type) AS last FROM events WHERE event_type <> 'error' GROUP BY 1), n AS (SELECT user_id AS k, CAST(count(*) AS BIGINT) AS seen, max(event_type) AS last FROM events WHERE event_type <> 'click' GROUP BY 1)
     SELECT coalesce(s.k, n.k) AS k, coalesce(s.seen, 0) + coalesce(n.seen, 0) AS seen, coalesce(n.last, s.last) AS last FROM s FULL JOIN n ON s.k = n.k""")
 def W3_upsert(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     counted = lambda when: events.where(when).groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("seen"), F.max("event_type").alias("last"))
-    return understanding.upserted(counted("event_id % 2 = 0"), counted("event_id % 3 = 0"), ["k"], ["seen"])
+    return understanding.upserted(counted("event_type <> 'error'"), counted("event_type <> 'click'"), ["k"], ["seen"])
 
 
-@query("SELECT c_custkey AS k, c_custkey % 3 + CASE WHEN c_custkey % 2 = 0 AND c_custkey % 4 = c_custkey % 3 THEN 1 ELSE 0 END AS version, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 4 = c_custkey % 3 THEN 'new' ELSE c_mktsegment END AS segment, c_custkey % 2 = 0 AND c_custkey % 4 <> c_custkey % 3 AS conflict FROM customer")
+@query("SELECT c_custkey AS k, c_custkey % 3 + CASE WHEN c_acctbal > 0 AND c_custkey % 4 = c_custkey % 3 THEN 1 ELSE 0 END AS version, CASE WHEN c_acctbal > 0 AND c_custkey % 4 = c_custkey % 3 THEN 'new' ELSE c_mktsegment END AS segment, c_acctbal > 0 AND c_custkey % 4 <> c_custkey % 3 AS conflict FROM customer")
 def W5_compare_and_set(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     stored = customer.select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 3).alias("version"), F.col("c_mktsegment").alias("segment"))
-    updates = customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 4).alias("expected_version"), F.lit("new").alias("value"))
+    updates = customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 4).alias("expected_version"), F.lit("new").alias("value"))
     return understanding.compare_and_set(stored, updates, "k", "segment")
 
 
@@ -281,22 +281,22 @@ def W8_retention(spark, sf_dir):
     return table(spark, sf_dir, "events").where("ts >= timestamp_ntz '2024-01-15'").select("event_id", "event_type")
 
 
-@query(with_sql(MOVEMENT) + """, cover AS (SELECT account_id, min(date) AS a, max(date) AS b FROM movement WHERE id % 5 = 0 GROUP BY 1)
+@query(with_sql(MOVEMENT) + """, cover AS (SELECT account_id, min(date) AS a, min(date) + 9 AS b FROM movement GROUP BY 1)
     SELECT id, account_id FROM movement m WHERE text LIKE 'TRANSFER%' AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.account_id = (m.account_id + 1) % 150 AND m.date BETWEEN c.a - 1 AND c.b + 1)""")
 def J7_one_sided(spark, sf_dir):
     moves = movements(spark, sf_dir)
-    cover = moves.where("id % 5 = 0").groupBy(F.col("account_id").alias("named")).agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    cover = moves.groupBy(F.col("account_id").alias("named")).agg(F.min("date").alias("a"), F.date_add(F.min("date"), 9).alias("b"))
     mine = moves.where("text LIKE 'TRANSFER%'").withColumn("named", (F.col("account_id") + 1) % 150)
     held = (mine["named"] == cover["named"]) & mine["date"].between(F.date_sub(cover["a"], 1), F.date_add(cover["b"], 1))
     return mine.join(cover, held, "left_anti").select("id", "account_id")
 
 
-@query("""WITH d AS (SELECT o_custkey % 200 AS detected, o_orderkey AS payment, min(o_orderkey) OVER (PARTITION BY o_custkey % 200) AS pos FROM orders), p AS (SELECT o_custkey % 150 AS prior, o_orderkey AS payment FROM orders WHERE o_orderkey % 2 = 0)
+@query("""WITH d AS (SELECT o_custkey % 200 AS detected, o_orderkey AS payment, min(o_orderkey) OVER (PARTITION BY o_custkey % 200) AS pos FROM orders), p AS (SELECT o_custkey % 150 AS prior, o_orderkey AS payment FROM orders WHERE o_orderstatus = 'F')
     SELECT detected, prior, count(*) AS overlap FROM d JOIN p USING (payment) GROUP BY 1, 2 HAVING count(*) >= 5""")
 def J13_overlap(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     d = orders.select((F.col("o_custkey") % 200).alias("detected"), F.col("o_orderkey").alias("payment"))
-    p = orders.where("o_orderkey % 2 = 0").select((F.col("o_custkey") % 150).alias("prior"), F.col("o_orderkey").alias("payment"))
+    p = orders.where("o_orderstatus = 'F'").select((F.col("o_custkey") % 150).alias("prior"), F.col("o_orderkey").alias("payment"))
     return d.join(p, "payment").groupBy("detected", "prior").agg(F.count("*").alias("overlap")).where("overlap >= 5")
 
 

@@ -10,17 +10,17 @@ from .registry import query
 
 
 def _unsigned(spark, sf_dir):
-    rows = balances(movements(spark, sf_dir).where("id % 9 <> 0"))
+    rows = balances(movements(spark, sf_dir), wrong=0)
     return rows.withColumn("unsigned", F.col("id") % 5 == 0).withColumn("amount_pence", F.when(F.col("unsigned"), F.abs("amount_pence")).otherwise(F.col("amount_pence")))
 
 
-_RIGHT = MOVEMENT.replace("movement AS", "every AS") + ", movement AS (SELECT * FROM every WHERE id % 9 <> 0)"
+_RIGHT = BALANCED.replace("THEN 500", "THEN 0")
 _STRETCH = """st AS (SELECT *, CASE WHEN id % 5 = 0 THEN abs(amount_pence) ELSE amount_pence END AS shown, id % 5 = 0 AS unsigned,
     coalesce(sum(CASE WHEN balance_after_pence IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch,
     last_value(balance_after_pence IGNORE NULLS) OVER (PARTITION BY account_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM balanced)"""
 
 
-@query(with_sql(_RIGHT, BALANCED, _STRETCH) + """, g AS (SELECT account_id, stretch, count(*) FILTER (unsigned) AS n, max(balance_after_pence) - min(before) - sum(CASE WHEN unsigned THEN 0 ELSE shown END) AS gap FROM st GROUP BY 1, 2)
+@query(with_sql(MOVEMENT, _RIGHT, _STRETCH) + """, g AS (SELECT account_id, stretch, count(*) FILTER (unsigned) AS n, max(balance_after_pence) - min(before) - sum(CASE WHEN unsigned THEN 0 ELSE shown END) AS gap FROM st GROUP BY 1, 2)
     SELECT id, CASE WHEN unsigned AND n = 1 AND gap = -shown THEN -shown ELSE shown END AS amount_pence FROM st JOIN g USING (account_id, stretch)""")
 def WN14_sign_repair(spark, sf_dir):
     return V.repaired_signs(_unsigned(spark, sf_dir), ["account_id"]).select("id", "amount_pence")

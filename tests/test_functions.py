@@ -59,3 +59,9 @@ def test_phrases_and_similarity(spark):
 
 def test_iban(spark):
     assert values(spark, ["GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432", "x"], text.iban_valid) == [True, False, False]
+
+
+def test_normal_forms(spark):
+    from ledgerlark.operators.documents import normalised
+
+    assert values(spark, ["ﬁ​ne “x” – y", "plain", None], normalised) == ["fine \"x\" - y", "plain", None]
