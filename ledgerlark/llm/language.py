@@ -72,24 +72,42 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", model_words:
     index = {x: i for i, x in enumerate(langs)}
     runs = cut(run_counts(words))
     run_totals = {(r.size, r.lang): r.n for r in runs.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
-    most = lambda df, size: df.orderBy(F.desc("n"), *[c for c in df.columns if c != "n"]).limit(size).collect()
 
-    def table(rows, name, total):
-        own: dict[str, np.ndarray] = {}
-        for r in rows:
-            own.setdefault(r[name], np.zeros(len(langs)))[index[r.lang]] = r.n
-        return {x: np.log((n + 0.5) / (total(x) + 1)).astype(np.float32) for x, n in own.items()}
+    def table(df: DataFrame, name: str, size: int, total) -> tuple[str, np.ndarray]:
+        """The kept words or runs, one a line, and their log frequencies by language."""
+        rows = frequent(df.select("lang", name, "n"), size).to_pandas()
+        own = sorted(set(rows[name]))
+        n = np.zeros((len(own), len(langs)))
+        n[np.searchsorted(np.array(own, object), rows[name].to_numpy(object)), rows["lang"].map(index).to_numpy(int)] = rows["n"]
+        totals_of = np.array([total(x) for x in own]).reshape(n.shape)
+        return "\n".join(own), np.log((n + 0.5) / (totals_of + 1)).astype(np.float32)
 
     all_words = np.array([totals[x] for x in langs], float)
     by_size = [np.array([run_totals.get((size, x), 0) for x in langs], float) for size in range(LONGEST_RUN + 1)]
-    return {"langs": langs, "words": table(most(words, model_words), "word", lambda _: all_words), "runs": table(most(runs, model_runs), "run", lambda x: by_size[len(x)])}
+    return {"langs": langs, "words": table(words, "word", model_words, lambda _: all_words), "runs": table(runs, "run", model_runs, lambda x: by_size[len(x)])}
+
+
+def frequent(counted: DataFrame, size: int) -> pa.Table:
+    """The most frequent rows, at most size: a histogram of n (eight steps an octave) tells from where on.
+
+    Only the histogram and the rows that are kept come to the driver.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, None
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        held += r.rows
+        if held > size:
+            break
+        least = r.step
+    return counted.where(step >= least if least is not None else F.lit(False)).toArrow()
 
 
 class Scorer:
     """A worker's model and the scores of the words it has met."""
 
     def __init__(self, model: dict):
-        self.langs, self.words, self.runs = model["langs"], model["words"], model["runs"]
+        self.langs = model["langs"]
+        self.words, self.runs = ({} if not names else dict(zip(names.split("\n"), values)) for names, values in (model["words"], model["runs"]))
         self._forget()
 
     def _forget(self) -> None:
