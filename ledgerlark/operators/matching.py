@@ -9,6 +9,7 @@ prescribe, over candidate rows alone.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,25 +89,35 @@ def soft_matches(new: DataFrame, stored: DataFrame, days: int = SOFT_DAYS) -> Da
     met = mine.join(theirs, ["account_id", "amount_pence", "day"])
     near = met.select("account_id", "amount_pence", "new_id", "new_pos", "stored_id", "stored_pos", F.abs(F.datediff("day", "new_date")).alias("gap"), similar_tokens(F.col("new_tokens"), F.col("stored_tokens")).alias("similar"))
 
-    def settle(p: pd.DataFrame) -> pd.DataFrame:
-        taken, matched, out = set(), set(), []
-        for most in (0, days):
-            for new_id, rows in p[~p["new_id"].isin(matched)].sort_values(["new_pos", "new_id"]).groupby("new_id", sort=False):
-                looked = 0
-                for r in rows[rows["gap"] <= most].sort_values(["gap", "stored_pos"]).itertuples():
-                    if r.stored_id in taken:
-                        continue
-                    if looked >= MOST_CANDIDATES:
-                        break
-                    looked += 1
-                    if r.similar:
-                        taken.add(r.stored_id)
-                        matched.add(new_id)
-                        out.append((new_id, r.stored_id, r.gap))
-                        break
-        return pd.DataFrame(out, columns=["new_id", "stored_id", "gap"])
-
-    return near.groupBy("account_id", "amount_pence").applyInPandas(settle, "new_id bigint, stored_id bigint, gap int")
+    candidate = F.struct("new_pos", "new_id", "gap", "stored_pos", "stored_id", "similar")
+    grouped = near.groupBy("account_id", "amount_pence").agg(F.collect_list(candidate).alias("candidates")).where(F.exists("candidates", lambda c: c["similar"]))
+    shape = "new_id bigint, stored_id bigint, gap int"
+    one = F.col("candidates")[0]
+    alone = grouped.where(F.size("candidates") == 1).select(one["new_id"].alias("new_id"), one["stored_id"].alias("stored_id"), one["gap"].alias("gap"))
+
+    def run(batches):
+        for batch in batches:
+            found = [x for rows in batch.column(0).to_pylist() for x in _settle(rows, days)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["new_id", "stored_id", "gap"])
+
+    return alone.unionByName(grouped.where(F.size("candidates") > 1).select("candidates").mapInArrow(run, shape))
+
+
+def _settle(candidates: list[dict], days: int) -> list[tuple[int, int, int]]:
+    """Soft matches among one amount's candidates: each new row in its order takes its first similar free one."""
+    by_new: dict[tuple, list[dict]] = {}
+    for c in sorted(candidates, key=lambda c: (c["new_pos"], c["new_id"], c["gap"], c["stored_pos"])):
+        by_new.setdefault((c["new_pos"], c["new_id"]), []).append(c)
+    taken, out = set(), []
+    for most in (0, days):
+        for key in list(by_new):
+            free = [c for c in by_new[key] if c["gap"] <= most and c["stored_id"] not in taken]
+            first = next((c for c in free[:MOST_CANDIDATES] if c["similar"]), None)
+            if first is not None:
+                taken.add(first["stored_id"])
+                out.append((key[1], first["stored_id"], first["gap"]))
+                del by_new[key]
+    return out
 
 
 def dedupe_plan(new: DataFrame, stored: DataFrame) -> DataFrame:
