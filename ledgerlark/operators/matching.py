@@ -8,10 +8,10 @@ prescribe, over candidate rows alone.
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import description_tokens, fingerprint, normal_description, similar_tokens
 
@@ -52,15 +52,15 @@ def pair_confidence() -> Column:
     return F.when(F.col("against"), 0.6).when(F.col("words") > 0, 0.99).when(F.col("card") | (F.col("gap") == 0), 0.75).otherwise(0.7)
 
 
-def _take(candidates: pd.DataFrame) -> pd.DataFrame:
-    """Of candidates in their order, those whose two ends are both free."""
+def _take(candidates: list[dict]) -> list[dict]:
+    """Of one amount's candidates, in their order, those whose two ends are both free."""
     used_out, used_in, kept = set(), set(), []
-    for i, (a, b) in enumerate(zip(candidates["out_id"], candidates["in_id"])):
-        if a not in used_out and b not in used_in:
-            used_out.add(a)
-            used_in.add(b)
-            kept.append(i)
-    return candidates.iloc[kept]
+    for c in sorted(candidates, key=lambda c: (c["gap"], -c["words"], c["out_date"], c["out_id"], c["in_id"])):
+        if c["out_id"] not in used_out and c["in_id"] not in used_in:
+            used_out.add(c["out_id"])
+            used_in.add(c["in_id"])
+            kept.append(c)
+    return kept
 
 
 def pair_transfers(moves: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:
@@ -73,7 +73,13 @@ def pair_transfers(moves: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:
     counted = found.withColumn("choice", choice)
     alone = counted.where("choice = 2").drop("choice")
     rest = counted.where("choice > 2").drop("choice")
-    settled = rest.groupBy("size").applyInPandas(lambda p: _take(p.sort_values(["gap", "words", "out_date", "out_id", "in_id"], ascending=[True, False, True, True, True])), rest.schema)
+    schema = to_arrow_schema(rest.schema)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([c for rows in batch.column(0).to_pylist() for c in _take(rows)], schema=schema)
+
+    settled = rest.groupBy("size").agg(F.collect_list(F.struct(*rest.columns)).alias("candidates")).select("candidates").mapInArrow(run, rest.schema)
     return alone.unionByName(settled).select("out_id", "in_id", "gap", "words", "card", pair_confidence().alias("confidence"))
 
 
