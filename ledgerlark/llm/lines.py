@@ -8,6 +8,11 @@ or another, are removed but for the first occurrence (smallest doc_id, then plac
 matched by a 64-bit hash, and their bytes are compared: texts that share a hash without being equal
 are told apart by the texts themselves.
 
+``without_repeats`` finds whole shared passages. Every pair of neighbouring lines is a seed, and so is
+every single line of over ``LONG_LINE`` words; a seed that occurs again loses its lines everywhere but
+at its first occurrence. Seeds overlap, so a shared run of lines goes from its first line to its last,
+wherever it stands and whatever surrounds it. The first occurrence of every line stays.
+
 A null text has no lines and stays null; an empty one has one empty line. Rows repeated with one id
 are one document: the same places go from each of them. Rows without an id lose nothing. An empty
 table gives none.
@@ -22,6 +27,8 @@ from .common import cut
 
 #: A chunk ends after one in so many places.
 MEAN = 4
+#: A single line counts as a passage if it has more words than this.
+LONG_LINE = 50
 
 
 def let(value: Column, use) -> Column:
@@ -85,3 +92,64 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
         F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - left).cast("bigint").alias("n_removed"),
         F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda c: c["chunk"]), "\n")).alias("text"),
     )
+
+
+def seeds(text: Column, hash_bits: int = 64, with_lines: bool = False) -> Column:
+    """A text's seeds: array of (first line, number of lines, hashes of the first and the last line)."""
+    hashed = lambda line: F.xxhash64(line) if hash_bits == 64 else F.shiftrightunsigned(F.xxhash64(line), 64 - hash_bits)
+
+    def of(lines: Column, hashes: Column) -> Column:
+        def seed(i: Column, size: int) -> Column:
+            ends = [F.element_at(hashes, i).alias("a"), F.element_at(hashes, i + (size - 1)).alias("b")]
+            texts = [F.element_at(lines, i).alias("line_a"), F.element_at(lines, i + (size - 1)).alias("line_b")] if with_lines else []
+            return F.struct((i - 1).alias("at"), F.lit(size).alias("lines"), *ends, *texts)
+
+        def places(last: Column) -> Column:
+            return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+        long = F.filter(places(F.size(lines)), lambda i: F.size(F.split(F.trim(F.element_at(lines, i)), r"\s+")) > LONG_LINE)
+        return F.concat(F.transform(places(F.size(lines) - 1), lambda i: seed(i, 2)), F.transform(long, lambda i: seed(i, 1)))
+
+    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, hashed), lambda hashes: of(lines, hashes)))
+
+
+def repeated_lines(docs: DataFrame, doc_id: str, text: str, hash_bits: int = 64) -> DataFrame:
+    """id, own (the text's hash) and gone: the lines that a document loses, as places from 0."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    placed = lambda with_lines: rows.select("id", F.xxhash64("text").alias("own"), F.explode(seeds(F.col("text"), hash_bits, with_lines)).alias("s")).select("id", "own", "s.*").distinct()
+    keys = cut(placed(False))
+    hashed = F.xxhash64("line") if hash_bits == 64 else F.shiftrightunsigned(F.xxhash64("line"), 64 - hash_bits)
+    own_lines = rows.select(F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).select(hashed.alias("hash"), "line").distinct()
+    clashing = cut(own_lines.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+
+    def later(df: DataFrame, by: list[str]) -> DataFrame:
+        """The occurrences of seeds other than their first ones."""
+        firsts = df.groupBy(*by).agg(F.min(F.struct("id", "own", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return df.join(firsts, by).where(F.col("first") != F.struct("id", "own", "at")).select("id", "own", "at", "lines")
+
+    by = ["lines", "a", "b"]
+    if clashing.isEmpty():
+        found = later(keys, by)
+    else:
+        either = clashing.select(F.col("hash").alias("a")), clashing.select(F.col("hash").alias("b"))
+        plain = keys.join(either[0], "a", "left_anti").join(either[1], "b", "left_anti")
+        told = placed(True)
+        told = told.join(either[0], "a", "left_semi").unionByName(told.join(either[1], "b", "left_semi")).distinct()
+        found = later(plain, by).unionByName(later(told, [*by, "line_a", "line_b"]))
+    return found.select("id", "own", F.explode(F.sequence("at", F.col("at") + F.col("lines") - 1)).alias("at")).groupBy("id", "own").agg(F.collect_set("at").alias("gone"))
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
+    """id, n_lines, n_removed (lines), and the text without the repeated passages."""
+    gone = repeated_lines(docs, doc_id, text, hash_bits).withColumnsRenamed({"id": "gone_id", "own": "gone_own"})
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    joined = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_own")), "left")
+    lines = F.split("text", "\n", -1)
+    left = let(F.col("gone"), lambda g: F.filter(lines, lambda line, i: ~F.array_contains(g, i)))
+    shown = joined.select("id", "text", F.size(lines).alias("n_lines"), F.when(F.col("gone").isNotNull(), left).alias("kept"))
+    return shown.select(
+        F.col("id").alias(doc_id),
+        F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("bigint").alias("n_lines"),
+        F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("bigint").alias("n_removed"),
+        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+    )

@@ -138,6 +138,39 @@ def test_line_dedup_of_odd_texts(spark, edges, nothing):
     assert lines.deduplicated(nothing).count() == 0
 
 
+def plain_repeats(rows):
+    """Lines left by id: those outside later occurrences of pairs of lines and of single long lines."""
+    first, out = {}, []
+    for i, t in sorted(rows):
+        own, gone = t.split("\n"), set()
+        for at in range(len(own)):
+            for size in (1, 2):
+                seed = tuple(own[at : at + size])
+                if len(seed) == size and (size == 2 or len(own[at].split()) > lines.LONG_LINE) and first.setdefault(seed, (i, at)) != (i, at):
+                    gone.update(range(at, at + size))
+        out.append((i, len(own) - len(gone), "\n".join(x for k, x in enumerate(own) if k not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("hash_bits", [64, 5])
+def test_whole_shared_passages_go(spark, hash_bits):
+    draw = random.Random(12)
+    passages = [[" ".join(f"w{draw.randrange(10**6)}" for _ in range(60 // n + 1)) for _ in range(n)] for n in range(1, 7)]
+    rows = [(i, "\n".join([f"own {i} {k}" for k in range(i % 3)] + passages[i % 6] + [f"end {i} {k}" for k in range(i % 2)])) for i in range(36)]
+    rows += [(100, "x\nx\nx"), (101, ""), (102, "short"), (103, "short"), (104, "x\n\nx\nx")]
+    got = lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), hash_bits=hash_bits).collect()
+    assert sorted((r.doc_id, r.n_lines - r.n_removed, r.text) for r in got) == plain_repeats(rows)
+    assert not any(re.search(r"w\d", r.text) for r in got if 6 <= r.doc_id < 36)  # all of every passage, of one line to six
+
+
+def test_whole_passages_of_odd_texts(spark, edges, nothing):
+    got = lines.without_repeats(edges).collect()
+    assert len(got) == len(EDGES) and {r.text for r in got if r.doc_id == 1} == {None} and [r.n_lines for r in got if r.doc_id == 2] == [1]
+    assert lines.without_repeats(nothing).count() == 0
+    two = spark.createDataFrame([(1, "a\nb\nc"), (1, "z\na\nb"), (None, "a\nb")], "doc_id bigint, text string")
+    assert sorted((r.text, r.n_removed) for r in lines.without_repeats(two).collect()) == [("a\nb", 0), ("c", 2), ("z", 2)]
+
+
 # 3: secrets
 
 
