@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words lie in benchmark passages go."""
-    return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+    """Documents of which a twentieth of the words lie in benchmark passages go; items without an id count too."""
+    return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

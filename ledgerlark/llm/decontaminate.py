@@ -11,7 +11,8 @@ size is worked through, block after block, over the same partitions of documents
 shuffled, and no document waits for another. Documents in several blocks are compared with each.
 
 Null and empty documents have no words and are clean; null and empty items have no window. Repeated
-rows are judged each on its own; items that repeat an id count once. Without items, nothing is hit.
+rows are judged each on its own; items that repeat an id count once. Items without an id count in
+n_hit like all others and are missing only from the list of items. Without items, nothing is hit.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def winnow(values: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_sliding(around, width, np.maximum) == values)
 
 
-def index_items(items: list[tuple[str, str]], window: int = WINDOW, gram: int = GRAM) -> dict:
+def index_items(items: list[tuple[str | None, str]], window: int = WINDOW, gram: int = GRAM) -> dict:
     """Windows of items by length: fingerprints, sorted, with their place in the window, its words, its items."""
     owners: dict[tuple[int, bytes], set[str]] = defaultdict(set)
     places: dict[tuple[int, bytes], tuple[int, int]] = {}
@@ -112,7 +113,10 @@ def index_items(items: list[tuple[str, str]], window: int = WINDOW, gram: int =
         found, raw = grams(hashes, k), data.tobytes()
         for s in range(len(starts) - n + 1):
             key = (n, b"\0".join(raw[starts[i] : ends[i]] for i in range(s, s + n)))
-            owners[key].add(item)
+            if item is None:
+                owners[key]  # counts as a window, but has no name to list
+            else:
+                owners[key].add(item)
             if key not in places:
                 own = found[s : s + n - k + 1]
                 places[key] = (int(own.min()), int(own.argmin()))
@@ -175,7 +179,7 @@ def hit_kernel(blocks: list, window: int, gram: int):
 def item_blocks(items: DataFrame, item_id: str, text: str, window: int, gram: int, block_windows: int) -> list:
     """Broadcast indexes of the items, each over at most block_windows windows (one item at least)."""
     spark = items.sparkSession
-    counted = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).where("item is not null")
+    counted = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     total = counted.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0  # windows are fewer than words, words than half the letters
     parts = max(1, int(2 * total / block_windows) + 1)
     out = []
@@ -197,7 +201,11 @@ def is_contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def clean_documents(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """The documents of which less than a twentieth of the words are hit, with all their columns."""
+def clean_documents(docs: DataFrame, bench: DataFrame, text: str = "text", unnamed: bool = False) -> DataFrame:
+    """The documents of which less than a twentieth of the words are hit, with all their columns.
+
+    unnamed: whether items without an id count too, as in contamination.
+    """
     own, name, restore = aside(docs)
-    return restore(contamination(own, bench, text=name[text]).where(~is_contaminated()))
+    items = bench if unnamed else bench.where("item_id is not null")
+    return restore(contamination(own, items, text=name[text]).where(~is_contaminated()))
