@@ -1,6 +1,9 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses, in DataFrame functions only.
 
-Values are found by one pattern and validated: payment cards (13 to 19 digits, Luhn), phone numbers
+Payment cards are told first, by the Luhn check over every run of 13 to 19 digits that starts and ends
+with a group of digits, so that expiry dates, security codes and other numbers beside a card don't hide
+it; common groupings go before others, and a run in which a date, a social security or a phone number
+stands is no card. All other values are found by one pattern and validated: payment cards (13 to 19 digits, Luhn), phone numbers
 (ten digits, the area code in
 brackets or set apart), social security numbers, IPv4 addresses, dates from 1900 to
 2099 and mail addresses. A valid value is put through a keyed Feistel network over its own format,
@@ -12,6 +15,9 @@ the other, modulo its size, which is a permutation whatever the hash. Mail addre
 domain; letters and digits of the name before it are shifted within their class by hashes of the
 other half of the name.
 
+Dates with strokes are read day first, or month first where there's no such day; they keep their order.
+As a stand-in may be readable both ways, stand-ins of the two orders can look alike.
+
 Values that aren't valid stay. A null text stays null, an empty one empty; repeated rows are treated
 alike; an empty table gives none.
 """
@@ -33,9 +39,14 @@ ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 DAY_DATE = r"(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)"
-CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)"
+#: Digits that may be a card: a gate before the closer look, and the common groupings.
+DIGITS = r"\d(?:[ -]?\d){12}"
+GROUPED = [r"\d{13,19}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{3}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}", r"\d{4}([ -])\d{6}\2\d{4,5}"]
+#: Marks around cards that were told, while other values are looked for.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+CARD = rf"{OPEN}\d(?:[ -]?\d){{12,18}}{CLOSE}"
 #: Kinds in the order in which they're tried at a place.
-KINDS = {"mail": MAIL, "address": ADDRESS, "iso_date": ISO_DATE, "day_date": DAY_DATE, "social": SOCIAL, "card": CARD, "phone": PHONE}
+KINDS = {"card": CARD, "mail": MAIL, "address": ADDRESS, "iso_date": ISO_DATE, "day_date": DAY_DATE, "social": SOCIAL, "phone": PHONE}
 ANY = "|".join(KINDS.values())
 
 
@@ -91,6 +102,18 @@ def _card(key: str, value: Column) -> Column:
     return _dressed(value, let(_digits(value), permuted))
 
 
+def with_cards_marked(text: Column) -> Column:
+    """The text with OPEN and CLOSE around its valid cards."""
+    luhn = lambda v: F.call_function("luhn_check", _digits(v))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    grouped = [found(rf"(?<![\d-])(?=({p})(?!\d))") for p in GROUPED]
+    others = [found(rf"(?<![\d-])(?<!\d[/.])(?=(\d(?:[ -]?\d){{{n - 1}}})(?!\d|[/.]\d))") for n in range(19, 12, -1)]
+    inside = "|".join((ISO_DATE, SOCIAL, PHONE))
+    valid = F.concat(F.filter(F.concat(*grouped), luhn), F.filter(F.concat(*others), lambda v: luhn(v) & ~v.rlike(inside)))
+    marked = lambda cards: F.when(F.size(cards) == 0, text).otherwise(F.regexp_replace(text, F.concat(F.lit(r"(?<![\d-])(?:"), F.array_join(cards, "|"), F.lit(r")(?!\d)")), F.lit(f"{OPEN}$0{CLOSE}")))
+    return F.when(text.rlike(DIGITS), let(F.array_distinct(valid), marked)).otherwise(text)
+
+
 def _phone(key: str, value: Column) -> Column:
     def permuted(digits: Column) -> Column:
         part = lambda at, n: F.substring(digits, F.length(digits) - 10 + at, F.lit(n)).cast("bigint")
@@ -117,12 +140,29 @@ def _address(key: str, value: Column) -> Column:
     return let(pair, lambda p: F.concat_ws(".", byte(p["x"], True), byte(p["x"], False), byte(p["y"], True), byte(p["y"], False)))
 
 
-def _date(key: str, value: Column, pattern: str) -> Column:
-    """Both formats share one permutation of days, so a date stays linked however it's written."""
+def _parsed(value: Column, pattern: str) -> Column:
+    """The date, or null if there's none from 1900 to 2099."""
+    day = F.try_to_timestamp(value, F.lit(pattern)).cast("date")
+    return F.when(day.between("1900-01-01", "2099-12-31"), day)
+
+
+def _date(key: str, value: Column, day: Column, shown) -> Column:
+    """All formats share one permutation of days, so a date stays linked however it's written."""
     a, b = DAYS
-    day = F.datediff(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), F.lit("1900-01-01").cast("date"))
-    pair = feistel(key, "date", F.floor(day / b), day % b, F.lit(a), F.lit(b))
-    return F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), let(pair, lambda p: (p["x"] * b + p["y"]).cast("int"))), pattern)
+    n = F.datediff(day, F.lit("1900-01-01").cast("date"))
+    pair = feistel(key, "date", F.floor(n / b), n % b, F.lit(a), F.lit(b))
+    return let(F.date_add(F.lit("1900-01-01").cast("date"), let(pair, lambda p: (p["x"] * b + p["y"]).cast("int"))), shown)
+
+
+def _day_date(key: str, value: Column) -> Column:
+    """d/M/yyyy or, where that's no date, M/d/yyyy; padded if both numbers are."""
+    first, two = _parsed(value, "d/M/yyyy"), value.rlike(r"^\d\d/\d\d/")
+
+    def shown(d: Column) -> Column:
+        by = lambda padded, plain: F.when(two, F.date_format(d, padded)).otherwise(F.date_format(d, plain))
+        return F.when(first.isNotNull(), by("dd/MM/yyyy", "d/M/yyyy")).otherwise(by("MM/dd/yyyy", "M/d/yyyy"))
+
+    return _date(key, value, F.coalesce(first, _parsed(value, "M/d/yyyy")), shown)
 
 
 def _mail(key: str, value: Column) -> Column:
@@ -151,7 +191,7 @@ def _mail(key: str, value: Column) -> Column:
 def kind_of(value: Column) -> Column:
     """The kind of a found value, or null if it isn't valid."""
     whole = lambda kind: value.rlike(f"^(?:{KINDS[kind]})$")
-    day = lambda pattern: F.try_to_timestamp(value, F.lit(pattern)).cast("date").between("1900-01-01", "2099-12-31")
+    day = lambda pattern: _parsed(value, pattern).isNotNull()
     part = lambda k: F.element_at(F.split(value, "-"), k).cast("int")
     social = ~part(1).isin(0, 666) & (part(1) < 900) & (part(2) > 0) & (part(3) > 0)
     octets = F.forall(F.split(value, r"\."), lambda o: (o.cast("int") < 256) & o.rlike("^(0|[1-9][0-9]*)$"))
@@ -159,7 +199,7 @@ def kind_of(value: Column) -> Column:
         F.when(whole("mail"), F.lit("mail"))
         .when(whole("address"), F.when(octets, F.lit("address")))
         .when(whole("iso_date"), F.when(day("yyyy-MM-dd"), F.lit("iso_date")))
-        .when(whole("day_date"), F.when(value.rlike(r"^\d\d/\d\d/") & day("dd/MM/yyyy"), F.lit("day_date")))
+        .when(whole("day_date"), F.when(day("d/M/yyyy") | day("M/d/yyyy"), F.lit("day_date")))
         .when(whole("social"), F.when(social, F.lit("social")))
         .when(whole("card") & F.call_function("luhn_check", _digits(value)), F.lit("card"))
         .when(whole("phone"), F.lit("phone"))
@@ -171,10 +211,10 @@ def pseudonym(key: str, value: Column, kind: Column) -> Column:
     return (
         F.when(kind == "mail", _mail(key, value))
         .when(kind == "address", _address(key, value))
-        .when(kind == "iso_date", _date(key, value, "yyyy-MM-dd"))
-        .when(kind == "day_date", _date(key, value, "dd/MM/yyyy"))
+        .when(kind == "iso_date", _date(key, value, _parsed(value, "yyyy-MM-dd"), lambda d: F.date_format(d, "yyyy-MM-dd")))
+        .when(kind == "day_date", _day_date(key, value))
         .when(kind == "social", _social(key, value))
-        .when(kind == "card", _card(key, value))
+        .when(kind == "card", _card(key, F.translate(value, OPEN + CLOSE, "")))
         .when(kind == "phone", _phone(key, value))
         .otherwise(value)
     )
@@ -186,12 +226,15 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", name: str = "cl
     The two computed columns take the places of columns of their names.
     """
     own = F.col(f"`{text}`")
-    told = F.transform(F.regexp_extract_all(own, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
-    stands = lambda found: F.transform(found, lambda m: pseudonym(key, m["value"], m["kind"]))
-    joined = let(told, lambda found: F.struct(
-        F.array_join(F.zip_with(F.split(own, ANY, -1), F.concat(stands(found), F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "").alias("text"),
-        F.filter(F.transform(found, lambda m: m["kind"]), lambda k: k.isNotNull()).alias("kinds"),
-    ))
-    held = docs.withColumn("__held", F.when(own.rlike(ANY), joined))
+
+    def joined(marked: Column) -> Column:
+        told = F.transform(F.regexp_extract_all(marked, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
+        stands = lambda found: F.transform(found, lambda m: pseudonym(key, m["value"], m["kind"]))
+        return let(told, lambda found: F.struct(
+            F.array_join(F.zip_with(F.split(marked, ANY, -1), F.concat(stands(found), F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "").alias("text"),
+            F.filter(F.transform(found, lambda m: m["kind"]), lambda k: k.isNotNull()).alias("kinds"),
+        ))
+
+    held = docs.withColumn("__held", F.when(own.rlike(f"{DIGITS}|{ANY}"), let(with_cards_marked(own), joined)))
     none = F.array().cast("array<string>")
     return held.withColumn(name, F.coalesce("__held.text", own)).withColumn(kinds, F.coalesce("__held.kinds", none)).drop("__held")
