@@ -1,9 +1,11 @@
 """Language identification by word-first backoff.
 
 Training counts every word of every labelled document (nothing is sampled): words by language, and
-the 1- to 4-letter runs of these words, marked at their ends. The model keeps the most frequent
-words and runs up to a documented size, as log frequencies by language. A known word scores by
-itself; an unseen one by its longest known runs, with shorter runs where longer ones are unknown.
+the 1- to 4-letter runs of these words, marked at their ends. The model keeps all of them, words by
+64-bit hash, as log frequencies by language. A known word scores by itself; an unseen one by its
+longest known runs, with shorter runs where longer ones are unknown. Frequencies are mixed with a
+share (``FLOOR``) of the frequency over all languages, so that what a language hasn't seen scores
+alike for all languages, however few words one was trained on.
 Languages are compared by the sum over all words of a text; the score is the winner's share.
 
 A null text, and one without a letter, is ``und`` with score 0; so is any text if nothing could be
@@ -20,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +31,8 @@ from .common import BATCH_ROWS, aside, cut, map_texts, slices
 
 UNKNOWN = "und"
 LONGEST_RUN = 4
-#: Size of the model: (language, word) pairs and (language, run) pairs that are kept.
-MODEL_WORDS, MODEL_RUNS = 200_000, 100_000
+#: Share of the joint frequency in each language's own.
+FLOOR = 0.01
 #: Words whose scores a worker remembers.
 MEMORY = 500_000
 #: Letters (and digits of other scripts, which are dropped word by word).
@@ -64,50 +67,42 @@ def run_counts(words: DataFrame) -> DataFrame:
     return each.groupBy("lang", "size", F.col("marked").substr(F.col("at"), F.col("size")).alias("run")).agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", model_words: int = MODEL_WORDS, model_runs: int = MODEL_RUNS) -> dict:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """The model: languages (by training words, then name), and log frequencies of words and runs."""
     words = cut(word_counts(docs, text, lang))
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals, key=lambda x: (-totals[x], x))
-    index = {x: i for i, x in enumerate(langs)}
+    if not langs:
+        return {"langs": [], "words": (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)), "runs": ("", np.zeros((0, 0), np.float32))}
     runs = cut(run_counts(words))
     run_totals = {(r.size, r.lang): r.n for r in runs.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
-
-    def table(df: DataFrame, name: str, size: int, total) -> tuple[str, np.ndarray]:
-        """The kept words or runs, one a line, and their log frequencies by language."""
-        rows = frequent(df.select("lang", name, "n"), size).to_pandas()
-        own = sorted(set(rows[name]))
-        n = np.zeros((len(own), len(langs)))
-        n[np.searchsorted(np.array(own, object), rows[name].to_numpy(object)), rows["lang"].map(index).to_numpy(int)] = rows["n"]
-        totals_of = np.array([total(x) for x in own]).reshape(n.shape)
-        return "\n".join(own), np.log((n + 0.5) / (totals_of + 1)).astype(np.float32)
-
-    all_words = np.array([totals[x] for x in langs], float)
-    by_size = [np.array([run_totals.get((size, x), 0) for x in langs], float) for size in range(LONGEST_RUN + 1)]
-    return {"langs": langs, "words": table(words, "word", model_words, lambda _: all_words), "runs": table(runs, "run", model_runs, lambda x: by_size[len(x)])}
-
-
-def frequent(counted: DataFrame, size: int) -> pa.Table:
-    """The most frequent rows, at most size: a histogram of n (eight steps an octave) tells from where on.
-
-    Only the histogram and the rows that are kept come to the driver.
-    """
-    step = F.floor(F.log2("n") * 8).cast("int")
-    held, least = 0, None
-    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
-        held += r.rows
-        if held > size:
-            break
-        least = r.step
-    return counted.where(step >= least if least is not None else F.lit(False)).toArrow()
+    index = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int").alias("lang")
+
+    def logs(place: np.ndarray, rows: pa.Table, totals_of: np.ndarray) -> np.ndarray:
+        """Log frequencies by language: counts at places, mixed with those of all languages together."""
+        n = np.zeros((int(place.max()) + 1, len(langs)))
+        n[place, rows["lang"].to_numpy()] = rows["n"].to_numpy()
+        joint = n.sum(1, keepdims=True) / totals_of.sum(-1, keepdims=True)
+        return np.log((1 - FLOOR) * n / np.maximum(totals_of, 1) + FLOOR * joint).astype(np.float32)
+
+    rows = words.select(F.xxhash64("word").alias("hash"), index, "n").groupBy("hash", "lang").agg(F.sum("n").alias("n")).toArrow()
+    hashes, place = np.unique(rows["hash"].to_numpy().view(np.uint64), return_inverse=True)
+    by_word = logs(place, rows, np.array([[totals[x] for x in langs]], float))
+    rows = runs.select("run", index, "n").toArrow()
+    own = rows["run"].combine_chunks().dictionary_encode()
+    names = own.dictionary.to_pylist()
+    by_size = np.array([[run_totals.get((size, x), 0) for x in langs] for size in range(LONGEST_RUN + 1)], float)
+    by_run = logs(own.indices.to_numpy(), rows, by_size[[len(x) for x in names]])
+    return {"langs": langs, "words": (hashes, by_word), "runs": ("\n".join(names), by_run)}
 
 
 class Scorer:
     """A worker's model and the scores of the words it has met."""
 
     def __init__(self, model: dict):
-        self.langs = model["langs"]
-        self.words, self.runs = ({} if not names else dict(zip(names.split("\n"), values)) for names, values in (model["words"], model["runs"]))
+        self.langs, (self.hashes, self.by_word) = model["langs"], model["words"]
+        names, self.by_run = model["runs"]
+        self.runs = {name: i for i, name in enumerate(names.split("\n"))} if names else {}
         self._forget()
 
     def _forget(self) -> None:
@@ -115,34 +110,38 @@ class Scorer:
         self.scores = np.zeros((1024, max(1, len(self.langs))), np.float32)
         self.letters = np.zeros(1024, bool)
 
-    def score(self, word: str) -> np.ndarray:
-        """Log frequencies of a word by language."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        marked, runs, total, n, at = f"<{word[:64]}>", self.runs, np.zeros(len(self.langs), np.float32), 0, 0
-        while at < len(marked):  # the longest known run from each place, falling back to shorter ones
+    def score(self, word: str) -> np.ndarray | float:
+        """Log frequencies of an unseen word by language."""
+        marked, get, found = f"<{word[:64]}>", self.runs.get, []
+        for at in range(len(marked)):  # the longest known run from each place, falling back to shorter ones
             for size in range(min(LONGEST_RUN, len(marked) - at), 0, -1):
-                if (known := runs.get(marked[at : at + size])) is not None:
-                    total, n = total + known, n + 1
+                if (known := get(marked[at : at + size])) is not None:
+                    found.append(known)
                     break
-            at += 1
-        return total / n if n else total
+        return self.by_run[found].mean(0) if found else 0.0
 
-    def place(self, word: str) -> int:
-        k = self.places[word] = len(self.places)
-        if k == len(self.scores):
+    def learn(self, missing: list[str]) -> None:
+        """Places and scores of words that weren't met before."""
+        start = len(self.places)
+        while start + len(missing) > len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
-        self.letters[k] = any(c.isalpha() for c in word)
-        if self.letters[k] and self.langs:
-            self.scores[k] = self.score(word)
-        return k
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in missing), np.uint64, len(missing))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(missing), bool)
+        for k, word in enumerate(missing, start):
+            self.places[word] = k
+            self.letters[k] = any(c.isalpha() for c in word)
+            if self.letters[k] and self.langs:
+                self.scores[k] = self.by_word[at[k - start]] if known[k - start] else self.score(word)
 
     def __call__(self, text: str) -> tuple[str, float]:
         if len(self.places) > MEMORY:
             self._forget()
-        get, place = self.places.get, self.place
-        at = np.array([k if (k := get(w)) is not None else place(w) for w in _WORDS(text.lower())], np.int64)
+        found = _WORDS(text.lower())
+        if missing := [w for w in dict.fromkeys(found) if w not in self.places]:
+            self.learn(missing)
+        at = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
         if not self.langs or not self.letters[at].any():
             return UNKNOWN, 0.0
         total = self.scores[at].sum(0, dtype=np.float64)
