@@ -33,7 +33,7 @@ UNKNOWN = "und"
 LONGEST_RUN = 4
 #: Share of the joint frequency in each language's own.
 FLOOR = 0.01
-#: Words whose scores a worker remembers.
+#: Words whose scores a worker remembers, of 16 letters on average.
 MEMORY = 500_000
 #: Letters (and digits of other scripts, which are dropped word by word).
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -61,8 +61,10 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 def run_counts(words: DataFrame) -> DataFrame:
     """lang, size, run, n: the runs of letters of counted words, whose ends are marked < and >."""
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
-    at = F.explode(F.sequence(F.lit(1), F.length(marked))).alias("at")
-    placed = words.where(F.length("word") <= 64).select("lang", "n", marked.alias("marked"), at)
+    # pieces of 64 letters and the few after them, so that a long word isn't copied once for each letter
+    pieces = F.regexp_extract_all(marked, F.lit(f"(?s)(?=(.{{1,{63 + LONGEST_RUN}}})).{{1,64}}"), F.lit(1))
+    at = F.explode(F.sequence(F.lit(1), F.least(F.lit(64), F.length("marked")))).alias("at")
+    placed = words.select("lang", "n", F.explode(pieces).alias("marked")).select("lang", "n", "marked", at)
     each = placed.select("lang", "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_RUN), F.length("marked") - F.col("at") + 1))).alias("size"), "marked", "at")
     return each.groupBy("lang", "size", F.col("marked").substr(F.col("at"), F.col("size")).alias("run")).agg(F.sum("n").alias("n"))
 
@@ -107,12 +109,13 @@ class Scorer:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
+        self.held = 0
         self.scores = np.zeros((1024, max(1, len(self.langs))), np.float32)
         self.letters = np.zeros(1024, bool)
 
     def score(self, word: str) -> np.ndarray | float:
         """Log frequencies of an unseen word by language."""
-        marked, get, found = f"<{word[:64]}>", self.runs.get, []
+        marked, get, found = f"<{word}>", self.runs.get, []
         for at in range(len(marked)):  # the longest known run from each place, falling back to shorter ones
             for size in range(min(LONGEST_RUN, len(marked) - at), 0, -1):
                 if (known := get(marked[at : at + size])) is not None:
@@ -123,6 +126,7 @@ class Scorer:
     def learn(self, missing: list[str]) -> None:
         """Places and scores of words that weren't met before."""
         start = len(self.places)
+        self.held += sum(map(len, missing))
         while start + len(missing) > len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
@@ -136,7 +140,7 @@ class Scorer:
                 self.scores[k] = self.by_word[at[k - start]] if known[k - start] else self.score(word)
 
     def __call__(self, text: str) -> tuple[str, float]:
-        if len(self.places) > MEMORY:
+        if len(self.places) > MEMORY or self.held > 16 * MEMORY:
             self._forget()
         found = _WORDS(text.lower())
         if missing := [w for w in dict.fromkeys(found) if w not in self.places]:

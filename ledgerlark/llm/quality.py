@@ -29,7 +29,7 @@ from .language import Packed
 SAMPLE = 5_000
 BUCKETS, WIDTH = 1 << 16, 8
 PASSES, RATE, BATCH = 3, 0.5, 32
-#: Words that a worker remembers.
+#: Words that a worker remembers, of 16 characters on average.
 MEMORY = 800_000
 REPEAT = "\x01repeat"
 
@@ -45,10 +45,13 @@ _SHAPE = np.array([65 if 65 <= c < 91 else 97 if 97 <= c < 123 else 48 if 48 <=
 
 
 def features(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of words, all computed side by side: buckets, and the place of each one's word."""
-    marked = [f"<{w[:64]}>" for w in found]
+    """Hashed features of whole words, all computed side by side: buckets, and the place of each one's word."""
+    global _POWERS
+    marked = [f"<{w}>" for w in found]
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
+    if len(_POWERS) < (most := int(size.max(initial=0))):
+        _POWERS = np.cumprod(np.full(2 * most, _POWERS[0], np.uint64), dtype=np.uint64)
     start = np.cumsum(size) - size
     word = np.repeat(np.arange(len(marked)), size)
     place = np.arange(len(points)) - start[word]
@@ -161,15 +164,18 @@ class Scorer:
         self.slope = (model["vectors"] @ (model["out"][:, 1] - model["out"][:, 0])).astype(np.float64)
         self.bias = float(model["bias"][1] - model["bias"][0])
         self.memory: dict[str, float] = {}
+        self.held = 0
 
     def learn(self, missing: set[str]) -> None:
         own = list(missing)
+        self.held += sum(map(len, own))
         buckets, word = features(own)
         self.memory.update(zip(own, (np.bincount(word, self.slope[buckets]) / np.bincount(word)).tolist()))
 
     def __call__(self, texts: list[str]) -> list[float]:
-        if len(self.memory) > MEMORY:
+        if len(self.memory) > MEMORY or self.held > 16 * MEMORY:
             self.memory.clear()
+            self.held = 0
         memory, found = self.memory, [words(t) for t in texts]
         if missing := {w for own in found for w in own if w not in memory}:
             self.learn(missing)
