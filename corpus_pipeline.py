@@ -15,7 +15,7 @@ from ledgerlark.llm.queries import piece_model
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, or none with a letter) go."""
+    """Documents without a text or without a letter go; all others stay, also if no row has a language to learn from."""
     model = language.train(docs.where(fold("doc_id", 4) != 2))
     return language.told(docs, model)
 

@@ -139,18 +139,20 @@ class Scorer:
             if self.letters[k] and self.langs:
                 self.scores[k] = self.by_word[at[k - start]] if known[k - start] else self.score(word)
 
-    def __call__(self, text: str) -> tuple[str, float]:
+    def __call__(self, text: str) -> tuple[str, float, bool]:
+        """The language, its score, and whether the text has a letter at all."""
         if len(self.places) > MEMORY or self.held > 16 * MEMORY:
             self._forget()
         found = _WORDS(text.lower())
         if missing := [w for w in dict.fromkeys(found) if w not in self.places]:
             self.learn(missing)
         at = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
-        if not self.langs or not self.letters[at].any():
-            return UNKNOWN, 0.0
+        letters = bool(self.letters[at].any())
+        if not self.langs or not letters:
+            return UNKNOWN, 0.0, letters
         total = self.scores[at].sum(0, dtype=np.float64)
         best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), letters
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -176,7 +178,7 @@ def predict_kernel(model):
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
         found = [scorer(t) for t in texts.to_pylist()]
-        return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+        return [pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64())]
 
     return kernel
 
@@ -187,7 +189,13 @@ def predicted(docs: DataFrame, model: dict, keep: list[str] | None = None, text:
     return map_texts(docs, text, keep if keep is not None else docs.columns, fields, predict_kernel, Packed(docs.sparkSession, model))
 
 
+def letters_kernel(model):
+    scorer = scorer_of(model)
+    return lambda texts: [pa.array([scorer(t)[2] for t in texts.to_pylist()], pa.bool_())]
+
+
 def told(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """The documents whose language can be told, with all their columns."""
+    """The documents that have a letter, with all their columns; also where no language could be learned."""
     own, name, restore = aside(docs)
-    return restore(predicted(own, model, text=name[text]).where(F.col("lang_pred") != UNKNOWN))
+    flag = T.StructField("letters", T.BooleanType())
+    return restore(map_texts(own, name[text], own.columns, [flag], letters_kernel, Packed(docs.sparkSession, model)).where("letters"))
