@@ -6,6 +6,8 @@ through or are ignored, and a text is always processed whole, however long it is
 
 from __future__ import annotations
 
+import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,8 +21,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text handed to a kernel at once; one longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
-#: Rows of an Arrow batch: whole texts can be long, so batches stay short.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch: whole texts can be long, so batches stay short.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,14 +35,40 @@ def fold(column: str, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. On one machine a folder of our own will do where none is set; on a cluster it wouldn't."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session small in rows and bytes; smaller settings of its own stay.
+
+    The size is read when a plan runs, so it can't be set for one plan alone.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
+_KEPT: dict = {}
+
+
+def kept_in_worker(key, make: Callable):
+    """What a Python worker keeps from task to task: the state of one operator, of one model. Another key takes its place."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: short lineage that outlives executors."""
     spark = df.sparkSession
@@ -60,6 +88,16 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return own, at - at[0]
 
 
+def starts_of(size: np.ndarray) -> np.ndarray:
+    """Where parts of these sizes start, laid one after the other."""
+    return np.cumsum(size) - size
+
+
+def inside(size: np.ndarray) -> np.ndarray:
+    """For parts of these sizes, laid one after the other, the place of each element in its part."""
+    return np.arange(int(size.sum())) - np.repeat(starts_of(size), size)
+
+
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about SLICE_BYTES of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -73,6 +111,13 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+class Packed:
+    """A model on its way to the executors; its id tells workers whether they have it."""
+
+    def __init__(self, spark: SparkSession, model):
+        self.id, self.packed = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(model))
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], make: Callable, *args) -> DataFrame:
     """Append columns computed from a text column, slice by slice, without a shuffle.
 
@@ -80,8 +125,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
     string array to one Arrow array for each of fields. Broadcasts may be among args.
     """
     spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    short_batches(spark)
     computed = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in computed]
     source = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].cast("string").alias("__text"))

@@ -258,12 +258,43 @@ def test_pieces_equal_the_library(documents):
     texts = ["", " ", "a", "  a  b ", "a\nb\t\x00c", "▁a▁ b", "<s>hi</s><unk><0x41>", "héß日本🎉", "=" * 3000, "ab" * 2000, " " * 999]
     texts += ["".join(draw.choice("ab ▁\n\tthe in g日é🎉=<>0x1Aing tion") for _ in range(draw.randrange(80))) for _ in range(1000)]
     texts += documents.text.fillna("").tolist() if documents is not None else []
-    for text, ids in zip(texts, own.encode(texts)):
-        want = library.encode(text, add_bos=True, add_eos=True)
-        assert np.frombuffer(ids, "<u4").tolist() == want and own.decode(np.array(want)).decode() == library.decode(want)
-    for _ in range(1000):
-        ids = [draw.choice([draw.randrange(32000), draw.randrange(259), 1, 2, 28705, 259]) for _ in range(draw.randrange(9))]
-        assert own.decode(np.array(ids, np.int64)).decode() == library.decode(ids)
+    parted = lambda flat, size: [x.tobytes() for x in np.split(flat, np.cumsum(size)[:-1])]
+    ids, size = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in parted(ids, size)] == [library.encode(t, add_bos=True, add_eos=True) for t in texts]
+    assert [x.decode() for x in parted(*own.decode(ids, size))] == [library.decode(library.encode(t)) for t in texts]
+    lists = [[draw.choice([draw.randrange(32000), draw.randrange(259), 1, 2, 28705, 259]) for _ in range(draw.randrange(9))] for _ in range(2000)]
+    for some in (lists, *([x] for x in lists[:200])):
+        flat, size = np.array([i for x in some for i in x], np.int64), np.array([len(x) for x in some])
+        assert [x.decode() for x in parted(*own.decode(flat, size))] == [library.decode(x) for x in some]
+
+
+def test_pieces_of_long_words(monkeypatch):
+    """Texts of many blocks, words longer than a block, and words that can't be cut."""
+    import base64
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    own = pieces.Encoder(pieces.Vocabulary.load(queries.piece_model()))
+    draw = np.random.default_rng(3)
+    texts = [base64.b64encode(draw.bytes(9000)).decode(), "e" * 5000 + "日" * 300, "the thing " * 500, "", "aaab" * 700 + "=" * 700]
+    for block in (16, 1000):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        ids, size = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [library.encode(t, add_bos=True, add_eos=True) for t in texts]
+
+
+@needs_data
+def test_pieces_query_equals_the_library(spark, documents):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    want = set()
+    for r in documents.itertuples():
+        ids = library.encode(r.text or "", add_bos=True, add_eos=True)
+        want.add((r.doc_id, len(ids), digest(struct.pack(f"<{len(ids)}I", *ids)), digest(library.decode(ids).encode())))
+    assert {tuple(r) for r in queries.op6_pieces(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()} == want
 
 
 def test_piece_round_trip(spark, edges, nothing):
