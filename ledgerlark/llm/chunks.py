@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, buffer_of, cut, map_texts
+from .common import aside, buffer_of, cut, map_texts, without
 
 #: Smallest, mean (a power of two) and largest chunk in bytes.
 SIZES = (256, 2048, 16384)
@@ -122,19 +122,29 @@ def recipes(docs: DataFrame, doc_id: str, text: str, sizes: tuple[int, int, int]
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, int, int] = SIZES, hash_bits: int = 64) -> DataFrame:
     """One row for each document: its id, keep_id, group_size, kept, text_sha256."""
     own = cut(recipes(docs, doc_id, text, sizes, hash_bits))
-    groups = own.groupBy("recipe").agg(F.max(doc_id).alias("keep_id"), F.count("*").alias("group_size"))
+    # Groups are written before they're joined: a join right above its aggregation can't be split where one recipe has many rows.
+    groups = cut(own.groupBy("recipe").agg(F.max(doc_id).alias("keep_id"), F.count("*").alias("group_size")))
     joined = own.join(groups, "recipe")
     return joined.select(doc_id, "keep_id", "group_size", (F.col(doc_id).eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
 
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, one of each group of equal texts, with all their columns."""
+    """The documents that stay, one of each group of equal texts, with all their columns.
+
+    What goes is told by ids and digests alone (``without``); only rows repeated with one id and text, of which one
+    stays, are brought together.
+    """
     own, name, restore = aside(docs)
     at, text = name[doc_id], name[text]
-    stay = exact_duplicates(own, at, text).where("kept").select("keep_id", F.col("text_sha256").alias("kept_key")).distinct()
-    keyed = own.withColumn("text_key", F.sha2(F.coalesce(lowered(text), F.lit("")), 256))
-    kept = keyed.join(stay, F.col(at).eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
-    return restore(kept.dropDuplicates([at, "text_key"]))
+    found = cut(exact_duplicates(own, at, text).groupBy(at, "text_sha256", "kept").agg(F.count("*").alias("n")))
+    key = F.concat_ws(":", F.coalesce(F.col(at).cast("string"), F.lit("")), F.sha2(F.coalesce(lowered(text), F.lit("")), 256))
+    keyed = own.withColumn("key", key)
+    by_key = lambda df: df.select(F.concat_ws(":", F.coalesce(F.col(at).cast("string"), F.lit("")), "text_sha256").alias("key"))
+    repeated = cut(by_key(found.where("kept and n > 1")))
+    if repeated.isEmpty():
+        return restore(without(keyed, by_key(found.where("not kept")), ["key"]))
+    once = keyed.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return restore(without(keyed, by_key(found.where("not kept or n > 1")), ["key"]).unionByName(once))
 
 
 def lowered(text: str) -> Column:

@@ -11,6 +11,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,14 +70,48 @@ def kept_in_worker(key, make: Callable):
     return _KEPT[key]
 
 
+#: Folders that cut() wrote in this session and that scratch() hasn't removed.
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: short lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _CUTS.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a table whose writing came to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """At its end the folders go that cut() wrote inside; what is still needed must have been written elsewhere by then."""
+    held = len(_CUTS)
+    yield
+    for path in _CUTS[held:]:
+        removed(spark, path)
+    del _CUTS[held:]
+
+
+def without(docs: DataFrame, gone: DataFrame, by: list[str], most: int = 200_000) -> DataFrame:
+    """docs but for the rows whose keys are in gone (null keys are never): gone is written and counted, and broadcast
+    only if it has at most so many rows; beyond that both sides are shuffled by their keys."""
+    gone = cut(gone.select(*by).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, by, "left_anti")
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a null-free string array as one vector, and the offsets of its texts in it."""
     if len(texts) == 0:

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
-from .language import Packed
+from .common import Packed, kept_in_worker, map_texts
 
 #: Labelled documents that a model is fitted on.
 SAMPLE = 5_000
@@ -183,14 +182,8 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def score_kernel(model):
-    if model.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.id] = Scorer(pickle.loads(model.packed.value))
-    scorer = _SCORERS[model.id]
+    scorer = kept_in_worker(("quality", model.id), lambda: Scorer(pickle.loads(model.packed.value)))
     return lambda texts: [pa.array(scorer(texts.to_pylist()), pa.float64())]
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, buffer_of, cut, map_texts
+from .common import aside, buffer_of, cut, map_texts, without
 from .graph import components
 
 BITS = 64
@@ -185,16 +185,17 @@ def link_fingerprints(fps: DataFrame, distance: int = 3, cell_limit: int = 2048)
     return links.unionByName(chained).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, words: int = 3, seed: int = 42, cell_limit: int = 2048) -> DataFrame:
-    """One row for each document: its id, fp (bigint), component_id (the smallest id reachable over
-    links) and component (the smallest fingerprint reachable, which names the component itself)."""
-    own = cut(fingerprints(docs, text, [doc_id], "fp", words, seed))
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, words: int = 3, seed: int = 42, cell_limit: int = 2048, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: its id, the columns named in also, fp (bigint), component_id (the smallest id reachable
+    over links) and component (the smallest fingerprint reachable, which names the component itself)."""
+    own = cut(fingerprints(docs, text, [doc_id, *also], "fp", words, seed))
     least = cut(own.groupBy("fp").agg(F.min(doc_id).alias("least")))
     of = components(link_fingerprints(least, distance, cell_limit))
     joined = least.join(of, least["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    class_of = joined.select("fp", "component").join(ids, "component").select("fp", "component_id", "component")
-    return own.join(class_of, "fp").select(doc_id, "fp", "component_id", "component")
+    # written, so that the join is one of two plain shuffles, which can be split where one fingerprint has many rows
+    class_of = cut(joined.select("fp", "component").join(ids, "component").select("fp", "component_id", "component"))
+    return own.join(class_of, "fp").select(doc_id, *also, "fp", "component_id", "component")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
@@ -205,8 +206,18 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own, name, restore = aside(docs)
     at, text = name[doc_id], name[text]
-    with_id = own.where(F.col(at).isNotNull())
-    classes = near_duplicates(with_id, at, text, distance)
-    stay = classes.groupBy("component").agg(F.min(F.struct(at, "fp")).alias("one")).select(F.col(f"one.{at}").alias("stay_id"), F.col("one.fp").alias("stay_fp"))
-    kept = fingerprints(with_id, text).join(stay, (F.col(at) == F.col("stay_id")) & (F.col("fp") == F.col("stay_fp")), "left_semi")
-    return restore(kept.dropDuplicates([at, "fp"]).drop("fp").unionByName(own.where(F.col(at).isNull())))
+    keyed = own.withColumn("key", F.concat_ws(":", F.col(at).cast("string"), F.xxhash64(text)))
+    classes = cut(near_duplicates(keyed.where(F.col(at).isNotNull()), at, text, distance, also=("key",)))
+    stay = classes.groupBy("component").agg(F.min(F.struct(at, "fp")).alias("one")).select("component", F.col("one.fp").alias("stay_fp"), F.col(f"one.{at}").alias("stay_id"))
+    is_one = (F.col(at) == F.col("stay_id")) & (F.col("fp") == F.col("stay_fp"))
+    found = cut(classes.join(cut(stay), "component").groupBy("key", is_one.alias("stays"), at, "fp").agg(F.count("*").alias("n")))
+    # rows of one id and fingerprint, with one text or several, of which one stays
+    several = found.where("stays").groupBy(at, "fp").agg(F.sum("n").alias("rows"), F.collect_set("key").alias("keys")).where("rows > 1")
+    repeated = cut(several.select(F.col("keys").getItem(0).alias("one_key"), F.explode("keys").alias("key")))
+    without_id = F.col(at).isNull()
+    gone = found.where("not stays").select("key")
+    if repeated.isEmpty():
+        return restore(without(keyed.where(~without_id), gone, ["key"]).unionByName(keyed.where(without_id)))
+    once = keyed.where(~without_id).join(repeated.where("key = one_key"), "key", "left_semi").dropDuplicates(["key"])
+    left = without(keyed.where(~without_id), gone.unionByName(repeated.select("key")), ["key"])
+    return restore(left.unionByName(once).unionByName(keyed.where(without_id)))

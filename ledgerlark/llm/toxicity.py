@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts
-from .language import Packed
+from .common import Packed, kept_in_worker, map_texts
 from .quality import fit_in_one_task, labelled_sample
 
 #: Labelled documents that a model is fitted on.
@@ -138,14 +137,8 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def score_kernel(model, least: float | None):
-    if model.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.id] = Scorer(pickle.loads(model.packed.value))
-    scorer = _SCORERS[model.id]
+    scorer = kept_in_worker(("toxicity", model.id), lambda: Scorer(pickle.loads(model.packed.value)))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
