@@ -7,15 +7,20 @@ documents and decide which rows stay; the last returns what a trainer reads.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import chunks, decontaminate, language, pieces, simhash
-from ledgerlark.llm.common import cut, fold, read
+from ledgerlark.llm.common import fold, is_written, read, scratch, shared_dir
 from ledgerlark.llm.queries import piece_model
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a text or without a letter go; all others stay, also if no row has a language to learn from."""
+    """Documents without a text or without a letter (``und``) go; others get the predicted language where they have none.
+
+    If no row has a language to learn from, all documents with a letter stay as they are.
+    """
     model = language.train(docs.where(fold("doc_id", 4) != 2))
     return language.told(docs, model)
 
@@ -37,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with their number and digests."""
-    return pieces.encoded(docs, piece_model(), ["doc_id", "lang", "source"])
+    return pieces.encoded(docs, piece_model(), [c for c in ("doc_id", "lang", "source") if c in docs.columns])
 
 
 STAGES = [
@@ -52,8 +57,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The rows of the last stage. A stage's own intermediate tables go when it has been written.
+
+    folder: where the stages' tables are kept, by number. A run that finds a stage's finished table there goes on
+    from it, so that a run whose driver was lost can be resumed; without a folder a new one is taken.
+    """
+    at = (folder or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}").rstrip("/")
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{at}/stage-{k}"
+        if not is_written(spark, path):
+            with scratch(spark):
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
