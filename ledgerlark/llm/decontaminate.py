@@ -6,9 +6,10 @@ k-word hashes, the smallest; as equal windows keep equal hashes, the kept finger
 and items meet wherever they share a whole window. Each meeting is extended to its window and
 compared word for word, so the result is exact.
 
-Items go to the executors in blocks of bounded size (``block_windows``), so that a benchmark of any
-size is worked through, block after block, over the same partitions of documents: no text is
-shuffled, and no document waits for another. Documents in several blocks are compared with each.
+The windows of items are counted first. Up to ``AT_HAND`` of them (with one row for each item that has
+one) are broadcast, and documents meet them without a shuffle. Of a larger benchmark nothing goes
+through the driver: kept fingerprints of documents and items are joined, then the hashes of the
+windows around those that meet, then the words of the documents concerned. Both give the same.
 
 Null and empty documents have no words and are clean; null and empty items have no window. Repeated
 rows are judged each on its own; items that repeat an id count once. Items without an id count in
@@ -18,21 +19,23 @@ n_hit like all others and are missing only from the list of items. Without items
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, buffer_of, map_texts
+from .common import Packed, aside, buffer_of, cut, kept_in_worker, map_texts, short_batches, slices
 
 WINDOW = 13
 #: Words of a fingerprint; shorter windows use what they have.
 GRAM = 5
-#: Windows that a block of items may hold; a window takes some 200 bytes on an executor.
-BLOCK_WINDOWS = 200_000
+#: Windows of items, counted for each item, that are broadcast at most; one takes some 300 bytes on an executor.
+AT_HAND = 100_000
 #: Bytes of text whose words are hashed at once.
 BLOCK = 1 << 20
 
@@ -100,101 +103,183 @@ def winnow(values: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_sliding(around, width, np.maximum) == values)
 
 
-def index_items(items: list[tuple[str | None, str]], window: int = WINDOW, gram: int = GRAM) -> dict:
-    """Windows of items by length: fingerprints, sorted, with their place in the window, its words, its items."""
-    owners: dict[tuple[int, bytes], set[str]] = defaultdict(set)
-    places: dict[tuple[int, bytes], tuple[int, int]] = {}
-    for item, text in items:
-        data, starts, ends, hashes = words_of(np.frombuffer(text.encode(), np.uint8))
-        if not len(starts):
-            continue
-        n = min(window, len(starts))
-        k = min(gram, n)
-        found, raw = grams(hashes, k), data.tobytes()
-        for s in range(len(starts) - n + 1):
-            key = (n, b"\0".join(raw[starts[i] : ends[i]] for i in range(s, s + n)))
-            if item is None:
-                owners[key]  # counts as a window, but has no name to list
-            else:
-                owners[key].add(item)
-            if key not in places:
-                own = found[s : s + n - k + 1]
-                places[key] = (int(own.min()), int(own.argmin()))
+@dataclass
+class _Texts:
+    """The words of some texts, one text after the other: where each starts in packed (words with a separator after
+    each), its text, its hash; and the number of each text's first word."""
+
+    packed: bytes
+    place: np.ndarray
+    doc: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+
+    def starts(self, places: np.ndarray, n: int, k: int) -> np.ndarray:
+        """The windows of n words, each inside one text, that hold one of the k-word grams at places."""
+        s = np.unique((places[:, None] - np.arange(n - k + 1)).ravel())
+        s = s[(s >= 0) & (s + n <= len(self.hashes))]
+        return s[self.doc[s] == self.doc[s + n - 1]]
+
+    def words(self, start: int, n: int) -> bytes:
+        return self.packed[self.place[start] : self.place[start + n] - 1]
+
+
+def read_words(texts: pa.Array) -> _Texts:
+    raw, at = buffer_of(texts)
+    n_docs = len(at) - 1
+    apart = np.zeros(len(raw) + n_docs, np.uint8)  # a separator after each text keeps words of neighbours apart
+    apart[np.arange(len(raw)) + np.repeat(np.arange(n_docs), np.diff(at))] = raw
+    data, starts, ends, hashes = words_of(apart)
+    kept = data != 0
+    kept[1:] |= data[:-1] != 0
+    doc = np.searchsorted(at[1:] + np.arange(1, n_docs + 1), starts, "right")
+    return _Texts(data[kept].tobytes(), np.append(0, np.cumsum(ends - starts + 1)), doc, hashes, np.searchsorted(doc, np.arange(n_docs + 1)))
+
+
+def _tally(t: _Texts, found: Iterable[tuple[int, int, list[str]]]) -> list[pa.Array]:
+    """Words, hit words and items of each text, from occurrences (first word, words, items)."""
+    hit = np.zeros(len(t.hashes) + 1, np.int64)
+    items: list[set[str]] = [set() for _ in range(len(t.first) - 1)]
+    for start, n, own in found:
+        hit[start] += 1
+        hit[start + n] -= 1
+        items[t.doc[start]].update(own)
+    covered = np.append(0, np.cumsum(np.cumsum(hit[:-1]) > 0))
+    return [pa.array(np.diff(t.first)), pa.array(covered[t.first[1:]] - covered[t.first[:-1]]), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+
+
+# Items
+
+
+def item_windows(items: DataFrame, item_id: str, text: str, window: int, gram: int) -> DataFrame:
+    """n, fp, win, words, item: every window of every item, with its number of words, smallest gram hash, own hash and words."""
+    schema = pa.schema([("n", pa.int32()), ("fp", pa.int64()), ("win", pa.int64()), ("words", pa.binary()), ("item", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                t = read_words(pc.fill_null(part.column(1), ""))
+                size = np.minimum(np.diff(t.first), window)
+                for n in np.unique(size[size > 0]).tolist():
+                    k = min(gram, n)
+                    s = np.arange(len(t.hashes) - n + 1)
+                    s = s[(t.doc[s] == t.doc[s + n - 1]) & (size[t.doc[s]] == n)]
+                    least = _sliding(grams(t.hashes, k), n - k + 1, np.minimum)[s]
+                    words = [t.words(i, n) for i in s.tolist()]
+                    item = part.column(0).take(pa.array(t.doc[s]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), n, np.int32)), pa.array(least.view(np.int64)), pa.array(grams(t.hashes, n)[s].view(np.int64)), pa.array(words, pa.binary()), item], schema=schema)
+
+    short_batches(items.sparkSession)
+    own = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
+    return own.mapInArrow(run, "n int, fp bigint, win bigint, words binary, item string")
+
+
+def index_windows(rows: pa.Table) -> dict:
+    """Windows by their number of words: all fingerprints, sorted; and hashes, sorted, with words and items."""
     index = {}
-    for n in {n for n, _ in owners}:
-        keys = sorted((key for key in owners if key[0] == n), key=lambda key: places[key][0])
-        index[n] = {
-            "fingerprints": np.array([places[key][0] for key in keys], np.uint64),
-            "offsets": np.array([places[key][1] for key in keys], np.int64),
-            "words": [key[1] for key in keys],
-            "items": [sorted(owners[key]) for key in keys],
-        }
+    for n in pc.unique(rows["n"]).to_pylist():
+        own = rows.filter(pc.equal(rows["n"], n))
+        order = np.argsort(own["win"].to_numpy().view(np.uint64), kind="stable")
+        own = own.take(pa.array(order))
+        index[n] = {"fingerprints": np.unique(own["fp"].to_numpy().view(np.uint64)), "hashes": own["win"].to_numpy().view(np.uint64), "words": own["words"].to_pylist(), "items": own["own"].to_pylist()}
     return index
 
 
-def hit_kernel(blocks: list, window: int, gram: int):
-    indexes = [pickle.loads(block.value) for block in blocks]
+# Documents, with all items at hand
+
+
+def hit_kernel(packed, window: int, gram: int):
+    index = kept_in_worker(("decontaminate", packed.id), lambda: pickle.loads(packed.packed.value))
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
-        raw_data, at = buffer_of(texts)
-        # a separator after each text keeps words of neighbours apart
-        n_docs = len(at) - 1
-        apart = np.zeros(len(raw_data) + n_docs, np.uint8)
-        apart[np.arange(len(raw_data)) + np.repeat(np.arange(n_docs), np.diff(at))] = raw_data
-        data, starts, ends, hashes = words_of(apart)
-        kept_bytes = data != 0
-        kept_bytes[1:] |= data[:-1] != 0
-        packed = data[kept_bytes].tobytes()  # words with one separator after each
-        place = np.concatenate(([0], np.cumsum(ends - starts + 1))).tolist()
-        doc = np.searchsorted(at[1:] + np.arange(1, n_docs + 1), starts, "right")
-        first = np.searchsorted(doc, np.arange(n_docs + 1))
-        hit = np.zeros(len(starts) + 1, np.int64)
-        items: list[set[str]] = [set() for _ in range(n_docs)]
-        kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for index in indexes:
+        t = read_words(texts)
+
+        def found():
             for n, group in index.items():
                 k = min(gram, n)
-                if (k, n - k + 1) not in kept:
-                    values = grams(hashes, k)
-                    chosen = winnow(values, n - k + 1)
-                    kept[k, n - k + 1] = chosen, values[chosen]
-                chosen, values = kept[k, n - k + 1]
-                low, high = (np.searchsorted(group["fingerprints"], values, side) for side in ("left", "right"))
-                for i in np.flatnonzero(high > low):
-                    for w in range(low[i], high[i]):
-                        s = int(chosen[i] - group["offsets"][w])
-                        if s < 0 or s + n > len(starts) or doc[s] != doc[s + n - 1]:
-                            continue
-                        if packed[place[s] : place[s + n] - 1] == group["words"][w]:
-                            hit[s] += 1
-                            hit[s + n] -= 1
-                            items[doc[s]].update(group["items"][w])
-        covered = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0)))
-        own = [sorted(x) for x in items]
-        return [pa.array(np.diff(first)), pa.array(covered[first[1:]] - covered[first[:-1]]), pa.array(own, pa.list_(pa.string()))]
+                values = grams(t.hashes, k)
+                places = winnow(values, n - k + 1)
+                at = np.minimum(np.searchsorted(group["fingerprints"], values[places]), len(group["fingerprints"]) - 1)
+                starts = t.starts(places[group["fingerprints"][at] == values[places]], n, k)
+                own = grams(t.hashes, n)[starts]
+                low, high = (np.searchsorted(group["hashes"], own, side) for side in ("left", "right"))
+                for i in np.flatnonzero(high > low).tolist():
+                    for w in range(low[i], high[i]):  # more than one only where different windows share a hash
+                        if t.words(starts[i], n) == group["words"][w]:
+                            yield starts[i], n, group["items"][w]
+
+        return _tally(t, found())
 
     return kernel
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int, gram: int, block_windows: int) -> list:
-    """Broadcast indexes of the items, each over at most block_windows windows (one item at least)."""
-    spark = items.sparkSession
-    counted = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    total = counted.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0  # windows are fewer than words, words than half the letters
-    parts = max(1, int(2 * total / block_windows) + 1)
-    out = []
-    for part in range(parts):
-        rows = counted.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        if rows:
-            out.append(spark.sparkContext.broadcast(pickle.dumps(index_items([(r.item, r.text) for r in rows], window, gram))))
-    return out
+# Documents, joined with items
+
+
+def mark_kernel(sizes: list[int], gram: int):
+    """The kept fingerprints of each text, with the windows around each: their first words and hashes."""
+
+    def kernel(texts: pa.Array) -> list[pa.Array]:
+        t = read_words(texts)
+        rows: list[list[dict]] = [[] for _ in range(len(texts))]
+        for n in sizes:
+            k = min(gram, n)
+            values = grams(t.hashes, k)
+            places, own = winnow(values, n - k + 1), grams(t.hashes, n).view(np.int64)
+            for p, fp in zip(places.tolist(), values[places].view(np.int64).tolist()):
+                s = t.starts(np.array([p]), n, k)
+                if len(s):
+                    rows[t.doc[p]].append({"n": n, "fp": fp, "start": int(s[0] - t.first[t.doc[p]]), "wins": own[s].tolist()})
+        return [pa.array(rows, _MARKS)]
+
+    return kernel
 
 
-def contamination(docs: DataFrame, bench: DataFrame, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs' kept columns, n_words, n_hit (words inside an occurring window) and items (sorted ids of items with one)."""
+_MARKS = pa.list_(pa.struct([("n", pa.int32()), ("fp", pa.int64()), ("start", pa.int64()), ("wins", pa.list_(pa.int64()))]))
+_MARK_TYPE = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("start", T.LongType()), T.StructField("wins", T.ArrayType(T.LongType()))]))
+
+
+def _verify(batches):
+    """row, text and candidates (start, n, words, items) to row and the counts."""
+    for batch in batches:
+        for part in slices(batch, 1):
+            t = read_words(part.column(1))
+            found = ((int(t.first[d]) + c["start"], c["n"], c["own"]) for d, own in enumerate(part.column(2).to_pylist()) for c in own if t.words(int(t.first[d]) + c["start"], c["n"]) == c["words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *_tally(t, found)[1:]], names=["row", "n_hit", "items"])
+
+
+def _joined(docs: DataFrame, windows: DataFrame, keep: list[str], text: str, gram: int) -> DataFrame:
+    """The same by keyed joins: fingerprints of documents and items, then hashes of the windows around those that meet,
+    then the words of documents that are left. Items and what they meet are written before a join, so that all joins
+    are of plain shuffles, and a fingerprint of many documents is split by adaptive execution."""
+    names = {c: f"c{i}" for i, c in enumerate(keep)}
+    sizes = sorted(r.n for r in windows.select("n").distinct().collect())
+    own = docs.select(*[F.col(f"`{c}`").alias(new) for c, new in names.items()], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    marked = cut(map_texts(own, "text", own.columns, [T.StructField("marks", _MARK_TYPE)], mark_kernel, sizes, gram).withColumn("row", F.monotonically_increasing_id()))
+    marks = marked.select("row", F.explode("marks").alias("m")).select("row", "m.*")
+    met = marks.join(cut(windows.select("n", "fp").distinct()), ["n", "fp"], "left_semi")
+    around = met.select("row", "n", "start", F.posexplode("wins").alias("more", "win")).select("row", "n", (F.col("start") + F.col("more")).alias("start"), "win").distinct()
+    candidates = around.join(windows.select("n", "win", "words", "own"), ["n", "win"])
+    by_row = cut(candidates.groupBy("row").agg(F.collect_list(F.struct("n", "start", "words", "own")).alias("candidates")))
+    hits = marked.select("row", "text").join(by_row, "row").mapInArrow(_verify, "row bigint, n_hit bigint, items array<string>")
+    shown = [F.col(new).alias(c) for c, new in names.items()]
+    n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("bigint").alias("n_words")
+    none = F.array().cast("array<string>")
+    return marked.drop("marks").select("row", *names.values(), n_words).join(hits, "row", "left").select(*shown, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def contamination(docs: DataFrame, bench: DataFrame, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, at_hand: int = AT_HAND) -> DataFrame:
+    """docs' kept columns, n_words, n_hit (words inside an occurring window) and items (sorted ids of items with one).
+
+    The three take the places of columns of their names.
+    """
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
-    blocks = item_blocks(bench, item_id, item_text, window, gram, block_windows)
-    return map_texts(docs, text, keep if keep is not None else docs.columns, fields, hit_kernel, blocks, window, gram)
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("n_words", "n_hit", "items")]
+    pairs = cut(item_windows(bench, item_id, item_text, window, gram).distinct())
+    windows = pairs.groupBy("n", "fp", "win", "words").agg(F.collect_set("item").alias("own"))
+    if pairs.count() > at_hand:
+        return _joined(docs, cut(windows), keep, text, gram)
+    return map_texts(docs, text, keep, fields, hit_kernel, Packed(docs.sparkSession, index_windows(windows.toArrow())), window, gram)
 
 
 def is_contaminated():

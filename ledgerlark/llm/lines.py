@@ -69,7 +69,7 @@ def removals(docs: DataFrame, doc_id: str, text: str, mean: int = MEAN, hash_bit
     keys = cut(several.select("id", "at", "hash").distinct())
     clashing = cut(several.select("hash", "chunk").distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     firsts = lambda df, by: df.groupBy(*by).agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    plain = keys.join(firsts(keys, ["hash"]), "hash")
+    plain = keys.join(cut(firsts(keys, ["hash"])), "hash")  # written first, so that a hash of many rows can be split
     if not clashing.isEmpty():
         plain = plain.join(clashing, "hash", "left_anti")
         told = several.join(clashing, "hash", "left_semi").distinct()
@@ -125,7 +125,8 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, hash_bits: int = 64)
     def later(df: DataFrame, by: list[str]) -> DataFrame:
         """The occurrences of seeds other than their first ones."""
         firsts = df.groupBy(*by).agg(F.min(F.struct("id", "own", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return df.join(firsts, by).where(F.col("first") != F.struct("id", "own", "at")).select("id", "own", "at", "lines")
+        # written first: a join right above its aggregation can't be split where one seed has many rows
+        return df.join(cut(firsts), by).where(F.col("first") != F.struct("id", "own", "at")).select("id", "own", "at", "lines")
 
     by = ["lines", "a", "b"]
     if clashing.isEmpty():

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks, decontaminate, language, lines, pieces, pseudonyms, quality, secrets, simhash, toxicity
-from .common import fold, read
+from .common import fold, read, shared_dir
 
 #: The vocabulary file that op6 and the pipeline encode with.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -32,7 +34,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(read(spark, sf_dir, "documents"), "doc_id", "text")
+    # a ledger of its own for each run: the whole table is scanned
+    found = secrets.scan_into(f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", read(spark, sf_dir, "documents"), "doc_id", "text")
     counts = [secrets.count("found", rule).alias(f"n_{rule.kind}") for rule in secrets.BASE]
     return found.select("doc_id", *counts, F.sha2(secrets.listed("found", secrets.BASE), 256).alias("base_sha256"), secrets.listed("found", secrets.RULES).alias("spans"))
 
@@ -95,11 +98,15 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 def _spans_sql(rule: secrets.Rule) -> str:
     """DuckDB SQL for the spans of a rule: lengths of matches and of what stands between them, summed up."""
-    pattern = rule.pattern.replace("'", "''")
-    return f"""SELECT doc_id, m.start AS s, m.start + len(ms[m.i]) AS e FROM (
+    pattern, vs = rule.pattern.replace("'", "''"), f"regexp_extract_all(text, '{rule.pattern.replace(chr(39), chr(39) * 2)}', {rule.group})"
+    lead = "0"
+    if rule.before:  # the character before a match is read with it and taken off its start
+        pattern, lead = f"(^|[^{rule.before[1:]})({pattern})", "len(ms[m.i]) - len(vs[m.i])"
+        vs = f"regexp_extract_all(text, '{pattern}', 2)"
+    return f"""SELECT doc_id, m.start + {lead} AS s, m.start + len(ms[m.i]) AS e FROM (
         SELECT doc_id, ms, vs, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{'i': i,
             'start': CAST(list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: len(g))), 0) AS BIGINT)}})) AS m
-        FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {rule.group}) AS vs, string_split_regex(text, '{pattern}') AS gaps
+        FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, {vs} AS vs, string_split_regex(text, '{pattern}') AS gaps
               FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE regexp_matches(text, '{pattern}')))
         WHERE len(vs[m.i]) >= {rule.least}"""
 

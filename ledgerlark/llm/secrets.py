@@ -17,18 +17,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, is_written
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its pattern, the group whose length counts, the least length, and a version."""
+    """A kind of secret: its pattern, the group whose length counts, the least length, and a version; before: the class
+    of characters that must not stand right before a match."""
 
     kind: str
     pattern: str
     group: int
     least: int
     version: int = 1
+    before: str = ""
 
     @property
     def key(self) -> str:
@@ -43,7 +45,8 @@ BASE = (ASSIGN, ACCESS, HEX)
 #: Rules that are tried beside the base ones.
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 30),
+    # at the start of its run only, so that no run is read again from each place inside it
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 30, before="[A-Za-z0-9_-]"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{20,}", 0, 24),
 )
 RULES = BASE + MORE
@@ -61,7 +64,7 @@ def _candidates(rule: Rule) -> str:
         return r"[0-9a-f]{16,}"
     if rule is ACCESS:
         return r"AKIA[A-Z0-9]{14,}"
-    return rule.pattern
+    return f"(?<!{rule.before}){rule.pattern}" if rule.before else rule.pattern
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -101,8 +104,23 @@ def scan(paths: DataFrame, doc_id: str, text: str, ledger: DataFrame | None = No
     Only blobs that lack some rule version are read for that rule. A blob is scanned once however
     many paths hold it: copies are put together within each task before the shuffle.
     """
+    ledger = ledger if ledger is not None else paths.sparkSession.createDataFrame([], EMPTY_LEDGER)
+    grown = cut(ledger.select("blob", "rule", "spans").unionByName(new_pairs(paths, doc_id, text, ledger, rules)))
+    return findings(paths, doc_id, text, grown, rules), grown
+
+
+def scan_into(folder: str, paths: DataFrame, doc_id: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings by path, from the ledger kept in a folder: only (blob, rule version) pairs that it lacks are scanned,
+    and added to it. A folder that isn't there yet is an empty ledger. One scan at a time may write to it."""
     spark = paths.sparkSession
-    ledger = ledger if ledger is not None else spark.createDataFrame([], EMPTY_LEDGER)
+    read = spark.read.schema(EMPTY_LEDGER)
+    ledger = read.parquet(folder) if is_written(spark, folder) else spark.createDataFrame([], EMPTY_LEDGER)
+    new_pairs(paths, doc_id, text, ledger, rules).write.mode("append").parquet(folder)
+    return findings(paths, doc_id, text, read.parquet(folder), rules)
+
+
+def new_pairs(paths: DataFrame, doc_id: str, text: str, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, rule, spans of the pairs that the ledger lacks."""
     own = blobs(paths.select(F.col(f"`{doc_id}`").alias("path"), F.col(f"`{text}`").alias("text")), "text")
     known = ledger.groupBy("blob").agg(F.collect_set("rule").alias("known"))
     distinct = own.groupBy("blob").agg(F.first("content").alias("content"))
@@ -110,14 +128,19 @@ def scan(paths: DataFrame, doc_id: str, text: str, ledger: DataFrame | None = No
     unseen = unseen.where(F.size(F.array_except(F.array(*[F.lit(r.key) for r in rules]), "known")) > 0)
     none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
     tried = unseen.select("blob", F.map_from_entries(F.array(*[F.struct(F.lit(r.key), F.when(~F.array_contains("known", r.key), spans(F.col("content"), r)).otherwise(none)) for r in rules])).alias("tried"))
-    added = tried.select("blob", F.explode("tried").alias("rule", "spans")).where("spans is not null")
-    grown = cut(ledger.select("blob", "rule", "spans").unionByName(added))
+    return tried.select("blob", F.explode("tried").alias("rule", "spans")).where("spans is not null")
+
+
+def findings(paths: DataFrame, doc_id: str, text: str, grown: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, blob, found: what the ledger has for each path's blob."""
+    own = blobs(paths.select(F.col(f"`{doc_id}`").alias("path"), F.col(f"`{text}`").alias("text")), "text")
     kinds = {r.key: r.kind for r in rules}
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("rule"))
-    found = grown.where(F.col("rule").isin(list(kinds)) & (F.size("spans") > 0)).groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct(kind, "spans"))).alias("found"))
+    # written before the join, so that it is one of two plain shuffles and a blob of many paths can be split
+    found = cut(grown.where(F.col("rule").isin(list(kinds)) & (F.size("spans") > 0)).groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct(kind, "spans"))).alias("found")))
     back = own.select("path", "blob").join(found, "blob", "left")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<struct<start:bigint,end:bigint>>>"))
-    return back.select(F.col("path").alias(doc_id), "blob", F.coalesce("found", empty).alias("found")), grown
+    return back.select(F.col("path").alias(doc_id), "blob", F.coalesce("found", empty).alias("found"))
 
 
 def listed(found: str, rules: tuple[Rule, ...]) -> Column:

@@ -221,20 +221,23 @@ def test_chunk_boundaries_shift():
 # 5: benchmark passages
 
 
-@pytest.mark.parametrize("block_windows", [200_000, 40])
-def test_decontamination(spark, tmp_path, block_windows):
+@pytest.mark.parametrize("at_hand", [100_000, 0])
+def test_decontamination(spark, tmp_path, at_hand):
     draw = random.Random(5)
     words = ["a", "b", "c", "Dé", "日本", "x9"]
-    bench = [(i, " ".join(draw.choice(words) for _ in range(draw.choice([0, 1, 2, 3, 5, 6, 8, 12, 13, 14, 20])))) for i in range(12)] + [(99, None), (98, ""), (0, "a b")]
+    bench = [(i, " ".join(draw.choice(words) for _ in range(draw.choice([0, 1, 2, 3, 5, 6, 8, 12, 13, 14, 20])))) for i in range(12)] + [(99, None), (98, ""), (0, "a b"), (None, "x9 a x9")]
+    head = " ".join(draw.choice(words) for _ in range(12))  # many items under one head
+    bench += [(200 + i, f"{head} tail{i} and more{i}") for i in range(60)]
     docs = [(i, ", ".join(draw.choice(words) for _ in range(draw.randrange(60)))) for i in range(200)] + [(1000, None), (1001, "")]
     docs += [(2000 + i, " - ".join([draw.choice(words)] * draw.randrange(3) + (b or "").split())) for i, (_, b) in enumerate(bench)]
+    docs += [(3000 + i, f"{head} " * 3 + f"tail{i} and more{i + i % 2}") for i in range(60)]
     pd.DataFrame(docs, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
-    pd.DataFrame(bench, columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    pd.DataFrame(bench, columns=["item_id", "text"]).astype({"item_id": "Int64"}).to_parquet(tmp_path / "benchmark.parquet")
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     want = c.sql("SELECT doc_id, n_words, n_hit, n_items, contaminated FROM (" + queries.ORACLE_SQL["op5_decontaminate"] + ")").fetchall()
-    found = decontaminate.contamination(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), ["doc_id"], block_windows=block_windows)
+    found = decontaminate.contamination(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), ["doc_id"], at_hand=at_hand)
     got = found.select("doc_id", "n_words", "n_hit", F.size("items"), decontaminate.is_contaminated()).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
