@@ -117,25 +117,29 @@ def reply_rows(replies: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def rows_from_boxes(boxes: DataFrame, page: str, gap_factor: float = 1.8) -> DataFrame:
-    """page, row and text of boxes (left, right, top, bottom, text): a box joins the row above it if its centre lies
-    within half the row's tallest height of the row's mean centre. The fold runs over one page's boxes."""
-
-    def settle(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(centre=(p["top"] + p["bottom"]) / 2, height=p["bottom"] - p["top"]).sort_values("centre", kind="stable")
-        number, held, total, tallest, rows = -1, 0, 0.0, 0.0, []
-        for c, h in zip(p["centre"], p["height"]):
-            if held and abs(c - total / held) <= tallest / 2:
-                held, total, tallest = held + 1, total + c, max(tallest, h)
-            else:
-                number, held, total, tallest = number + 1, 1, c, h
-            rows.append(number)
-        out = []
-        for row, own in p.assign(row=rows).groupby("row"):
-            own = own.sort_values("left", kind="stable")
-            wide = ((own["right"] - own["left"]) / own["text"].str.len().clip(lower=1)).sort_values().iloc[len(own) // 2]
-            gaps = own["left"].to_numpy()[1:] - own["right"].to_numpy()[:-1]
-            text = own["text"].iloc[0] + "".join(("   " if g > gap_factor * wide * 1.5 else " ") + t for g, t in zip(gaps, own["text"].iloc[1:]))
-            out.append((p[page].iloc[0], row, text.strip()))
-        return pd.DataFrame(out, columns=[page, "row", "text"])
-
-    return boxes.groupBy(page).applyInPandas(settle, T.StructType([boxes.schema[page], T.StructField("row", T.IntegerType()), T.StructField("text", T.StringType())]))
+    """page, row and text of boxes (left, right, top, bottom, text): a box is on the row of those above it if its centre
+    lies within half the row's tallest height of the row's mean centre. Wide gaps become three spaces, others one.
+
+    Which row a box is on depends on all boxes before it, so a page's centres are folded in order; texts, gaps and
+    widths are windows over rows. Boxes of one centre, or one left edge, are in order of their other edges and text.
+    """
+    centre, height = (F.col("top") + F.col("bottom")) / 2, F.col("bottom") - F.col("top")
+    own = boxes.select(page, F.struct(centre.alias("centre"), height.alias("height"), "left", "right", "text").alias("box"))
+    none = F.array().cast("array<struct<row:int,n:int,total:double,tallest:double>>")
+
+    def put(rows: Column, b: Column) -> Column:
+        last = F.try_element_at(rows, F.lit(-1))
+        joins = (F.size(rows) > 0) & (F.abs(b["centre"] - last["total"] / last["n"]) <= last["tallest"] / 2)
+        state = lambda row, n, total, tallest: F.struct(row.cast("int").alias("row"), n.cast("int").alias("n"), total.cast("double").alias("total"), tallest.cast("double").alias("tallest"))
+        grown = state(last["row"], last["n"] + 1, last["total"] + b["centre"], F.greatest(last["tallest"], b["height"]))
+        return F.concat(rows, F.array(F.when(joins, grown).otherwise(state(F.coalesce(last["row"], F.lit(-1)) + 1, F.lit(1), b["centre"], b["height"]))))
+
+    pages = own.groupBy(page).agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    placed = pages.select(page, F.explode(F.arrays_zip("boxes", F.aggregate("boxes", none, put).alias("rows"))).alias("p")).select(page, "p.rows.row", "p.boxes.*")
+    by = Window.partitionBy(page, "row")
+    widths = F.array_sort(F.collect_list((F.col("right") - F.col("left")) / F.greatest(F.length("text"), F.lit(1))).over(by))
+    gap = F.col("left") - F.lag("right").over(by.orderBy("left", "right", "text"))
+    spaced = placed.withColumn("width", F.element_at(widths, (F.floor(F.size(widths) / 2) + 1).cast("int"))).withColumn("gap", gap)
+    space = F.when(F.col("gap").isNull(), "").when(F.col("gap") > gap_factor * 1.5 * F.col("width"), "   ").otherwise(" ")
+    joined = spaced.groupBy(page, "row").agg(F.array_sort(F.collect_list(F.struct("left", "right", F.col("text").alias("own"), F.concat(space, "text").alias("shown")))).alias("parts"))
+    return joined.select(page, "row", F.trim(F.array_join(F.transform("parts", lambda x: x["shown"]), "")).alias("text"))

@@ -2,23 +2,28 @@
 
 Candidates come from an equi-join on the amount with a band on the date: days are part of the join
 key, one copy of a row for each day that its band covers, so a common amount doesn't meet itself
-over all time. Who gets whom is then settled amount by amount, in the exact order that the semantics
-prescribe, over candidate rows alone.
+over all time. Who gets whom is then settled in the exact order that the semantics prescribe, over
+candidate rows alone, by amount and run of days: rows further apart than two bands can't compete.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import description_tokens, fingerprint, normal_description, similar_tokens
+from ..shared import cut
 
 #: Days that a transfer's halves, and a soft duplicate's dates, may be apart.
 TRANSFER_DAYS, SOFT_DAYS = 3, 2
 #: Candidates that a new row looks at in one pass; this is part of the semantics.
 MOST_CANDIDATES = 32
+#: Candidates of one amount and run of days that are settled in one list; more are settled in rounds.
+MOST_AT_ONCE = 5_000
 
 # Words that tell a transfer, and words that tell against one.
 TRANSFER_WORDS = ("TRANSFER", "TFR", "SAVINGS", "SAVER", "POT", "ISA", "OWN ACCOUNT", "INTERNAL", "PAYMENT RECEIVED", "THANK YOU", "CARD REPAYMENT", "MOBILE PAYMENT")
@@ -63,24 +68,56 @@ def _take(candidates: list[dict]) -> list[dict]:
     return kept
 
 
-def pair_transfers(moves: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:
+def islands(rows: DataFrame, keys: list[str], day: str, apart: int) -> DataFrame:
+    """rows with island: the first day of the run of days, none more than apart after the one before, that day is in.
+
+    Runs are told from distinct days, so a key with many rows a day weighs no more than a calendar.
+    """
+    days = rows.select(*keys, day).distinct()
+    by = Window.partitionBy(*keys).orderBy(day)
+    starts = F.when(F.coalesce(F.datediff(day, F.lag(day).over(by)) > apart, F.lit(True)), F.col(day))
+    return rows.join(days.withColumn("island", F.last(starts, ignorenulls=True).over(by)), [*keys, day])
+
+
+def settled_in_rounds(edges: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
+    """Edges taken greedily in order, each end once: in rounds, every edge that is the first of both its ends is taken,
+    and the edges that share an end with it go. No list of a whole group is made; a round is written when it's done."""
+    first = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order)) == 1
+    taken: list[DataFrame] = []
+    while True:
+        ranked = edges.withColumn("__l", first(left)).withColumn("__r", first(right))
+        taken.append(cut(ranked.where("__l and __r").drop("__l", "__r")))
+        if taken[-1].isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        edges = cut(edges.join(taken[-1].select(left), left, "left_anti").join(taken[-1].select(right), right, "left_anti"))
+
+
+def pair_transfers(moves: DataFrame, days: int = TRANSFER_DAYS, most: int = MOST_AT_ONCE) -> DataFrame:
     """Each movement in at most one pair: nearest first, then most words, then earliest, then by id.
 
-    Only amounts with a real choice are settled in Python; a pair whose ends have no other candidate stands.
+    A pair whose ends have no other candidate stands. The others are settled by amount and run of days; runs of up to
+    most candidates side by side in Arrow batches, larger ones (a round amount of very many accounts) in rounds.
     """
     found = pair_candidates(moves, days)
     choice = F.count("*").over(Window.partitionBy("out_id")) + F.count("*").over(Window.partitionBy("in_id"))
     counted = found.withColumn("choice", choice)
     alone = counted.where("choice = 2").drop("choice")
-    rest = counted.where("choice > 2").drop("choice")
-    schema = to_arrow_schema(rest.schema)
+    rest = islands(counted.where("choice > 2").drop("choice"), ["size"], "out_date", 2 * days)
+    sizes = rest.groupBy("size", "island").agg(F.count("*").alias("n"))
+    rest = cut(rest.join(sizes, ["size", "island"]))
+    shape = found.schema
+    schema = to_arrow_schema(shape)
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pylist([c for rows in batch.column(0).to_pylist() for c in _take(rows)], schema=schema)
 
-    settled = rest.groupBy("size").agg(F.collect_list(F.struct(*rest.columns)).alias("candidates")).select("candidates").mapInArrow(run, rest.schema)
-    return alone.unionByName(settled).select("out_id", "in_id", "gap", "words", "card", pair_confidence().alias("confidence"))
+    few = rest.where(F.col("n") <= most).groupBy("size", "island").agg(F.collect_list(F.struct(*shape.names)).alias("candidates"))
+    told = alone.unionByName(few.select("candidates").mapInArrow(run, shape))
+    many = rest.where(F.col("n") > most).drop("island", "n")
+    if not many.isEmpty():
+        told = told.unionByName(settled_in_rounds(many, "out_id", "in_id", [F.col("gap"), F.col("words").desc(), F.col("out_date"), F.col("out_id"), F.col("in_id")]))
+    return told.select("out_id", "in_id", "gap", "words", "card", pair_confidence().alias("confidence"))
 
 
 def soft_matches(new: DataFrame, stored: DataFrame, days: int = SOFT_DAYS) -> DataFrame:
@@ -93,10 +130,12 @@ def soft_matches(new: DataFrame, stored: DataFrame, days: int = SOFT_DAYS) -> Da
     mine = mine.withColumn("day", F.explode(F.sequence(F.date_sub("new_date", days), F.date_add("new_date", days))))
     theirs = stored.select(F.col("id").alias("stored_id"), "account_id", "amount_pence", F.col("pos").alias("stored_pos"), F.col("date").alias("day"), description_tokens(F.col("raw_description")).alias("stored_tokens"))
     met = mine.join(theirs, ["account_id", "amount_pence", "day"])
-    near = met.select("account_id", "amount_pence", "new_id", "new_pos", "stored_id", "stored_pos", F.abs(F.datediff("day", "new_date")).alias("gap"), similar_tokens(F.col("new_tokens"), F.col("stored_tokens")).alias("similar"))
+    near = met.select("account_id", "amount_pence", "new_id", "new_pos", "new_date", "stored_id", "stored_pos", F.abs(F.datediff("day", "new_date")).alias("gap"), similar_tokens(F.col("new_tokens"), F.col("stored_tokens")).alias("similar"))
+    # rows over twice the band apart share no candidate, so each run of days is settled by itself
+    near = islands(near, ["account_id", "amount_pence"], "new_date", 2 * days)
 
     candidate = F.struct("new_pos", "new_id", "gap", "stored_pos", "stored_id", "similar")
-    grouped = near.groupBy("account_id", "amount_pence").agg(F.collect_list(candidate).alias("candidates")).where(F.exists("candidates", lambda c: c["similar"]))
+    grouped = near.groupBy("account_id", "amount_pence", "island").agg(F.collect_list(candidate).alias("candidates")).where(F.exists("candidates", lambda c: c["similar"]))
     shape = "new_id bigint, stored_id bigint, gap int"
     one = F.col("candidates")[0]
     alone = grouped.where(F.size("candidates") == 1).select(one["new_id"].alias("new_id"), one["stored_id"].alias("stored_id"), one["gap"].alias("gap"))
