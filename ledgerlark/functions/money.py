@@ -45,14 +45,24 @@ def has_credit_marker(raw: Column) -> Column:
     return F.trim(raw).rlike(r"(?i)\bCR\.?\s*$")
 
 
-def typed_pence(raw: Column) -> Column:
-    """Strict reading of typed pounds: at most 32 characters, two decimals and a billion pounds; else null."""
+TYPED = r"^(-?)\s*£?\s*([1-9]\d{0,2}(?:,\d{3})+|\d+)(?:\.(\d{1,2}))?$"
+
+
+def typed_amount(raw: Column, negative: bool = False) -> Column:
+    """Strict reading of typed pounds: struct of pence and problem ("not an amount", "negative" unless that is allowed,
+    "too large"), of which one is null. Over 32 characters, or a null, is no amount."""
     text = F.trim(raw)
-    pattern = r"^(-?)£?(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d{1,2}))?$"
-    whole = F.regexp_replace(F.regexp_extract(text, pattern, 2), ",", "").try_cast("decimal(30,0)")
-    pence = whole * 100 + F.rpad(F.regexp_extract(text, pattern, 3), 2, "0").cast("decimal(2,0)")
-    valid = (F.length(text) <= 32) & text.rlike(pattern) & (pence <= MOST_POUNDS * 100)
-    return F.when(valid, F.when(F.regexp_extract(text, pattern, 1) == "-", -pence).otherwise(pence).cast("bigint"))
+    whole = F.regexp_replace(F.regexp_extract(text, TYPED, 2), ",", "").try_cast("decimal(30,0)")
+    pence = whole * 100 + F.rpad(F.regexp_extract(text, TYPED, 3), 2, "0").cast("decimal(2,0)")
+    minus = F.regexp_extract(text, TYPED, 1) == "-"
+    valid = F.coalesce((F.length(raw) <= 32) & text.rlike(TYPED), F.lit(False))
+    problem = F.when(~valid, "not an amount").when(minus & F.lit(not negative), "negative").when(pence > MOST_POUNDS * 100, "too large")
+    return F.struct(F.when(problem.isNull(), F.when(minus, -pence).otherwise(pence).cast("bigint")).alias("pence"), problem.alias("problem"))
+
+
+def typed_pence(raw: Column) -> Column:
+    """Pence of typed pounds, with a minus or without; null if they can't be read."""
+    return typed_amount(raw, True)["pence"]
 
 
 def pounds(pence: Column) -> Column:
@@ -61,10 +71,33 @@ def pounds(pence: Column) -> Column:
     return F.concat(F.when(pence < 0, "-").otherwise(""), F.floor(size / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"))
 
 
+#: A figure with pence, its sign and brackets, none of it part of a longer number.
+FIGURE = r"[-−–(]?[£$€]?(?<![\d.,])(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}(?![\d.,]?\d)(?:\)|[-−](?![A-Za-z0-9]))?"
+
+
+def printed_figures(text: Column) -> Column:
+    """All figures with pence printed in a text: array of (start, end, pence, negative), the sign or brackets outside
+    of start and end, which count code points, end exclusive."""
+    shown, gaps = F.regexp_extract_all(text, F.lit(FIGURE), F.lit(0)), F.split(text, FIGURE, -1)
+    none = F.array().cast("array<struct<start:int,end:int,pence:bigint,negative:boolean>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+    def put(state: Column, pair: Column) -> Column:
+        raw = pair["shown"]
+        number = F.regexp_extract(raw, r"[\d,.]*\d", 0)
+        lead = F.length(F.regexp_extract(raw, r"^[^\d]*", 0))
+        begin = state["at"] + F.length(pair["gap"])
+        negative = raw.rlike(r"^[-−–]|^\(.*\)$|[-−]$")
+        figure = F.struct((begin + lead).cast("int").alias("start"), (begin + lead + F.length(number)).cast("int").alias("end"), F.regexp_replace(number, "[,.]", "").try_cast("bigint").alias("pence"), negative.alias("negative"))
+        return F.struct((begin + F.length(raw)).cast("int").alias("at"), F.concat(state["found"], F.array(figure)).alias("found"))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(shown)), shown, lambda g, m: F.struct(g.alias("gap"), m.alias("shown")))
+    return F.aggregate(pairs, start, put, lambda s: s["found"])
+
+
 def figures(text: Column) -> Column:
-    """All money figures printed in a text (two decimals), as pence."""
-    shown = F.regexp_extract_all(text, F.lit(r"(?<![\d.,])(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}(?![\d.,]?\d)"), F.lit(0))
-    return F.transform(shown, lambda f: F.regexp_replace(f, "[,.]", "").try_cast("bigint"))
+    """Pence of all figures printed in a text, without their signs."""
+    return F.transform(printed_figures(text), lambda f: f["pence"])
 
 
 def priced(input_tokens: Column, output_tokens: Column, input_price, output_price, rate=1.0) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dates import printed_date
 from ..functions.money import figures, printed_pence
 
 MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"
@@ -34,6 +35,28 @@ def table_starts(lines: DataFrame, key: str, heading: Column) -> DataFrame:
     return only.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("__head"), F.col("pos"))), F.min(F.when(run, F.col("pos"))), F.min(F.when(F.col("__row"), F.col("pos")))).alias("start"))
 
 
+def edge_repeats(lines: DataFrame, key: str, page: str, top: int = 4, bottom: int = 3) -> DataFrame:
+    """key, line and pages: lines among the first and last of a page, with numbers folded, that stand so on two pages or more.
+
+    lines: key, page, pos, text; blank ones don't count as lines.
+    """
+    folded = F.regexp_replace(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), r"\d+", "#")
+    own = lines.withColumn("line", folded).where("line <> ''")
+    by = Window.partitionBy(key, page)
+    placed = own.withColumn("__down", F.row_number().over(by.orderBy("pos"))).withColumn("__up", F.row_number().over(by.orderBy(F.desc("pos"))))
+    edge = placed.where((F.col("__down") <= top) | (F.col("__up") <= bottom)).select(key, page, "line").distinct()
+    return edge.groupBy(key, "line").agg(F.count("*").alias("pages")).where("pages >= 2")
+
+
+def chunk_plan(lines: DataFrame, key: str, size: int, heading: Column) -> DataFrame:
+    """lines (key, pos, text) with chunk (from 0, of size lines) and context: the last heading before the chunk's first line."""
+    by = Window.partitionBy(key).orderBy("pos")
+    numbered = lines.withColumn("__n", F.row_number().over(by) - 1).withColumn("chunk", F.floor(F.col("__n") / size).cast("int"))
+    before = F.last(F.when(heading, F.col("text")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    seen = numbered.withColumn("__before", F.when(F.col("__n") % size == 0, before))
+    return seen.withColumn("context", F.max("__before").over(Window.partitionBy(key, "chunk"))).drop("__n", "__before")
+
+
 def blocks(lines: DataFrame, key: str, member: Column, part: Column, plain: Column) -> DataFrame:
     """Runs of member lines that hold a part, or are three or more plain lines: key, first, last."""
     by = Window.partitionBy(key).orderBy("pos")
@@ -43,10 +66,17 @@ def blocks(lines: DataFrame, key: str, member: Column, part: Column, plain: Colu
 
 
 def header_facts(text: Column) -> Column:
-    """last4 (if one number is named), opening and closing pence, and whether it reads like a card's statement."""
+    """last4 (if one number is named), opening and closing pence, whether it reads like a card's or a bank account's
+    statement, and the period that it names."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:account|card)\s*(?:number|no\.?|ending(?: in)?)\s*:?\s*([\dxX* -]{4,23}\d)"), F.lit(1)), lambda n: F.right(F.regexp_replace(n, r"\D", ""), F.lit(4))))
     money = lambda label: printed_pence(F.regexp_extract(text, rf"(?i)(?:{label})\s*(?:balance)?\s*:?\s*(-?£?[\d,]+\.\d{{2}}(?:\s*(?:CR|DR))?)", 1))
-    return F.struct(F.when(F.size(found) == 1, found[0]).alias("last4"), money("opening|previous").alias("opening_pence"), money("(?:closing|new)").alias("closing_pence"), text.rlike(r"(?i)\b(credit limit|minimum payment|card number)\b").alias("card"))
+    day = rf"(\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTH}\s+\d{{2,4}})"
+    period = lambda k: printed_date(F.nullif(F.regexp_extract(text, rf"(?i)\b(?:period|from)\s*:?\s*{day}\s*(?:to|until|-|–)\s*{day}", k), F.lit("")))
+    debit = text.rlike(r"(?i)\b(sort code|overdraft|account statement|current account)\b")
+    return F.struct(
+        F.when(F.size(found) == 1, found[0]).alias("last4"), money("opening|previous").alias("opening_pence"), money("(?:closing|new)").alias("closing_pence"),
+        text.rlike(r"(?i)\b(credit limit|minimum payment|card number)\b").alias("card"), debit.alias("debit"), period(1).alias("period_start"), period(2).alias("period_end"),
+    )
 
 
 def evidence(text: Column, pence: Column) -> Column:

@@ -29,6 +29,26 @@ def in_subtree(column: str, node: str) -> Column:
     return (F.col(column) == node) | F.startswith(F.col(column), F.lit(f"{node}."))
 
 
+def ancestor_at(category: Column, level: int) -> Column:
+    """The ancestor at a level (1 is the top), the category itself at its own; null where it's higher up than that."""
+    parts = F.split(category, r"\.")
+    return F.when(F.size(parts) >= level, F.array_join(F.slice(parts, 1, level), "."))
+
+
+def paths(categories: DataFrame) -> DataFrame:
+    """id, path (labels from the top down), kind (of the top-level ancestor) and children of every category."""
+    up = closure(categories).join(categories.select(F.col("id").alias("ancestor_id"), "label", "kind"), "ancestor_id")
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("depth"), "label"))), lambda x: x["label"]), " › ")
+    told = up.groupBy(F.col("descendant_id").alias("id")).agg(shown.alias("path"), F.max_by("kind", "depth").alias("kind"))
+    below = categories.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))
+    return told.join(below, "id", "left").select("id", "path", "kind", F.coalesce("children", F.lit(0)).cast("bigint").alias("children"))
+
+
+def is_unsorted() -> Column:
+    """Money out that is filed nowhere."""
+    return F.col("category_id").isNull() & (F.col("amount_pence") < 0)
+
+
 def category_totals(rows: DataFrame) -> DataFrame:
     """Per category: net pence, rows, and pence out."""
     return rows.groupBy("category_id").agg(F.sum("amount_pence").alias("net_pence"), F.count("*").alias("n"), (-F.sum(F.least(F.col("amount_pence"), F.lit(0)))).cast("bigint").alias("out_pence"))
@@ -41,7 +61,7 @@ def breakdown(rows: DataFrame, categories: DataFrame, node: str | None = None) -
     and went out is the tile ``unsorted``. Rows are put together by category before the tree is
     joined, so the join sees a row for each category.
     """
-    totals = category_totals(rows).join(F.broadcast(categories.select(F.col("id").alias("category_id"), "kind")), "category_id", "left")
+    totals = category_totals(rows).join(categories.select(F.col("id").alias("category_id"), "kind"), "category_id", "left")
     level = 1 if node is None else node.count(".") + 2
     spend = totals.where(F.col("kind") == "spend")
     if node is not None:
@@ -49,7 +69,7 @@ def breakdown(rows: DataFrame, categories: DataFrame, node: str | None = None) -
     tile = F.when(F.size(F.split("category_id", r"\.")) < level, F.lit("direct")).otherwise(F.substring_index("category_id", ".", level))
     tiles = spend.select(tile.alias("tile"), "net_pence", "n")
     if node is None:
-        loose = rows.where("category_id IS NULL AND amount_pence < 0").agg(F.sum("amount_pence").alias("net_pence"), F.count("*").alias("n")).where("n > 0")
+        loose = rows.where(is_unsorted()).agg(F.sum("amount_pence").alias("net_pence"), F.count("*").alias("n")).where("n > 0")
         tiles = tiles.unionByName(loose.select(F.lit("unsorted").alias("tile"), "net_pence", "n"))
     grouped = tiles.groupBy("tile").agg((-F.sum("net_pence")).cast("bigint").alias("amount_pence"), F.sum("n").alias("n")).where("amount_pence > 0")
     return grouped.orderBy(F.desc("amount_pence"), "tile")
@@ -58,12 +78,12 @@ def breakdown(rows: DataFrame, categories: DataFrame, node: str | None = None) -
 def tree_totals(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Net pence and rows of every node of the tree with all that's below it."""
     own = category_totals(rows)
-    return own.join(F.broadcast(closure(categories)), own["category_id"] == F.col("descendant_id")).groupBy("ancestor_id").agg(F.sum("net_pence").alias("net_pence"), F.sum("n").alias("n"))
+    return own.join(closure(categories), own["category_id"] == F.col("descendant_id")).groupBy("ancestor_id").agg(F.sum("net_pence").alias("net_pence"), F.sum("n").alias("n"))
 
 
 def side_totals(rows: DataFrame, categories: DataFrame, saved: str) -> DataFrame:
     """Money in (income categories), saved (the subtree of saved) and moved (other transfers)."""
-    joined = category_totals(rows).join(F.broadcast(categories.select(F.col("id").alias("category_id"), "kind")), "category_id")
+    joined = category_totals(rows).join(categories.select(F.col("id").alias("category_id"), "kind"), "category_id")
     part = lambda when, sign: F.coalesce(F.sum(F.when(when, F.col("net_pence") * sign)), F.lit(0)).cast("bigint")
     is_saved = in_subtree("category_id", saved)
     return joined.agg(part(F.col("kind") == "income", 1).alias("in_pence"), part(is_saved, -1).alias("saved_pence"), part((F.col("kind") == "transfer") & ~is_saved, -1).alias("moved_pence"))

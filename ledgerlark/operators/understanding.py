@@ -66,7 +66,7 @@ def valid_answers(answers: DataFrame, batch: DataFrame, categories: DataFrame, p
     income only for money in; confidence is clamped, unknown people become the household."""
     by = Window.partitionBy("id").orderBy("pos")
     first = answers.withColumn("n", F.row_number().over(by)).where("n = 1").drop("n")
-    joined = first.join(batch.select("id", "amount_pence"), "id").join(F.broadcast(categories.select(F.col("id").alias("category_id"), "kind")), "category_id")
+    joined = first.join(batch.select("id", "amount_pence"), "id").join(categories.select(F.col("id").alias("category_id"), "kind"), "category_id")
     usable = joined.where((F.col("kind") != "income") | (F.col("amount_pence") >= 0))
     return usable.select("id", "category_id", F.when(F.col("who").isin(*people), F.col("who")).otherwise("household").alias("who"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))).alias("confidence"))
 

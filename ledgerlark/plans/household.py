@@ -70,78 +70,11 @@ def J18_income_not_owner(spark, sf_dir):
     return table(spark, sf_dir, "supplier").withColumn("person", F.col("s_suppkey") % 50).join(owners, ["s_nationkey", "person"], "left_anti").select("s_suppkey", "s_nationkey")
 
 
-_WHY = "concat_ws(' ', 'Filed under ' || category_id || '.', CASE decided_by WHEN 'human' THEN 'You decided it.' WHEN 'rule' THEN 'A rule decided it.' WHEN 'model' THEN 'It is a guess.' END, CASE WHEN ignored THEN 'It is left out.' END)"
-
-
-@query(with_sql(LEDGER) + f"SELECT id, {_WHY} AS why FROM ledger")
-def F34_why(spark, sf_dir):
-    by = F.when(F.col("decided_by") == "human", "You decided it.").when(F.col("decided_by") == "rule", "A rule decided it.").when(F.col("decided_by") == "model", "It is a guess.")
-    return ledger(spark, sf_dir).select("id", F.concat_ws(" ", F.concat(F.lit("Filed under "), F.col("category_id"), F.lit(".")), by, F.when(F.col("ignored"), "It is left out.")).alias("why"))
-
-
-@query("SELECT event_type AS match, count(*) AS n, count(*) FILTER (value > 50) AS inserted FROM events GROUP BY 1")
-def A22_upload_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("match")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("inserted"))
-
-
-@query("""WITH e AS (SELECT c_custkey AS k, c_nationkey AS amount FROM customer), f AS (SELECT o_custkey AS k, CAST(count(*) AS INTEGER) AS amount FROM orders GROUP BY 1)
-    SELECT count(*) FILTER (e.k IS NOT NULL AND f.k IS NOT NULL) AS found, count(*) FILTER (f.k IS NULL) AS missing, count(*) FILTER (e.k IS NULL) AS extra, count(*) FILTER (abs(e.amount - f.amount) <= 2) AS amounts FROM e FULL JOIN f ON e.k = f.k""")
-def A25_commitment_scores(spark, sf_dir):
-    e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("amount"), F.lit(True).alias("expected"))
-    f = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("got"))
-    both = e.join(f, "k", "full")
-    return both.agg(F.count_if(F.col("expected").isNotNull() & F.col("got").isNotNull()).alias("found"), F.count_if(F.col("got").isNull()).alias("missing"), F.count_if(F.col("expected").isNull()).alias("extra"), F.count_if(F.abs(F.col("amount") - F.col("got")) <= 2).alias("amounts"))
-
-
-@query(with_sql(MOVEMENT) + ", e AS (SELECT account_id, CASE WHEN id % 4 = 0 THEN 'L' || (id % 100) || ': ' || text ELSE text END AS error FROM movement) SELECT account_id, CASE WHEN contains(error, ':') THEN split_part(error, ':', 1) ELSE 'general' END AS ref, count(*) AS n, min(error) AS first FROM e GROUP BY 1, 2")
-def A27_errors_by_line(spark, sf_dir):
-    error = F.when(F.col("id") % 4 == 0, F.concat(F.lit("L"), (F.col("id") % 100).cast("string"), F.lit(": "), F.col("text"))).otherwise(F.col("text"))
-    e = movements(spark, sf_dir).select("account_id", error.alias("error"))
-    ref = F.when(F.contains("error", F.lit(":")), F.split_part("error", F.lit(":"), F.lit(1))).otherwise("general")
-    return e.groupBy("account_id", ref.alias("ref")).agg(F.count("*").alias("n"), F.min("error").alias("first"))
-
-
-@query(with_sql(MOVEMENT, "c AS (SELECT account_id, id % 10 AS chunk, count(*) AS n, min(date) AS a, max(date) AS b FROM movement GROUP BY 1, 2)") + "SELECT account_id, CAST(sum(n) AS BIGINT) AS n, min(a) AS period_start, max(b) AS period_end FROM c GROUP BY 1")
-def U5_chunk_merge(spark, sf_dir):
-    chunks = movements(spark, sf_dir).groupBy("account_id", (F.col("id") % 10).alias("chunk")).agg(F.count("*").alias("n"), F.min("date").alias("a"), F.max("date").alias("b"))
-    return chunks.groupBy("account_id").agg(F.sum("n").alias("n"), F.min("a").alias("period_start"), F.max("b").alias("period_end"))
-
-
-@query("SELECT line, (line - 1) // 40 AS chunk FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, user_id FROM events)")
-def S19_chunk_plan(spark, sf_dir):
-    line = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select(line.cast("bigint").alias("line")).select("line", F.floor((F.col("line") - 1) / 40).alias("chunk"))
-
-
-@query("SELECT line, count(DISTINCT doc_id) AS pages FROM (SELECT doc_id, lower(trim(unnest(string_split(text, chr(10))[1:4]))) AS line FROM documents) WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2")
-def S18_page_furniture(spark, sf_dir):
-    head = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line"))
-    return head.select("doc_id", F.lower(F.trim("line")).alias("line")).where("line <> ''").groupBy("line").agg(F.countDistinct("doc_id").alias("pages")).where("pages >= 2")
-
-
 @query(with_sql(LEDGER) + "SELECT id FROM ledger WHERE NOT ignored AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND who = 'household' AND status = 'confirmed'")
 def P7_spending_filter(spark, sf_dir):
     return ledger(spark, sf_dir).where(spending.spending_filter("1997-01-01", "1998-12-31", who="household", status="confirmed")).select("id")
 
 
-@query(with_sql(MOVEMENT) + "SELECT id FROM movement m WHERE EXISTS (SELECT 1 FROM (SELECT account_id, min(date) AS a, min(date) + 5 AS b FROM movement GROUP BY 1) p WHERE p.account_id = m.account_id AND m.date BETWEEN p.a - 3 AND p.b + 3)")
-def P15_covered_rows(spark, sf_dir):
-    moves = movements(spark, sf_dir)
-    periods = moves.groupBy("account_id").agg(F.min("date").alias("a")).select("account_id", F.date_sub("a", 3).alias("a"), F.date_add("a", 8).alias("b"))
-    return moves.join(periods, (moves["account_id"] == periods["account_id"]) & moves["date"].between(periods["a"], periods["b"]), "left_semi").select("id")
-
-
-@query("SELECT o_orderkey AS id, o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-04-06' AND DATE '1999-11-01' AS flagged FROM orders")
-def P16_window_flag(spark, sf_dir):
-    flagged = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 2 == 0) & F.col("o_orderdate").cast("date").between("1996-04-06", "1999-11-01")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), flagged.alias("flagged"))
-
-
-@query("SELECT c_nationkey, CAST(round_even(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 0) AS BIGINT) AS percent, count(*) FILTER (c_acctbal <= 0) AS unmet FROM customer GROUP BY 1")
-def P17_completeness(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.bround(100 * F.count_if(F.col("c_acctbal") > 0) / F.count("*")).cast("bigint").alias("percent"), F.count_if(F.col("c_acctbal") <= 0).alias("unmet"))
-
-
 @query("SELECT p_partkey, substr(sha256(lower(p_name) || '|' || lower(p_brand) || '|amount (gbp)'), 1, 16) AS key FROM part")
 def F8_header_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", header_key(F.array("p_name", F.concat(F.lit(" "), F.upper("p_brand")), F.lit("Amount  (GBP)"))).alias("key"))
@@ -195,12 +128,6 @@ def T8_next_jobs(spark, sf_dir):
     return understanding.claimed(jobs, datetime.datetime(2024, 1, 20)).select("kind", "id")
 
 
-@query("SELECT doc_id, CAST(list_aggregate(list_transform([',', ';', chr(9), '|'], lambda d: len(text) - len(replace(text, d, ''))), 'max') AS INTEGER) AS marks FROM documents")
-def S3_delimiter_counts(spark, sf_dir):
-    counted = [F.length("text") - F.length(F.replace("text", F.lit(d), F.lit(""))) for d in (",", ";", "\t", "|")]
-    return table(spark, sf_dir, "documents").select("doc_id", F.greatest(*counted).alias("marks"))
-
-
 @query("SELECT page_id, CASE WHEN regexp_matches(html, '^\\s*<') THEN NULL ELSE 'csv' END AS kind, sha256(html) AS sha256 FROM pages")
 def S1_file_kinds(spark, sf_dir):
     content = F.col("html").cast("binary")
@@ -214,12 +141,6 @@ def S2_decoded_text(spark, sf_dir):
     return docs.select("doc_id", files.decoded(content).alias("text"))
 
 
-@query(with_sql(LEDGER) + "SELECT id, CASE WHEN who = 'p0' THEN 'p0' WHEN who = 'p1' THEN 'p1' ELSE 'household' END AS who, CASE WHEN confidence >= 0.8 THEN 'inferred' ELSE 'low_confidence' END AS status FROM ledger")
-def F36_default_who(spark, sf_dir):
-    owners = F.when(F.col("who").isin("p0", "p1"), F.array("who")).otherwise(F.array(F.lit("p0"), F.lit("p1")))
-    return ledger(spark, sf_dir).select("id", F.when(F.size(owners) == 1, owners[0]).otherwise("household").alias("who"), F.when(F.col("confidence") >= 0.8, "inferred").otherwise("low_confidence").alias("status"))
-
-
 @query("SELECT conv_id, CAST(round(sum(ceil(length(text) / 4) * CASE WHEN role = 'user' THEN 5 ELSE 15 END) / 1000000.0 * 0.8, 9) AS DOUBLE) AS cost FROM conversations GROUP BY conv_id")
 def F28_priced_cost(spark, sf_dir):
     tokens = tokens_estimate(F.col("text"))

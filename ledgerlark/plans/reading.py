@@ -82,12 +82,6 @@ def F38_restored(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.restored(F.lit("Pay [name_1] to [segment]"), hidden).alias("text"))
 
 
-@query(with_sql(MOVEMENT) + "SELECT account_id, row_number() OVER (PARTITION BY account_id ORDER BY min(date), text) AS alias, text FROM movement GROUP BY account_id, text")
-def F39_aliases(spark, sf_dir):
-    first = movements(spark, sf_dir).groupBy("account_id", "text").agg(F.min("date").alias("first"))
-    return first.select("account_id", F.row_number().over(Window.partitionBy("account_id").orderBy("first", "text")).cast("bigint").alias("alias"), "text")
-
-
 @query()
 def F20_normalised(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalised(F.col("text")).alias("text"))
@@ -99,10 +93,3 @@ def S15_rows_from_boxes(spark, sf_dir):
     boxes = cells.select("page_id", "r", F.explode(F.array(F.lit(0), F.lit(1))).alias("c"))
     placed = boxes.select("page_id", (F.col("c") * 100.0).alias("left"), (F.col("c") * 100.0 + 40).alias("right"), (F.col("r") * 20.0 + F.col("c") * 2).alias("top"), (F.col("r") * 20.0 + 12).alias("bottom"), F.lit("word").alias("text"))
     return X.rows_from_boxes(placed, "page_id").where("text = 'word   word'").groupBy("page_id").agg(F.count("*").alias("rows"))
-
-
-@query("SELECT s_suppkey, upper(substr('ls', 1, 2)) || (s_suppkey % 20) AS district, true AS valid FROM supplier")
-def F19_district(spark, sf_dir):
-    given = F.concat(F.lit(" ls"), (F.col("s_suppkey") % 20).cast("string"), F.lit(" "))
-    own = F.upper(F.trim(given))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", own.alias("district"), own.rlike(r"^[A-Z]{1,2}[0-9][A-Z0-9]?$").alias("valid"))

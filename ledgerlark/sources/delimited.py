@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import pattern_of, printed_date
 from ..functions.money import direction, has_credit_marker, printed_pence
-from ..functions.text import let, normal_description
+from ..functions.text import header_key, let, normal_description
 from .layouts import LAYOUTS, Layout
 
 #: Characters of a cell, records that are looked through for a header.
@@ -54,8 +54,8 @@ def is_date(cell: Column) -> Column:
     return printed_date(cell).isNotNull()
 
 
-def headed(rows: DataFrame, key: str = "file", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """rows with the header of their file (null where it has none) and the header's line.
+def headers(rows: DataFrame, key: str = "file", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """key, header (null where a file has none) and header_line.
 
     The first of the leading records that holds a known signature; else the first that has two filled
     cells, neither date nor money among them, before a record of its width that has a date.
@@ -71,7 +71,12 @@ def headed(rows: DataFrame, key: str = "file", layouts: tuple[Layout, ...] = LAY
     plain = ~F.exists("cells", lambda c: is_date(c) | printed_pence(c).isNotNull())
     followed = (F.size("__next") == F.size("cells")) & F.exists("__next", is_date)
     ranked = early.where(F.col("__n") <= HEADER_SCAN).select(key, F.when(known, F.struct(F.lit(0).alias("r"), "line", normal.alias("cells"))).when(filled & plain & followed, F.struct(F.lit(1).alias("r"), "line", normal.alias("cells"))).alias("h"))
-    header = ranked.groupBy(key).agg(F.min("h").alias("h")).select(key, F.col("h.line").alias("header_line"), F.col("h.cells").alias("header"))
+    return ranked.groupBy(key).agg(F.min("h").alias("h")).select(key, F.col("h.line").alias("header_line"), F.col("h.cells").alias("header"))
+
+
+def headed(rows: DataFrame, key: str = "file", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """The rows below their file's header, or all where it has none, with the header and its line."""
+    header = headers(rows, key, layouts)
     return rows.join(header, key).where(F.col("header_line").isNull() | (F.col("line") > F.col("header_line")))
 
 
@@ -82,6 +87,30 @@ def layout_of(header: Column, width: Column, layouts: tuple[Layout, ...] = LAYOU
     return F.when(header.isNull(), bare).otherwise(F.array_max(F.array_compact(F.array(*fits)))["id"])
 
 
+def layout_id(rows: DataFrame, learned: DataFrame, width: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """rows (header, side) with layout: one learned for the header's key and the account's side, else as layout_of tells.
+
+    learned: header_key, side, layout_id; one row for each key and side.
+    """
+    keyed = rows.withColumn("header_key", F.when(F.col("header").isNotNull(), header_key(F.col("header"))))
+    found = keyed.join(learned.select("header_key", "side", "layout_id"), ["header_key", "side"], "left")
+    return found.withColumn("layout", F.coalesce("layout_id", layout_of(F.col("header"), width, layouts))).drop("header_key", "layout_id")
+
+
+def missing_columns(header: Column, width: Column, layout: Layout) -> Column:
+    """The columns that a layout names and a file lacks, in the layout's order; without a header those beyond its width."""
+    named = [layout.date, *layout.description, layout.amount, layout.money_out, layout.money_in, layout.balance, layout.merchant, layout.category, layout.type, layout.direction, layout.fee, *(column for column, *_ in layout.skip)]
+    lacks = lambda c: (width <= int(c[1:])) if c.startswith("#") else F.coalesce(~F.array_contains(header, c.lower()), F.lit(True))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(lacks(c), F.lit(c)) for c in dict.fromkeys(named) if c])))
+
+
+def table_parts(rows: DataFrame, key: str = "file", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """rows (of records) with ref (L and the line) and part: preamble, header or data. Without a header all are data."""
+    header = headers(rows, key, layouts)
+    part = F.when(F.col("header_line").isNull() | (F.col("line") > F.col("header_line")), "data").when(F.col("line") == F.col("header_line"), "header").otherwise("preamble")
+    return rows.join(header, key).select(key, F.concat(F.lit("L"), F.col("line").cast("string")).alias("ref"), part.alias("part"), "cells")
+
+
 def _get(name: str) -> Column:
     if not name:
         return F.lit("")
@@ -102,10 +131,10 @@ def mapped(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, key: str = "f
     formats = sorted({f for x in layouts for f in x.formats})
     own_formats = F.coalesce(*[F.when(of(x), F.array(*[F.lit(f) for f in x.formats])) for x in layouts])
     told = lambda ids: F.col("layout").isin(*ids) if ids else F.lit(False)
-    cells = rows.where(F.col("layout").isNotNull()).select(
+    cells = rows.select(
         key, "line", "layout", reason.alias("skip"), own_formats.alias("formats"), described.alias("description"),
         *[pick(attr) for attr in ("date", "amount", "money_out", "money_in", "direction", "fee", "balance", "merchant", "category", "type")],
-        told([x.id for x in layouts if x.perspective == "card"]).alias("card"), told([x.id for x in layouts if not x.amount]).alias("two"),
+        F.coalesce(told([x.id for x in layouts if x.perspective == "card"]), F.lit(False)).alias("card"), F.coalesce(told([x.id for x in layouts if not x.amount]), F.lit(False)).alias("two"),
     )
     date = F.coalesce(*[F.when(F.array_contains("formats", f), printed_date(F.col("date"), (pattern_of(f),))) for f in formats])
     read = cells.select(
@@ -120,7 +149,8 @@ def mapped(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, key: str = "f
     amount = F.when(F.col("two"), two).otherwise(one)
     verdict = lambda outcome, why: F.struct(F.lit(outcome).alias("outcome"), why.alias("reason"))
     judged = (
-        F.when(F.col("skip").isNotNull(), verdict("skipped", F.col("skip")))
+        F.when(F.col("layout").isNull(), verdict("problem", F.lit("no known layout")))
+        .when(F.col("skip").isNotNull(), verdict("skipped", F.col("skip")))
         .when(F.col("date").isNull(), verdict("problem", F.lit("no date")))
         .when(F.col("two") & filled("out") & filled("into"), verdict("problem", F.lit("both money out and money in")))
         .when(amount.isNull(), verdict("problem", F.lit("no amount")))
