@@ -40,10 +40,10 @@ def J10_released_partners(spark, sf_dir):
     return own.unionByName(p.join(own.select(F.col("id").alias("pair_id")), "pair_id").select("id")).distinct()
 
 
-@query("SELECT DISTINCT l_suppkey AS statement_id, l_orderkey AS transaction_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'")
+@query("SELECT DISTINCT l_suppkey AS statement_id, l_orderkey AS transaction_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def J12_statement_links(spark, sf_dir):
-    opened = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").join(opened, "l_orderkey", "left_semi").distinct().select(F.col("l_suppkey").alias("statement_id"), F.col("l_orderkey").alias("transaction_id"))
+    stored = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct().join(stored, "l_orderkey", "left_semi").select(F.col("l_suppkey").alias("statement_id"), F.col("l_orderkey").alias("transaction_id"))
 
 
 @query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey IN (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events)")
@@ -58,10 +58,10 @@ def J16_not_running(spark, sf_dir):
     return day.where("event_type = 'click'").join(day.where("event_type = 'error'").select("user_id", "day"), ["user_id", "day"], "left_anti").select("event_id")
 
 
-@query("SELECT l_orderkey AS commitment_id, l_linenumber AS payment, CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2")
+@query("SELECT l_orderkey AS commitment_id, l_linenumber AS payment, CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def J17_commitment_payments(spark, sf_dir):
     dated = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("date"))
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber").join(dated, "l_orderkey").select(F.col("l_orderkey").alias("commitment_id"), F.col("l_linenumber").alias("payment"), "date").orderBy("date", "commitment_id")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(dated, "l_orderkey").select(F.col("l_orderkey").alias("commitment_id"), F.col("l_linenumber").alias("payment"), "date").orderBy("date", "commitment_id")
 
 
 @query("SELECT s_suppkey, s_nationkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_custkey % 50 = s.s_suppkey % 50)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.money import pounds
@@ -50,15 +51,17 @@ _PARSED = "SELECT account_id AS file, CAST(row_number() OVER (PARTITION BY accou
 def S8_ofx(spark, sf_dir):
     block = F.concat(F.lit("<STMTTRN><TRNTYPE>DEBIT\n<DTPOSTED>"), F.date_format("date", "yyyyMMdd"), F.lit("120000\n<TRNAMT>"), pounds(F.col("amount_pence")), F.lit("\n<FITID>"), F.col("id").cast("string"), F.lit("\n<NAME>"), F.col("text"), F.lit("\n<MEMO>memo\n</STMTTRN>"))
     head, tail = F.lit("OFXHEADER:100\n\n<OFX><CURDEF>GBP\n<BANKACCTFROM><ACCTID>12345678\n</BANKACCTFROM><BANKTRANLIST>\n"), F.lit("\n</BANKTRANLIST><LEDGERBAL><BALAMT>12.34\n</LEDGERBAL></OFX>")
-    return markup.ofx(_bodies(movements(spark, sf_dir), block, head, tail)).select("file", "pos", "date", "amount_pence", "description")
+    return markup.ofx(_bodies(movements(spark, sf_dir), block, head, tail)).where("outcome = 'row'").select("file", "pos", "date", "amount_pence", "description")
 
 
 @query(with_sql(MOVEMENT) + _PARSED)
 def S9_qif(spark, sf_dir):
-    block = F.concat(F.lit("D"), F.date_format("date", "MM/dd/yyyy"), F.lit("\nT"), pounds(F.col("amount_pence")), F.lit("\nP"), F.col("text"), F.lit("\n^"))
+    """Month first in files that have a day after the twelfth, which tells it, day first in all others."""
     many = movements(spark, sf_dir)
-    late = many.where("day(date) > 12").select("account_id").distinct()
-    return markup.qif(_bodies(many.join(late, "account_id", "left_semi"), block, F.lit("!Type:Bank\n"))).select("file", "pos", "date", "amount_pence", "description")
+    late = F.max(F.day("date")).over(Window.partitionBy("account_id")) > 12
+    shown = F.when(F.col("late"), F.date_format("date", "MM/dd/yyyy")).otherwise(F.date_format("date", "dd/MM/yyyy"))
+    block = F.concat(F.lit("D"), shown, F.lit("\nT"), pounds(F.col("amount_pence")), F.lit("\nP"), F.col("text"), F.lit("\n^"))
+    return markup.qif(_bodies(many.withColumn("late", late), block, F.lit("!Type:Bank\n"))).select("file", "pos", "date", "amount_pence", "description")
 
 
 @query(with_sql(MOVEMENT) + _PARSED.replace("text AS description", "text AS description, CASE WHEN id % 6 = 0 THEN 'skipped' ELSE 'row' END AS outcome"))

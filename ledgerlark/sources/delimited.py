@@ -14,8 +14,8 @@ from ..functions.money import direction, has_credit_marker, printed_pence
 from ..functions.text import header_key, let, normal_description
 from .layouts import LAYOUTS, Layout
 
-#: Characters of a cell, records that are looked through for a header.
-MOST_CELL, HEADER_SCAN = 1_000_000, 15
+#: Records that are looked through for a header.
+HEADER_SCAN = 15
 
 
 def delimiter(text: Column) -> Column:
@@ -35,15 +35,18 @@ def records(texts: DataFrame, key: str = "file", text: str = "text") -> DataFram
     """
 
     def run(batches):
-        csv.field_size_limit(MOST_CELL)
+        csv.field_size_limit(2**31 - 1)  # a long cell is a cell like any other
         for p in batches:
             out = []
             for k, body, mark in zip(p[key], p["__text"], p["__mark"]):
                 reader, line = csv.reader(io.StringIO(body, newline=""), delimiter=mark), 1
-                for cells in reader:
-                    if any(c.strip() for c in cells):
-                        out.append((k, line, [c.strip() for c in cells]))
-                    line = reader.line_num + 1
+                try:
+                    for cells in reader:
+                        if any(c.strip() for c in cells):
+                            out.append((k, line, [c.strip() for c in cells]))
+                        line = reader.line_num + 1
+                except csv.Error:  # the rest of a file that can't be read is one record without cells
+                    out.append((k, line, []))
             yield pd.DataFrame(out, columns=[key, "line", "cells"])
 
     own = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"), delimiter(F.coalesce(F.col(text), F.lit(""))).alias("__mark"))
@@ -161,7 +164,10 @@ def mapped(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, key: str = "f
 
 
 def parsed(texts: DataFrame, key: str = "file", text: str = "text", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Rows of delimited texts with layout, outcome and pos: oldest first, a fee just before its payment."""
+    """Rows of delimited texts with layout, outcome and pos: oldest first, a fee just before its payment.
+
+    Every file has a row: those of no known layout are problems line by line, and a file without records is one.
+    """
     rows = headed(records(texts, key, text), key, layouts)
     width = F.max(F.size("cells")).over(Window.partitionBy(key))
     told = rows.withColumn("layout", layout_of(F.col("header"), width, layouts))
@@ -173,7 +179,9 @@ def parsed(texts: DataFrame, key: str = "file", text: str = "text", layouts: tup
     dated = F.when(F.col("outcome") == "row", F.col("date"))
     newest_first = F.first(dated, ignorenulls=True).over(ends) > F.last(dated, ignorenulls=True).over(ends)
     ordered = split.withColumn("__order", F.when(newest_first, -F.col("line")).otherwise(F.col("line")))
-    return ordered.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("__order", "part"))).drop("__order")
+    told = ordered.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("__order", "part"))).drop("__order")
+    empty = texts.select(key).join(told.select(key).distinct(), key, "left_anti")
+    return told.unionByName(empty.select(key, F.lit("problem").alias("outcome"), F.lit("no records").alias("reason"), F.lit(1).alias("pos")), allowMissingColumns=True)
 
 
 def inferred_format(rows: DataFrame, key: str, column: int, formats: tuple[str, ...] = ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d", LAYOUTS[2].formats[1])) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,22 +15,37 @@ from pyspark.sql import functions as F
 
 from ..functions.money import printed_pence
 
-MOST_TRANSACTIONS = 50_000
+#: A workbook with more rows or columns, or of more bytes unpacked, is refused as a whole: it's no statement.
 MOST_ROWS, MOST_COLUMNS, MOST_UNPACKED = 20_000, 200, 200 << 20
 
 
+class Refused(ValueError):
+    """Why a workbook isn't read."""
+
+
 def _leaf(block: Column, tag: str) -> Column:
     """Text of an element that may not be closed."""
     return F.nullif(F.trim(F.regexp_extract(block, rf"(?is)<{tag}>([^<\r\n]*)", 1)), F.lit(""))
 
 
 def ofx(texts: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
-    """Transactions of OFX and QFX texts with their account and closing balance; only pounds are read."""
+    """Transactions of OFX and QFX texts with their account, closing balance, outcome and reason.
+
+    Only pounds are read. A file in another currency, or without a transaction, has one row of outcome problem that
+    says so; a transaction without a date or an amount is a problem of its own.
+    """
     body = F.col(text)
     own = texts.select(key, _leaf(body, "ACCTID").alias("account"), printed_pence(_leaf(F.regexp_extract(body, r"(?is)<LEDGERBAL>(.*?)(?:</LEDGERBAL>|$)", 1), "BALAMT")).alias("closing_pence"), F.coalesce(_leaf(body, "CURDEF"), F.lit("GBP")).alias("currency"), F.regexp_extract_all(body, F.lit(r"(?is)<STMTTRN>(.*?)(?=</STMTTRN>|<STMTTRN>|</BANKTRANLIST>)"), F.lit(1)).alias("blocks"))
-    rows = own.where((F.col("currency") == "GBP") & (F.size("blocks") <= MOST_TRANSACTIONS)).select(key, "account", "closing_pence", F.posexplode("blocks").alias("pos", "b"))
+    refused = F.when(F.col("currency") != "GBP", F.concat(F.lit("not in pounds: "), "currency")).when(F.coalesce(F.size("blocks"), F.lit(0)) < 1, "no transactions")
+    told = own.withColumn("refused", refused)
+    rows = told.select(key, "account", "closing_pence", "refused", F.posexplode_outer(F.when(F.col("refused").isNull(), F.col("blocks"))).alias("pos", "b"))
     b = F.col("b")
-    return rows.select(key, "account", "closing_pence", "pos", F.try_to_timestamp(F.substring(_leaf(b, "DTPOSTED"), 1, 8), F.lit("yyyyMMdd")).cast("date").alias("date"), printed_pence(_leaf(b, "TRNAMT")).alias("amount_pence"), _leaf(b, "TRNTYPE").alias("bank_type"), _leaf(b, "FITID").alias("ref"), F.concat_ws(" ", _leaf(b, "NAME"), _leaf(b, "MEMO")).alias("description"))
+    day, pence = F.try_to_timestamp(F.substring(_leaf(b, "DTPOSTED"), 1, 8), F.lit("yyyyMMdd")).cast("date"), printed_pence(_leaf(b, "TRNAMT"))
+    reason = F.coalesce("refused", F.when(day.isNull(), "no date"), F.when(pence.isNull(), "no amount"))
+    return rows.select(
+        key, "account", "closing_pence", "pos", day.alias("date"), pence.alias("amount_pence"), _leaf(b, "TRNTYPE").alias("bank_type"), _leaf(b, "FITID").alias("ref"),
+        F.concat_ws(" ", _leaf(b, "NAME"), _leaf(b, "MEMO")).alias("description"), F.when(reason.isNull(), "row").otherwise("problem").alias("outcome"), reason.alias("reason"),
+    )
 
 
 def qif(texts: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
@@ -63,7 +79,7 @@ def sheet_rows(content: bytes) -> list[tuple[int, list[str]]]:
     """Row numbers and cells of the first sheet with data; numbers have two decimals, dates day first."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         if sum(i.file_size for i in z.infolist()) > MOST_UNPACKED:
-            return []
+            raise Refused("too large")
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in s.iter(f"{_NS}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         dated = set()
@@ -88,9 +104,13 @@ def sheet_rows(content: bytes) -> list[tuple[int, list[str]]]:
                     elif value is not None and kind in (None, "n"):
                         number = float(value)
                         value = (datetime.date(1899, 12, 30) + datetime.timedelta(days=int(number))).strftime("%d/%m/%Y") if int(c.get("s", 0)) in dated else str(int(number)) if number == int(number) else f"{number:.2f}"
-                    if value is not None and at <= MOST_COLUMNS:
+                    if value is not None and at > MOST_COLUMNS:
+                        raise Refused("too many columns")
+                    if value is not None:
                         cells[at or len(cells) + 1] = value.strip()
-                if any(cells.values()) and len(out) < MOST_ROWS:
+                if any(cells.values()) and len(out) == MOST_ROWS:
+                    raise Refused("too many rows")
+                if any(cells.values()):
                     last = max(k for k, v in cells.items() if v)
                     out.append((int(row.get("r", len(out) + 1)), [cells.get(k, "") for k in range(1, last + 1)]))
             if out:
@@ -99,12 +119,20 @@ def sheet_rows(content: bytes) -> list[tuple[int, list[str]]]:
 
 
 def workbooks(files: DataFrame, key: str = "file", content: str = "content") -> DataFrame:
-    """key, line and cells of workbooks, in the form that delimited records have."""
+    """key, line and cells of workbooks, in the form that delimited records have, and reason: a workbook that can't be
+    read, or is too large, has one row without cells that says why. One bad file fails no other."""
+
+    def read(body) -> list[tuple]:
+        try:
+            return [(n, cells, None) for n, cells in sheet_rows(body)] or [(None, None, "no data")]
+        except Refused as e:
+            return [(None, None, str(e))]
+        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, TypeError, EOFError, NotImplementedError, zlib.error) as e:
+            return [(None, None, f"unreadable: {type(e).__name__}")]
 
     def run(batches):
         for p in batches:
-            rows = [(k, n, cells) for k, body in zip(p[key], p["__body"]) for n, cells in sheet_rows(body)]
-            yield pd.DataFrame(rows, columns=[key, "line", "cells"])
+            yield pd.DataFrame([(k, *row) for k, body in zip(p[key], p["__body"]) for row in read(body)], columns=[key, "line", "cells", "reason"]).astype({"line": "Int32"})
 
     own = files.select(key, F.col(content).alias("__body"))
-    return own.mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, line int, cells array<string>")
+    return own.mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, line int, cells array<string>, reason string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shared import shared_dir
+
 
 def arrivals(spark: SparkSession, path: str, schema: StructType, files_at_once: int | None = None) -> DataFrame:
     """A stream over the Parquet files of a folder, or over one file (as its folder, filtered by its name)."""
@@ -45,7 +46,7 @@ def late_halves(out: DataFrame, into: DataFrame, days: int = 3) -> DataFrame:
 
 def folder(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -26,7 +26,11 @@ def test_layouts(spark):
     unknown = "When,What\nfoo,bar\n"
     revolut = "Type,Product,Started Date,Completed Date,Description,Amount,Fee,Currency,State,Balance\nCARD,Current,2024-01-02 10:00:00,2024-01-02 10:00:00,TEA,-3.00,0.20,GBP,COMPLETED,1\nCARD,Current,2024-01-03 10:00:00,,TEA,-3.00,0.00,GBP,PENDING,1\nCARD,Current,2024-01-04 10:00:00,nonsense,TEA,-3.00,0.00,GBP,COMPLETED,1\n"
     texts = spark.createDataFrame([("amex", amex), ("bare", bare), ("unknown", unknown), ("revolut", revolut), ("empty", ""), ("null", None)], "file string, text string")
+    long = spark.createDataFrame([("long", "When," + "x" * 2_000_000 + "\n")], "file string, text string")
     got = [tuple(r) for r in delimited.parsed(texts).orderBy("file", "pos").select("file", "layout", "outcome", "amount_pence", "date", "description").collect()]
+    refused = [(r.file, r.outcome, r.reason) for r in delimited.parsed(texts.unionByName(long)).where("layout is null").orderBy("file", "pos").collect()]
+    assert refused == [("empty", "problem", "no records"), ("long", "problem", "no known layout"), ("null", "problem", "no records"), ("unknown", "problem", "no known layout"), ("unknown", "problem", "no known layout")]
+    got = [r for r in got if r[1] is not None]
     day = lambda d: datetime.date(2024, 1, d)
     assert got == [
         ("amex", "amex", "row", -1250, day(2), "SHOP"), ("amex", "amex", "row", 4000, day(3), "PAYMENT"),
@@ -47,6 +51,23 @@ def test_workbooks(spark):
     got = markup.workbooks(spark.createDataFrame([("f", bytearray(out.getvalue()))], "file string, content binary")).orderBy("line").collect()
     assert [r.cells for r in got] == [["Date", "", "Amount"], ["02/01/2024", "", "-3.50"]]
 
+    def book(rows):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>')
+        return bytearray(out.getvalue())
+
+    files_ = [("bad", bytearray(b"PK not a zip")), ("none", book("")), ("tall", book("".join(f'<row r="{i}"><c r="A{i}"><v>1</v></c></row>' for i in range(1, markup.MOST_ROWS + 2)))), ("torn", book("<row>")), ("wide", book('<row r="1"><c r="ZZ1"><v>1</v></c></row>')), ("good", bytearray(b"") + book('<row r="1"><c r="A1"><v>1</v></c></row>'))]
+    told = markup.workbooks(spark.createDataFrame(files_, "file string, content binary")).select("file", "line", "reason").collect()
+    assert sorted(map(tuple, told)) == [("bad", None, "unreadable: BadZipFile"), ("good", 1, None), ("none", None, "no data"), ("tall", None, "too many rows"), ("torn", None, "unreadable: ParseError"), ("wide", None, "too many columns")]
+
+
+def test_refused_ofx(spark):
+    block = "<STMTTRN><DTPOSTED>20240102<TRNAMT>-1.50<NAME>SHOP</STMTTRN>"
+    files_ = [("pounds", f"<OFX><CURDEF>GBP\n{block}"), ("euros", f"<OFX><CURDEF>EUR\n{block}"), ("none", "<OFX><CURDEF>GBP\n"), ("torn", "<OFX><STMTTRN><TRNAMT>x</STMTTRN>"), ("null", None)]
+    got = markup.ofx(spark.createDataFrame(files_, "file string, text string")).select("file", "pos", "amount_pence", "outcome", "reason").collect()
+    assert sorted(map(tuple, got), key=repr) == [("euros", None, None, "problem", "not in pounds: EUR"), ("none", None, None, "problem", "no transactions"), ("null", None, None, "problem", "no transactions"), ("pounds", 0, -150, "row", None), ("torn", 0, None, "problem", "no date")]
+
 
 def test_american_qif_and_reversed_camt(spark):
     qif = "!Type:Bank\nD1/31/2024\nT-5.00\nPSHOP\n^\nD2/1'24\nT7.00\nPPAY\n^\n"
