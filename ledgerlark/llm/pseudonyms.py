@@ -18,6 +18,9 @@ other half of the name.
 Dates with strokes are read day first, or month first where there's no such day; they keep their order.
 As a stand-in may be readable both ways, stand-ins of the two orders can look alike.
 
+Not looked for, so left as they are: phone numbers without any separator or of other countries than
+the North American ones, bank account numbers, names and postal addresses.
+
 Values that aren't valid stay. A null text stays null, an empty one empty; repeated rows are treated
 alike; an empty table gives none.
 """
@@ -27,13 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
 from .lines import let
 
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31 are 319 x 229.
 DAYS = (319, 229)
 
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+#: A name of any length: it is read from the start of its run only, so in time in proportion.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z0-9-]+"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 DAY_DATE = r"(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])"
@@ -50,12 +55,12 @@ KINDS = {"card": CARD, "mail": MAIL, "address": ADDRESS, "iso_date": ISO_DATE, "
 ANY = "|".join(KINDS.values())
 
 
-def _hash(key: str, kind: str, turn: Column, value: Column) -> Column:
-    """A keyed hash: 60 bits of SHA-256."""
+def _hash(key: Column, kind: str, turn: Column, value: Column) -> Column:
+    """A keyed hash: 60 bits of SHA-256 over key, kind, round and value."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), value.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(key: str, kind: str, x: Column, y: Column, a: Column, b: Column) -> Column:
+def feistel(key: Column, kind: str, x: Column, y: Column, a: Column, b: Column) -> Column:
     """The permuted pair: struct of x below a and y below b."""
     start = F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
 
@@ -91,7 +96,7 @@ def _luhn_digit(body: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
-def _card(key: str, value: Column) -> Column:
+def _card(key: Column, value: Column) -> Column:
     def permuted(digits: Column) -> Column:
         half = F.floor((F.length(digits) - 1) / 2).cast("int")
         rest = (F.length(digits) - 1 - half).cast("int")
@@ -114,7 +119,7 @@ def with_cards_marked(text: Column) -> Column:
     return F.when(text.rlike(DIGITS), let(F.array_distinct(valid), marked)).otherwise(text)
 
 
-def _phone(key: str, value: Column) -> Column:
+def _phone(key: Column, value: Column) -> Column:
     def permuted(digits: Column) -> Column:
         part = lambda at, n: F.substring(digits, F.length(digits) - 10 + at, F.lit(n)).cast("bigint")
         pair = feistel(key, "phone", part(1, 3), part(4, 7), F.lit(1_000), F.lit(10_000_000))
@@ -124,7 +129,7 @@ def _phone(key: str, value: Column) -> Column:
     return _dressed(value, let(_digits(value), permuted))
 
 
-def _social(key: str, value: Column) -> Column:
+def _social(key: Column, value: Column) -> Column:
     """Area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
     part = lambda k: F.element_at(F.split(value, "-"), k).cast("bigint")
     area = part(1) - F.when(part(1) > 666, 2).otherwise(1)
@@ -133,7 +138,7 @@ def _social(key: str, value: Column) -> Column:
     return let(pair, shown)
 
 
-def _address(key: str, value: Column) -> Column:
+def _address(key: Column, value: Column) -> Column:
     part = lambda k: F.element_at(F.split(value, r"\."), k).cast("bigint")
     pair = feistel(key, "address", part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65_536), F.lit(65_536))
     byte = lambda v, high: (F.floor(v / 256) if high else v % 256).cast("bigint").cast("string")
@@ -146,7 +151,7 @@ def _parsed(value: Column, pattern: str) -> Column:
     return F.when(day.between("1900-01-01", "2099-12-31"), day)
 
 
-def _date(key: str, value: Column, day: Column, shown) -> Column:
+def _date(key: Column, value: Column, day: Column, shown) -> Column:
     """All formats share one permutation of days, so a date stays linked however it's written."""
     a, b = DAYS
     n = F.datediff(day, F.lit("1900-01-01").cast("date"))
@@ -154,7 +159,7 @@ def _date(key: str, value: Column, day: Column, shown) -> Column:
     return let(F.date_add(F.lit("1900-01-01").cast("date"), let(pair, lambda p: (p["x"] * b + p["y"]).cast("int"))), shown)
 
 
-def _day_date(key: str, value: Column) -> Column:
+def _day_date(key: Column, value: Column) -> Column:
     """d/M/yyyy or, where that's no date, M/d/yyyy; padded if both numbers are."""
     first, two = _parsed(value, "d/M/yyyy"), value.rlike(r"^\d\d/\d\d/")
 
@@ -165,15 +170,19 @@ def _day_date(key: str, value: Column) -> Column:
     return _date(key, value, F.coalesce(first, _parsed(value, "M/d/yyyy")), shown)
 
 
-def _mail(key: str, value: Column) -> Column:
+def _mail(key: Column, value: Column) -> Column:
     name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
 
     def shifted(text: Column, other: Column, turn: Column) -> Column:
+        # the other half is hashed once, and each place with that hash: time in proportion to the name
+        return let(F.sha2(F.concat_ws("|", F.lit(key), turn.cast("string"), other), 256), lambda seed: by_place(text, seed, turn))
+
+    def by_place(text: Column, seed: Column, turn: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
             def moved(code: Column) -> Column:
                 by = F.when(code.between(48, 57), 10).when(code.between(65, 90) | code.between(97, 122), 26)
                 base = F.when(code.between(48, 57), 48).when(code.between(65, 90), 65).otherwise(97)
-                return F.when(by.isNull(), c).otherwise(F.chr((base + F.pmod(code - base + F.pmod(_hash(key, "mail", turn, F.concat_ws("|", i.cast("string"), other)), by), by)).cast("int")))
+                return F.when(by.isNull(), c).otherwise(F.chr((base + F.pmod(code - base + F.pmod(_hash(key, "mail", turn, F.concat_ws("|", i.cast("string"), seed)), by), by)).cast("int")))
 
             return let(F.ascii(c), moved)
 
@@ -206,7 +215,7 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def pseudonym(key: str, value: Column, kind: Column) -> Column:
+def pseudonym(key: Column, value: Column, kind: Column) -> Column:
     """The value's stand-in; the value itself where kind is null."""
     return (
         F.when(kind == "mail", _mail(key, value))
@@ -223,18 +232,23 @@ def pseudonym(key: str, value: Column, kind: Column) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", name: str = "clean_text", kinds: str = "kinds") -> DataFrame:
     """docs with the text in which every valid value is replaced, and the kinds found, in order.
 
-    The two computed columns take the places of columns of their names.
+    The two computed columns take the places of columns of their names. The key reaches the executors as the value of
+    a subquery, so it stands in no plan and no event log.
     """
-    own = F.col(f"`{text}`")
+    own, names, _ = aside(docs)
+    given = F.col(names[text])
+    secret = docs.sparkSession.createDataFrame([(key,)], "secret string").scalar()
 
     def joined(marked: Column) -> Column:
         told = F.transform(F.regexp_extract_all(marked, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
-        stands = lambda found: F.transform(found, lambda m: pseudonym(key, m["value"], m["kind"]))
+        stands = lambda found: F.transform(found, lambda m: pseudonym(F.col("secret"), m["value"], m["kind"]))
         return let(told, lambda found: F.struct(
             F.array_join(F.zip_with(F.split(marked, ANY, -1), F.concat(stands(found), F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "").alias("text"),
             F.filter(F.transform(found, lambda m: m["kind"]), lambda k: k.isNotNull()).alias("kinds"),
         ))
 
-    held = docs.withColumn("__held", F.when(own.rlike(f"{DIGITS}|{ANY}"), let(with_cards_marked(own), joined)))
+    held = own.withColumn("secret", secret).withColumn("held", F.when(given.rlike(f"{DIGITS}|{ANY}"), let(with_cards_marked(given), joined)))
     none = F.array().cast("array<string>")
-    return held.withColumn(name, F.coalesce("__held.text", own)).withColumn(kinds, F.coalesce("__held.kinds", none)).drop("__held")
+    computed = {name: F.coalesce("held.text", given), kinds: F.coalesce("held.kinds", none)}
+    kept = [F.col(new).alias(old) for old, new in names.items() if old.lower() not in {c.lower() for c in computed}]
+    return held.select(*kept, *[c.alias(n) for n, c in computed.items()])
