@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import next_due
 from ..functions.money import figures, printed_figures, typed_amount
-from ..functions.text import clean, display_name, fingerprint, phrase_in, similar_tokens, variant
-from ..operators import accounts, composites, documents, matching, rules, series, spending, understanding
+from ..functions.text import clean, display_name, fingerprint, outbound, phrase_in, sensitive_classes, similar_tokens, variant
+from ..operators import accounts, composites, documents, matching, redaction, rules, series, spending, understanding
 from ..sources import delimited
 from ..sources.layouts import LAYOUTS
 from .adapter import CATEGORY, LEDGER, MOVEMENT, categories, ledger, movements, table, with_sql
@@ -302,6 +302,44 @@ def F39_aliases(spark, sf_dir):
     return own.select("account_id", "ref", "alias").join(back, ["account_id", "alias"])
 
 
+# Personal data
+
+_CARDS = ("4111 1111 1111 1111", "4012-8888-8888-1881", "4111 1111 1111 1112")
+_SECRET = "t AS (SELECT c_custkey AS k, list_value('4111 1111 1111 1111', '4012-8888-8888-1881', '4111 1111 1111 1112')[CAST(c_custkey % 3 + 1 AS INTEGER)] AS card, 'c' || c_custkey || '@mail.org' AS mail, lower(c_name) AS name FROM customer)"
+
+
+def _secret(spark, sf_dir):
+    k = F.col("c_custkey")
+    card, mail = F.element_at(F.array(*map(F.lit, _CARDS)), (k % 3 + 1).cast("int")), F.concat(F.lit("c"), k.cast("string"), F.lit("@mail.org"))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), card.alias("card"), mail.alias("mail"), F.lower("c_name").alias("name"))
+
+
+@query(with_sql(_SECRET) + "SELECT k, concat_ws(',', CASE WHEN k % 2 = 0 THEN 'card' END, CASE WHEN k % 10 = 0 THEN 'iban' END, CASE WHEN k % 3 = 0 THEN 'sort_code' END, CASE WHEN k % 4 = 1 THEN 'email' END, CASE WHEN k % 7 = 0 THEN 'postcode' END, CASE WHEN k % 11 = 0 THEN 'national_insurance' END) AS kinds FROM t")
+def F21_classes(spark, sf_dir):
+    k = F.col("k")
+    parts = [F.when(k % 2 == 0, F.col("card")), F.when(k % 10 == 0, "GB82 WEST 1234 5698 7654 32"), F.when(k % 3 == 0, "sort 12-34-56"), F.when(k % 4 == 1, F.col("mail")), F.when(k % 7 == 0, "at LS1 4AP"), F.when(k % 11 == 0, "AB 12 34 56 C")]
+    return _secret(spark, sf_dir).select("k", F.array_join(sensitive_classes(F.concat_ws(" ; ", F.lit("Paid on 3 May"), *parts)), ",").alias("kinds"))
+
+
+@query(with_sql(_SECRET) + "SELECT k, 'To [name]: [card] and [email]' || CASE WHEN k % 2 = 0 THEN ', 12.50 on 03/05/2024' ELSE '' END AS text, false AS refused FROM t")
+def F22_outbound(spark, sf_dir):
+    said = F.concat(F.lit("To "), F.upper("name"), F.lit(": "), "card", F.lit(" and "), "mail", F.when(F.col("k") % 2 == 0, ", 12.50 on 03/05/2024").otherwise(""))
+    return _secret(spark, sf_dir).select("k", outbound(said, F.array("name")).alias("o")).select("k", "o.text", "o.refused")
+
+
+@query(with_sql(_SECRET) + """, c AS (SELECT *, CASE WHEN k % 3 < 2 THEN '[CARD_1]' ELSE card END AS shown FROM t)
+    SELECT k, 'From [EMAIL_1], card ' || shown AS first, 'again ' || shown || ', [EMAIL_1] to [EMAIL_2]' AS second, 'again ' || card || ', ' || mail || ' to x@y.org' AS back FROM c""")
+def F23_redaction(spark, sf_dir):
+    """One token a value through both lines, and the second line put back; a number that is no card stays."""
+    own = _secret(spark, sf_dir)
+    first = own.select("k", F.lit(1).alias("pos"), F.concat(F.lit("From "), "mail", F.lit(", card "), "card").alias("text"))
+    second = own.select("k", F.lit(2).alias("pos"), F.concat(F.lit("again "), "card", F.lit(", "), F.upper("mail"), F.lit(" to x@y.org")).alias("text"))
+    hidden, mapping = redaction.redacted(first.unionByName(second), "k")
+    line = lambda n, name: hidden.where(F.col("pos") == n).select("k", F.col("text").alias(name))
+    back = redaction.put_back(line(2, "text"), mapping, "k").select("k", F.col("text").alias("back"))
+    return line(1, "first").join(line(2, "second"), "k").join(back, "k")
+
+
 # Pages and layouts
 
 _FOLDED = "regexp_replace(lower(trim(regexp_replace(t.l, '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g')"
