@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import gc
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import cut, is_written, removed, scratch, shared_dir  # noqa: F401
+
 #: Bytes of text handed to a kernel at once; one longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
 #: Rows and bytes of an Arrow batch: whole texts can be long, so batches stay short.
@@ -35,17 +35,6 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. On one machine a folder of our own will do where none is set; on a cluster it wouldn't."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of this session small in rows and bytes; smaller settings of its own stay.
 
@@ -70,41 +59,6 @@ def kept_in_worker(key, make: Callable):
     return _KEPT[key]
 
 
-#: Folders that cut() wrote in this session and that scratch() hasn't removed.
-_CUTS: list[str] = []
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: short lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    _CUTS.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Remove a folder wherever it lies."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def is_written(spark: SparkSession, path: str) -> bool:
-    """Whether a folder holds a table whose writing came to its end."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """At its end the folders go that cut() wrote inside; what is still needed must have been written elsewhere by then."""
-    held = len(_CUTS)
-    yield
-    for path in _CUTS[held:]:
-        removed(spark, path)
-    del _CUTS[held:]
-
-
 def without(docs: DataFrame, gone: DataFrame, by: list[str], most: int = 200_000) -> DataFrame:
     """docs but for the rows whose keys are in gone (null keys are never): gone is written and counted, and broadcast
     only if it has at most so many rows; beyond that both sides are shuffled by their keys."""

@@ -43,7 +43,7 @@ COMMON = 150_000
 #: Log frequencies are whole numbers of this part of one.
 UNIT = 65_536
 #: Characters whose words are told side by side.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 @dataclass

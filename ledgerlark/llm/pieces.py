@@ -32,7 +32,7 @@ from .common import inside, kept_in_worker, map_texts, starts_of
 
 SPACE = "▁"
 #: Characters that are merged side by side.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: The rank of what isn't a pair: above all ranks, and a position fits below it in 64 bits.
 _NONE = np.int64(1 << 30)
 _POINTS = 0x110000
