@@ -22,4 +22,4 @@ def export_csv(rows: DataFrame, path: str) -> None:
         F.date_format("date", "dd/MM/yyyy").alias("Date"), F.col("description").alias("Counter Party"), F.lit("").alias("Reference"), F.lit("CARD").alias("Type"),
         pounds(F.col("amount_pence")).alias("Amount (GBP)"), F.lit("").alias("Balance (GBP)"), F.lit("").alias("Spending Category"),
     )
-    shown.write.mode("overwrite").option("header", "true").option("quoteAll", "true").csv(path)
+    shown.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", "\"").csv(path)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .documents import evidence, household_sign_wrong
+from .temporal import running_mismatches
+
 #: Unsigned rows of a stretch from which on ways aren't counted.
 MOST_UNSIGNED = 16
 
@@ -44,6 +47,26 @@ def repaired_signs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return own.select(*rows.columns, F.coalesce(flips, F.lit(False)).alias("flipped")).withColumn("amount_pence", F.when(F.col("flipped"), -F.col("amount_pence")).otherwise(F.col("amount_pence")))
 
 
+def verified(rows: DataFrame, statements: DataFrame, key: str, tolerance: int = 1) -> DataFrame:
+    """key, ref, code: what is to be looked at in read statements. Signs are repaired first, then rows and statements checked.
+
+    rows: key, ref, pos, text (the line that a row was read from), amount_pence, balance_after_pence, unsigned. statements:
+    key, opening_pence, closing_pence, doubt (why the account or its signs can't be trusted, or null). Codes of rows: not
+    printed (the amount isn't on its line), sign (the line prints the other one), balance (the printed balance isn't what
+    the one before and the rows since lead to); of statements, without a ref: closing, no rows, and their doubt.
+    """
+    own = repaired_signs(rows, [key])
+    on_line = F.array_compact(F.array(F.when(~evidence(F.col("text"), F.col("amount_pence")), "not printed"), F.when(household_sign_wrong(F.col("text"), F.col("amount_pence")), "sign")))
+    by_row = own.select(key, "ref", F.explode(on_line).alias("code"))
+    running = running_mismatches(own.withColumn("id", F.col("ref")), [key], tolerance).select(key, F.col("id").alias("ref"), F.lit("balance").alias("code"))
+    sums = own.groupBy(key).agg(F.sum("amount_pence").alias("total"))
+    read = statements.join(sums, key, "left")
+    off = F.abs(F.col("opening_pence") + F.col("total") - F.col("closing_pence")) > tolerance
+    codes = F.array_compact(F.array(F.when(F.col("total").isNull(), "no rows"), F.when(off, "closing"), F.col("doubt")))
+    whole = read.select(key, F.lit(None).cast(rows.schema["ref"].dataType).alias("ref"), F.explode(codes).alias("code"))
+    return by_row.unionByName(running).unionByName(whole)
+
+
 def sign_label(text):
     """Sign told by a label in a line: the first of an ordered list that occurs."""
     labels = ((r"\bdr\b", -1), (r"\bcr\b", 1), (r"\b(paid|money) out\b", -1), (r"\bwithdraw", -1), (r"\b(paid|money) in\b", 1), (r"\bdeposit", 1), (r"\bdebit", -1), (r"\bcredit", 1), (r"\bout\b", -1), (r"\bin\b", 1))

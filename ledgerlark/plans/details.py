@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.dates import next_due
 from ..functions.money import figures, printed_figures, typed_amount
 from ..functions.text import clean, display_name, fingerprint, outbound, phrase_in, sensitive_classes, similar_tokens, variant
-from ..operators import accounts, composites, documents, matching, redaction, rules, series, spending, understanding
+from ..operators import accounts, composites, documents, matching, redaction, rules, series, sinks, spending, understanding
+from ..shared import shared_dir
 from ..sources import delimited
 from ..sources.layouts import LAYOUTS
 from .adapter import CATEGORY, LEDGER, MOVEMENT, categories, ledger, movements, table, with_sql
@@ -435,6 +437,16 @@ def P6_required_columns(spark, sf_dir):
     return own.select("p_partkey", F.array_join(delimited.missing_columns(F.col("header"), F.size("header"), _REVOLUT), ",").alias("missing"))
 
 
+@query(with_sql(MOVEMENT) + "SELECT id, date, amount_pence, 'starling' AS layout FROM movement")
+def W9_export(spark, sf_dir):
+    """Transactions written as an export and read back as a bank's, quotes and commas in their texts included."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    sinks.export_csv(movements(spark, sf_dir).select("date", F.concat(F.lit('a "b", '), F.col("id").cast("string")).alias("description"), "amount_pence"), path)
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    back = delimited.parsed(files).where("outcome = 'row'")
+    return back.select(F.regexp_extract("description", r"(\d+)$", 1).cast("bigint").alias("id"), "date", "amount_pence", "layout")
+
+
 # Series, step by step
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import sinks
 from ..streaming import arrivals as A
 from .adapter import MOVEMENT, table, with_sql
 from .registry import query
@@ -33,6 +34,20 @@ def ST5_late_halves(spark, sf_dir):
     return A.run_available(A.late_halves(half("purchase"), half("signup"))).select("out_id", "in_id", F.col("out_size").alias("size"))
 
 
+@query("SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS covered_to, count(*) AS n FROM events GROUP BY 1")
+def ST3_incremental_coverage(spark, sf_dir):
+    """Coverage kept by snapshots: each batch of arrivals touches its own accounts only, and a batch run twice counts once."""
+    at = A.folder(spark)
+
+    def work(batch, number):
+        sums = batch.groupBy("user_id").agg(F.max("at").alias("covered_to"), F.count("*").alias("n"))
+        sinks.snapshot(sums, at, number)
+
+    A.for_each_batch(_events(spark, sf_dir), work)
+    kept = spark.read.schema("user_id bigint, covered_to timestamp, n bigint").parquet(f"{at}/version=*")
+    return kept.groupBy("user_id").agg(F.date_format(F.max("covered_to"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("covered_to"), F.sum("n").alias("n"))
+
+
 @query("SELECT user_id, max(ts) AS covered_to, count(*) AS n FROM events GROUP BY 1")
 def ST6_coverage(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("covered_to"), F.count("*").alias("n"))
