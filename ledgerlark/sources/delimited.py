@@ -170,8 +170,7 @@ def parsed(texts: DataFrame, key: str = "file", text: str = "text", layouts: tup
     """
     rows = headed(records(texts, key, text), key, layouts)
     width = F.max(F.size("cells")).over(Window.partitionBy(key))
-    told = rows.withColumn("layout", layout_of(F.col("header"), width, layouts))
-    out = mapped(told, layouts, key)
+    out = mapped(rows.withColumn("layout", layout_of(F.col("header"), width, layouts)), layouts, key)
     is_fee = lambda: F.coalesce(F.col("fee_pence") != 0, F.lit(False)) & (F.col("outcome") == "row")
     parts = F.when(is_fee(), F.array(F.struct(F.lit(0).alias("part"), F.col("fee_pence").alias("pence")), F.struct(F.lit(1).alias("part"), F.col("amount_pence").alias("pence")))).otherwise(F.array(F.struct(F.lit(1).alias("part"), F.col("amount_pence").alias("pence"))))
     split = out.withColumn("p", F.explode(parts)).withColumn("amount_pence", F.col("p.pence")).withColumn("part", F.col("p.part")).drop("p", "fee_pence")
@@ -180,7 +179,7 @@ def parsed(texts: DataFrame, key: str = "file", text: str = "text", layouts: tup
     newest_first = F.first(dated, ignorenulls=True).over(ends) > F.last(dated, ignorenulls=True).over(ends)
     ordered = split.withColumn("__order", F.when(newest_first, -F.col("line")).otherwise(F.col("line")))
     told = ordered.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("__order", "part"))).drop("__order")
-    empty = texts.select(key).join(told.select(key).distinct(), key, "left_anti")
+    empty = texts.select(key).join(rows.select(key).distinct(), key, "left_anti")
     return told.unionByName(empty.select(key, F.lit("problem").alias("outcome"), F.lit("no records").alias("reason"), F.lit(1).alias("pos")), allowMissingColumns=True)
 
 
