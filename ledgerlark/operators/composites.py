@@ -99,7 +99,7 @@ def pay_dates(sources: DataFrame, calendar: DataFrame, start, end) -> DataFrame:
     interval = F.col("kind").isin("weekly", "fortnightly", "four_weekly")
     wanted = F.when(interval & (F.datediff(F.lit(end), F.lit(start)) >= ahead), every).when(interval, F.array().cast("array<date>")).when(F.col("kind") == "last_weekday", weekday).otherwise(on_day)
     raw = sources.withColumn("raw_day", F.explode(wanted))
-    moved = raw.join(F.broadcast(calendar.select(F.col("division"), F.col("day").alias("raw_day"), "previous", "next")), ["division", "raw_day"], "left")
+    moved = raw.join(calendar.select(F.col("division"), F.col("day").alias("raw_day"), "previous", "next"), ["division", "raw_day"], "left")
     early = (F.col("kind") == "last_working_day") | ((F.col("kind") == "monthly_day") & (F.col("adjust") == "previous_working_day"))
     late = (F.col("kind") == "monthly_day") & (F.col("adjust") == "next_working_day")
     day = F.when(early, F.coalesce("previous", "raw_day")).when(late, F.coalesce("next", "raw_day")).otherwise(F.col("raw_day"))

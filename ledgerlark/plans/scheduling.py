@@ -68,7 +68,7 @@ def holidays(spark):
 def F16_working_day(spark, sf_dir):
     calendar = D.working_days(spark, "1994-12-01", "2002-12-31", holidays(spark))
     keyed = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.when(F.col("o_orderkey") % 2 == 0, "england").otherwise("scotland").alias("division"))
-    return keyed.join(F.broadcast(calendar), ["day", "division"]).select("o_orderkey", "division", F.col("previous").alias("pay_day"))
+    return keyed.join(calendar, ["day", "division"]).select("o_orderkey", "division", F.col("previous").alias("pay_day"))
 
 
 @query("""WITH s AS (SELECT s_suppkey, CAST(s_suppkey % 31 AS INTEGER) + 1 AS wanted FROM supplier), m AS (SELECT CAST(d AS DATE) AS month FROM generate_series(DATE '2024-01-01', DATE '2024-12-01', INTERVAL 1 MONTH) g(d))
