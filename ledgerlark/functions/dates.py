@@ -88,3 +88,44 @@ def working_days(spark: SparkSession, first: str, last: str, holidays: DataFrame
 
 def month_period(day: Column) -> Column:
     return F.struct(F.trunc(day, "month").alias("start"), F.last_day(day).alias("end"))
+
+
+def month_grid(months: DataFrame, month: str = "month") -> DataFrame:
+    """month, week (its Monday), weekday (0 is Monday) and day: whole weeks from the Monday on or before the first of a
+    month to the Sunday on or after its last."""
+    first = F.trunc(month, "month")
+    monday = F.date_sub(first, F.weekday(first))
+    last = F.last_day(month)
+    days = F.explode(F.sequence(monday, F.date_add(last, 6 - F.weekday(last)), F.expr("interval 1 day"))).alias("day")
+    return months.select(month, days).select(month, F.date_sub("day", F.weekday("day")).alias("week"), F.weekday("day").alias("weekday"), "day", (F.trunc("day", "month") == F.trunc(month, "month")).alias("inside"))
+
+
+def easter(year: Column) -> Column:
+    """Easter Sunday, by the Gregorian rule."""
+    div = lambda a, b: F.floor(a / b)
+    century, golden = div(year, F.lit(100)), year % 19
+    epact = (15 + century - div(century, F.lit(4)) - div(8 * century + 13, F.lit(25)) + 19 * golden) % 30
+    moon = epact - div(epact, F.lit(28)) * (1 - div(epact, F.lit(28)) * div(F.lit(29), epact + 1) * div(21 - golden, F.lit(11)))
+    weekday = (year + div(year, F.lit(4)) + moon + 2 - century + div(century, F.lit(4))) % 7
+    return F.date_add(F.make_date(year.cast("int"), F.lit(3), F.lit(28)), (moon - weekday).cast("int"))
+
+
+def bank_holidays(years: DataFrame, year: str = "year") -> DataFrame:
+    """division, day and name of the regular bank holidays of years, moved to the next working day where that is the rule.
+
+    Days that were proclaimed once (a jubilee, a moved May day) are no rule; they can be added to the table.
+    """
+    y = F.col(year).cast("int")
+    on = lambda month, day: F.make_date(y, F.lit(month), F.lit(day))
+    first_monday = lambda month: F.date_add(on(month, 1), (7 - F.weekday(on(month, 1))) % 7)
+    last_monday = lambda month: F.date_sub(F.last_day(on(month, 1)), F.weekday(F.last_day(on(month, 1))))
+    past_weekend = lambda d: F.date_add(d, F.when(F.weekday(d) > 4, 7 - F.weekday(d)).otherwise(0).cast("int"))
+    second = lambda d: F.date_add(d, F.when(F.weekday(d) > 4, 2).when(F.weekday(d) == 0, 1).otherwise(0))  # noqa: E731  the day after one that may have moved
+    sunday = easter(y)
+    rules = {
+        "New Year": (past_weekend(on(1, 1)), "ews"), "Second of January": (second(on(1, 2)), "s"), "Good Friday": (F.date_sub(sunday, 2), "ews"), "Easter Monday": (F.date_add(sunday, 1), "e"),
+        "Early May": (first_monday(5), "ews"), "Spring": (last_monday(5), "ews"), "Summer": (last_monday(8), "e"), "Scottish summer": (first_monday(8), "s"),
+        "St Andrew": (past_weekend(on(11, 30)), "s"), "Christmas": (past_weekend(on(12, 25)), "ews"), "Boxing Day": (second(on(12, 26)), "ews"),
+    }
+    rows = [F.struct(F.lit(division).alias("division"), day.alias("day"), F.lit(name).alias("name")) for name, (day, where) in rules.items() for letter, division in (("e", "england"), ("s", "scotland")) if letter in where]
+    return years.select(F.explode(F.array(*rows)).alias("h")).select("h.*")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import next_due
-from ..functions.money import figures, printed_figures, typed_amount
+from ..functions.dates import bank_holidays, month_grid, next_due
+from ..functions.money import figures, pounds, printed_figures, typed_amount
 from ..functions.text import clean, display_name, fingerprint, outbound, phrase_in, sensitive_classes, similar_tokens, variant
 from ..operators import accounts, composites, documents, matching, redaction, rules, series, sinks, spending, understanding
 from ..shared import shared_dir
@@ -418,6 +419,58 @@ def P2_outcomes(spark, sf_dir):
     return delimited.parsed(_csv(spark, sf_dir)).groupBy("file", "outcome", "reason").agg(F.count("*").alias("n"), F.sum("amount_pence").alias("pence"))
 
 
+@query(with_sql(MOVEMENT) + """SELECT id AS file, CASE WHEN id % 3 = 1 AND id % 10 = 0 THEN 'problem' ELSE 'row' END AS outcome, CASE WHEN id % 3 = 1 AND id % 10 = 0 THEN NULL ELSE amount_pence END AS amount_pence FROM movement""")
+def P3_signs(spark, sf_dir):
+    """A card's view with CR marks, two columns (both filled: a problem) and signed amounts, as one sign convention."""
+    k, pence = F.col("id") % 3, F.col("amount_pence")
+    size, day = pounds(F.abs(pence)), F.date_format("date", "dd/MM/yyyy")
+    both = F.col("id") % 10 == 0
+    card = F.array(day, F.lit("SHOP"), F.when(pence < 0, size).otherwise(F.concat(size, F.lit(" CR"))))
+    two = F.array(day, F.lit("SHOP"), F.when((pence < 0) | both, size).otherwise(""), F.when((pence > 0) | both, size).otherwise(""))
+    rows = movements(spark, sf_dir).select(
+        F.col("id").alias("file"), F.lit(2).alias("line"), F.when(k == 0, card).when(k == 1, two).otherwise(F.array(day, F.lit("SHOP"), F.lit(""), F.lit("CARD"), pounds(pence))).alias("cells"),
+        F.when(k == 0, F.lit(["date", "description", "amount"])).when(k == 1, F.lit(["transaction date", "transaction description", "debit amount", "credit amount"])).otherwise(F.lit(["date", "counter party", "reference", "type", "amount (gbp)"])).alias("header"),
+        F.when(k == 0, "amex").when(k == 1, "lloyds-halifax").otherwise("starling").alias("layout"),
+    )
+    return delimited.mapped(rows).select("file", "outcome", F.when(F.col("outcome") == "row", F.col("amount_pence")).alias("amount_pence"))
+
+
+@query(with_sql(MOVEMENT) + "SELECT id, CAST(-50 AS BIGINT) AS fee_pence, amount_pence AS next_pence FROM movement WHERE account_id % 3 = 2 AND id % 4 = 0 AND id % 5 <> 0")
+def P4_fee_rows(spark, sf_dir):
+    """Each fee, and the payment that follows it at once."""
+    rows = movements(spark, sf_dir).where("account_id % 3 = 2")
+    line = F.concat_ws(",", F.lit("CARD_PAYMENT"), F.lit("Current"), F.date_format("date", "yyyy-MM-dd 10:00:00"), F.date_format("date", "yyyy-MM-dd 10:00:00"), F.col("id").cast("string"), pounds(F.col("amount_pence")), F.when(F.col("id") % 4 == 0, "0.50").otherwise("0.00"), F.lit("GBP"), F.when(F.col("id") % 5 == 0, "PENDING").otherwise("COMPLETED"), F.lit("5.00"))
+    text = F.concat(F.lit("Type,Product,Started Date,Completed Date,Description,Amount,Fee,Currency,State,Balance\n"), line)
+    both = Window.partitionBy("file").orderBy("pos")
+    read = delimited.parsed(rows.select(F.col("id").alias("file"), text.alias("text")))
+    after = read.withColumn("next_pence", F.lead("amount_pence").over(both))
+    return after.where("outcome = 'row' AND part = 0").select(F.col("description").cast("bigint").alias("id"), F.col("amount_pence").alias("fee_pence"), "next_pence")
+
+
+@query(with_sql(MOVEMENT) + "SELECT account_id AS file, CASE account_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 END AS header_line, CASE account_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 3 END AS width FROM movement GROUP BY 1")
+def S5_headers(spark, sf_dir):
+    """A known header below two lines, an unknown one before dated records of its width, and none."""
+    k = F.col("file") % 3
+    rows = movements(spark, sf_dir).groupBy(F.col("account_id").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", F.date_format("date", "dd/MM/yyyy"), "text", F.lit("1.00")))), "\n").alias("body"))
+    head = F.when(k == 0, "Statement\nof,account\nDate,Counter Party,Reference,Type,Amount (GBP),Balance (GBP),Spending Category\n").when(k == 1, "Made on 1 May\nWhen,To whom,How much\n").otherwise("")
+    found = delimited.headers(delimited.records(rows.select("file", F.concat(head, "body").alias("text"))))
+    return found.select("file", "header_line", F.size("header").alias("width"))
+
+
+@query(with_sql(MOVEMENT) + """SELECT account_id AS file, 0 AS date, CASE account_id % 2 WHEN 0 THEN '%d/%m/%Y' ELSE '%Y-%m-%d' END AS format, CASE WHEN account_id % 3 < 2 THEN 2 END AS amount, CASE WHEN account_id % 3 = 2 THEN 2 END AS "out", CASE WHEN account_id % 3 = 2 THEN 3 END AS "into",
+    CASE WHEN account_id % 3 = 2 THEN 4 END AS balance, CASE WHEN account_id % 3 = 1 THEN 3 END AS direction FROM movement GROUP BY 1 HAVING max(day(date)) > 12 AND (account_id % 3 <> 2 OR (bool_or(amount_pence < 0) AND bool_or(amount_pence > 0)))""")
+def P21_inferred_layout(spark, sf_dir):
+    """One signed column, one with a direction, and two with a balance, in two date formats, told from the cells alone."""
+    k, pence = F.col("account_id"), F.col("amount_pence")
+    day = F.when(k % 2 == 0, F.date_format("date", "dd/MM/yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    size = pounds(F.abs(pence))
+    cells = F.when(k % 3 == 0, F.array(day, F.col("text"), pounds(pence))).when(k % 3 == 1, F.array(day, F.col("text"), size, F.when(pence < 0, "DR").otherwise("CR"))).otherwise(F.array(day, F.col("text"), F.when(pence < 0, size).otherwise(""), F.when(pence > 0, size).otherwise(""), F.lit("10.00")))
+    both = Window.partitionBy("account_id")
+    told = movements(spark, sf_dir).withColumn("last", F.max(F.day("date")).over(both)).withColumn("two", F.bool_or(pence < 0).over(both) & F.bool_or(pence > 0).over(both))
+    rows = told.where((F.col("last") > 12) & ((k % 3 != 2) | F.col("two"))).select(k.alias("file"), cells.alias("cells"))
+    return delimited.inferred_layout(delimited.inferred_columns(rows))
+
+
 @query(with_sql(MOVEMENT) + "SELECT account_id AS file, min(date) AS first_date, max(date) AS last_date FROM movement WHERE NOT (account_id % 3 = 2 AND id % 5 = 0) GROUP BY 1")
 def P5_order_repair(spark, sf_dir):
     """The dates of the first and the last row of each file: newest-first files are turned round."""
@@ -530,3 +583,28 @@ def WN10_household_series(spark, sf_dir):
 def D8_commitment_flags(spark, sf_dir):
     """WN18 and D8: the flags of the same series."""
     return composites.commitment_run(household(spark, sf_dir), datetime.date(2024, 12, 31)).select("account_id", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""WITH m AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders), d AS (SELECT month, CAST(unnest(generate_series(CAST(date_trunc('week', month) AS DATE), CAST(date_trunc('week', last_day(month)) AS DATE) + 6, INTERVAL 1 DAY)) AS DATE) AS day FROM m)
+    SELECT month, CAST(date_trunc('week', day) AS DATE) AS week, CAST(isodow(day) - 1 AS INTEGER) AS weekday, day, month(day) = month(month) AS inside FROM d""")
+def F37_month_weeks(spark, sf_dir):
+    return month_grid(table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).distinct())
+
+
+@query("""WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) + 20 AS INTEGER) AS y FROM orders), a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
+    h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a), l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h), m AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM l),
+    e AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS sunday FROM m),
+    d AS (SELECT y, sunday, CAST(unnest(generate_series(make_date(y, 1, 1), make_date(y, 12, 31), INTERVAL 1 DAY)) AS DATE) AS day FROM e),
+    n AS (SELECT *, isodow(day) = 1 AS monday, month(day) AS mo, day(day) AS dd FROM d),
+    r AS (SELECT 'england' AS division, day FROM n WHERE day IN (sunday - 2, sunday + 1) OR (monday AND ((mo = 5 AND (dd <= 7 OR dd > 24)) OR (mo = 8 AND dd > 24)))
+        UNION ALL SELECT 'scotland', day FROM n WHERE day = sunday - 2 OR (monday AND ((mo = 5 AND (dd <= 7 OR dd > 24)) OR (mo = 8 AND dd <= 7)))
+        UNION ALL SELECT v, min(day) FROM n, (VALUES ('england'), ('scotland')) t(v) WHERE mo = 1 AND isodow(day) < 6 GROUP BY y, v
+        UNION ALL SELECT v, min(day) FROM n, (VALUES ('england'), ('scotland')) t(v) WHERE mo = 12 AND dd >= 25 AND isodow(day) < 6 GROUP BY y, v
+        UNION ALL SELECT 'scotland', (list_sort(list(day)))[2] FROM n WHERE mo = 1 AND isodow(day) < 6 GROUP BY y
+        UNION ALL SELECT v, (list_sort(list(day)))[2] FROM n, (VALUES ('england'), ('scotland')) t(v) WHERE mo = 12 AND dd >= 25 AND isodow(day) < 6 GROUP BY y, v
+        UNION ALL SELECT 'scotland', min(day) FROM n WHERE (mo = 11 AND dd = 30 OR mo = 12 AND dd < 4) AND isodow(day) < 6 GROUP BY y)
+    SELECT division, day FROM r""")
+def S21_bank_holidays(spark, sf_dir):
+    """The regular bank holidays of the years of orders (twenty years on), against another form of the Easter rule."""
+    years = table(spark, sf_dir, "orders").select((F.year("o_orderdate") + 20).alias("year")).distinct()
+    return bank_holidays(years).select("division", "day")

@@ -39,12 +39,14 @@ def D13_row_evidence(spark, sf_dir):
     return own.select("id", X.evidence(F.col("text"), F.col("amount_pence")).alias("printed"), X.household_sign_wrong(F.col("text"), read).alias("wrong"))
 
 
-@query("SELECT s_suppkey, lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') AS last4, s_suppkey * 7 AS opening_pence, s_suppkey % 2 = 0 AS card FROM supplier")
+@query("""SELECT s_suppkey, lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') AS last4, s_suppkey * 7 AS opening_pence, -(s_suppkey * 3 + 1) AS closing_pence, s_suppkey % 2 = 0 AS card, s_suppkey % 2 = 1 AS debit, DATE '2024-01-01' + CAST(s_suppkey % 300 AS INTEGER) AS period_start, DATE '2024-01-29' + CAST(s_suppkey % 300 AS INTEGER) AS period_end FROM supplier""")
 def P19_header_facts(spark, sf_dir):
     k = F.col("s_suppkey")
-    text = F.concat(F.when(k % 2 == 0, "Credit limit\n").otherwise("Statement\n"), F.lit("Account number: **** **** "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("\nOpening balance: £"), pounds(k * 7))
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int"))
+    period = F.when(k % 3 == 0, F.concat(F.lit("Period: "), F.date_format(start, "dd/MM/yyyy"), F.lit(" to "), F.date_format(F.date_add(start, 28), "dd/MM/yyyy"))).otherwise(F.concat(F.lit("from "), F.date_format(start, "d MMMM yyyy"), F.lit(" until "), F.date_format(F.date_add(start, 28), "d MMMM yyyy")))
+    text = F.concat(F.when(k % 2 == 0, "Credit limit\n").otherwise("Current account\n"), F.lit("Account number: **** **** "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("\n"), period, F.lit("\nOpening balance: £"), pounds(k * 7), F.lit("\nClosing balance: -£"), pounds(k * 3 + 1))
     facts = X.header_facts(text)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", facts["last4"].alias("last4"), facts["opening_pence"].alias("opening_pence"), facts["card"].alias("card"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", *[facts[c].alias(c) for c in ("last4", "opening_pence", "closing_pence", "card", "debit", "period_start", "period_end")])
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 3 = 1 AND p_partkey % 40 BETWEEN 1 AND 31 THEN 0 ELSE 1 END AS codes FROM part")

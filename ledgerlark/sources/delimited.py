@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import pattern_of, printed_date
 from ..functions.money import direction, has_credit_marker, printed_pence
-from ..functions.text import header_key, let, normal_description
+from ..functions.text import header_key, normal_description
 from .layouts import LAYOUTS, Layout
 
 #: Records that are looked through for a header.
@@ -183,10 +183,37 @@ def parsed(texts: DataFrame, key: str = "file", text: str = "text", layouts: tup
     return told.unionByName(empty.select(key, F.lit("problem").alias("outcome"), F.lit("no records").alias("reason"), F.lit(1).alias("pos")), allowMissingColumns=True)
 
 
-def inferred_format(rows: DataFrame, key: str, column: int, formats: tuple[str, ...] = ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d", LAYOUTS[2].formats[1])) -> DataFrame:
-    """Per file the date format that reads most cells of a column; the first of equals."""
-    cell = F.try_element_at("cells", F.lit(column + 1))
-    counts = [F.count_if(F.try_to_timestamp(cell, F.lit(pattern_of(f))).isNotNull()).alias(f"n{i}") for i, f in enumerate(formats)]
-    counted = rows.groupBy(key).agg(*counts)
-    best = F.array_max(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(formats)]))
-    return counted.select(key, let(best, lambda b: F.when(b["n"] > 0, b["format"])).alias("format"))
+#: What a cell looks like, without its value: kinds in the order in which they're tried.
+CELL_KINDS = ("empty", "date", "money", "marker", "number", "text")
+#: A column is of a kind if so large a share of its filled cells is.
+COLUMN_SHARE = 0.8
+
+
+def cell_kind(cell: Column) -> Column:
+    text = F.trim(F.coalesce(cell, F.lit("")))
+    return (
+        F.when(text == "", "empty").when(is_date(text), "date").when(direction(text).isNotNull(), "marker")
+        .when(printed_pence(text).isNotNull() & text.rlike(r"[.,£$€()+−-]"), "money").when(text.rlike(r"^\d+$"), "number").otherwise("text")
+    )
+
+
+def inferred_columns(rows: DataFrame, key: str = "file") -> DataFrame:
+    """key, at (the column's place from 0), kind (of most of its filled cells) and format (of dates: the one that reads most
+    of them, the first of equals), from records (key, line, cells) below the header. No value leaves the column."""
+    cells = rows.select(key, F.posexplode("cells").alias("at", "cell")).withColumn("kind", cell_kind(F.col("cell"))).where("kind <> 'empty'")
+    formats = sorted({f for x in LAYOUTS for f in x.formats})
+    reads = [F.count_if(printed_date(F.col("cell"), (pattern_of(f),)).isNotNull()).alias(f"r{i}") for i, f in enumerate(formats)]
+    counted = cells.groupBy(key, "at").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in CELL_KINDS[1:]], *reads)
+    likely = F.coalesce(*[F.when(F.col(k) >= COLUMN_SHARE * F.col("n"), k) for k in CELL_KINDS[1:]], F.lit("text"))
+    best = F.array_max(F.array(*[F.struct(F.col(f"r{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(formats)]))
+    return counted.select(key, "at", likely.alias("kind"), F.when(likely == "date", best["format"]).alias("format"))
+
+
+def inferred_layout(columns: DataFrame, key: str = "file") -> DataFrame:
+    """key, date and its format, amount (one signed or marked column), out and into (two), direction: places or null, of
+    columns as inferred_columns tells them. Of several money columns the last is taken for the balance."""
+    places = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("at"))))
+    told = columns.groupBy(key).agg(places("money").alias("money"), F.min_by("format", F.when(F.col("kind") == "date", F.col("at"))).alias("format"), F.min(F.when(F.col("kind") == "date", F.col("at"))).alias("date"), F.min(F.when(F.col("kind") == "marker", F.col("at"))).alias("direction"))
+    n, at = F.size("money"), lambda i: F.try_element_at("money", F.lit(i))
+    two = n >= 3
+    return told.select(key, "date", "format", F.when(~two, at(1)).alias("amount"), F.when(two, at(1)).alias("out"), F.when(two, at(2)).alias("into"), F.when(n >= 2, at(-1)).alias("balance"), "direction")
