@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import pattern_of, printed_date
 from ..functions.money import direction, has_credit_marker, printed_pence
 from ..functions.text import header_key, normal_description
+from ..shared import cut
 from .layouts import LAYOUTS, Layout
 
 #: Records that are looked through for a header.
@@ -168,9 +169,10 @@ def parsed(texts: DataFrame, key: str = "file", text: str = "text", layouts: tup
 
     Every file has a row: those of no known layout are problems line by line, and a file without records is one.
     """
-    rows = headed(records(texts, key, text), key, layouts)
+    rows = cut(headed(records(texts, key, text), key, layouts))
     width = F.max(F.size("cells")).over(Window.partitionBy(key))
-    out = mapped(rows.withColumn("layout", layout_of(F.col("header"), width, layouts)), layouts, key)
+    # written: what is read from a line is used many times below, and would be read as often
+    out = cut(mapped(rows.withColumn("layout", layout_of(F.col("header"), width, layouts)), layouts, key))
     is_fee = lambda: F.coalesce(F.col("fee_pence") != 0, F.lit(False)) & (F.col("outcome") == "row")
     parts = F.when(is_fee(), F.array(F.struct(F.lit(0).alias("part"), F.col("fee_pence").alias("pence")), F.struct(F.lit(1).alias("part"), F.col("amount_pence").alias("pence")))).otherwise(F.array(F.struct(F.lit(1).alias("part"), F.col("amount_pence").alias("pence"))))
     split = out.withColumn("p", F.explode(parts)).withColumn("amount_pence", F.col("p.pence")).withColumn("part", F.col("p.part")).drop("p", "fee_pence")
