@@ -578,6 +578,15 @@ def WN10_household_series(spark, sf_dir):
     return found.select("account_id", "merchant_id", "cadence", "expected_pence", "expected_day", F.array_join(F.transform("skip_months", lambda m: m.cast("string")), ",").alias("skip_months"), shown.alias("missed"), "status", "next_due", "annual_pence", "occurrences", "trial_id", F.size("price_history").alias("prices"))
 
 
+@query(with_sql(_HOUSE) + "SELECT c AS account_id, CASE WHEN kind = 2 AND c % 4 = 0 THEN 'lapsed' ELSE 'active' END AS status FROM h")
+def ST6_lapse_by_coverage(spark, sf_dir):
+    """A series lapses by how far an account's data goes: here to the end of 2024 for every fourth account, else to its last payment."""
+    paid = household(spark, sf_dir)
+    last = paid.groupBy("account_id").agg(F.max("date").alias("last"))
+    until = last.select("account_id", F.when(F.col("account_id") % 4 == 0, F.lit("2024-12-31").cast("date")).otherwise(F.col("last")).alias("until"))
+    return series.detect(paid, until).select("account_id", "status")
+
+
 @query(with_sql(_HOUSE) + """, t AS (SELECT c % 97 AS m, count(*) FILTER (kind <> 2) AS live FROM h GROUP BY 1)
     SELECT c AS account_id, concat_ws(',', CASE WHEN kind = 3 THEN 'price rise' END, CASE WHEN kind = 4 THEN 'trial' END, CASE WHEN kind = 2 THEN 'lapsed' END, CASE WHEN kind <> 2 AND live > 1 THEN 'duplicate' END) AS flags FROM h JOIN t ON t.m = c % 97""")
 def D8_commitment_flags(spark, sf_dir):

@@ -28,6 +28,13 @@ def ST1_coalesced_requests(spark, sf_dir):
     return A.coalesced(batch, ["user_id"], "at", "1 hour").select("user_id", "n", (F.col("n") > 1).alias("merged"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
+def ST1_closed_requests(spark, sf_dir):
+    """The same as a stream: requests that the watermark has passed are told, the last ones still wait for more."""
+    return A.run_available(A.coalesced(_events(spark, sf_dir), ["user_id"], "at", "1 hour")).select("user_id", "n")
+
+
 @query(with_sql(MOVEMENT, "t AS (SELECT m.*, e.ts FROM movement m JOIN events e ON m.id = e.event_id)") + "SELECT o.id AS out_id, i.id AS in_id, -o.amount_pence AS size FROM t o JOIN t i ON o.amount_pence < 0 AND i.amount_pence = -o.amount_pence AND o.account_id <> i.account_id AND i.ts BETWEEN o.ts - INTERVAL 3 DAY AND o.ts + INTERVAL 3 DAY")
 def ST5_late_halves(spark, sf_dir):
     half = lambda kind: _events(spark, sf_dir).where(F.col("event_type") == kind).select(F.col("event_id").alias("id"), F.col("user_id").alias("account_id"), "at", F.round(F.col("value") * 100).cast("bigint").alias("size")).where("size <> 0")
