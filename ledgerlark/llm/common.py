@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,7 +43,8 @@ def short_batches(spark: SparkSession) -> None:
     """
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+        number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
+        if not 0 < int(number) << (10 * " kmgt".index(unit or " ")) <= most:
             spark.conf.set(name, str(most))
 
 
