@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, language, lines, pieces, pseudonyms, quality, secrets, simhash, toxicity
+from . import alignment, chunks, decontaminate, language, lines, pieces, pseudonyms, quality, secrets, simhash, toxicity
 from .common import fold, read, shared_dir
 
 #: The vocabulary file that op6 and the pipeline encode with.
 PIECE_MODEL = "piece_bpe_32k.model"
+#: The byte-level vocabulary file that op12 aligns with it.
+BYTE_MODEL = "byte_bpe_50k.json"
 #: The key of the registered query's pseudonyms; real runs give their own.
 PSEUDONYM_KEY = "an example key"
 
@@ -79,6 +81,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = alignment.aligned(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), piece_model(), ["doc_id"], with_groups=False)
+    return found.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -90,6 +99,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op12_alignment": op12_alignment,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
