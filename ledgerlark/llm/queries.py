@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chunks, decontaminate, language, lines, pieces, pseudonyms, quality, secrets, simhash, toxicity
+from . import alignment, chunks, decontaminate, language, lines, neighbours, pieces, pseudonyms, quality, secrets, simhash, toxicity, whitening
 from .common import fold, read, shared_dir
 
 #: The vocabulary file that op6 and the pipeline encode with.
@@ -81,6 +81,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,6 +92,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -99,7 +107,9 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
     "op12_alignment": op12_alignment,
+    "op13_neighbours": op13_neighbours,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
