@@ -6,13 +6,13 @@ once: each distinct vector carries the ``k + 1`` smallest of its ids, which is a
 nearest can show of it, ties going to smaller ids.
 
 The tree is fitted in one task on a sample of distinct vectors, those with the smallest hashes
-(``SAMPLE`` expected at most; all, if there are fewer). A node with more than ``LEAF`` of the sample is split by k-means into
-``BRANCHES`` children, so dense places are split further; the tree's size follows from the sample's and
-is broadcast. Every distinct vector goes down to its nearest leaf. A query walks the tree best bin
+(``SAMPLE`` expected at most; all, if there are fewer). A node that stands for more than ``LEAF`` vectors, and has
+over ``FEWEST`` of the sample, is split by k-means into ``BRANCHES`` children, so dense places are split further;
+the tree's size follows from the sample's and is broadcast. Every distinct vector goes down to its nearest leaf. A query walks the tree best bin
 first: a priority queue holds nodes by the distance to their centre, the nearest is opened, leaves are
 visited in the order in which they come up. How many are visited is calibrated: the neighbours of up to
 ``PROBES`` query vectors are found exactly, by comparing them with all vectors in blocks, and the number of
-visits is doubled until the visited leaves hold ``recall`` of those neighbours; at its end stand all leaves,
+visits is widened by a quarter until the visited leaves hold ``recall`` of those neighbours; at its end stand all leaves,
 which is exact.
 
 Vectors of a leaf and the queries that visit it are put together in lists of bounded length that meet
@@ -39,9 +39,9 @@ from .whitening import is_whole, of_one_length
 
 #: Vectors that the tree is fitted on at most, on average over hashes.
 SAMPLE = 131_072
-LEAF, BRANCHES, ROUNDS = 64, 16, 8
+LEAF, FEWEST, BRANCHES, ROUNDS = 512, 32, 16, 8
 #: Query vectors that the number of visits is calibrated with, and the share of their neighbours that must be found.
-PROBES, RECALL = 200, 0.97
+PROBES, RECALL = 200, 0.95
 #: Vectors and queries of one list.
 TOGETHER, ASKED = 2048, 512
 
@@ -154,7 +154,7 @@ def fitted(vectors: DataFrame, n: int, width: int, size: int, leaf: int) -> Tree
         own = [matrix(b.column(0), width) for b in batches]
         if own:
             x = np.concatenate(own)
-            tree = Tree(x[np.lexsort(x.T[::-1])], leaf)  # in an order of its own, so that the tree doesn't depend on how rows come
+            tree = Tree(x[np.lexsort(x.T[::-1])], max(FEWEST, int(leaf * share)) if share < 1 else leaf)  # in an order of its own, so that the tree doesn't depend on how rows come
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tree)], pa.binary())], names=["tree"])
 
     return pickle.loads(sample.repartition(1).mapInArrow(run, "tree binary").first()["tree"])
@@ -231,7 +231,7 @@ def enough(tree: Tree, q: np.ndarray, most: int, k: int, counts: dict[int, int])
 
 
 def visits_for(placed: DataFrame, searched: DataFrame, tree: Tree, width: int, k: int, recall: float, counts: dict[int, int]) -> int:
-    """The least power of two of leaf visits that finds the asked share of the probes' exact neighbours; all leaves, if none does."""
+    """The number of leaf visits, widened by a quarter at a time, that finds the asked share of the probes' exact neighbours; all leaves, if none does."""
     probes = searched.select("vid", "v").orderBy(F.xxhash64("v"), "vid").limit(PROBES).collect()
     if not probes:
         return 0
@@ -256,5 +256,5 @@ def visits_for(placed: DataFrame, searched: DataFrame, tree: Tree, width: int, k
     ranks = np.array([order[r["probe"]][r["leaf"]] for r in truth if r["vid"] != ids[r["probe"]]], np.int64)
     most = 1
     while most < tree.leaves and len(ranks) and (ranks < most).mean() < recall:
-        most *= 2
+        most += -(-most // 4)
     return min(most, tree.leaves)

@@ -84,7 +84,7 @@ def test_lists_of_bounded_length(spark):
     """More vectors than the tree saw, in leaves of several lists."""
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9000, 5)))]
-    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 10 == 0, 10, recall=1.1, sample=60, leaf=40)
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 10 == 0, 10, recall=1.1, sample=600, leaf=400)
     assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found.collect()) == brute(rows, lambda i: i % 10 == 0, 10)
 
 
