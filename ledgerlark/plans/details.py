@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bank_holidays, month_grid, next_due
 from ..functions.money import figures, pounds, printed_figures, typed_amount
-from ..functions.text import clean, display_name, fingerprint, outbound, phrase_in, sensitive_classes, similar_tokens, variant
-from ..operators import accounts, composites, documents, matching, redaction, rules, series, sinks, spending, understanding
+from ..functions.text import clean, display_name, fingerprint, phrase_in, sensitive_classes, similar_tokens, variant
+from ..operators import accounts, composites, documents, matching, privacy, redaction, rules, series, sinks, spending, understanding
 from ..shared import shared_dir
 from ..sources import delimited
 from ..sources.layouts import LAYOUTS
@@ -324,10 +324,33 @@ def F21_classes(spark, sf_dir):
     return _secret(spark, sf_dir).select("k", F.array_join(sensitive_classes(F.concat_ws(" ; ", F.lit("Paid on 3 May"), *parts)), ",").alias("kinds"))
 
 
-@query(with_sql(_SECRET) + "SELECT k, 'To [name]: [card] and [email]' || CASE WHEN k % 2 = 0 THEN ', 12.50 on 03/05/2024' ELSE '' END AS text, false AS refused FROM t")
+_STATEMENT = """v AS (SELECT c_custkey AS k, c_custkey // 8 AS statement, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS four, lead(c_custkey) OVER (PARTITION BY c_custkey // 8 ORDER BY c_custkey) AS next FROM customer),
+    line AS (SELECT k, statement, unnest([
+        {'case': 0, 'text': '02 Oct 2026 SHOP ' || k || '.50', 'sent': '02 Oct 2026 SHOP ' || k || '.50', 'kinds': ''},
+        {'case': 1, 'text': 'paid 4111.1111.1111.1111 to J. SMITH', 'sent': 'paid [hidden-a] to [hidden-b]', 'kinds': 'holder_name'},
+        {'case': 2, 'text': 'Sort code 12-34-56 Account number 8765' || four, 'sent': 'Sort code [hidden-a] Account number [hidden-b]', 'kinds': 'account_label,sort_code_label,sort_code'},
+        {'case': 3, 'text': 'Available balance £' || k || '.00', 'sent': NULL, 'kinds': 'balance_line'},
+        {'case': 4, 'text': 'mail c' || k || '@mail.org £250', 'sent': 'mail [hidden-a] £250', 'kinds': 'email'},
+        {'case': 5, 'text': 'FPO REF ' || four || ' 12.00', 'sent': 'FPO REF ' || CASE WHEN next IS NULL THEN four ELSE '[hidden-a]' END || ' 12.00', 'kinds': ''},
+        {'case': 6, 'text': four || ' RENT 12.00', 'sent': '[hidden-a] RENT 12.00', 'kinds': ''},
+        {'case': 7, 'text': 'Name: Alex ' || four, 'sent': 'Name: [hidden-a]', 'kinds': 'holder_label'}]) AS o FROM v)"""
+
+
+def _statement(spark, sf_dir):
+    """Eight lines a statement, one of each kind; a number is cut in two by the end of the sixth."""
+    k, four = F.col("c_custkey"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    texts = [
+        F.concat(F.lit("02 Oct 2026 SHOP "), k, F.lit(".50")), F.lit("paid 4111.1111.1111.1111 to J. SMITH"), F.concat(F.lit("Sort code 12-34-56 Account number 8765"), four), F.concat(F.lit("Available balance £"), k, F.lit(".00")),
+        F.concat(F.lit("mail c"), k, F.lit("@mail.org £250")), F.concat(F.lit("FPO REF "), four, F.lit(" 12.00")), F.concat(four, F.lit(" RENT 12.00")), F.concat(F.lit("Name: Alex "), four),
+    ]
+    return table(spark, sf_dir, "customer").select(k.alias("k"), F.floor(k / 8).alias("statement"), F.element_at(F.array(*texts), (k % 8 + 1).cast("int")).alias("text"))
+
+
+@query(with_sql(_STATEMENT) + "SELECT k, o.kinds AS kinds, o.sent AS sent, o.sent IS NULL AS refused FROM line WHERE o.\"case\" = k % 8")
 def F22_outbound(spark, sf_dir):
-    said = F.concat(F.lit("To "), F.upper("name"), F.lit(": "), "card", F.lit(" and "), "mail", F.when(F.col("k") % 2 == 0, ", 12.50 on 03/05/2024").otherwise(""))
-    return _secret(spark, sf_dir).select("k", outbound(said, F.array("name")).alias("o")).select("k", "o.text", "o.refused")
+    """What may leave of statement lines: kinds told, numbers wrapped over a line's end, balances refused."""
+    found = privacy.prepared(_statement(spark, sf_dir), "statement", "k", names=F.array(F.lit("John Smith")))
+    return found.select("k", F.array_join("kinds", ",").alias("kinds"), F.col("outbound").alias("sent"), F.col("outbound").isNull().alias("refused"))
 
 
 @query(with_sql(_SECRET) + """, c AS (SELECT *, CASE WHEN k % 3 < 2 THEN '[CARD_1]' ELSE card END AS shown FROM t)

@@ -120,7 +120,7 @@ def F26_token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tokens_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS mail, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS INTEGER) AS masked FROM documents")
+@query("SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS mail, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS INTEGER) AS masked FROM documents")
 def F22_masking(spark, sf_dir):
     text = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_contains(sensitive_classes(text), "email").alias("mail"), F.regexp_count(masked(text), F.lit(r"\[email\]")).alias("masked"))
