@@ -366,6 +366,29 @@ def F23_redaction(spark, sf_dir):
     return line(1, "first").join(line(2, "second"), "k").join(back, "k")
 
 
+_PEOPLE = """m AS (SELECT c_custkey AS k, c_custkey // 4 AS household, c_custkey % 4 AS n, translate(CAST(c_custkey // 4 AS VARCHAR), '0123456789', 'abcdefghij') AS tail FROM customer),
+    p AS (SELECT *, list_value('Ada', 'Bob', 'Cyd', 'Dee')[CAST(n + 1 AS INTEGER)] AS first, row_number() OVER (PARTITION BY household ORDER BY k) AS card, row_number() OVER (PARTITION BY household, n % 2 ORDER BY k) AS adult FROM m),
+    t AS (SELECT *, CASE WHEN n % 2 = 0 THEN '[ADULT_' || chr(CAST(64 + adult AS INTEGER)) || ']' WHEN n = 1 THEN '[CHILD_1]' ELSE '[DEPENDANT_1]' END AS token, first || ' Quin' || tail AS whole FROM p)"""
+
+
+@query(with_sql(_PEOPLE) + """SELECT k, 'Pay ' || token || $$'s rent, cc $$ || token || ' and bob quin' || tail || 'x: ' || CASE WHEN n = 1 THEN token ELSE 'will ' || lower(first) END || ' [CARD_' || card || '], [SORT_CODE_1] [ACCOUNT_1]' AS sent,
+    'Pay ' || whole || $$'s rent, cc $$ || whole || ' and bob quin' || tail || 'x: ' || CASE WHEN n = 1 THEN whole ELSE 'will ' || lower(first) END || ' 4111.1111.1111.000' || n || ', 20 11 33 87654321' AS back FROM t""")
+def F23_names(spark, sf_dir):
+    """Names in several forms, one label a person through a household's lines, dotted cards and paired codes; and all put back."""
+    k = F.col("c_custkey")
+    n, household = k % 4, F.floor(k / 4)
+    first = F.element_at(F.array(*map(F.lit, ("Ada", "Bob", "Cyd", "Dee"))), (n + 1).cast("int"))
+    own = table(spark, sf_dir, "customer").select(k.alias("k"), household.alias("household"), n.alias("n"), first.alias("first"), F.translate(household.cast("string"), "0123456789", "abcdefghij").alias("tail"))
+    own = own.withColumn("last", F.concat(F.lit("Quin"), "tail"))
+    role = F.when(F.col("n") % 2 == 0, "adult").when(F.col("n") == 1, "child").otherwise("lodger")
+    people = own.select("household", F.col("k").alias("pos"), F.concat_ws(" ", "first", "last").alias("name"), role.alias("role"))
+    single = F.when(F.col("n") == 1, F.upper("first")).otherwise(F.concat(F.lit("will "), F.lower("first")))
+    text = F.concat(F.lit("Pay "), F.upper(F.concat_ws(" ", "first", "last")), F.lit("'s rent, cc "), F.concat_ws(". ", F.substring("first", 1, 1), "last"), F.lit(" and bob quin"), "tail", F.lit("x: "), single, F.lit(" 4111.1111.1111.000"), "n", F.lit(", 20 11 33 87654321"))
+    hidden, mapping = redaction.pseudonymised(own.select("household", F.col("k").alias("pos"), text.alias("text")), people, "household")
+    back = redaction.put_back(hidden, mapping, "household").select(F.col("pos").alias("k"), F.col("text").alias("back"))
+    return hidden.select(F.col("pos").alias("k"), F.col("text").alias("sent")).join(back, "k")
+
+
 # Pages and layouts
 
 _FOLDED = "regexp_replace(lower(trim(regexp_replace(t.l, '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g')"
