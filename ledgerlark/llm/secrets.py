@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
 from .common import cut, is_written
 
 
@@ -67,30 +68,21 @@ def _candidates(rule: Rule) -> str:
     return f"(?<!{rule.before}){rule.pattern}" if rule.before else rule.pattern
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """The matches of a rule in a text: an array of (start, end).
+def spans(text: str, rule: Rule) -> Column:
+    """The matches of a rule in a text column: an array of (start, end).
 
-    split() gives what stands between matches, regexp_extract_all() the matches; their lengths, summed
-    up alternately, are the places.
+    split() gives what stands between matches, regexp_extract_all() the matches; running sums of their lengths are the
+    places, so a text with many matches takes little longer than one with few. Matches that are too short go last.
     """
-    pattern = _candidates(rule)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    measured = F.transform(matches, F.length) if not rule.group else F.arrays_zip(F.transform(matches, F.length).alias("size"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), F.length).alias("counted"))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    size = (lambda m: m["size"]) if rule.group else (lambda m: m)
-    counted = (lambda m: m["counted"]) if rule.group else (lambda m: m)
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["gap"]
-        end = begin + size(pair["match"])
-        here = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
-        return F.struct(end.cast("bigint").alias("at"), F.when(counted(pair["match"]) >= rule.least, F.concat(state["found"], F.array(here))).otherwise(state["found"]).alias("found"))
-
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(measured)).alias("gap"), measured.alias("match"))
-    found = F.aggregate(pairs, start, step, lambda s: s["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    pattern = S.raw(_candidates(rule).replace('"', r"\x22"))
+    all_of = lambda group: f"regexp_extract_all({text}, {pattern}, {group})"
+    placed = S.found(text, pattern)
+    if rule.group:
+        counted = f"zip_with({placed}, transform({all_of(rule.group)}, c -> length(c)), (s, n) -> named_struct('start', s.start, 'end', s.end, 'n', n))"
+        placed = f"IF(rlike({text}, {pattern}), transform(filter({counted}, s -> s.n >= {rule.least}), s -> struct(s.start, s.end)), {S.NONE})"
+    else:
+        placed = f"filter({placed}, s -> s.end - s.start >= {rule.least})"
+    return F.expr(placed).cast("array<struct<start:bigint,end:bigint>>")
 
 
 def blobs(paths: DataFrame, text: str) -> DataFrame:
@@ -127,7 +119,7 @@ def new_pairs(paths: DataFrame, doc_id: str, text: str, ledger: DataFrame, rules
     unseen = distinct.join(known, "blob", "left").select("blob", "content", F.coalesce("known", F.array().cast("array<string>")).alias("known"))
     unseen = unseen.where(F.size(F.array_except(F.array(*[F.lit(r.key) for r in rules]), "known")) > 0)
     none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
-    tried = unseen.select("blob", F.map_from_entries(F.array(*[F.struct(F.lit(r.key), F.when(~F.array_contains("known", r.key), spans(F.col("content"), r)).otherwise(none)) for r in rules])).alias("tried"))
+    tried = unseen.select("blob", F.map_from_entries(F.array(*[F.struct(F.lit(r.key), F.when(~F.array_contains("known", r.key), spans("content", r)).otherwise(none)) for r in rules])).alias("tried"))
     return tried.select("blob", F.explode("tried").alias("rule", "spans")).where("spans is not null")
 
 
