@@ -1,152 +1,151 @@
 """Line de-duplication by content-defined line chunks, in DataFrame functions only.
 
-A text's lines are hashed; a rolling hash over two neighbouring line hashes ends a chunk where it is
-zero modulo ``mean`` (and wasn't one line before, so chunks have two lines at least, but for a
-text's last). Boundaries depend on nothing but the lines around them, so equal passages are cut
-alike wherever they stand. Chunks of several lines that occur again anywhere, in the same document
-or another, are removed but for the first occurrence (smallest doc_id, then place). Chunks are
-matched by a 64-bit hash, and their bytes are compared: texts that share a hash without being equal
-are told apart by the texts themselves.
-
-``without_repeats`` finds whole shared passages. Every pair of neighbouring lines is a seed, and so is
-every single line of over ``LONG_LINE`` words; a seed that occurs again loses its lines everywhere but
-at its first occurrence. Seeds overlap, so a shared run of lines goes from its first line to its last,
-wherever it stands and whatever surrounds it. The first occurrence of every line stays.
-
-A null text has no lines and stays null; an empty one has one empty line. Rows repeated with one id
-are one document: the same places go from each of them. Rows without an id lose nothing. An empty
-table gives none.
+Lines that aren't blank are hashed, and a rolling hash over two neighbouring line hashes is counted over all
+texts. Two lines whose rolling hash occurs once can't both be in a repeated chunk, so a chunk ends between them:
+what is left are runs, equal wherever a passage stands among other lines. Inside a run, a chunk starts where the
+rolling hash is a local minimum (with two lines or more before it), so boundaries depend on nothing but the lines
+around them and fall into step again after whatever differs. A line of over ``LONG_LINE`` words is a chunk of its own,
+and no chunk has more than ``MOST_LINES``. What differs beside a short passage mostly lies at one end of a run, so the two
+lines at either end of a run of three or more are a chunk too. Chunks of several lines, or of one long one, with ``LEAST_WORDS`` words or
+more, that occur again anywhere are removed but for the first occurrence (smallest doc_id, then text, then place).
+
+Where runs differ beside a passage, its first or last lines may lie in chunks of other lines. A removed chunk is
+therefore extended line by line over the chunks beside it, as far as the lines equal those beside the first
+occurrence. Every line that goes stands in an earlier place, so the first occurrence of each line stays. Blank lines
+stay.
+
+Lines are matched by 64-bit hashes and then by their bytes: of repeated hashes the distinct lines are counted, and
+lines that share a hash without being equal are told apart by the lines themselves.
+
+A null text has no lines and stays null; an empty one has one empty line. Rows repeated with one id and text
+are one document: the same places go from each of them. Rows without an id lose nothing. An empty table
+gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let  # noqa: F401
 from .common import cut
 
-#: A chunk ends after one in so many places.
-MEAN = 4
-#: A single line counts as a passage if it has more words than this.
+#: A single line counts as a chunk if it has more words than this.
 LONG_LINE = 50
+#: Lines of a chunk at most, and words at least.
+MOST_LINES, LEAST_WORDS = 16, 5
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value computed once, however often it's used inside."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _hash(line, bits: int) -> Column:
+    return F.xxhash64(line) if bits == 64 else F.shiftrightunsigned(F.xxhash64(line), 64 - bits)
 
 
-def line_chunks(text: Column, mean: int = MEAN) -> Column:
-    """A text's chunks in order: array of (first line, number of lines, text)."""
+def lines_of(rows: DataFrame, hash_bits: int) -> DataFrame:
+    """id, own (the text's hash), k (the line's number among those that aren't blank) and x (at, its number, and line) of rows (id, text)."""
+    each = F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("at"), line.alias("line"), _hash(line, hash_bits).alias("h"))), lambda x: F.trim(x["line"]) != "")
+    return rows.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("own"), each.alias("xs"))
 
-    def marked(hashes: Column) -> Column:
-        zero = lambda i: F.pmod(F.xxhash64(F.element_at(hashes, i), F.element_at(hashes, i + 1)), F.lit(mean)) == 0
-        places = F.when(F.size(hashes) > 2, F.sequence(F.lit(2), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.array(F.lit(0)), F.transform(F.filter(places, lambda i: zero(i - 1) & ((i == 2) | ~zero(i - 2))), lambda i: i), F.array(F.size(hashes)))
 
-    def cut_up(lines: Column, bounds: Column) -> Column:
-        def chunk(k: Column) -> Column:
-            start, size = F.element_at(bounds, k), F.element_at(bounds, k + 1) - F.element_at(bounds, k)
-            return F.struct(start.alias("at"), size.alias("lines"), F.array_join(F.slice(lines, start + 1, size), "\n", "").alias("chunk"))
+def repeated(rows: DataFrame, hash_bits: int) -> DataFrame:
+    """id, own, k, at, h (a line's hash, or its text's where hashes clash), words and linked (the pair with the line before
+    repeats) of the lines of repeated pairs, and of repeated long lines; written.
 
-        return F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), chunk)
-
-    return let(F.split(text, "\n", -1), lambda lines: let(marked_of(lines, marked), lambda bounds: cut_up(lines, bounds)))
-
-
-def marked_of(lines: Column, marked) -> Column:
-    return let(F.transform(lines, lambda line: F.xxhash64(line)), marked)
-
-
-def removals(docs: DataFrame, doc_id: str, text: str, mean: int = MEAN, hash_bits: int = 64) -> DataFrame:
-    """id and gone: the first lines of the chunks that a document loses.
-
-    hash_bits under 64 shortens the hash, which tests use to make different chunks share one.
+    A row for each line of each text goes by its pair's hash; the lines' texts move only where a hash repeats, once each, to
+    be compared.
     """
-    hashed = F.xxhash64("chunk") if hash_bits == 64 else F.shiftrightunsigned(F.xxhash64("chunk"), 64 - hash_bits)
-    found = docs.select(F.col(f"`{doc_id}`").alias("id"), F.explode(line_chunks(F.col(f"`{text}`"), mean)).alias("c"))
-    several = found.where("c.lines > 1").select("id", "c.at", "c.chunk").withColumn("hash", hashed)
-    keys = cut(several.select("id", "at", "hash").distinct())
-    clashing = cut(several.select("hash", "chunk").distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    firsts = lambda df, by: df.groupBy(*by).agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    plain = keys.join(cut(firsts(keys, ["hash"])), "hash")  # written first, so that a hash of many rows can be split
-    if not clashing.isEmpty():
-        plain = plain.join(clashing, "hash", "left_anti")
-        told = several.join(clashing, "hash", "left_semi").distinct()
-        plain = plain.select("id", "at", "first").unionByName(told.join(firsts(told, ["hash", "chunk"]), ["hash", "chunk"]).select("id", "at", "first"))
-    return plain.where(F.col("first") != F.struct("id", "at")).groupBy("id").agg(F.collect_set("at").alias("gone"))
-
-
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean: int = MEAN, hash_bits: int = 64) -> DataFrame:
-    """id, n_lines, n_removed (lines), and the text without the repeated chunks."""
-    gone = removals(docs, doc_id, text, mean, hash_bits).withColumnRenamed("id", "gone_id")
-    joined = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(gone, F.col("id") == F.col("gone_id"), "left")
-    chunks = let(F.col("gone"), lambda g: F.filter(line_chunks(F.col("text"), mean), lambda c: ~F.array_contains(g, c["at"])))
-    kept = F.when(F.col("gone").isNotNull(), chunks)
-    shown = joined.select("id", "text", kept.alias("kept"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
-    left = F.aggregate("kept", F.lit(0), lambda n, c: n + c["lines"])
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))
-    return shown.select(
-        F.col("id").alias(doc_id),
-        n_lines.cast("bigint").alias("n_lines"),
-        F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - left).cast("bigint").alias("n_removed"),
-        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda c: c["chunk"]), "\n")).alias("text"),
-    )
-
-
-def seeds(text: Column, hash_bits: int = 64, with_lines: bool = False) -> Column:
-    """A text's seeds: array of (first line, number of lines, hashes of the first and the last line)."""
-    hashed = lambda line: F.xxhash64(line) if hash_bits == 64 else F.shiftrightunsigned(F.xxhash64(line), 64 - hash_bits)
-
-    def of(lines: Column, hashes: Column) -> Column:
-        def seed(i: Column, size: int) -> Column:
-            ends = [F.element_at(hashes, i).alias("a"), F.element_at(hashes, i + (size - 1)).alias("b")]
-            texts = [F.element_at(lines, i).alias("line_a"), F.element_at(lines, i + (size - 1)).alias("line_b")] if with_lines else []
-            return F.struct((i - 1).alias("at"), F.lit(size).alias("lines"), *ends, *texts)
-
-        def places(last: Column) -> Column:
-            return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-
-        long = F.filter(places(F.size(lines)), lambda i: F.size(F.split(F.trim(F.element_at(lines, i)), r"\s+")) > LONG_LINE)
-        return F.concat(F.transform(places(F.size(lines) - 1), lambda i: seed(i, 2)), F.transform(long, lambda i: seed(i, 1)))
-
-    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, hashed), lambda hashes: of(lines, hashes)))
+    found = lines_of(rows, hash_bits)
+    words = lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.regexp_count(x["line"], F.lit(r"\S+")).alias("words"))
+    placed = found.select("id", "own", F.transform("xs", words).alias("xs"))
+    pairs = placed.select("id", "own", F.posexplode(F.transform("xs", lambda x, i: F.struct(x.alias("x"), F.get("xs", i + 1).alias("y")))).alias("k", "p")).select("id", "own", "k", "p.x", "p.y")
+    long = F.col("x.words") > LONG_LINE
+    keyed = cut(pairs.select("id", "own", "k", "x", "y", F.explode(F.array_compact(F.array(F.when(F.col("y").isNotNull(), F.xxhash64("x.h", "y.h")), F.when(long, F.xxhash64(F.lit("alone"), "x.h"))))).alias("r")).distinct())
+    # counts are written before the join, so that it is one of two plain shuffles and a pair of many rows can be split
+    counts = cut(keyed.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r"))
+    line = lambda k, x, linked: F.struct(k.alias("k"), x["at"].alias("at"), x["h"].alias("h"), x["words"].alias("words"), F.lit(linked).alias("linked"))
+    is_pair = F.col("y").isNotNull() & (F.col("r") == F.xxhash64("x.h", "y.h"))
+    both = F.when(is_pair, F.array(line(F.col("k"), F.col("x"), False), line(F.col("k") + 1, F.col("y"), True))).otherwise(F.array(line(F.col("k"), F.col("x"), False)))
+    again = keyed.join(counts, "r", "left_semi").select("id", "own", F.explode(both).alias("l")).select("id", "own", "l.*")
+    again = cut(again.groupBy("id", "own", "k", "at", "h", "words").agg(F.max("linked").alias("linked")))
+    texts = found.select("id", "own", F.posexplode("xs").alias("k", "x")).select("id", "own", "k", "x.h", "x.line")
+    distinct = texts.select("h", "line").distinct().join(again.select("h").distinct(), "h", "left_semi")
+    clashing = cut(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    if clashing.isEmpty():
+        return again.withColumn("h", F.col("h").cast("string"))
+    told = texts.join(clashing, "h", "left_semi").select("id", "own", "k", F.concat(F.lit("="), "line").alias("told")).distinct()
+    return cut(again.join(told, ["id", "own", "k"], "left").withColumn("h", F.coalesce("told", F.col("h").cast("string"))).drop("told"))
+
+
+def chunks(again: DataFrame) -> DataFrame:
+    """id, own, k, ats and hs (places and hashes of its lines), words, and hs and ats of the chunks beside it; written."""
+    by = Window.partitionBy("id", "own").orderBy("k")
+    goes_on = F.lead("linked").over(by)
+    rolled = again.withColumn("r", F.when(goes_on, F.xxhash64("h", F.lead("h").over(by)))).withColumn("linked_before", F.coalesce(F.lag("linked").over(by), F.lit(False)))
+    least = (F.col("r") < F.lag("r").over(by)) & (F.col("r") <= F.coalesce(F.lead("r").over(by), F.col("r"))) & F.col("linked") & F.col("linked_before")
+    long = F.col("words") > LONG_LINE
+    starts = ~F.col("linked") | F.coalesce(least, F.lit(False)) | long | F.coalesce(F.lag(long).over(by), F.lit(False))
+    numbered = rolled.withColumn("chunk", F.sum(starts.cast("int")).over(by))
+    inside = F.row_number().over(Window.partitionBy("id", "own", "chunk").orderBy("k")) - 1
+    cuts = numbered.withColumn("part", F.floor(inside / MOST_LINES))
+    lines = F.sort_array(F.collect_list(F.struct("k", "at", "h", "words")))
+    made = cuts.groupBy("id", "own", "chunk", "part").agg(F.min("k").alias("k"), F.max("k").alias("last"), lines.alias("ls"))
+    made = made.select("id", "own", "k", "last", F.col("ls.at").alias("ats"), F.col("ls.h").alias("hs"), F.col("ls.words").alias("ws"))
+    none = F.array().cast("array<string>"), F.array().cast("array<int>")
+    before = F.when(F.lag("last").over(by) == F.col("k") - 1, F.struct(F.lag("hs").over(by).alias("hs"), F.lag("ats").over(by).alias("ats")))
+    beyond = F.when(F.lead("k").over(by) == F.col("last") + 1, F.struct(F.lead("hs").over(by).alias("hs"), F.lead("ats").over(by).alias("ats")))
+    beside = made.withColumn("b", before).withColumn("a", beyond)
+    filled = lambda c, f, i: F.coalesce(F.col(f"{c}.{f}"), none[i])
+    whole = beside.select("id", "own", "k", "ws", "ats", "hs", *[filled(c, f, i).alias(f"{c}_{f}") for c in "ba" for i, f in enumerate(("hs", "ats"))])
+    return cut(whole.select("id", "own", F.explode(F.concat(F.array(_as_chunk(0, None)), *[F.when((F.size("hs") > 2) & (F.size(c) == 0), F.array(part)).otherwise(F.array().cast(_CHUNKS)) for c, part in (("b_hs", _as_chunk(0, 2)), ("a_hs", _as_chunk(-2, 2)))])).alias("c")).select("id", "own", "c.*"))
+
+
+_CHUNKS = "array<struct<k:int,words:int,ats:array<int>,hs:array<string>,b_hs:array<string>,b_ats:array<int>,a_hs:array<string>,a_ats:array<int>>>"
+
+
+def _as_chunk(start: int, size: int | None) -> Column:
+    """A chunk, or its first two or last two lines with its other lines beside them."""
+    n = F.size("hs")
+    taken = lambda c: F.col(c) if size is None else F.slice(c, F.lit(1) if start == 0 else n - 1, F.lit(2))
+    rest = lambda c: F.slice(c, F.lit(3), n - 2) if start == 0 else F.slice(c, F.lit(1), n - 2)
+    beside = {x: F.col(x) for x in ("b_hs", "b_ats", "a_hs", "a_ats")}
+    if size is not None:
+        beside |= {f"{'a' if start == 0 else 'b'}_{f}": rest(f) for f in ("hs", "ats")}
+    k = F.col("k") if start == 0 else F.col("k") + n - 2
+    words = F.aggregate(taken("ws"), F.lit(0), lambda s, w: s + w)
+    return F.struct(k.cast("int").alias("k"), words.alias("words"), taken("ats").alias("ats"), taken("hs").alias("hs"), *[c.alias(x) for x, c in beside.items()])
+
+
+def _in_common(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from their start."""
+    n = F.least(F.size(a), F.size(b))
+    first = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), False)
+    return F.when(first > 0, first - 1).otherwise(n).cast("int")
 
 
 def repeated_lines(docs: DataFrame, doc_id: str, text: str, hash_bits: int = 64) -> DataFrame:
-    """id, own (the text's hash) and gone: the lines that a document loses, as places from 0."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    placed = lambda with_lines: rows.select("id", F.xxhash64("text").alias("own"), F.explode(seeds(F.col("text"), hash_bits, with_lines)).alias("s")).select("id", "own", "s.*").distinct()
-    keys = cut(placed(False))
-    hashed = F.xxhash64("line") if hash_bits == 64 else F.shiftrightunsigned(F.xxhash64("line"), 64 - hash_bits)
-    own_lines = rows.select(F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).select(hashed.alias("hash"), "line").distinct()
-    clashing = cut(own_lines.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-
-    def later(df: DataFrame, by: list[str]) -> DataFrame:
-        """The occurrences of seeds other than their first ones."""
-        firsts = df.groupBy(*by).agg(F.min(F.struct("id", "own", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        # written first: a join right above its aggregation can't be split where one seed has many rows
-        return df.join(cut(firsts), by).where(F.col("first") != F.struct("id", "own", "at")).select("id", "own", "at", "lines")
-
-    by = ["lines", "a", "b"]
-    if clashing.isEmpty():
-        found = later(keys, by)
-    else:
-        either = clashing.select(F.col("hash").alias("a")), clashing.select(F.col("hash").alias("b"))
-        plain = keys.join(either[0], "a", "left_anti").join(either[1], "b", "left_anti")
-        told = placed(True)
-        told = told.join(either[0], "a", "left_semi").unionByName(told.join(either[1], "b", "left_semi")).distinct()
-        found = later(plain, by).unionByName(later(told, [*by, "line_a", "line_b"]))
-    return found.select("id", "own", F.explode(F.sequence("at", F.col("at") + F.col("lines") - 1)).alias("at")).groupBy("id", "own").agg(F.collect_set("at").alias("gone"))
+    """id, own and gone: the places that a document loses.
+
+    hash_bits under 64 shortens the hash, which tests use to make different lines share one.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    made = chunks(repeated(rows, hash_bits))
+    counted = made.where(((F.size("hs") > 1) | (F.col("words") > LONG_LINE)) & (F.col("words") >= LEAST_WORDS))
+    firsts = cut(counted.groupBy("hs").agg(F.min(F.struct("id", "own", "k", "b_hs", "a_hs")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = counted.join(firsts, "hs").where(F.struct("id", "own", "k") != F.struct("first.id", "first.own", "first.k"))
+    ahead = _in_common(F.col("a_hs"), F.col("first.a_hs"))
+    behind = _in_common(F.reverse("b_hs"), F.reverse(F.col("first.b_hs")))
+    gone = F.concat("ats", F.slice("a_ats", F.lit(1), ahead), F.slice(F.reverse("b_ats"), F.lit(1), behind))
+    return later.select("id", "own", F.explode(gone).alias("at")).groupBy("id", "own").agg(F.collect_set("at").alias("gone"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
-    """id, n_lines, n_removed (lines), and the text without the repeated passages."""
+    """id, n_lines, n_removed (lines), and the text without the repeated chunks."""
     gone = repeated_lines(docs, doc_id, text, hash_bits).withColumnsRenamed({"id": "gone_id", "own": "gone_own"})
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     joined = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_own")), "left")
     lines = F.split("text", "\n", -1)
-    left = let(F.col("gone"), lambda g: F.filter(lines, lambda line, i: ~F.array_contains(g, i)))
+    # the places that stay come from a set difference, whose time doesn't grow with lines times places
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = let(lines, lambda own: F.transform(stays, lambda i: F.get(own, i)))
     shown = joined.select("id", "text", F.size(lines).alias("n_lines"), F.when(F.col("gone").isNotNull(), left).alias("kept"))
     return shown.select(
         F.col("id").alias(doc_id),

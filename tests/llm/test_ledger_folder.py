@@ -57,7 +57,7 @@ HOT = {
 @pytest.mark.parametrize("operator", ["op2", "op3", "op4", "op10"])
 def test_hot_keys_are_split(spark, operator):
     """Of rows of which a third hold one text, the join of what was found with the rows is split."""
-    hot = "one text of many copies\nthat has a secret = 'abcdefghijklmnop'"
+    hot = "one text of many copies of it\nthat has a secret = 'abcdefghijklmnop'"
     before = {k: spark.conf.get(k) for k in HOT}
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, hot).otherwise(F.concat(F.lit("own text "), F.col("id").cast("string"), F.lit("\nwith words "), F.sha2(F.col("id").cast("string"), 256))).alias("text")).repartition(12)
     try:

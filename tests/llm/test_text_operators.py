@@ -5,6 +5,8 @@ import os
 import random
 import re
 import struct
+import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -97,78 +99,124 @@ def test_training_order_does_not_depend_on_partitions(spark):
 # 2: line chunks
 
 
-def plain_chunks(t, mean=lines.MEAN):
-    own = t.split("\n")
-    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in own]
-
-    def zero(i):
-        v = xxhash.xxh64_intdigest(struct.pack("<Q", h[i]), xxhash.xxh64_intdigest(struct.pack("<Q", h[i - 1]), 42))
-        return (v - (1 << 64) if v >> 63 else v) % mean == 0
-
-    marks = [False] + [zero(i) for i in range(1, len(own))]
-    bounds = [0, *(i + 1 for i in range(1, len(own) - 1) if marks[i] and not marks[i - 1]), len(own)]
-    return ["\n".join(own[a:b]) for a, b in zip(bounds, bounds[1:])]
-
-
-def plain_dedup(rows):
-    seen, out = set(), []
-    for i, t in sorted(rows):
-        kept = []
-        for c in plain_chunks(t):
-            if "\n" in c and c in seen:
+def plain_hash(*hashes):
+    """XXH64 of strings one after the other, each seeded with the hash of those before, signed as Spark has it."""
+    v = 42
+    for h in hashes:
+        v = xxhash.xxh64_intdigest(h.encode(), v)
+    return v - (1 << 64) if v >> 63 else v
+
+
+def plain_dedup(rows, bits=64):
+    """Lines left by id: chunks cut, matched and extended in plain loops over lists of lines."""
+    docs = sorted({(i, plain_hash(t), t) for i, t in rows if i is not None})
+    lines_of = [[(at, x) for at, x in enumerate(t.split("\n")) if x.strip(" ")] for _, _, t in docs]
+    made, is_long = [], lambda x: len(x.split()) > lines.LONG_LINE
+    short = lambda x: plain_hash(x) % (1 << 64) >> (64 - bits)
+    pairs = Counter((short(x), short(y)) for own in lines_of for (_, x), (_, y) in zip(own, own[1:]))
+    alone = Counter(short(x) for own in lines_of for _, x in own if is_long(x))
+    # shortened hashes are all shared in these tests
+    shown = (lambda x: str(plain_hash(x))) if bits == 64 else lambda x: "=" + x
+    for d, own in enumerate(lines_of):
+        twice = [pairs[short(x), short(y)] > 1 for (_, x), (_, y) in zip(own, own[1:])] + [False]
+        k = 0
+        while k < len(own):
+            end = k + 1
+            while twice[end - 1]:
+                end += 1
+            run = own[k:end]
+            if len(run) == 1 and not (is_long(run[0][1]) and alone[short(run[0][1])] > 1):
+                k = end
                 continue
-            seen.add(c)
-            kept.append(c)
-        out.append((i, sum(c.count("\n") + 1 for c in kept), "\n".join(kept)))
-    return out
-
-
-@pytest.mark.parametrize("hash_bits", [64, 5])
-def test_line_dedup(spark, hash_bits):
-    draw = random.Random(2)
-    block = [[f"line {draw.randrange(1000)}" for _ in range(9)] for _ in range(3)]
-    rows = [(i, "\n".join([f"own {i} {k}" for k in range(draw.randrange(4))] + draw.choice(block) + [f"end {i}"] * draw.randrange(3))) for i in range(40)]
-    got = lines.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), hash_bits=hash_bits).collect()
-    assert sorted((r.doc_id, r.n_lines - r.n_removed, r.text) for r in got) == plain_dedup(rows)
+            r = [plain_hash(shown(x), shown(y)) for (_, x), (_, y) in zip(run, run[1:])]
+            long = [len(x.split()) > lines.LONG_LINE for _, x in run]
+            starts = [i for i in range(len(run)) if i == 0 or long[i] or long[i - 1] or (2 <= i < len(r) and r[i] < r[i - 1] and r[i] <= min(r[i + 1 : i + 2], default=r[i]))]
+            bounds = [j for a, b in zip(starts, [*starts[1:], len(run)]) for j in range(a, b, lines.MOST_LINES)] + [len(run)]
+            cuts = [run[a:b] for a, b in zip(bounds, bounds[1:])]
+            for i, (a, c) in enumerate(zip(bounds, cuts)):
+                before, after = (cuts[i - 1] if i else []), (cuts[i + 1] if i + 1 < len(cuts) else [])
+                made.append((d, k + a, c, before, after))
+                if len(c) > 2 and not before:
+                    made.append((d, k + a, c[:2], [], c[2:]))
+                if len(c) > 2 and not after:
+                    made.append((d, k + a + len(c) - 2, c[-2:], c[:-2], []))
+            k = end
+    firsts, gone = {}, [set() for _ in docs]
+    texts = lambda c: tuple(x for _, x in c)
+    for d, k, c, before, after in sorted(made, key=lambda m: m[:2]):
+        words = [len(x.split()) for _, x in c]
+        if sum(words) < lines.LEAST_WORDS or (len(c) == 1 and words[0] <= lines.LONG_LINE):
+            continue
+        fd, fk, f_before, f_after = firsts.setdefault(texts(c), (d, k, before, after))
+        if (fd, fk) == (d, k):
+            continue
+        gone[d] |= {at for at, _ in c}
+        for mine, theirs in ((after, f_after), (before[::-1], f_before[::-1])):
+            for (at, x), (_, y) in zip(mine, theirs):
+                if x != y:
+                    break
+                gone[d].add(at)
+    lost = {(i, t): g for (i, _, t), g in zip(docs, gone)}
+    return sorted((i, "\n".join(x for at, x in enumerate(t.split("\n")) if at not in lost.get((i, t), ()))) for i, t in rows)
+
+
+def some_passages(draw, rows=60):
+    """Texts of private lines around shared passages of one to six lines, of over 50 words each."""
+    word = lambda: f"w{draw.randrange(10**6)}"
+    passages = [[" ".join(word() for _ in range(60 // n + 1)) for _ in range(n)] for n in range(1, 7) for _ in range(3)]
+    common = ["---", "}", "", "Thank you for reading this page today"]
+    own = lambda: [" ".join(word() for _ in range(6)) if draw.random() < 0.8 else draw.choice(common) for _ in range(draw.randrange(4))]
+    return passages, [(i, "\n".join(own() + passages[i % 18] + own() + (passages[draw.randrange(18)] if i % 3 == 0 else []) + own() or ["only"])) for i in range(rows)]
+
+
+def test_line_chunks_equal_plain(spark):
+    draw = random.Random(12)
+    _, rows = some_passages(draw)
+    rows += [(100, "one two three\nfour five six"), (100, "one two three\nfour five six"), (101, ""), (102, "short"), (103, "short"), (104, "x\n\n\nx\nx"), (105, "one two three\n\nfour five six\n"), (106, "\n".join(["same line again"] * 80))]
+    got = lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == plain_dedup(rows)
+    assert all(r.n_lines - r.n_removed == r.text.count("\n") + 1 for r in got if r.text)
 
 
-def test_line_dedup_of_odd_texts(spark, edges, nothing):
-    got = lines.deduplicated(edges).collect()
-    assert len(got) == len(EDGES) and {r.text for r in got if r.doc_id == 1} == {None} and [r.n_lines for r in got if r.doc_id == 2] == [1]
-    assert lines.deduplicated(nothing).count() == 0
+def test_lines_that_share_a_hash(spark):
+    rows = [(i, "\n".join([f"own {i}", "alpha beta gamma", "delta epsilon zeta"] + ["eta theta iota kappa"] * (i % 2))) for i in range(4)]
+    got = lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), hash_bits=1).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == plain_dedup(rows, bits=1)
 
 
-def plain_repeats(rows):
-    """Lines left by id: those outside later occurrences of pairs of lines and of single long lines."""
-    first, out = {}, []
+def test_planted_passages_go(spark):
+    """Of passages of one line to six, beside common lines or not, nine tenths of the later copies' lines go at least, blank lines stay."""
+    passages, rows = some_passages(random.Random(7), rows=400)
+    got = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    of = {x: p for p, own in enumerate(passages) for x in own}
+    seen, kept, planted = set(), Counter(), Counter()
     for i, t in sorted(rows):
-        own, gone = t.split("\n"), set()
-        for at in range(len(own)):
-            for size in (1, 2):
-                seed = tuple(own[at : at + size])
-                if len(seed) == size and (size == 2 or len(own[at].split()) > lines.LONG_LINE) and first.setdefault(seed, (i, at)) != (i, at):
-                    gone.update(range(at, at + size))
-        out.append((i, len(own) - len(gone), "\n".join(x for k, x in enumerate(own) if k not in gone)))
-    return out
-
-
-@pytest.mark.parametrize("hash_bits", [64, 5])
-def test_whole_shared_passages_go(spark, hash_bits):
-    draw = random.Random(12)
-    passages = [[" ".join(f"w{draw.randrange(10**6)}" for _ in range(60 // n + 1)) for _ in range(n)] for n in range(1, 7)]
-    rows = [(i, "\n".join([f"own {i} {k}" for k in range(i % 3)] + passages[i % 6] + [f"end {i} {k}" for k in range(i % 2)])) for i in range(36)]
-    rows += [(100, "x\nx\nx"), (101, ""), (102, "short"), (103, "short"), (104, "x\n\nx\nx")]
-    got = lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), hash_bits=hash_bits).collect()
-    assert sorted((r.doc_id, r.n_lines - r.n_removed, r.text) for r in got) == plain_repeats(rows)
-    assert not any(re.search(r"w\d", r.text) for r in got if 6 <= r.doc_id < 36)  # all of every passage, of one line to six
+        left = Counter(got[i].split("\n"))
+        assert left[""] == t.split("\n").count("") or got[i] == ""
+        for x in t.split("\n"):
+            if x in of and x in seen:
+                planted[len(passages[of[x]])] += 1
+                kept[len(passages[of[x]])] += left[x] > 0
+            elif x not in of and x and not x.startswith("Thank") and x not in ("---", "}"):
+                assert left[x]
+        seen |= set(t.split("\n"))
+    assert min(planted.values()) > 30 and all(kept[n] <= 0.1 * planted[n] for n in planted), (kept, planted)
+
+
+@pytest.mark.parametrize("n", [30_000, 60_000])
+def test_many_removed_lines(spark, n):
+    text = "\n".join(f"line number {i} of it" for i in range(n))
+    began = time.time()
+    got = lines.without_repeats(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, n] and time.time() - began < 40
 
 
-def test_whole_passages_of_odd_texts(spark, edges, nothing):
+def test_line_dedup_of_odd_texts(spark, edges, nothing):
     got = lines.without_repeats(edges).collect()
     assert len(got) == len(EDGES) and {r.text for r in got if r.doc_id == 1} == {None} and [r.n_lines for r in got if r.doc_id == 2] == [1]
     assert lines.without_repeats(nothing).count() == 0
-    two = spark.createDataFrame([(1, "a\nb\nc"), (1, "z\na\nb"), (None, "a\nb")], "doc_id bigint, text string")
-    assert sorted((r.text, r.n_removed) for r in lines.without_repeats(two).collect()) == [("a\nb", 0), ("c", 2), ("z", 2)]
+    two = spark.createDataFrame([(1, "a b c\nd e f\nc"), (1, "z\na b c\nd e f"), (None, "a b c\nd e f")], "doc_id bigint, text string")
+    assert sorted(r.n_removed for r in lines.without_repeats(two).collect()) == [0, 0, 2]
 
 
 # 3: secrets
