@@ -2,9 +2,9 @@
 
 Payment cards are told first, by the Luhn check over every run of 13 to 19 digits that starts and ends
 with a group of digits, so that expiry dates, security codes and other numbers beside a card don't hide
-it; common groupings go before others, and a run in which a date, a social security or a phone number
+it; common groupings, with one or two spaces, dots, underscores or dashes between the groups, go before others, and a run in which a date, a social security or a phone number
 stands is no card. All other values are found by one pattern and validated: payment cards (13 to 19 digits, Luhn), phone numbers
-(ten digits, the area code in
+(ten digits, the area code from 001 and in
 brackets or set apart), social security numbers, IPv4 addresses, dates from 1900 to
 2099 and mail addresses. A valid value is put through a keyed Feistel network over its own format,
 so the result is again a valid value of that format, equal values get equal pseudonyms in all
@@ -13,7 +13,8 @@ documents, and different ones get different ones. Separators stay where they wer
 A value is read as a pair of numbers (x, y) below (a, b); a round adds a keyed hash of one half to
 the other, modulo its size, which is a permutation whatever the hash. Mail addresses keep their
 domain; letters and digits of the name before it are shifted within their class by hashes of the
-other half of the name.
+other half of the name. Classes are ASCII's digits, small and capital letters, three rows of accented Latin letters, and
+Greek, Cyrillic, Hebrew, Arabic, Devanagari, kana, Hangul and Han letters; a name without any of these stays.
 
 Dates with strokes are read day first, or month first where there's no such day; they keep their order.
 As a stand-in may be readable both ways, stand-ins of the two orders can look alike.
@@ -30,26 +31,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside
 from ..functions.text import let
+from .common import aside
 
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31 are 319 x 229.
 DAYS = (319, 229)
 
 #: A name of any length: it is read from the start of its run only, so in time in proportion.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z0-9-]+"
+MAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{M}\p{N}.-]*\.[\p{L}\p{M}\p{N}-]+"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 DAY_DATE = r"(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)"
+#: What may stand between the groups of a card, once or twice: spaces of four kinds, dots, underscores, hyphens and dashes.
+_BETWEEN = "[ \u00a0\u2007\u202f._\u2010-\u2015-]"
 #: Digits that may be a card: a gate before the closer look, and the common groupings.
-DIGITS = r"\d(?:[ -]?\d){12}"
-GROUPED = [r"\d{13,19}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{3}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}", r"\d{4}([ -])\d{6}\2\d{4,5}"]
+DIGITS = rf"\d(?:{_BETWEEN}{{0,2}}\d){{12}}"
+GROUPED = [r"\d{13,19}", *(rf"\d{{4}}({_BETWEEN}{{1,2}})" + rest for rest in (r"\d{4}\2\d{4}\2\d{4}\2\d{3}", r"\d{4}\2\d{4}\2\d{4}", r"\d{6}\2\d{4,5}"))]
 #: Marks around cards that were told, while other values are looked for.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
-CARD = rf"{OPEN}\d(?:[ -]?\d){{12,18}}{CLOSE}"
+CARD = rf"{OPEN}\d(?:{_BETWEEN}{{0,2}}\d){{12,18}}{CLOSE}"
 #: Kinds in the order in which they're tried at a place.
 KINDS = {"card": CARD, "mail": MAIL, "address": ADDRESS, "iso_date": ISO_DATE, "day_date": DAY_DATE, "social": SOCIAL, "phone": PHONE}
 ANY = "|".join(KINDS.values())
@@ -111,20 +114,23 @@ def with_cards_marked(text: Column) -> Column:
     """The text with OPEN and CLOSE around its valid cards."""
     luhn = lambda v: F.call_function("luhn_check", _digits(v))
     found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    grouped = [found(rf"(?<![\d-])(?=({p})(?!\d))") for p in GROUPED]
-    others = [found(rf"(?<![\d-])(?<!\d[/.])(?=(\d(?:[ -]?\d){{{n - 1}}})(?!\d|[/.]\d))") for n in range(19, 12, -1)]
+    # a hyphen before a card is a dash of the text, but one after a digit joins it to that
+    free = r"(?<!\d)(?<!\d-)"
+    grouped = [found(rf"{free}(?=({p})(?!\d))") for p in GROUPED]
+    others = [found(rf"{free}(?<!\d[/.])(?=(\d(?:[ -]?\d){{{n - 1}}})(?!\d|[/.]\d))") for n in range(19, 12, -1)]
     inside = "|".join((ISO_DATE, SOCIAL, PHONE))
     valid = F.concat(F.filter(F.concat(*grouped), luhn), F.filter(F.concat(*others), lambda v: luhn(v) & ~v.rlike(inside)))
-    marked = lambda cards: F.when(F.size(cards) == 0, text).otherwise(F.regexp_replace(text, F.concat(F.lit(r"(?<![\d-])(?:"), F.array_join(cards, "|"), F.lit(r")(?!\d)")), F.lit(f"{OPEN}$0{CLOSE}")))
+    any_of = lambda cards: F.concat(F.lit(rf"{free}(?:\Q"), F.array_join(cards, r"\E|\Q"), F.lit(r"\E)(?!\d)"))
+    marked = lambda cards: F.when(F.size(cards) == 0, text).otherwise(F.regexp_replace(text, any_of(cards), F.lit(f"{OPEN}$0{CLOSE}")))
     return F.when(text.rlike(DIGITS), let(F.array_distinct(valid), marked)).otherwise(text)
 
 
 def _phone(key: Column, value: Column) -> Column:
     def permuted(digits: Column) -> Column:
         part = lambda at, n: F.substring(digits, F.length(digits) - 10 + at, F.lit(n)).cast("bigint")
-        pair = feistel(key, "phone", part(1, 3), part(4, 7), F.lit(1_000), F.lit(10_000_000))
+        pair = feistel(key, "phone", part(1, 3) - 1, part(4, 7), F.lit(999), F.lit(10_000_000))
         lead = F.substring(digits, F.lit(1), F.length(digits) - 10)
-        return let(pair, lambda p: F.concat(lead, _padded(p["x"], 3), _padded(p["y"], 7)))
+        return let(pair, lambda p: F.concat(lead, _padded(p["x"] + 1, 3), _padded(p["y"], 7)))
 
     return _dressed(value, let(_digits(value), permuted))
 
@@ -170,6 +176,14 @@ def _day_date(key: Column, value: Column) -> Column:
     return _date(key, value, F.coalesce(first, _parsed(value, "M/d/yyyy")), shown)
 
 
+#: Classes of characters in the names of mail addresses, by code points: ASCII's digits, capitals and small letters, then
+#: blocks of letters without gaps.
+CLASSES = [
+    (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x17F), (0x391, 0x3A1), (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F), (0x5D0, 0x5EA), (0x620, 0x63A),
+    (0x905, 0x939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
+
+
 def _mail(key: Column, value: Column) -> Column:
     name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
 
@@ -180,9 +194,10 @@ def _mail(key: Column, value: Column) -> Column:
     def by_place(text: Column, seed: Column, turn: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
             def moved(code: Column) -> Column:
-                by = F.when(code.between(48, 57), 10).when(code.between(65, 90) | code.between(97, 122), 26)
-                base = F.when(code.between(48, 57), 48).when(code.between(65, 90), 65).otherwise(97)
-                return F.when(by.isNull(), c).otherwise(F.chr((base + F.pmod(code - base + F.pmod(_hash(key, "mail", turn, F.concat_ws("|", i.cast("string"), seed)), by), by)).cast("int")))
+                by = _hash(key, "mail", turn, F.concat_ws("|", i.cast("string"), seed))
+                of = lambda low, high: low + F.pmod(code - low + F.pmod(by, F.lit(high - low + 1)), F.lit(high - low + 1))
+                new = F.coalesce(*[F.when(code.between(low, high), of(low, high)) for low, high in CLASSES])
+                return F.when(new.isNull(), c).when(new < 128, F.chr(new.cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE"))
 
             return let(F.ascii(c), moved)
 
@@ -211,7 +226,7 @@ def kind_of(value: Column) -> Column:
         .when(whole("day_date"), F.when(day("d/M/yyyy") | day("M/d/yyyy"), F.lit("day_date")))
         .when(whole("social"), F.when(social, F.lit("social")))
         .when(whole("card") & F.call_function("luhn_check", _digits(value)), F.lit("card"))
-        .when(whole("phone"), F.lit("phone"))
+        .when(whole("phone"), F.when(F.substring(_digits(value), F.length(_digits(value)) - 9, F.lit(3)) != "000", F.lit("phone")))
     )
 
 
