@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, buffer_of, cut, map_texts, without
+from .common import aside, buffer_of, cut, map_texts, within, without
 
 #: Smallest, mean (a power of two) and largest chunk in bytes.
 SIZES = (256, 2048, 16384)
@@ -137,14 +137,13 @@ def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     own, name, restore = aside(docs)
     at, text = name[doc_id], name[text]
     found = cut(exact_duplicates(own, at, text).groupBy(at, "text_sha256", "kept").agg(F.count("*").alias("n")))
-    key = F.concat_ws(":", F.coalesce(F.col(at).cast("string"), F.lit("")), F.sha2(F.coalesce(lowered(text), F.lit("")), 256))
-    keyed = own.withColumn("key", key)
-    by_key = lambda df: df.select(F.concat_ws(":", F.coalesce(F.col(at).cast("string"), F.lit("")), "text_sha256").alias("key"))
-    repeated = cut(by_key(found.where("kept and n > 1")))
-    if repeated.isEmpty():
-        return restore(without(keyed, by_key(found.where("not kept")), ["key"]))
-    once = keyed.join(repeated, "key", "left_semi").dropDuplicates(["key"])
-    return restore(without(keyed, by_key(found.where("not kept or n > 1")), ["key"]).unionByName(once))
+    key = lambda digest: F.concat_ws(":", F.coalesce(F.col(at).cast("string"), F.lit("")), digest)
+    by, mark = key(F.sha2(F.coalesce(lowered(text), F.lit("")), 256)), "__mark"
+    marked = lambda df: df.withColumn(mark, F.coalesce(F.col(at).cast("string"), F.lit("")))
+    keyed = lambda df: marked(df.select(at, key("text_sha256").alias("key")))
+    repeated = cut(keyed(found.where("kept and n > 1")))
+    left = without(marked(own), keyed(found.where("not kept or n > 1")), by, mark)
+    return restore(left if repeated.isEmpty() else left.unionByName(within(marked(own), repeated, by, mark)))
 
 
 def lowered(text: str) -> Column:

@@ -61,11 +61,36 @@ def kept_in_worker(key, make: Callable):
     return _KEPT[key]
 
 
-def without(docs: DataFrame, gone: DataFrame, by: list[str], most: int = 200_000) -> DataFrame:
-    """docs but for the rows whose keys are in gone (null keys are never): gone is written and counted, and broadcast
-    only if it has at most so many rows; beyond that both sides are shuffled by their keys."""
-    gone = cut(gone.select(*by).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, by, "left_anti")
+#: Bits of the filter that tells rows that may be meant: 16 MB at most, in bitmaps of 4 KB.
+FILTER_BITS, BITMAP_BITS = 1 << 27, 1 << 15
+
+
+def met(docs: DataFrame, keys: DataFrame, mark: str) -> tuple[DataFrame, DataFrame]:
+    """docs in two: rows whose mark isn't among those of keys, and all others with a few that only share its place in a filter.
+
+    The filter has one bit for each place of a hash, so its size is bounded; it is broadcast and nothing moves. More keys
+    leave more rows to the second part, never fewer. Null marks are in no keys.
+    """
+    place = F.xxhash64(F.col(f"`{mark}`").cast("string")).bitwiseAND(FILTER_BITS - 1)
+    bucket, pos = (place / BITMAP_BITS).cast("int"), place % BITMAP_BITS
+    bits = keys.where(F.col(f"`{mark}`").isNotNull()).select(bucket.alias("__bucket"), pos.alias("__pos")).groupBy("__bucket").agg(F.bitmap_construct_agg("__pos").alias("__bits"))
+    here = docs.withColumn("__bucket", F.when(F.col(f"`{mark}`").isNotNull(), bucket)).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    is_met = F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))
+    return here.where(~is_met).select(*docs.columns), here.where(is_met).select(*docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame, by: Column, mark: str) -> DataFrame:
+    """docs but for the rows whose key (by) is in gone (mark, key). Only rows whose mark may be in gone are keyed and moved."""
+    gone = cut(gone.select(mark, "key").distinct())
+    stay, maybe = met(docs, gone, mark)
+    return stay.unionByName(maybe.withColumn("__key", by).join(gone.select(F.col("key").alias("__key")), "__key", "left_anti").select(*docs.columns))
+
+
+def within(docs: DataFrame, wanted: DataFrame, by: Column, mark: str) -> DataFrame:
+    """One of the rows of docs for each key (by) in wanted (mark, key)."""
+    wanted = cut(wanted.select(mark, "key").distinct())
+    return met(docs, wanted, mark)[1].withColumn("__key", by).join(wanted.select(F.col("key").alias("__key")), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,8 @@ from .common import cut
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("least"))
+    """Written, so that a join with it is one of two plain shuffles, which can be split at a node of many links."""
+    return cut(edges.groupBy("a").agg(F.min("b").alias("least")))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, buffer_of, cut, map_texts, without
+from .common import aside, buffer_of, cut, map_texts, within, without
 from .graph import components
 
 BITS = 64
@@ -172,13 +172,14 @@ def link_fingerprints(fps: DataFrame, distance: int = 3, cell_limit: int = 2048)
     fps = cut(fps.select("fp").where("fp is not null").distinct())
     groups = group_count(fps.count(), distance)
     cells = fps.mapInArrow(_cells(groups, distance), "choice int, cell bigint, fp bigint")
-    counted = cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    # counts are written before they're joined: right above its aggregation, a cell of many fingerprints couldn't be split
+    counted = cut(cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1"))
     shared = cut(cells.join(counted, ["choice", "cell"]).select("choice", "cell", "fp", "n"))
     lists = shared.where(F.col("n") <= cell_limit).groupBy("choice", "cell").agg(F.collect_list("fp").alias("members"))
     links = lists.select("members").mapInArrow(_compare(distance), "a bigint, b bigint")
     crowded = shared.where(F.col("n") > cell_limit).select("fp").distinct()
     words = crowded.mapInArrow(_stars(distance), "word bigint, fp bigint, near boolean")
-    hubs = words.groupBy("word").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"), F.count("*").alias("n")).where("hub is not null and n > 1").drop("n")
+    hubs = cut(words.groupBy("word").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"), F.count("*").alias("n")).where("hub is not null and n > 1").drop("n"))
     chained = words.join(hubs, "word").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     if distance < 3:  # a hub's far neighbours may then be too far away
         chained = chained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
@@ -206,18 +207,14 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own, name, restore = aside(docs)
     at, text = name[doc_id], name[text]
-    keyed = own.withColumn("key", F.concat_ws(":", F.col(at).cast("string"), F.xxhash64(text)))
-    classes = cut(near_duplicates(keyed.where(F.col(at).isNotNull()), at, text, distance, also=("key",)))
+    by = F.concat_ws(":", F.col(at).cast("string"), F.xxhash64(text))
+    named = own.where(F.col(at).isNotNull())
+    classes = cut(near_duplicates(named.withColumn("key", by), at, text, distance, also=("key",)))
     stay = classes.groupBy("component").agg(F.min(F.struct(at, "fp")).alias("one")).select("component", F.col("one.fp").alias("stay_fp"), F.col(f"one.{at}").alias("stay_id"))
     is_one = (F.col(at) == F.col("stay_id")) & (F.col("fp") == F.col("stay_fp"))
     found = cut(classes.join(cut(stay), "component").groupBy("key", is_one.alias("stays"), at, "fp").agg(F.count("*").alias("n")))
     # rows of one id and fingerprint, with one text or several, of which one stays
     several = found.where("stays").groupBy(at, "fp").agg(F.sum("n").alias("rows"), F.collect_set("key").alias("keys")).where("rows > 1")
-    repeated = cut(several.select(F.col("keys").getItem(0).alias("one_key"), F.explode("keys").alias("key")))
-    without_id = F.col(at).isNull()
-    gone = found.where("not stays").select("key")
-    if repeated.isEmpty():
-        return restore(without(keyed.where(~without_id), gone, ["key"]).unionByName(keyed.where(without_id)))
-    once = keyed.where(~without_id).join(repeated.where("key = one_key"), "key", "left_semi").dropDuplicates(["key"])
-    left = without(keyed.where(~without_id), gone.unionByName(repeated.select("key")), ["key"])
-    return restore(left.unionByName(once).unionByName(keyed.where(without_id)))
+    repeated = cut(several.select(at, F.col("keys").getItem(0).alias("one_key"), F.explode("keys").alias("key")))
+    left = without(named, found.where("not stays").select(at, "key").unionByName(repeated.select(at, "key")), by, at).unionByName(own.where(F.col(at).isNull()))
+    return restore(left if repeated.isEmpty() else left.unionByName(within(named, repeated.where("key = one_key"), by, at)))
