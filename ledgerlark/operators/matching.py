@@ -1,18 +1,21 @@
 """Matching one row to one other: exact and fuzzy de-duplication, transfer pairs, multisets.
 
-Candidates come from an equi-join on the amount with a band on the date: days are part of the join
-key, one copy of a row for each day that its band covers, so a common amount doesn't meet itself
-over all time. Who gets whom is then settled in the exact order that the semantics prescribe, over
-candidate rows alone, by amount and run of days: rows further apart than two bands can't compete.
+Rows of one amount are put together by runs of days: rows further apart than the band can't meet, so a
+common amount doesn't meet itself over all time, and a run in which one side is missing goes at once. Who gets
+whom is then settled in the exact order that the semantics prescribe, over the run's rows by day; no pairs of
+rows are written. Only transfers of one amount with very many rows in a run are settled over candidate pairs, in rounds.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from heapq import merge
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import description_tokens, fingerprint, normal_description, similar_tokens
@@ -22,8 +25,8 @@ from ..shared import cut
 TRANSFER_DAYS, SOFT_DAYS = 3, 2
 #: Candidates that a new row looks at in one pass; this is part of the semantics.
 MOST_CANDIDATES = 32
-#: Candidates of one amount and run of days that are settled in one list; more are settled in rounds.
-MOST_AT_ONCE = 5_000
+#: Rows of one amount and run of days whose transfers are settled in one list; more are settled in rounds.
+MOST_AT_ONCE = 20_000
 
 # Words that tell a transfer, and words that tell against one.
 TRANSFER_WORDS = ("TRANSFER", "TFR", "SAVINGS", "SAVER", "POT", "ISA", "OWN ACCOUNT", "INTERNAL", "PAYMENT RECEIVED", "THANK YOU", "CARD REPAYMENT", "MOBILE PAYMENT")
@@ -57,25 +60,51 @@ def pair_confidence() -> Column:
     return F.when(F.col("against"), 0.6).when(F.col("words") > 0, 0.99).when(F.col("card") | (F.col("gap") == 0), 0.75).otherwise(0.7)
 
 
-def _take(candidates: list[dict]) -> list[dict]:
-    """Of one amount's candidates, in their order, those whose two ends are both free."""
-    used_out, used_in, kept = set(), set(), []
-    for c in sorted(candidates, key=lambda c: (c["gap"], -c["words"], c["out_date"], c["out_id"], c["in_id"])):
-        if c["out_id"] not in used_out and c["in_id"] not in used_in:
-            used_out.add(c["out_id"])
-            used_in.add(c["in_id"])
-            kept.append(c)
-    return kept
+def _paired(rows: list[dict], days: int) -> list[dict]:
+    """Of one amount's rows, pairs in the order of gap, words, and the row out: each takes the first free row in by id.
+
+    Rows in are kept by day and by the words that they hold, in order; a row out looks at the heads of the kinds that
+    make the number of words in turn, so no pair is looked at twice.
+    """
+    kinds: dict[tuple, list[dict]] = {}
+    for r in sorted((r for r in rows if not r["out"]), key=lambda r: r["id"]):
+        kinds.setdefault((r["day"], frozenset(r["words"])), []).append(r)
+    by_day: dict[int, list[tuple[frozenset, list[dict]]]] = {}
+    for (day, words), own in kinds.items():
+        by_day.setdefault(day, []).append((words, own))
+    left = sorted((r for r in rows if r["out"]), key=lambda r: (r["day"], r["id"]))
+    for r in left:
+        r["words"] = frozenset(r["words"])
+    most = len(frozenset().union(*(words for _, words in kinds), *(r["words"] for r in left)))
+    pairs = []
+    for gap in range(days + 1):
+        for n in range(most, -1, -1):
+            rest = []
+            for r in left:
+                best = None
+                for day in {r["day"] - gap, r["day"] + gap}:
+                    for words, own in by_day.get(day, ()):
+                        if len(words | r["words"]) == n:
+                            k = next((k for k, x in enumerate(own) if x["account"] != r["account"]), None)
+                            if k is not None and (best is None or own[k]["id"] < best[0][best[1]]["id"]):
+                                best = own, k
+                if best is None:
+                    rest.append(r)
+                    continue
+                into = best[0].pop(best[1])
+                pairs.append({"out_id": r["id"], "in_id": into["id"], "gap": gap, "words": n, "card": into["card"] and not r["card"], "against": into["against"] or r["against"]})
+            left = rest
+    return pairs
 
 
 def islands(rows: DataFrame, keys: list[str], day: str, apart: int) -> DataFrame:
-    """rows with island: the first day of the run of days, none more than apart after the one before, that day is in.
+    """rows with island: the first day (a number) of the run of days, none more than apart after the one before, that day is in.
 
     Runs are told from distinct days, so a key with many rows a day weighs no more than a calendar.
     """
     days = rows.select(*keys, day).distinct()
     by = Window.partitionBy(*keys).orderBy(day)
-    starts = F.when(F.coalesce(F.datediff(day, F.lag(day).over(by)) > apart, F.lit(True)), F.col(day))
+    starts = F.when(F.coalesce(F.col(day) - F.lag(day).over(by) > apart, F.lit(True)), F.col(day))
     return rows.join(days.withColumn("island", F.last(starts, ignorenulls=True).over(by)), [*keys, day])
 
 
@@ -95,76 +124,90 @@ def settled_in_rounds(edges: DataFrame, left: str, right: str, order: list[Colum
 def pair_transfers(moves: DataFrame, days: int = TRANSFER_DAYS, most: int = MOST_AT_ONCE) -> DataFrame:
     """Each movement in at most one pair: nearest first, then most words, then earliest, then by id.
 
-    A pair whose ends have no other candidate stands. The others are settled by amount and run of days; runs of up to
-    most candidates side by side in Arrow batches, larger ones (a round amount of very many accounts) in rounds.
+    Settled by size of the amount and run of days; runs of up to most rows side by side in Arrow batches, larger ones (a
+    round amount of very many accounts) over their candidate pairs, in rounds.
     """
-    found = pair_candidates(moves, days)
-    choice = F.count("*").over(Window.partitionBy("out_id")) + F.count("*").over(Window.partitionBy("in_id"))
-    counted = found.withColumn("choice", choice)
-    alone = counted.where("choice = 2").drop("choice")
-    rest = islands(counted.where("choice > 2").drop("choice"), ["size"], "out_date", 2 * days)
-    sizes = rest.groupBy("size", "island").agg(F.count("*").alias("n"))
-    rest = cut(rest.join(sizes, ["size", "island"]))
-    shape = found.schema
+    card, against = F.col("account_kind") == "credit_card", F.col("text").rlike(r"\b(REFUND|REVERSAL|CASHBACK)\b")
+    rows = moves.where("amount_pence <> 0").select(F.abs("amount_pence").alias("size"), F.unix_date("date").alias("day"), "id", F.col("account_id").alias("account"), card.alias("card"), (F.col("amount_pence") < 0).alias("out"), transfer_words(F.col("text")).alias("words"), against.alias("against"))
+    rows = islands(rows, ["size"], "day", days)
+    sizes = cut(rows.groupBy("size", "island").agg(F.count("*").alias("n"), F.bool_or("out").alias("some_out"), F.bool_and("out").alias("all_out")).where("some_out AND NOT all_out").select("size", "island", "n"))
+    placed = rows.join(sizes, ["size", "island"])
+    shape = T.StructType([T.StructField(n, moves.schema["id"].dataType) for n in ("out_id", "in_id")]).add("gap", T.IntegerType()).add("words", T.IntegerType()).add("card", T.BooleanType()).add("against", T.BooleanType())
     schema = to_arrow_schema(shape)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([c for rows in batch.column(0).to_pylist() for c in _take(rows)], schema=schema)
-
-    few = rest.where(F.col("n") <= most).groupBy("size", "island").agg(F.collect_list(F.struct(*shape.names)).alias("candidates"))
-    told = alone.unionByName(few.select("candidates").mapInArrow(run, shape))
-    many = rest.where(F.col("n") > most).drop("island", "n")
-    if not many.isEmpty():
-        told = told.unionByName(settled_in_rounds(many, "out_id", "in_id", [F.col("gap"), F.col("words").desc(), F.col("out_date"), F.col("out_id"), F.col("in_id")]))
+            yield pa.RecordBatch.from_pylist([c for rows in batch.column(0).to_pylist() for c in _paired(rows, days)], schema=schema)
+
+    row = F.struct("day", "id", "account", "card", "out", "words", "against")
+    told = placed.where(F.col("n") <= most).groupBy("size", "island").agg(F.collect_list(row).alias("rows")).where(~_one_account()).select("rows").mapInArrow(run, shape)
+    crowded = sizes.where(F.col("n") > most)
+    if not crowded.isEmpty():
+        many = moves.join(placed.where(F.col("n") > most).select("id"), "id", "left_semi")
+        edges = cut(pair_candidates(many, days))
+        told = told.unionByName(settled_in_rounds(edges, "out_id", "in_id", [F.col("gap"), F.col("words").desc(), F.col("out_date"), F.col("out_id"), F.col("in_id")]).select(*shape.names))
     return told.select("out_id", "in_id", "gap", "words", "card", pair_confidence().alias("confidence"))
 
 
+def _one_account() -> Column:
+    """Whether all rows of a list are of one account, so that none can pair."""
+    return F.forall("rows", lambda r: r["account"] == F.col("rows")[0]["account"])
+
+
 def soft_matches(new: DataFrame, stored: DataFrame, days: int = SOFT_DAYS) -> DataFrame:
-    """new_id, stored_id of soft duplicates: one amount, close days, similar descriptions, one to one.
+    """new_id, stored_id, gap of soft duplicates: one amount, close days, similar descriptions, one to one.
 
     First pass same day, second pass up to days apart, nearest first; rows in their order (pos), stored
     ones in theirs. Candidates count towards MOST_CANDIDATES whether they're similar or not.
     """
-    mine = new.select(F.col("id").alias("new_id"), "account_id", "amount_pence", F.col("pos").alias("new_pos"), F.col("date").alias("new_date"), description_tokens(F.col("raw_description")).alias("new_tokens"))
-    mine = mine.withColumn("day", F.explode(F.sequence(F.date_sub("new_date", days), F.date_add("new_date", days))))
-    theirs = stored.select(F.col("id").alias("stored_id"), "account_id", "amount_pence", F.col("pos").alias("stored_pos"), F.col("date").alias("day"), description_tokens(F.col("raw_description")).alias("stored_tokens"))
-    met = mine.join(theirs, ["account_id", "amount_pence", "day"])
-    near = met.select("account_id", "amount_pence", "new_id", "new_pos", "new_date", "stored_id", "stored_pos", F.abs(F.datediff("day", "new_date")).alias("gap"), similar_tokens(F.col("new_tokens"), F.col("stored_tokens")).alias("similar"))
-    # rows over twice the band apart share no candidate, so each run of days is settled by itself
-    near = islands(near, ["account_id", "amount_pence"], "new_date", 2 * days)
-
-    candidate = F.struct("new_pos", "new_id", "gap", "stored_pos", "stored_id", "similar")
-    grouped = near.groupBy("account_id", "amount_pence", "island").agg(F.collect_list(candidate).alias("candidates")).where(F.exists("candidates", lambda c: c["similar"]))
+    side = lambda df, is_new: df.select("account_id", "amount_pence", F.unix_date("date").alias("day"), F.lit(is_new).alias("is_new"), F.col("pos").cast("bigint").alias("pos"), F.col("id").cast("bigint").alias("id"), description_tokens(F.col("raw_description")).alias("tokens"))
+    keys = ["account_id", "amount_pence"]
+    rows = islands(side(new, True).unionByName(side(stored, False)), keys, "day", days)
+    grouped = rows.groupBy(*keys, "island").agg(F.bool_or("is_new").alias("some"), F.bool_and("is_new").alias("all"), F.collect_list(F.struct("is_new", "day", "pos", "id", "tokens")).alias("rows")).where("some AND NOT all")
     shape = "new_id bigint, stored_id bigint, gap int"
-    one = F.col("candidates")[0]
-    alone = grouped.where(F.size("candidates") == 1).select(one["new_id"].alias("new_id"), one["stored_id"].alias("stored_id"), one["gap"].alias("gap"))
+    pick = lambda is_new: F.get(F.filter("rows", lambda r: r["is_new"] == is_new), 0)
+    two = grouped.where(F.size("rows") == 2).select(pick(True).alias("n"), pick(False).alias("s"))
+    alone = two.where(similar_tokens(F.col("n.tokens"), F.col("s.tokens")) & (F.abs(F.col("n.day") - F.col("s.day")) <= days)).select(F.col("n.id").alias("new_id"), F.col("s.id").alias("stored_id"), F.abs(F.col("n.day") - F.col("s.day")).alias("gap"))
 
     def run(batches):
         for batch in batches:
             found = [x for rows in batch.column(0).to_pylist() for x in _settle(rows, days)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["new_id", "stored_id", "gap"])
 
-    return alone.unionByName(grouped.where(F.size("candidates") > 1).select("candidates").mapInArrow(run, shape))
+    return alone.unionByName(grouped.where(F.size("rows") > 2).select("rows").mapInArrow(run, shape))
 
 
-def _settle(candidates: list[dict], days: int) -> list[tuple[int, int, int]]:
-    """Soft matches among one amount's candidates: each new row in its order takes its first similar free one."""
-    by_new: dict[tuple, list[dict]] = {}
-    for c in sorted(candidates, key=lambda c: (c["new_pos"], c["new_id"], c["gap"], c["stored_pos"])):
-        by_new.setdefault((c["new_pos"], c["new_id"]), []).append(c)
-    taken, out = set(), []
+def _settle(rows: list[dict], days: int) -> list[tuple[int, int, int]]:
+    """Soft matches among one amount's rows: each new row in its order takes its first similar free one of those stored.
+
+    Free stored rows are kept by day, in order, and a row that is taken leaves its day; a new row walks the days around its own.
+    """
+    free: dict[int, list[tuple]] = {}
+    for r in sorted((r for r in rows if not r["is_new"]), key=lambda r: (r["pos"], r["id"])):
+        free.setdefault(r["day"], []).append((r["pos"], r["id"], r["day"], frozenset(r["tokens"])))
+    waiting = sorted((r for r in rows if r["is_new"]), key=lambda r: (r["pos"], r["id"]))
+    out = []
     for most in (0, days):
-        for key in list(by_new):
-            free = [c for c in by_new[key] if c["gap"] <= most and c["stored_id"] not in taken]
-            first = next((c for c in free[:MOST_CANDIDATES] if c["similar"]), None)
-            if first is not None:
-                taken.add(first["stored_id"])
-                out.append((key[1], first["stored_id"], first["gap"]))
-                del by_new[key]
+        left = []
+        for r in waiting:
+            near = chain.from_iterable(merge(*(free.get(day, ()) for day in {r["day"] - gap, r["day"] + gap})) for gap in range(most + 1))
+            mine = frozenset(r["tokens"])
+            first = next((s for s in islice(near, MOST_CANDIDATES) if _alike(mine, s[3])), None)
+            if first is None:
+                left.append(r)
+                continue
+            free[first[2]].remove(first)
+            out.append((r["id"], first[1], abs(first[2] - r["day"])))
+        waiting = left
     return out
 
 
+def _alike(a: frozenset, b: frozenset) -> bool:
+    """What similar_tokens() tells of columns."""
+    both = len(a & b)
+    return bool(a and b) and (both in (len(a), len(b)) or 2 * both >= len(a | b))
+
+
 def dedupe_plan(new: DataFrame, stored: DataFrame) -> DataFrame:
     """id and match (exact, similar or new) of each new row; both sides have a fingerprint.
 

@@ -13,7 +13,7 @@ from ..operators import composites, matching, temporal, understanding
 from .adapter import LEDGER, MOVEMENT, ledger, movements, table, with_sql
 from .registry import query
 from .scheduling import _HOLIDAY, holidays
-from .understanding import _BEST, _RULE, _VERSIONS, lines, rule_table, versions
+from .understanding import _BEST, _LINES, _PRINTED, _RULE, _VERSIONS, DEDUPED, PAIRED, lines, rule_table, versions
 
 _MEMORY = "mem AS (SELECT s_suppkey AS merchant_id, 'asia.nation-2.building' AS memory_category, CASE WHEN s_suppkey % 3 = 0 THEN 'confirmed' ELSE 'inferred' END AS memory, (s_suppkey % 10) / 10.0 AS memory_confidence, s_suppkey % 8 AS seen FROM supplier WHERE s_acctbal > 0)"
 
@@ -33,7 +33,15 @@ def D2_code_step(spark, sf_dir):
     return composites.code_step(rows, rule_table(spark), _memory(spark, sf_dir), understanding.stale(rows, versions(spark, sf_dir)))
 
 
-@query()
+_SIDED = """half AS (SELECT out_id AS id, in_id AS partner, confidence FROM pair UNION ALL SELECT in_id, out_id, confidence FROM pair),
+    span AS (SELECT account_id, min(date) - 1 AS first_day, min(date) + 10 AS last_day FROM movement GROUP BY 1),
+    word AS (SELECT DISTINCT f.id, f.account_id, f.date, unnest(regexp_extract_all(upper(f.text), '[A-Z0-9]+')) AS phrase FROM free f WHERE f.id NOT IN (SELECT id FROM half)),
+    alone AS (SELECT w.id FROM word w JOIN (SELECT DISTINCT account_id, 'REF' || (account_id % 100) AS phrase FROM movement) n ON n.phrase = w.phrase AND n.account_id <> w.account_id
+        JOIN span s ON s.account_id = n.account_id WHERE w.date NOT BETWEEN s.first_day AND s.last_day GROUP BY 1)"""
+
+
+@query(with_sql(MOVEMENT, "free AS (SELECT * FROM movement WHERE text NOT LIKE 'REFUND%')", PAIRED, _SIDED).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT id, 'pair' AS kind, partner, CAST(confidence AS DOUBLE) AS confidence FROM half UNION ALL SELECT id, 'one-sided', NULL, 0.85 FROM alone")
 def D6_transfer_run(spark, sf_dir):
     moves = movements(spark, sf_dir)
     names = moves.select("account_id").distinct().select("account_id", F.concat(F.lit("ref"), (F.col("account_id") % 100).cast("string")).alias("phrase"))
@@ -72,7 +80,8 @@ def D11_apply_rules(spark, sf_dir):
     return composites.rule_applied(ledger(spark, sf_dir), rule_table(spark))
 
 
-@query()
+@query(with_sql(_LINES, _PRINTED, DEDUPED.format(new="statement_id % 2 = 0", stored="statement_id % 2 = 1")).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT statement_id, match, count(*) AS n FROM (SELECT statement_id, match FROM plan UNION ALL SELECT statement_id, 'new' FROM older) GROUP BY ALL")
 def W1_import_statement(spark, sf_dir):
     own = matching.fingerprinted(lines(spark, sf_dir))
     stored = own.where("statement_id % 2 = 1")

@@ -137,7 +137,18 @@ def J6_pair_candidates(spark, sf_dir):
     return matching.pair_candidates(movements(spark, sf_dir))
 
 
-@query()
+#: Edges of one size in their order, walked one by one: an edge is taken if neither end has been.
+PAIRED = f"""edge AS (SELECT abs(o.amount_pence) AS size, o.id AS out_id, i.id AS in_id, o.date AS out_date, CAST(abs(date_diff('day', o.date, i.date)) AS INTEGER) AS gap, CAST({_WORDS.format('o.text', 'i.text')} AS INTEGER) AS words,
+        i.account_kind = 'credit_card' AND o.account_kind <> 'credit_card' AS card, (contains(o.text, 'REFUND') OR contains(i.text, 'REFUND')) AS against
+        FROM free o JOIN free i ON o.amount_pence < 0 AND i.amount_pence = -o.amount_pence AND o.account_id <> i.account_id AND abs(date_diff('day', o.date, i.date)) <= 3),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY gap, words DESC, out_date, out_id, in_id) AS r FROM edge),
+    walk AS (SELECT size, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS used, false AS taken FROM (SELECT DISTINCT size FROM edge)
+        UNION ALL SELECT w.size, e.r, CASE WHEN list_contains(w.used, e.out_id) OR list_contains(w.used, -e.in_id - 1) THEN w.used ELSE list_concat(w.used, [e.out_id, -e.in_id - 1]) END,
+            NOT (list_contains(w.used, e.out_id) OR list_contains(w.used, -e.in_id - 1)) FROM walk w JOIN ranked e ON e.size = w.size AND e.r = w.r + 1),
+    pair AS (SELECT e.*, CASE WHEN against THEN 0.6 WHEN words > 0 THEN 0.99 WHEN card OR gap = 0 THEN 0.75 ELSE 0.7 END AS confidence FROM ranked e JOIN walk USING (size, r) WHERE taken)"""
+
+
+@query(with_sql(MOVEMENT, "free AS (SELECT * FROM movement)", PAIRED).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT out_id, in_id, gap, words, card, CAST(confidence AS DOUBLE) AS confidence FROM pair")
 def J6_transfer_pairs(spark, sf_dir):
     return matching.pair_transfers(movements(spark, sf_dir))
 
@@ -165,7 +176,24 @@ def J4_exact_dedupe(spark, sf_dir):
     return own.where("statement_id = 0").join(stored, ["account_id", "fingerprint"], "left_semi").select("id")
 
 
-@query()
+#: New rows of one amount in their order, twice, each taking its first similar free candidate of the first 32.
+DEDUPED = """pool AS (SELECT p.*, string_split(lower(raw_description), '  ') AS w FROM printed p),
+    newer AS (SELECT * FROM pool WHERE {new}), older AS (SELECT * FROM pool WHERE {stored}),
+    exact AS (SELECT n.id FROM newer n WHERE EXISTS (SELECT 1 FROM older o WHERE o.account_id = n.account_id AND o.fingerprint = n.fingerprint)),
+    candidate AS (SELECT n.account_id, n.amount_pence, n.id, n.pos, list({{'id': o.id, 'gap': abs(date_diff('day', n.date, o.date)), 'alike': n.w = o.w}} ORDER BY abs(date_diff('day', n.date, o.date)), o.pos, o.id) AS near
+        FROM newer n JOIN older o ON o.account_id = n.account_id AND o.amount_pence = n.amount_pence AND abs(date_diff('day', n.date, o.date)) <= 2
+        WHERE n.id NOT IN (SELECT id FROM exact) AND NOT EXISTS (SELECT 1 FROM newer x WHERE x.account_id = o.account_id AND x.fingerprint = o.fingerprint) GROUP BY ALL),
+    turn AS (SELECT *, row_number() OVER (PARTITION BY account_id, amount_pence ORDER BY pass, pos, id) AS r FROM candidate, (VALUES (0), (2)) v(pass)),
+    walk AS (SELECT account_id, amount_pence, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS matched FROM (SELECT DISTINCT account_id, amount_pence FROM turn)
+        UNION ALL SELECT account_id, amount_pence, r, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, CASE WHEN pick IS NULL THEN matched ELSE list_append(matched, id) END
+        FROM (SELECT t.account_id, t.amount_pence, t.r, w.taken, w.matched, t.id, CASE WHEN NOT list_contains(w.matched, t.id) THEN
+            list_filter(list_filter(t.near, lambda c: c.gap <= t.pass AND NOT list_contains(w.taken, c.id))[1:32], lambda c: c.alike)[1].id END AS pick
+            FROM walk w JOIN turn t ON t.account_id = w.account_id AND t.amount_pence = w.amount_pence AND t.r = w.r + 1)),
+    plan AS (SELECT n.id, n.statement_id, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN m.id IS NOT NULL THEN 'similar' ELSE 'new' END AS match
+        FROM newer n LEFT JOIN exact e USING (id) LEFT JOIN (SELECT DISTINCT unnest(matched) AS id FROM walk) m USING (id))"""
+
+
+@query(with_sql(_LINES, _PRINTED, DEDUPED.format(new="statement_id = 0", stored="statement_id <> 0")).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT id, match FROM plan")
 def J5_dedupe_plan(spark, sf_dir):
     own = matching.fingerprinted(lines(spark, sf_dir))
     return matching.dedupe_plan(own.where("statement_id = 0"), own.where("statement_id <> 0"))

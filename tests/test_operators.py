@@ -180,3 +180,13 @@ def test_rules_meet_rows_whichever_way(spark):
     txns = spark.createDataFrame(rows, "id bigint, merchant_id bigint, account_id bigint, amount_pence bigint, date date, who string, text string")
     ways = [sorted(map(tuple, rules.best_rules(txns, rule_table, most).collect())) for most in (10_000, 20, 0)]
     assert ways[0] == ways[1] == ways[2] and len(ways[0]) > 100
+
+
+def test_soft_duplicates_of_one_hot_amount(spark):
+    """Thousands of rows of one amount, every day over years: no pairs are written, and rows meet in order."""
+    n = 6_000
+    row = lambda i, k: (i, 1, DAY + datetime.timedelta(days=k // 3), 100, "green shop", k)
+    schema = "id bigint, account_id bigint, date date, amount_pence bigint, raw_description string, pos bigint"
+    new, stored = [row(k, k) for k in range(n)], [row(100_000 + k, k) for k in range(n)]
+    got = matching.soft_matches(spark.createDataFrame(new, schema), spark.createDataFrame(stored, schema)).collect()
+    assert {(r.new_id, r.stored_id, r.gap) for r in got} == {(k, 100_000 + k, 0) for k in range(n)}
