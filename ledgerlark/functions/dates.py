@@ -123,9 +123,9 @@ def bank_holidays(years: DataFrame, year: str = "year") -> DataFrame:
     second = lambda d: F.date_add(d, F.when(F.weekday(d) > 4, 2).when(F.weekday(d) == 0, 1).otherwise(0))  # noqa: E731  the day after one that may have moved
     sunday = easter(y)
     rules = {
-        "New Year": (past_weekend(on(1, 1)), "ews"), "Second of January": (second(on(1, 2)), "s"), "Good Friday": (F.date_sub(sunday, 2), "ews"), "Easter Monday": (F.date_add(sunday, 1), "e"),
-        "Early May": (first_monday(5), "ews"), "Spring": (last_monday(5), "ews"), "Summer": (last_monday(8), "e"), "Scottish summer": (first_monday(8), "s"),
-        "St Andrew": (past_weekend(on(11, 30)), "s"), "Christmas": (past_weekend(on(12, 25)), "ews"), "Boxing Day": (second(on(12, 26)), "ews"),
+        "New Year": (past_weekend(on(1, 1)), "esn"), "Second of January": (second(on(1, 2)), "s"), "St Patrick": (past_weekend(on(3, 17)), "n"), "Good Friday": (F.date_sub(sunday, 2), "esn"),
+        "Easter Monday": (F.date_add(sunday, 1), "en"), "Early May": (first_monday(5), "esn"), "Spring": (last_monday(5), "esn"), "Orangemen": (past_weekend(on(7, 12)), "n"), "Summer": (last_monday(8), "en"),
+        "Scottish summer": (first_monday(8), "s"), "St Andrew": (past_weekend(on(11, 30)), "s"), "Christmas": (past_weekend(on(12, 25)), "esn"), "Boxing Day": (second(on(12, 26)), "esn"),
     }
-    rows = [F.struct(F.lit(division).alias("division"), day.alias("day"), F.lit(name).alias("name")) for name, (day, where) in rules.items() for letter, division in (("e", "england"), ("s", "scotland")) if letter in where]
+    rows = [F.struct(F.lit(division).alias("division"), day.alias("day"), F.lit(name).alias("name")) for name, (day, where) in rules.items() for letter, division in (("e", "england"), ("s", "scotland"), ("n", "northern-ireland")) if letter in where]
     return years.select(F.explode(F.array(*rows)).alias("h")).select("h.*")

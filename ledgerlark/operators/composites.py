@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.dates import month_add
 from . import matching, rules, series, understanding
@@ -135,25 +133,6 @@ def matched_accounts(evidence: DataFrame, accounts: DataFrame) -> DataFrame:
     return evidence.select("statement_id").join(best, "statement_id", "left").select("statement_id", "account_id", "best_guess", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
-def batches(rows: DataFrame, budget: int, shared: str = "batch_key") -> DataFrame:
-    """rows with the number of the batch that holds their tokens: greedy, in order, within each key.
-
-    A row that is over the budget alone has a batch of its own. A fold over one key's rows; keys are runs.
-    """
-    schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])
-
-    def fill(p: pd.DataFrame) -> pd.DataFrame:
-        p, numbers, used, batch = p.sort_values("pos"), [], 0, 0
-        for tokens in p["tokens"]:
-            if used and used + tokens > budget:
-                used, batch = 0, batch + 1
-            used += tokens
-            numbers.append(batch)
-        return p.assign(batch=numbers)
-
-    return rows.groupBy(shared).applyInPandas(fill, schema)
-
-
 def rule_applied(rows: DataFrame, rule_table: DataFrame) -> DataFrame:
     """What applying rules to the past writes: the rows that change, with their new category."""
     best = rules.best_rules(rows.where("status <> 'confirmed' AND authority <= 80"), rule_table)

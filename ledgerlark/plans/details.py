@@ -651,13 +651,15 @@ def F37_month_weeks(spark, sf_dir):
     e AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS sunday FROM m),
     d AS (SELECT y, sunday, CAST(unnest(generate_series(make_date(y, 1, 1), make_date(y, 12, 31), INTERVAL 1 DAY)) AS DATE) AS day FROM e),
     n AS (SELECT *, isodow(day) = 1 AS monday, month(day) AS mo, day(day) AS dd FROM d),
-    r AS (SELECT 'england' AS division, day FROM n WHERE day IN (sunday - 2, sunday + 1) OR (monday AND ((mo = 5 AND (dd <= 7 OR dd > 24)) OR (mo = 8 AND dd > 24)))
+    r AS (SELECT unnest(['england', 'northern-ireland']) AS division, day FROM n WHERE day IN (sunday - 2, sunday + 1) OR (monday AND ((mo = 5 AND (dd <= 7 OR dd > 24)) OR (mo = 8 AND dd > 24)))
         UNION ALL SELECT 'scotland', day FROM n WHERE day = sunday - 2 OR (monday AND ((mo = 5 AND (dd <= 7 OR dd > 24)) OR (mo = 8 AND dd <= 7)))
-        UNION ALL SELECT v, min(day) FROM n, (VALUES ('england'), ('scotland')) t(v) WHERE mo = 1 AND isodow(day) < 6 GROUP BY y, v
-        UNION ALL SELECT v, min(day) FROM n, (VALUES ('england'), ('scotland')) t(v) WHERE mo = 12 AND dd >= 25 AND isodow(day) < 6 GROUP BY y, v
+        UNION ALL SELECT v, min(day) FROM n, (VALUES ('england'), ('scotland'), ('northern-ireland')) t(v) WHERE mo = 1 AND isodow(day) < 6 GROUP BY y, v
+        UNION ALL SELECT v, min(day) FROM n, (VALUES ('england'), ('scotland'), ('northern-ireland')) t(v) WHERE mo = 12 AND dd >= 25 AND isodow(day) < 6 GROUP BY y, v
         UNION ALL SELECT 'scotland', (list_sort(list(day)))[2] FROM n WHERE mo = 1 AND isodow(day) < 6 GROUP BY y
-        UNION ALL SELECT v, (list_sort(list(day)))[2] FROM n, (VALUES ('england'), ('scotland')) t(v) WHERE mo = 12 AND dd >= 25 AND isodow(day) < 6 GROUP BY y, v
-        UNION ALL SELECT 'scotland', min(day) FROM n WHERE (mo = 11 AND dd = 30 OR mo = 12 AND dd < 4) AND isodow(day) < 6 GROUP BY y)
+        UNION ALL SELECT v, (list_sort(list(day)))[2] FROM n, (VALUES ('england'), ('scotland'), ('northern-ireland')) t(v) WHERE mo = 12 AND dd >= 25 AND isodow(day) < 6 GROUP BY y, v
+        UNION ALL SELECT 'scotland', min(day) FROM n WHERE (mo = 11 AND dd = 30 OR mo = 12 AND dd < 4) AND isodow(day) < 6 GROUP BY y
+        UNION ALL SELECT 'northern-ireland', min(day) FROM n WHERE mo = 3 AND dd BETWEEN 17 AND 20 AND isodow(day) < 6 GROUP BY y
+        UNION ALL SELECT 'northern-ireland', min(day) FROM n WHERE mo = 7 AND dd BETWEEN 12 AND 15 AND isodow(day) < 6 GROUP BY y)
     SELECT division, day FROM r""")
 def S21_bank_holidays(spark, sf_dir):
     """The regular bank holidays of the years of orders (twenty years on), against another form of the Easter rule."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.text import tokens_estimate
-from ..operators import composites, matching, temporal, understanding
+from ..operators import composites, layout, matching, temporal, understanding
 from .adapter import LEDGER, MOVEMENT, ledger, movements, table, with_sql
 from .registry import query
 from .scheduling import _HOLIDAY, holidays
@@ -110,9 +110,39 @@ def P18_account_match(spark, sf_dir):
     return composites.matched_accounts(evidence, accounts).select("statement_id", "account_id", "n_candidates")
 
 
-@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-    f AS (SELECT conv_id, turn, k, tokens AS used, 0 AS batch FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.turn, t.k, CASE WHEN f.used > 0 AND f.used + t.tokens > 120 THEN t.tokens ELSE f.used + t.tokens END, CASE WHEN f.used > 0 AND f.used + t.tokens > 120 THEN f.batch + 1 ELSE f.batch END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
-    SELECT conv_id, turn, batch FROM f""")
+_ROOM, _LINE, _ITEMS = 160, 25, 4
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, CASE WHEN length(text) % 3 > 0 THEN role END AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    f AS (SELECT DISTINCT conv_id, CAST(NULL AS BIGINT) AS turn, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS seen, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS batch, false AS fits FROM t
+        UNION ALL SELECT conv_id, turn, k, CASE WHEN own > {_ROOM} THEN 0 WHEN more THEN used + cost ELSE own END, CASE WHEN own > {_ROOM} THEN [] WHEN NOT more THEN list_filter([line], lambda l: l IS NOT NULL) WHEN line IS NULL THEN seen ELSE list_append(seen, line) END,
+            CASE WHEN own > {_ROOM} THEN 0 WHEN more THEN n + 1 ELSE 1 END, CASE WHEN own > {_ROOM} OR more THEN batch ELSE batch + 1 END, own <= {_ROOM}
+        FROM (SELECT *, n > 0 AND n < {_ITEMS} AND used + cost <= {_ROOM} AND own <= {_ROOM} AS more FROM (SELECT t.conv_id, t.turn, t.k, t.line, f.used, f.seen, f.n, f.batch, t.tokens + CASE WHEN t.line IS NULL THEN 0 ELSE {_LINE} END AS own,
+            t.tokens + CASE WHEN t.line IS NULL OR list_contains(f.seen, t.line) THEN 0 ELSE {_LINE} END AS cost FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)))
+    SELECT conv_id, turn, CASE WHEN fits THEN batch END AS batch FROM f WHERE k > 0""")
 def F27_batches(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("pos"), tokens_estimate(F.col("text")).alias("tokens"))
-    return composites.batches(rows, 120, "conv_id").select("conv_id", "turn", "batch")
+    """Turns in batches of four, within a budget, the line of a role counted once a batch; turns too large for any have none."""
+    line = F.when(F.length("text") % 3 > 0, F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("pos"), tokens_estimate(F.col("text")).alias("tokens"), line.alias("line"), F.lit(_LINE).cast("bigint").alias("line_tokens"))
+    return layout.batches(rows, "conv_id", _ROOM, room_out=200, out_per_item=50, most=60).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "batch")
+
+
+_WORST = "greatest(side * side * {first} / ({total} * {total}), {total} * {total} / (side * side * {last}))"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT n_regionkey AS parent, n_nationkey AS item, CAST(count(c_custkey) AS DOUBLE) AS value FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+    a AS (SELECT parent, item, value * 10000 / sum(value) OVER (PARTITION BY parent) AS area, row_number() OVER (PARTITION BY parent ORDER BY value DESC, item) AS k, count(*) OVER (PARTITION BY parent) AS n FROM v WHERE value > 0),
+    f AS (SELECT DISTINCT parent, CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 100.0::DOUBLE AS w, 100.0::DOUBLE AS h, CAST([] AS DOUBLE[]) AS line, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]) AS put FROM a
+        UNION ALL SELECT parent, k, CASE WHEN stay OR w < h THEN x ELSE x + thick END, CASE WHEN stay OR w >= h THEN y ELSE y + thick END, CASE WHEN stay OR w < h THEN w ELSE w - thick END, CASE WHEN stay OR w >= h THEN h ELSE h - thick END,
+            CASE WHEN stay THEN list_append(line, area) ELSE [area] END,
+            CASE WHEN stay THEN put ELSE list_concat(put, [CASE WHEN w >= h THEN {{'x': x, 'y': y + coalesce(list_sum(line[1:i - 1]), 0) / thick, 'w': thick, 'h': line[i] / thick}} ELSE {{'x': x + coalesce(list_sum(line[1:i - 1]), 0) / thick, 'y': y, 'w': line[i] / thick, 'h': thick}} END FOR i IN range(1, len(line) + 1)]) END
+        FROM (SELECT *, len(line) = 0 OR {_WORST.format(first='line[1]', last='area', total='(total + area)')} <= {_WORST.format(first='line[1]', last='line[-1]', total='total')} AS stay, total / side AS thick
+            FROM (SELECT f.parent, a.k, a.area, f.x, f.y, f.w, f.h, f.line, f.put, least(f.w, f.h) AS side, coalesce(list_sum(f.line), 0) AS total FROM f JOIN a ON a.parent = f.parent AND a.k = f.k + 1))),
+    e AS (SELECT *, list_sum(line) / least(w, h) AS thick FROM f WHERE (parent, k) IN (SELECT (parent, n) FROM a)),
+    g AS (SELECT parent, list_concat(put, [CASE WHEN w >= h THEN {{'x': x, 'y': y + coalesce(list_sum(line[1:i - 1]), 0) / thick, 'w': thick, 'h': line[i] / thick}} ELSE {{'x': x + coalesce(list_sum(line[1:i - 1]), 0) / thick, 'y': y, 'w': line[i] / thick, 'h': thick}} END FOR i IN range(1, len(line) + 1)]) AS put FROM e)
+    SELECT parent, item, round(put[k].x, 6) AS x, round(put[k].y, 6) AS y, round(put[k].w, 6) AS w, round(put[k].h, 6) AS h FROM a JOIN g USING (parent)""")
+def F37_treemap(spark, sf_dir):
+    """Nations by their customers, in a square for each region."""
+    counted = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("value"))
+    rows = table(spark, sf_dir, "nation").join(counted, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("item"), "value")
+    return layout.treemap(rows, "parent", "item", "value").select("parent", "item", *[F.round(c, 6).alias(c) for c in "xywh"])

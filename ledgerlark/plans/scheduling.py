@@ -126,9 +126,10 @@ def F22_masking(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_contains(sensitive_classes(text), "email").alias("mail"), F.regexp_count(masked(text), F.lit(r"\[email\]")).alias("masked"))
 
 
-@query("SELECT p_partkey, lower(replace(replace(p_type || ' & ' || p_name, ' & ', '-and-'), ' ', '-')) AS slug FROM part")
+@query("SELECT p_partkey, lower(replace(replace(p_type || ' & ' || p_name, ' & ', '-and-'), ' ', '-')) || CASE p_partkey % 3 WHEN 0 THEN '-orseg-sile' WHEN 1 THEN '-ha-noi-cafe' ELSE '' END AS slug FROM part")
 def F12_slug(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", slug(F.expr("concat(p_type, ' & ', p_name)")).alias("slug"))
+    more = F.when(F.col("p_partkey") % 3 == 0, " Őrség/Şile!").when(F.col("p_partkey") % 3 == 1, " Hà Nội «Cafe\u0301»").otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", slug(F.concat("p_type", F.lit(" & "), "p_name", more)).alias("slug"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

@@ -236,6 +236,16 @@ def A6_similar_neighbours(spark, sf_dir):
     return met.where((similar_tokens(F.col("x"), F.col("y")) | loose) & (F.size("x") > 0) & (F.size("y") > 0)).select("a", "b")
 
 
+@query("""WITH t AS (SELECT p_partkey, p_name AS a, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) || ' 0123 ab' WHEN 1 THEN string_split(p_name, ' ')[1] || ' and others' WHEN 2 THEN string_split(p_name, ' ')[1] WHEN 3 THEN p_name || ' of another kind altogether, new' ELSE '12 ab' END AS b FROM part),
+    w AS (SELECT p_partkey, list_distinct(list_filter(regexp_extract_all(lower(a), '[a-z0-9]+'), lambda w: len(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+$'))) AS x, list_distinct(list_filter(regexp_extract_all(lower(b), '[a-z0-9]+'), lambda w: len(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+$'))) AS y FROM t)
+    SELECT p_partkey, len(x) > 0 AND len(y) > 0 AND (len(list_intersect(x, y)) IN (len(x), len(y)) OR 2 * len(list_intersect(x, y)) >= len(x) + len(y) - len(list_intersect(x, y))) AS alike FROM w""")
+def A6_similar_names(spark, sf_dir):
+    """Names of parts and how they might be printed elsewhere: the same, in part, with more words, without any."""
+    first, k = F.element_at(F.split("p_name", " "), 1), F.col("p_partkey") % 5
+    printed = F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" 0123 ab"))).when(k == 1, F.concat(first, F.lit(" and others"))).when(k == 2, first).when(k == 3, F.concat("p_name", F.lit(" of another kind altogether, new"))).otherwise("12 ab")
+    return table(spark, sf_dir, "part").select("p_partkey", similar_tokens(description_tokens(F.col("p_name")), description_tokens(printed)).alias("alike"))
+
+
 @query("SELECT doc_id, count(*) OVER (PARTITION BY lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))) AS copies FROM documents")
 def F6_description_copies(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(normal_description(F.col("text")), 256).alias("key"))

@@ -75,6 +75,17 @@ def camt(texts: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def _sheets(book: zipfile.ZipFile, names: set[str]) -> list[str]:
+    """The parts that hold sheets, in the workbook's order; by number where it doesn't say."""
+    numbered = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (int((re.findall("[0-9]+", n) or ["0"])[-1]), n))
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        return numbered
+    targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    ids = [v for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet") for k, v in s.items() if k.endswith("}id")]
+    told = [t.lstrip("/") if t.startswith("/") else f"xl/{t}" for t in map(lambda i: targets.get(i, ""), ids)]
+    return [n for n in told if n in names] or numbered
+
+
 def sheet_rows(content: bytes) -> list[tuple[int, list[str]]]:
     """Row numbers and cells of the first sheet with data; numbers have two decimals, dates day first."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -88,7 +99,7 @@ def sheet_rows(content: bytes) -> list[tuple[int, list[str]]]:
             custom = {f.get("numFmtId"): f.get("formatCode", "") for f in styles.iter(f"{_NS}numFmt")}
             forms = styles.find(f"{_NS}cellXfs")
             dated = {i for i, x in enumerate(forms if forms is not None else []) if int(x.get("numFmtId", 0)) in range(14, 23) or re.search("[dy]", custom.get(x.get("numFmtId"), ""))}
-        for name in sorted(n for n in names if n.startswith("xl/worksheets/sheet")):
+        for name in _sheets(z, names):
             out = []
             for row in ElementTree.fromstring(z.read(name)).iter(f"{_NS}row"):
                 cells: dict[int, str] = {}
