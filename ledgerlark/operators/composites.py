@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_add
+from ..shared import cut
 from . import matching, rules, series, understanding
 
 # What decides a row, by rank.
@@ -67,6 +68,20 @@ def commitment_run(payments: DataFrame, until, dismissed: DataFrame | None = Non
     return found.withColumn("flags", flags)
 
 
+def duplicate_commitments(found: DataFrame, services: list[str]) -> DataFrame:
+    """found (status, merchant_id, category_id and others) with service and duplicate: active series of one merchant, or of one kind of
+    service, whichever merchants. services: parent categories; the first that a category is or lies under is its service.
+
+    Counts by service and merchant are small and written first, so a service of very many series can be split.
+    """
+    service = F.coalesce(*[F.when((F.col("category_id") == p) | F.startswith("category_id", F.lit(f"{p}.")), F.lit(p)) for p in services], F.lit(None).cast("string"))
+    own = found.drop("service", "duplicate").withColumn("service", F.when(F.col("status") == "active", service))
+    active = own.where("status = 'active'")
+    many = lambda by: cut(active.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).where("n > 1").select(by, F.lit(True).alias(f"__{by}")))
+    met = own.join(many("service"), "service", "left").join(many("merchant_id"), "merchant_id", "left")
+    return met.withColumn("duplicate", (F.col("status") == "active") & F.coalesce("__service", "__merchant_id", F.lit(False))).select(*own.columns, "duplicate")
+
+
 def imported(statement: DataFrame, stored: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The stored transactions and links after a statement, and its plan (id, match).
 

@@ -67,6 +67,47 @@ def verified(rows: DataFrame, statements: DataFrame, key: str, tolerance: int =
     return by_row.unionByName(running).unionByName(whole)
 
 
+def line_coverage(rows: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """key, ref, code: what read rows say of the lines that they were read from.
+
+    rows: key, ref (of a row or a skipped line; what stands after # is a part of its line). lines: key, ref, is_data (or a
+    heading, given for context only). Codes: duplicate, header, unexpected; and missing, without a ref, with the refs of
+    data lines that no row names, runs of numbered ones in short: L3-L7, L9. Rows without a ref name no line.
+    """
+    named = rows.where("ref IS NOT NULL AND ref <> ''").groupBy(key, "ref").agg(F.count("*").alias("n")).withColumn("base", F.substring_index("ref", "#", 1))
+    known = lines.groupBy(key, F.col("ref").alias("base")).agg(F.bool_and("is_data").alias("is_data"))
+    met = named.join(known, [key, "base"], "left")
+    codes = F.array_compact(F.array(F.when(F.col("n") > 1, "duplicate"), F.when(F.col("is_data").isNull(), "unexpected").when(~F.col("is_data"), "header")))
+    odd = met.select(key, "ref", F.explode(codes).alias("code"), F.lit(None).cast("string").alias("refs"))
+    missing = known.where("is_data").join(named.select(key, "base").distinct(), [key, "base"], "left_anti").withColumn("number", F.regexp_extract("base", r"^L([0-9]+)$", 1).try_cast("bigint"))
+    by = Window.partitionBy(key).orderBy("number")
+    numbered = missing.where("number IS NOT NULL")
+    runs = numbered.withColumn("run", F.col("number") - F.row_number().over(by)).groupBy(key, "run").agg(F.min("number").alias("at"), F.max("number").alias("to"))
+    shown = runs.select(key, "at", F.concat(F.lit("L"), "at", F.when(F.col("to") > F.col("at"), F.concat(F.lit("-L"), "to")).otherwise("")).alias("text"))
+    others = missing.where("number IS NULL").select(key, F.lit(None).cast("bigint").alias("at"), F.col("base").alias("text"))
+    parts = shown.unionByName(others).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("at", F.lit((1 << 63) - 1)).alias("at"), "text"))).alias("parts"))
+    told = parts.select(key, F.lit(None).cast(rows.schema["ref"].dataType).alias("ref"), F.lit("missing").alias("code"), F.array_join(F.transform("parts", lambda p: p["text"]), ", ").alias("refs"))
+    return odd.unionByName(told)
+
+
+#: Days of a statement's period at most, and days that a row may lie outside of it; pence of a row at most.
+MOST_PERIOD_DAYS, PERIOD_SLACK, MOST_PENCE = 400, 3, 100_000_000_00
+
+
+def period_codes(rows: DataFrame, statements: DataFrame, key: str) -> DataFrame:
+    """key, ref, code: of statements (key, period_start, period_end) no start, no end, reversed or too long; of rows (key, ref, date,
+    amount_pence) outside (of a period that is none of these, with some slack), zero and too large."""
+    start, end = F.col("period_start"), F.col("period_end")
+    days = F.datediff(end, start)
+    whole = statements.withColumn("code", F.array_compact(F.array(F.when(start.isNull(), "no start"), F.when(end.isNull(), "no end"), F.when(days < 0, "reversed").when(days > MOST_PERIOD_DAYS, "too long"))))
+    fine = whole.where(F.size("code") == 0).select(key, "period_start", "period_end")
+    met = rows.join(fine, key, "left")
+    inside = F.col("date").between(F.date_sub(start, PERIOD_SLACK), F.date_add(end, PERIOD_SLACK))
+    codes = F.array_compact(F.array(F.when(~inside, "outside"), F.when(F.col("amount_pence") == 0, "zero"), F.when(F.abs("amount_pence") > MOST_PENCE, "too large")))
+    by_row = met.select(key, "ref", F.explode(codes).alias("code"))
+    return by_row.unionByName(whole.select(key, F.lit(None).cast(rows.schema["ref"].dataType).alias("ref"), F.explode("code").alias("code")))
+
+
 def sign_label(text):
     """Sign told by a label in a line: the first of an ordered list that occurs."""
     labels = ((r"\bdr\b", -1), (r"\bcr\b", 1), (r"\b(paid|money) out\b", -1), (r"\bwithdraw", -1), (r"\b(paid|money) in\b", 1), (r"\bdeposit", 1), (r"\bdebit", -1), (r"\bcredit", 1), (r"\bout\b", -1), (r"\bin\b", 1))

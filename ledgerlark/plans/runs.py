@@ -55,6 +55,17 @@ def D8_commitment_run(spark, sf_dir):
     return composites.commitment_run(paid, datetime.date(2001, 8, 1), tolerance=0.5).select("merchant_id", "account_id", "cadence", "status", "annual_pence", F.array_join("flags", ",").alias("flags"))
 
 
+@query(with_sql(LEDGER) + """, s AS (SELECT account_id AS series_id, merchant_id, category_id, CASE WHEN min(id) % 3 = 0 THEN 'lapsed' ELSE 'active' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY id) AS k FROM ledger) WHERE k = 1 GROUP BY ALL),
+    v AS (SELECT *, CASE WHEN status = 'active' THEN CASE WHEN category_id = 'asia' OR starts_with(category_id, 'asia.') THEN 'asia' WHEN starts_with(category_id, 'europe.france.') THEN 'europe.france' END END AS service FROM s)
+    SELECT series_id, service, status = 'active' AND (coalesce(count(*) FILTER (status = 'active') OVER (PARTITION BY service) > 1 AND service IS NOT NULL, false) OR count(*) FILTER (status = 'active') OVER (PARTITION BY merchant_id) > 1) AS duplicate FROM v""")
+def D8_duplicates(spark, sf_dir):
+    """The first payment of each account as a series: duplicates by service or merchant."""
+    by = Window.partitionBy("account_id").orderBy("id")
+    first = ledger(spark, sf_dir).withColumn("k", F.row_number().over(by)).where("k = 1")
+    found = first.select(F.col("account_id").alias("series_id"), "merchant_id", "category_id", F.when(F.col("id") % 3 == 0, "lapsed").otherwise("active").alias("status"))
+    return composites.duplicate_commitments(found, ["asia", "europe.france"]).select("series_id", "service", "duplicate")
+
+
 _SOURCES = "source AS (SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 2 = 0 THEN 'england' ELSE 'scotland' END AS division, CASE s_suppkey % 4 WHEN 0 THEN 'monthly_day' WHEN 1 THEN 'fortnightly' WHEN 2 THEN 'last_working_day' ELSE 'last_weekday' END AS kind, DATE '1998-01-02' + CAST(s_suppkey % 11 AS INTEGER) AS anchor, CAST(s_suppkey % 31 AS INTEGER) + 1 AS day, CAST(s_suppkey % 7 AS INTEGER) AS weekday FROM supplier)"
 _PAY = """days AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '1997-12-01', DATE '1999-01-31', INTERVAL 1 DAY) g(d)),
     working AS (SELECT division, d FROM days, (SELECT DISTINCT division FROM holiday) WHERE isodow(d) < 6 AND (division, d) NOT IN (SELECT division, day FROM holiday)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.money import pounds
@@ -56,3 +57,37 @@ def D12_verify_rows(spark, sf_dir):
     said = totals.select("account_id", F.lit(100).alias("opening_pence"), (F.col("total") + 100 + F.when(k % 3 == 0, 50).otherwise(1)).alias("closing_pence"), F.when(k % 4 == 0, "rows").alias("doubt"))
     empty = totals.agg(F.lit(-1).cast("bigint").alias("account_id")).select("account_id", F.lit(0).alias("opening_pence"), F.lit(0).cast("bigint").alias("closing_pence"), F.lit(None).cast("string").alias("doubt"))
     return V.verified(read, said.unionByName(empty), "account_id")
+
+
+@query(with_sql(MOVEMENT) + """, l AS (SELECT account_id, id, row_number() OVER (PARTITION BY account_id ORDER BY date, id) AS pos FROM movement),
+    r AS (SELECT account_id, 'L' || pos AS ref FROM l WHERE pos % 7 NOT IN (3, 4) UNION ALL SELECT account_id, 'L' || pos || '#fee' FROM l WHERE pos % 5 = 0 UNION ALL SELECT account_id, 'L' || pos FROM l WHERE pos % 11 = 0 AND pos % 7 NOT IN (3, 4) UNION ALL SELECT account_id, 'X' || pos FROM l WHERE pos % 13 = 0),
+    n AS (SELECT account_id, ref, count(*) AS n FROM r GROUP BY 1, 2),
+    m AS (SELECT account_id, pos, pos - row_number() OVER (PARTITION BY account_id ORDER BY pos) AS run FROM l WHERE pos % 7 IN (3, 4) AND pos % 5 <> 0 AND pos % 17 <> 0),
+    g AS (SELECT account_id, min(pos) AS a, max(pos) AS b FROM m GROUP BY account_id, run)
+    SELECT account_id, ref, 'duplicate' AS code, NULL AS refs FROM n WHERE n > 1
+    UNION ALL SELECT account_id, ref, 'unexpected', NULL FROM n WHERE ref LIKE 'X%'
+    UNION ALL SELECT account_id, ref, 'header', NULL FROM n WHERE ref LIKE 'L%' AND CAST(regexp_extract(ref, '[0-9]+') AS BIGINT) % 17 = 0
+    UNION ALL SELECT account_id, NULL, 'missing', string_agg('L' || a || CASE WHEN b > a THEN '-L' || b ELSE '' END, ', ' ORDER BY a) FROM g GROUP BY account_id""")
+def D12_line_coverage(spark, sf_dir):
+    """Two lines of seven are read by none, some of them by their fee alone; some are read twice, or aren't there, or are headings."""
+    by = Window.partitionBy("account_id").orderBy("date", "id")
+    own = movements(spark, sf_dir).select("account_id", F.row_number().over(by).alias("pos"))
+    ref, pos = F.concat(F.lit("L"), "pos"), F.col("pos")
+    read = ~(pos % 7).isin(3, 4)
+    rows = own.select("account_id", F.explode(F.array_compact(F.array(F.when(read, ref), F.when(pos % 5 == 0, F.concat(ref, F.lit("#fee"))), F.when(read & (pos % 11 == 0), ref), F.when(pos % 13 == 0, F.concat(F.lit("X"), pos))))).alias("ref"))
+    return V.line_coverage(rows, own.select("account_id", ref.alias("ref"), (pos % 17 != 0).alias("is_data")), "account_id")
+
+
+@query(with_sql(MOVEMENT) + """, s AS (SELECT account_id, min(date) AS lo, max(date) AS hi FROM movement GROUP BY 1),
+    p AS (SELECT account_id, CASE WHEN account_id % 7 <> 1 THEN lo + 5 END AS a, CASE account_id % 7 WHEN 2 THEN NULL WHEN 3 THEN lo WHEN 4 THEN lo + 500 ELSE hi END AS b FROM s)
+    SELECT account_id, m.id AS ref, 'outside' AS code FROM movement m JOIN p USING (account_id) WHERE a IS NOT NULL AND b IS NOT NULL AND b >= a AND b - a <= 400 AND NOT date BETWEEN a - 3 AND b + 3
+    UNION ALL SELECT account_id, id, 'zero' FROM movement WHERE id % 9 = 0 UNION ALL SELECT account_id, id, 'too large' FROM movement WHERE id % 9 = 1
+    UNION ALL SELECT account_id, NULL, 'no start' FROM p WHERE a IS NULL UNION ALL SELECT account_id, NULL, 'no end' FROM p WHERE b IS NULL
+    UNION ALL SELECT account_id, NULL, CASE WHEN b < a THEN 'reversed' ELSE 'too long' END FROM p WHERE b < a OR b - a > 400""")
+def D12_periods(spark, sf_dir):
+    own, k = movements(spark, sf_dir), F.col("account_id") % 7
+    span = own.groupBy("account_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    end = F.when(k == 2, None).when(k == 3, F.col("lo")).when(k == 4, F.date_add("lo", 500)).otherwise(F.col("hi"))
+    statements = span.select("account_id", F.when(k != 1, F.date_add("lo", 5)).alias("period_start"), end.alias("period_end"))
+    rows = own.select("account_id", F.col("id").alias("ref"), "date", F.when(F.col("id") % 9 == 0, 0).when(F.col("id") % 9 == 1, -(V.MOST_PENCE + 1)).otherwise(F.col("amount_pence")).alias("amount_pence"))
+    return V.period_codes(rows, statements, "account_id")
