@@ -225,3 +225,16 @@ def multiset_matches(expected: DataFrame, got: DataFrame, keys: list[str]) -> Da
     """Rows that meet one to one: the k-th of a key's rows on one side meets the k-th on the other."""
     numbered = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
     return numbered(expected).select(*keys, "k").join(numbered(got).select(*keys, "k"), [*keys, "k"])
+
+
+def longest_prefixes(values: DataFrame, known: DataFrame, value: str, prefix: str) -> DataFrame:
+    """value and the longest of known prefixes that it starts with, one row for each different value that has one.
+
+    Beginnings are made of different values only, and of lengths that a known prefix has. There are many more of them than
+    values, which the optimizer doesn't see, so they're joined by a shuffle. The result is written: it may be small.
+    """
+    lengths = known.agg(F.collect_set(F.length(prefix)).alias("__lengths"))
+    own = values.select(value).where(F.col(value).isNotNull()).distinct().join(F.broadcast(lengths))  # one row: as many numbers as lengths
+    begun = own.select(value, F.explode(F.filter("__lengths", lambda n: n <= F.length(value))).alias("__n")).withColumn(prefix, F.substring(value, 1, F.col("__n")))
+    met = begun.join(known.select(prefix).distinct().hint("merge"), prefix)
+    return cut(met.groupBy(value).agg(F.max_by(prefix, F.col("__n")).alias(prefix)))

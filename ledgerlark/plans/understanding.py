@@ -349,5 +349,5 @@ def J19_longest_prefix(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.expr("concat(p_type, '-', p_size)").alias("model"), "p_type")
     known = part.select(F.col("p_type").alias("prefix")).distinct()
     known = known.unionByName(known.select(F.concat("prefix", F.lit("-1")).alias("prefix")))
-    cut = part.select("p_partkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("model")), lambda n: F.col("model").substr(F.lit(1), n))).alias("prefix"))
-    return cut.join(known, "prefix").groupBy("p_partkey").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    longest = matching.longest_prefixes(part.select("model"), known, "model", "prefix")
+    return part.join(longest, "model").groupBy("p_partkey").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
