@@ -131,21 +131,32 @@ def matched_accounts(evidence: DataFrame, accounts: DataFrame) -> DataFrame:
     evidence: statement_id, provider, kind, last4, remembered (account). A bank narrows the accounts, so
     does a firm kind; the last four digits or being the only one at its bank make a match sure; an
     earlier answer decides where no account of the same bank and kind stands beside it.
+
+    Statements meet counts of accounts by bank, kind and digits, not accounts, so that a bank with many of both makes no pairs.
     """
-    a = accounts.where("status = 'active'").select("account_id", F.col("provider").alias("a_provider"), F.col("kind").alias("a_kind"), F.col("last4").alias("a_last4"))
-    a = a.withColumn("siblings", F.count("*").over(Window.partitionBy("a_provider", "a_kind")))
-    with_bank = evidence.where("provider IS NOT NULL").join(a, F.col("provider") == F.col("a_provider"))
-    pool = with_bank.where(F.col("kind").isNull() | (F.col("kind") == F.col("a_kind")))
-    by = Window.partitionBy("statement_id")
-    exact = F.coalesce(F.col("last4") == F.col("a_last4"), F.lit(False))
-    n_exact = F.count_if(exact).over(by)
+    a = accounts.where("status = 'active' AND provider IS NOT NULL").select("account_id", F.col("provider").alias("a_provider"), F.col("kind").alias("a_kind"), F.col("last4").alias("a_last4"))
+    # an account is counted among its bank's and among those of its kind there; by its digits, all in all, and without digits
+    said = lambda c: F.concat(F.lit("="), c)
+    sides = F.explode(F.array_compact(F.array(F.lit("any"), said(F.col("a_kind"))))).alias("side")
+    ends = F.explode(F.array(F.lit("any"), F.coalesce(said(F.col("a_last4")), F.lit("none")))).alias("ends")
+    pools = cut(a.select("account_id", F.col("a_provider").alias("provider"), "a_last4", sides).select("account_id", "provider", "side", ends).groupBy("provider", "side", "ends").agg(F.count("*").alias("n"), F.max("account_id").alias("one")))
     told = F.col("last4").isNotNull()
-    stays = F.when(told & (n_exact > 0), exact).when(told, F.col("a_last4").isNull()).otherwise(F.lit(True))
-    left = pool.withColumn("n_exact", n_exact).withColumn("stays", stays).where("stays").withColumn("n", F.count("*").over(by))
-    unmatched = F.col("last4").isNotNull() & (F.col("n_exact") == 0)
-    sure = (F.col("n_exact") == 1) & F.col("last4").isNotNull() | ((F.col("n") == 1) & ~unmatched) | ((F.col("account_id") == F.col("remembered")) & (F.col("siblings") == 1) & (F.col("last4") == F.col("a_last4")))
-    best = left.groupBy("statement_id").agg(F.max(F.when(sure, F.col("account_id"))).alias("account_id"), F.max(F.when((F.col("account_id") == F.col("remembered")) | (F.col("n") == 1), F.col("account_id"))).alias("best_guess"), F.count("*").alias("n_candidates"))
-    return evidence.select("statement_id").join(best, "statement_id", "left").select("statement_id", "account_id", "best_guess", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+    own = evidence.select("statement_id", "provider", "kind", "last4", "remembered").withColumn("side", F.coalesce(said(F.col("kind")), F.lit("any"))).withColumn("ends", F.coalesce(said(F.col("last4")), F.lit("any")))
+    without = pools.where("ends = 'none'").select("provider", "side", F.col("n").alias("n_without"), F.col("one").alias("one_without"))
+    met = own.join(pools, ["provider", "side", "ends"], "left").join(without, ["provider", "side"], "left")
+    unmatched = told & F.col("n").isNull()
+    n, one = F.coalesce("n", F.when(told, F.col("n_without"))), F.coalesce("one", F.when(told, F.col("one_without")))
+    best = met.select("statement_id", F.when(n == 1, one).alias("only"), unmatched.alias("unmatched"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n_candidates"))
+    # an account remembered is a candidate if it's of the bank and kind and among those that the digits leave
+    siblings = a.groupBy("a_provider", "a_kind").agg(F.count("*").alias("siblings"))
+    known = evidence.where("remembered IS NOT NULL").join(a, (F.col("remembered") == F.col("account_id")) & (F.col("provider") == F.col("a_provider")) & (F.col("kind").isNull() | (F.col("kind") == F.col("a_kind")))).drop("account_id")
+    alone = siblings.select(F.col("a_provider").alias("s_provider"), F.col("a_kind").alias("s_kind"), "siblings")
+    known = known.join(alone, (F.col("a_provider") == F.col("s_provider")) & F.col("a_kind").eqNullSafe(F.col("s_kind")))
+    same = F.coalesce(F.col("last4") == F.col("a_last4"), F.lit(False))
+    known = known.select("statement_id", F.col("remembered").alias("kept"), same.alias("same"), F.col("a_last4").isNull().alias("bare"), ((F.col("siblings") == 1) & same).alias("sure"), told.alias("told"))
+    both = best.join(known, "statement_id", "left")
+    candidate = F.when(F.coalesce(~F.col("told") | F.col("same") | (F.col("bare") & F.col("unmatched")), F.lit(False)), F.col("kept"))
+    return both.select("statement_id", F.coalesce(F.when(~F.col("unmatched"), F.col("only")), F.when(F.col("sure"), F.col("kept"))).alias("account_id"), F.coalesce("only", candidate).alias("best_guess"), "n_candidates")
 
 
 def rule_applied(rows: DataFrame, rule_table: DataFrame) -> DataFrame:

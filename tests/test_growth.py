@@ -33,3 +33,23 @@ def test_longest_prefixes(spark):
     known = spark.createDataFrame([("ab",), ("ab-1",), ("ab-123",), ("",), ("",), (None,)], "prefix string")
     got = sorted(map(tuple, matching.longest_prefixes(values, known, "model", "prefix").collect()))
     assert got == [("ab-1", "ab-1"), ("ab-12", "ab-1"), ("b-1", "")]
+
+
+def test_account_match_without_pairs(spark):
+    """Against a plain version over pairs; a bank's accounts and statements meet as counts."""
+    draw = random.Random(3)
+    bank, kind, end = (lambda: draw.choice(["a", "b", "c", None])), (lambda: draw.choice(["current", "savings", "card", None])), (lambda: draw.choice(["1", "2", "3", "4", None]))
+    held = [(i, bank(), kind(), end(), draw.choice(["active", "active", "closed"])) for i in range(14)]
+    asked = [(i, bank(), kind(), end(), draw.choice([None, *range(14)])) for i in range(400)]
+    want = {}
+    for i, b, k, e, kept in asked:
+        pool = [a for a in held if a[4] == "active" and b is not None and a[1] == b and (k is None or a[2] == k)]
+        exact = [a for a in pool if e is not None and a[3] == e]
+        left = exact or [a for a in pool if e is None or a[3] is None]
+        alone = lambda a: sum(o[4] == "active" and o[1:3] == a[1:3] for o in held) == 1
+        sure = [a[0] for a in left if len(exact) == 1 or (len(left) == 1 and (e is None or exact)) or (a[0] == kept and alone(a) and e is not None and a[3] == e)]
+        best = [a[0] for a in left if a[0] == kept or len(left) == 1]
+        want[i] = (max(sure, default=None), max(best, default=None), len(left))
+    got = composites.matched_accounts(spark.createDataFrame(asked, "statement_id bigint, provider string, kind string, last4 string, remembered bigint"), spark.createDataFrame(held, "account_id bigint, provider string, kind string, last4 string, status string"))
+    assert {r.statement_id: tuple(r)[1:] for r in got.select("statement_id", "account_id", "best_guess", "n_candidates").collect()} == want
+    assert "Window" not in plan(got)
