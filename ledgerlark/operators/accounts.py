@@ -121,11 +121,15 @@ def why(rows: DataFrame, rules: DataFrame, merchants: DataFrame, categories: Dat
 
     rows: id, category_id, decided_by, rule_id, merchant_id, confidence, partner_id, ignored. rules: rule_id, description,
     source. merchants: merchant_id, name, usual_category, seen. accounts: partner_id, nickname, partner_date. All are left
-    equi-joins; a partner, rule or merchant that is gone leaves its step out.
+    equi-joins; a partner, rule or merchant that is gone leaves its step out. Rows without a key are dealt out by their id,
+    so they don't meet in one task; partners may be as many as rows, so they are joined by a shuffle.
     """
     usual = categories.select(F.col("id").alias("usual_category"), F.col("label").alias("usual_label"))
     named = merchants.select("merchant_id", "name", "usual_category", "seen").join(usual, "usual_category", "left")
-    joined = rows.join(rules.select("rule_id", "description", "source"), "rule_id", "left").join(named, "merchant_id", "left").join(accounts.select("partner_id", "nickname", "partner_date"), "partner_id", "left")
+    joined = rows
+    for key, other in (("rule_id", rules.select("rule_id", "description", "source")), ("merchant_id", named), ("partner_id", accounts.select("partner_id", "nickname", "partner_date").hint("merge"))):
+        dealt = F.when(F.col(key).isNull(), F.xxhash64("id")).otherwise(F.xxhash64(key))  # a constant would be folded away
+        joined = joined.withColumn("__dealt", dealt).join(other.withColumn("__dealt", F.xxhash64(F.col(key).cast(rows.schema[key].dataType))), [key, "__dealt"], "left").drop("__dealt")
     by_rule = F.concat(F.when(F.col("source") == "seed", "Matched the built-in rule ").otherwise("Matched your rule "), "description", F.lit("."))
     by_memory = F.concat(F.lit("Seen "), "name", F.lit(" "), F.col("seen").cast("string"), F.lit(" times"), F.coalesce(F.concat(F.lit(", usually "), "usual_label"), F.lit("")), F.lit("."))
     by_model = F.concat(F.lit("A guess, "), F.bround(F.col("confidence") * 100).cast("int").cast("string"), F.lit("% sure."))

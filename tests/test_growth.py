@@ -53,3 +53,14 @@ def test_account_match_without_pairs(spark):
     got = composites.matched_accounts(spark.createDataFrame(asked, "statement_id bigint, provider string, kind string, last4 string, remembered bigint"), spark.createDataFrame(held, "account_id bigint, provider string, kind string, last4 string, status string"))
     assert {r.statement_id: tuple(r)[1:] for r in got.select("statement_id", "account_id", "best_guess", "n_candidates").collect()} == want
     assert "Window" not in plan(got)
+
+
+def test_rows_without_partner_are_dealt_out(spark):
+    rows = spark.range(3000).selectExpr("id", "'c' AS category_id", "'human' AS decided_by", "cast(null AS bigint) AS rule_id", "cast(null AS bigint) AS merchant_id", "0.5D AS confidence", "IF(id % 100 = 0, id, null) AS partner_id", "false AS ignored")
+    table = lambda shape, n=50: spark.range(n).selectExpr(*[f"cast(id * 100 AS {t}) AS {c}" for c, t in (x.split() for x in shape.split(","))])
+    partners = spark.range(3000).selectExpr("id AS partner_id", "'x' AS nickname", "date '2024-05-01' AS partner_date")
+    with set_to(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="8"):
+        told = accounts.why(rows, table("rule_id bigint,description string,source string"), table("merchant_id bigint,name string,usual_category string,seen bigint"), table("id string,label string"), partners)
+        dealt = collections.Counter(r.p for r in told.select(F.spark_partition_id().alias("p")).collect())
+        assert max(dealt.values()) < 600 and sum(dealt.values()) == 3000
+    assert told.where("why LIKE '%x on 01/05/2024.'").count() == 30
