@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     for path in _CUTS[held:]:
         removed(spark, path)
     del _CUTS[held:]
+
+
+def in_parts(rows: Iterable, most: int) -> Iterator[list]:
+    """rows in lists of at most so many, none of them empty."""
+    rows = iter(rows)
+    while part := list(islice(rows, most)):
+        yield part

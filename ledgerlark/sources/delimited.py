@@ -5,18 +5,22 @@ from __future__ import annotations
 import csv
 import io
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.dates import pattern_of, printed_date
 from ..functions.money import direction, has_credit_marker, printed_pence
 from ..functions.text import header_key, normal_description
-from ..shared import cut
+from ..shared import cut, in_parts
 from .layouts import LAYOUTS, Layout
 
 #: Records that are looked through for a header.
 HEADER_SCAN = 15
+#: Records that Python hands back at once.
+MOST_OUT = 5_000
 
 
 def delimiter(text: Column) -> Column:
@@ -29,29 +33,35 @@ def delimiter(text: Column) -> Column:
     return F.coalesce(best["mark"], F.lit(","))
 
 
+def _read(k, body: str, mark: str):
+    reader, line = csv.reader(io.StringIO(body, newline=""), delimiter=mark), 1
+    try:
+        for cells in reader:
+            if any(c.strip() for c in cells):
+                yield k, line, [c.strip() for c in cells]
+            line = reader.line_num + 1
+    except csv.Error:  # the rest of a file that can't be read is one record without cells
+        yield k, line, []
+
+
+def record_batches(batches, schema: pa.Schema):
+    """Records of batches (key, text, mark): one text at a time is Python's, its records go back in parts of MOST_OUT."""
+    csv.field_size_limit(2**31 - 1)  # a long cell is a cell like any other
+    for batch in batches:
+        for some in in_parts((r for own in zip(*batch.columns) for r in _read(*(x.as_py() for x in own))), MOST_OUT):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
 def records(texts: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
     """key, line (of the record's first character) and cells; quoted cells may hold line ends.
 
     Quoting across lines needs a reader that knows line numbers: a small helper per file.
     """
 
-    def run(batches):
-        csv.field_size_limit(2**31 - 1)  # a long cell is a cell like any other
-        for p in batches:
-            out = []
-            for k, body, mark in zip(p[key], p["__text"], p["__mark"]):
-                reader, line = csv.reader(io.StringIO(body, newline=""), delimiter=mark), 1
-                try:
-                    for cells in reader:
-                        if any(c.strip() for c in cells):
-                            out.append((k, line, [c.strip() for c in cells]))
-                        line = reader.line_num + 1
-                except csv.Error:  # the rest of a file that can't be read is one record without cells
-                    out.append((k, line, []))
-            yield pd.DataFrame(out, columns=[key, "line", "cells"])
-
+    shape = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("line", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))])
+    schema = to_arrow_schema(shape)
     own = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"), delimiter(F.coalesce(F.col(text), F.lit(""))).alias("__mark"))
-    return own.mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, line int, cells array<string>")
+    return own.mapInArrow(lambda batches: record_batches(batches, schema), shape)
 
 
 def is_date(cell: Column) -> Column:

@@ -2,13 +2,14 @@
 
 import collections
 import contextlib
-import itertools
+import datetime
 import random
 
-import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import accounts, composites, matching
+from ledgerlark.operators import accounts, composites, matching, sinks
+from ledgerlark.sources import delimited
 
 
 @contextlib.contextmanager
@@ -64,3 +65,12 @@ def test_rows_without_partner_are_dealt_out(spark):
         dealt = collections.Counter(r.p for r in told.select(F.spark_partition_id().alias("p")).collect())
         assert max(dealt.values()) < 600 and sum(dealt.values()) == 3000
     assert told.where("why LIKE '%x on 01/05/2024.'").count() == 30
+
+
+def test_records_go_back_in_parts():
+    schema = pa.schema([("file", pa.int64()), ("line", pa.int32()), ("cells", pa.list_(pa.string()))])
+    text = "\n".join(f"a{i},b" for i in range(7_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text, "", text]), pa.array([",", ",", ","])], names=["file", "text", "mark"])
+    parts = list(delimited.record_batches([batch], schema))
+    assert max(p.num_rows for p in parts) <= 5_000 and len(parts) > 2
+    assert [r for p in parts for r in p.to_pylist()] == [{"file": k, "line": i + 1, "cells": [f"a{i}", "b"]} for k in (1, 3) for i in range(7_000)]
