@@ -16,10 +16,14 @@ def snapshot(df: DataFrame, root: str, version: int, partition_by: str | None =
     return path
 
 
-def export_csv(rows: DataFrame, path: str) -> None:
-    """Transactions as a signed delimited export with headings, one file a partition."""
+#: Rows of one exported file.
+MOST_ROWS = 5_000
+
+
+def export_csv(rows: DataFrame, path: str, most: int = MOST_ROWS) -> None:
+    """Transactions as a signed delimited export with headings, in files of at most so many rows, as a reader takes a file whole."""
     shown = rows.select(
         F.date_format("date", "dd/MM/yyyy").alias("Date"), F.col("description").alias("Counter Party"), F.lit("").alias("Reference"), F.lit("CARD").alias("Type"),
         pounds(F.col("amount_pence")).alias("Amount (GBP)"), F.lit("").alias("Balance (GBP)"), F.lit("").alias("Spending Category"),
     )
-    shown.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", "\"").csv(path)
+    shown.write.mode("overwrite").option("maxRecordsPerFile", most).option("header", "true").option("quoteAll", "true").option("escape", "\"").csv(path)

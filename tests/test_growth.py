@@ -74,3 +74,11 @@ def test_records_go_back_in_parts():
     parts = list(delimited.record_batches([batch], schema))
     assert max(p.num_rows for p in parts) <= 5_000 and len(parts) > 2
     assert [r for p in parts for r in p.to_pylist()] == [{"file": k, "line": i + 1, "cells": [f"a{i}", "b"]} for k in (1, 3) for i in range(7_000)]
+
+
+def test_exports_are_of_bounded_files(spark, tmp_path):
+    rows = spark.range(25).coalesce(1).selectExpr("date '2024-05-01' AS date", "'x' AS description", "id + 1 AS amount_pence")
+    sinks.export_csv(rows, str(tmp_path / "out"), 10)
+    sizes = sorted(len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("*.csv"))
+    assert sizes == [6, 11, 11]
+    assert delimited.parsed(spark.read.text(str(tmp_path / "out"), wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))).where("outcome = 'row'").count() == 25
