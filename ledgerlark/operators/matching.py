@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from heapq import merge
 from itertools import chain, islice
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,12 +20,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import description_tokens, fingerprint, normal_description, similar_tokens
-from ..shared import cut
+from ..shared import cut, in_parts
 
 #: Days that a transfer's halves, and a soft duplicate's dates, may be apart.
 TRANSFER_DAYS, SOFT_DAYS = 3, 2
 #: Candidates that a new row looks at in one pass; this is part of the semantics.
 MOST_CANDIDATES = 32
+#: Rows that Python hands back at once.
+MOST_OUT = 10_000
 #: Rows of one amount and run of days whose transfers are settled in one list; more are settled in rounds.
 MOST_AT_ONCE = 20_000
 
@@ -41,19 +44,28 @@ def fingerprinted(rows: DataFrame, statement: str = "statement_id", pos: str = "
 
 
 def transfer_words(text: Column) -> Column:
-    return F.filter(F.array(*[F.lit(w) for w in TRANSFER_WORDS]), lambda w: F.rlike(text, F.concat(F.lit(r"\b"), w, F.lit(r"\b"))))
+    return F.array_compact(F.array(*[F.when(text.rlike(rf"\b{w}\b"), w) for w in TRANSFER_WORDS]))
+
+
+def transfer_bits(text: Column) -> Column:
+    """The transfer words of a text as bits, so that those of two texts are counted without reading either again."""
+    return sum((F.when(text.rlike(rf"\b{w}\b"), 1 << i).otherwise(0) for i, w in enumerate(TRANSFER_WORDS)), F.lit(0))
+
+
+def tells_against(text: Column) -> Column:
+    return text.rlike(rf"\b({'|'.join(AGAINST_WORDS)})\b")
 
 
 def pair_candidates(moves: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:
     """Opposite movements of one size on two accounts at most days apart, with what ranks them."""
-    out = moves.where("amount_pence < 0").select(F.col("id").alias("out_id"), F.col("account_id").alias("out_account"), F.col("account_kind").alias("out_kind"), F.col("date").alias("out_date"), (-F.col("amount_pence")).alias("size"), F.col("text").alias("out_text"))
+    # all that is told of a text is told before rows meet
+    side = lambda name, *more: moves.select(F.col("id").alias(f"{name}_id"), F.col("account_id").alias(f"{name}_account"), (F.col("account_kind") == "credit_card").alias(f"{name}_card"), transfer_bits(F.col("text")).alias(f"{name}_bits"), tells_against(F.col("text")).alias(f"{name}_against"), F.abs("amount_pence").alias("size"), *more)
+    out = cut(side("out", F.col("date").alias("out_date"), "amount_pence").where("amount_pence < 0").drop("amount_pence"))
     out = out.withColumn("day", F.explode(F.sequence(F.date_sub("out_date", days), F.date_add("out_date", days))))
-    into = moves.where("amount_pence > 0").select(F.col("id").alias("in_id"), F.col("account_id").alias("in_account"), F.col("account_kind").alias("in_kind"), F.col("date").alias("day"), F.col("amount_pence").alias("size"), F.col("text").alias("in_text"))
-    met = out.join(into, ["size", "day"]).where("out_account <> in_account")
-    words = F.size(F.array_union(transfer_words(F.col("out_text")), transfer_words(F.col("in_text"))))
-    against = F.col("out_text").rlike(r"\b(REFUND|REVERSAL|CASHBACK)\b") | F.col("in_text").rlike(r"\b(REFUND|REVERSAL|CASHBACK)\b")
-    card = (F.col("in_kind") == "credit_card") & (F.col("out_kind") != "credit_card")
-    return met.select("size", "out_id", "in_id", "out_date", F.abs(F.datediff("day", "out_date")).alias("gap"), words.alias("words"), card.alias("card"), against.alias("against"))
+    into = cut(side("in", F.col("date").alias("day"), "amount_pence").where("amount_pence > 0").drop("amount_pence"))
+    met = out.join(into.hint("merge"), ["size", "day"]).where("out_account <> in_account")
+    words = F.bit_count(F.col("out_bits").bitwiseOR(F.col("in_bits")))
+    return met.select("size", "out_id", "in_id", "out_date", F.abs(F.datediff("day", "out_date")).alias("gap"), words.alias("words"), (F.col("in_card") & ~F.col("out_card")).alias("card"), (F.col("out_against") | F.col("in_against")).alias("against"))
 
 
 def pair_confidence() -> Column:
@@ -68,14 +80,12 @@ def _paired(rows: list[dict], days: int) -> list[dict]:
     """
     kinds: dict[tuple, list[dict]] = {}
     for r in sorted((r for r in rows if not r["out"]), key=lambda r: r["id"]):
-        kinds.setdefault((r["day"], frozenset(r["words"])), []).append(r)
-    by_day: dict[int, list[tuple[frozenset, list[dict]]]] = {}
+        kinds.setdefault((r["day"], r["words"]), []).append(r)
+    by_day: dict[int, list[tuple[int, list[dict]]]] = {}
     for (day, words), own in kinds.items():
         by_day.setdefault(day, []).append((words, own))
     left = sorted((r for r in rows if r["out"]), key=lambda r: (r["day"], r["id"]))
-    for r in left:
-        r["words"] = frozenset(r["words"])
-    most = len(frozenset().union(*(words for _, words in kinds), *(r["words"] for r in left)))
+    most = reduce(or_, (r["words"] for r in rows), 0).bit_count()
     pairs = []
     for gap in range(days + 1):
         for n in range(most, -1, -1):
@@ -84,7 +94,7 @@ def _paired(rows: list[dict], days: int) -> list[dict]:
                 best = None
                 for day in {r["day"] - gap, r["day"] + gap}:
                     for words, own in by_day.get(day, ()):
-                        if len(words | r["words"]) == n:
+                        if (words | r["words"]).bit_count() == n:
                             k = next((k for k, x in enumerate(own) if x["account"] != r["account"]), None)
                             if k is not None and (best is None or own[k]["id"] < best[0][best[1]]["id"]):
                                 best = own, k
@@ -127,8 +137,8 @@ def pair_transfers(moves: DataFrame, days: int = TRANSFER_DAYS, most: int = MOST
     Settled by size of the amount and run of days; runs of up to most rows side by side in Arrow batches, larger ones (a
     round amount of very many accounts) over their candidate pairs, in rounds.
     """
-    card, against = F.col("account_kind") == "credit_card", F.col("text").rlike(r"\b(REFUND|REVERSAL|CASHBACK)\b")
-    rows = moves.where("amount_pence <> 0").select(F.abs("amount_pence").alias("size"), F.unix_date("date").alias("day"), "id", F.col("account_id").alias("account"), card.alias("card"), (F.col("amount_pence") < 0).alias("out"), transfer_words(F.col("text")).alias("words"), against.alias("against"))
+    card, against = F.col("account_kind") == "credit_card", tells_against(F.col("text"))
+    rows = moves.where("amount_pence <> 0").select(F.abs("amount_pence").alias("size"), F.unix_date("date").alias("day"), "id", F.col("account_id").alias("account"), card.alias("card"), (F.col("amount_pence") < 0).alias("out"), transfer_bits(F.col("text")).alias("words"), against.alias("against"))
     rows = islands(rows, ["size"], "day", days)
     sizes = cut(rows.groupBy("size", "island").agg(F.count("*").alias("n"), F.bool_or("out").alias("some_out"), F.bool_and("out").alias("all_out")).where("some_out AND NOT all_out").select("size", "island", "n"))
     placed = rows.join(sizes, ["size", "island"])
@@ -136,8 +146,9 @@ def pair_transfers(moves: DataFrame, days: int = TRANSFER_DAYS, most: int = MOST
     schema = to_arrow_schema(shape)
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([c for rows in batch.column(0).to_pylist() for c in _paired(rows, days)], schema=schema)
+        for batch in batches:  # a batch holds many lists, of which one at a time is made into Python's objects
+            for some in in_parts((c for rows in batch.column(0) for c in _paired(rows.as_py(), days)), MOST_OUT):
+                yield pa.RecordBatch.from_pylist(some, schema=schema)
 
     row = F.struct("day", "id", "account", "card", "out", "words", "against")
     told = placed.where(F.col("n") <= most).groupBy("size", "island").agg(F.collect_list(row).alias("rows")).where(~_one_account()).select("rows").mapInArrow(run, shape)
@@ -171,7 +182,7 @@ def soft_matches(new: DataFrame, stored: DataFrame, days: int = SOFT_DAYS) -> Da
 
     def run(batches):
         for batch in batches:
-            found = [x for rows in batch.column(0).to_pylist() for x in _settle(rows, days)]
+            found = [x for rows in batch.column(0) for x in _settle(rows.as_py(), days)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["new_id", "stored_id", "gap"])
 
     return alone.unionByName(grouped.where(F.size("rows") > 2).select("rows").mapInArrow(run, shape))

@@ -82,3 +82,17 @@ def test_exports_are_of_bounded_files(spark, tmp_path):
     sizes = sorted(len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("*.csv"))
     assert sizes == [6, 11, 11]
     assert delimited.parsed(spark.read.text(str(tmp_path / "out"), wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))).where("outcome = 'row'").count() == 25
+
+
+MOVES = "id bigint, account_id bigint, account_kind string, date date, amount_pence bigint, text string"
+DAY = datetime.date(2024, 1, 1)
+
+
+def test_texts_are_read_before_rows_meet(spark):
+    """However many pairs a row is in, its words are looked for once."""
+    texts = ("SAVINGS POT", "TRANSFER POT", "SHOP", "REFUND", None)
+    moves = spark.createDataFrame([(i, i % 5, "current", DAY, 500 if i % 2 else -500, texts[i // 2 % 5]) for i in range(40)], MOVES)
+    got = matching.pair_candidates(moves)
+    assert "RLIKE" not in plan(got).upper()
+    words = lambda i: {w for w in matching.TRANSFER_WORDS if w in (texts[i // 2 % 5] or "").split()}
+    assert all(r.words == len(words(r.out_id) | words(r.in_id)) for r in got.collect()) and got.count() > 100
