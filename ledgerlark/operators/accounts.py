@@ -96,16 +96,21 @@ def completeness(checks: DataFrame, key: str) -> DataFrame:
     return checks.groupBy(key).agg(F.bround(100 * F.count_if("met") / F.count("*")).cast("bigint").alias("percent"), unmet.alias("unmet"))
 
 
+def merged_periods(periods: DataFrame, keys: list[str], slack: int) -> DataFrame:
+    """keys, from and to: periods (keys, start, end) widened by slack days, those that overlap put together."""
+    by = Window.partitionBy(*keys).orderBy("from", "to")
+    wide = periods.select(*keys, F.date_sub("start", slack).alias("from"), F.date_add("end", slack).alias("to")).where("from <= to")
+    starts = F.coalesce(F.col("from") > F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = wide.withColumn("starts", starts).withColumn("run", F.sum(F.col("starts").cast("int")).over(by))
+    return runs.groupBy(*keys, "run").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("run")
+
+
 def covered(rows: DataFrame, periods: DataFrame, keys: list[str], slack: int) -> DataFrame:
     """rows whose date lies in some period (keys, start, end) or within slack days of it.
 
     Overlapping periods are put together first, so a row meets one period at most; the join is on keys.
     """
-    by = Window.partitionBy(*keys).orderBy("from", "to")
-    wide = periods.select(*keys, F.date_sub("start", slack).alias("from"), F.date_add("end", slack).alias("to"))
-    starts = F.coalesce(F.col("from") > F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    runs = wide.withColumn("starts", starts).withColumn("run", F.sum(F.col("starts").cast("int")).over(by))
-    merged = runs.groupBy(*keys, "run").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("run")
+    merged = merged_periods(periods, keys, slack)
     spans = merged.groupBy(*keys).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     return rows.join(spans, keys).where(F.exists("spans", lambda s: F.col("date").between(s["from"], s["to"]))).drop("spans")
 

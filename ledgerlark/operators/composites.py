@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_add
 from ..shared import cut
-from . import matching, rules, series, understanding
+from . import accounts, matching, rules, series, understanding
 
 # What decides a row, by rank.
 AUTHORITY = {"human": 100, "rule": 80, "confirmed memory": 70, "inferred memory": 60, "model": 40}
@@ -43,16 +43,28 @@ def transfer_run(moves: DataFrame, blocked: DataFrame, names: DataFrame, covered
     """Transfer decisions: pairs first, then rows that name an account of which no statement covers their day.
 
     blocked: ids that a rule or the person has filed. names: account_id, phrase. covered: account_id,
-    first_day, last_day. Named accounts meet rows by the words of their texts, an equi-join.
+    first_day, last_day. Named accounts meet rows by the words of their texts; as many accounts may share a phrase,
+    those without a statement on a row's day are counted by phrase and day, and don't meet rows one by one.
     """
     free = moves.join(blocked.select("id"), "id", "left_anti")
     pairs = matching.pair_transfers(free)
     halves = pairs.select(F.col("out_id").alias("id"), F.col("in_id").alias("partner"), "confidence").unionByName(pairs.select(F.col("in_id").alias("id"), F.col("out_id").alias("partner"), "confidence"))
-    words = free.join(halves.select("id"), "id", "left_anti").withColumn("phrase", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9]+"), F.lit(0)))))
-    named = words.join(names.select(F.col("account_id").alias("other"), F.upper("phrase").alias("phrase")), "phrase").where("other <> account_id")
-    spans = covered.select(F.col("account_id").alias("span_account"), F.date_sub("first_day", slack).alias("span_from"), F.date_add("last_day", slack).alias("span_to"))
-    held = (F.col("other") == F.col("span_account")) & F.col("date").between(F.col("span_from"), F.col("span_to"))
-    alone = named.join(spans, held, "left_anti").groupBy("id").agg(F.min("other").alias("other"))
+    words = free.join(halves.select("id"), "id", "left_anti").where("account_id IS NOT NULL AND date IS NOT NULL").select("id", "account_id", "date", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9]+"), F.lit(0)))).alias("phrase"))
+    known = names.where("account_id IS NOT NULL AND phrase IS NOT NULL").select("account_id", F.upper("phrase").alias("phrase")).distinct()
+    named = cut(words.join(known.select("phrase").distinct(), "phrase", "left_semi"))
+    spans = accounts.merged_periods(covered.select("account_id", F.col("first_day").alias("start"), F.col("last_day").alias("end")), ["account_id"], slack)
+    # how many of a phrase's accounts a statement covers on a day: a running sum over days on which that changes
+    change = lambda day, by: known.join(spans, "account_id").select("phrase", day.alias("date"), F.lit(by).alias("by"))
+    changes = change(F.col("from"), 1).unionByName(change(F.date_add("to", 1), -1)).groupBy("phrase", "date").agg(F.sum("by").alias("by"))
+    asked = named.select("phrase", "date").distinct().withColumn("by", F.lit(0).cast("bigint"))
+    days = changes.unionByName(asked).groupBy("phrase", "date").agg(F.sum("by").alias("by"))
+    held = days.withColumn("held", F.sum("by").over(Window.partitionBy("phrase").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))).drop("by")
+    open_ = cut(held.join(known.groupBy("phrase").agg(F.count("*").alias("n")), "phrase").select("phrase", "date", (F.col("n") - F.col("held")).alias("open")).where("open > 0"))
+    # a row's own account doesn't count
+    own = known.join(spans.groupBy("account_id").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "account_id", "left").withColumn("own", F.lit(1))
+    mine = named.join(open_, ["phrase", "date"]).join(own, ["phrase", "account_id"], "left")
+    is_held = F.coalesce(F.exists("spans", lambda s: F.col("date").between(s["from"], s["to"])), F.lit(False))
+    alone = mine.where(F.col("open") > F.when(is_held, 0).otherwise(F.coalesce("own", F.lit(0)))).select("id").distinct()
     return halves.select("id", F.lit("pair").alias("kind"), "partner", "confidence").unionByName(alone.select("id", F.lit("one-sided").alias("kind"), F.lit(None).cast(halves.schema["partner"].dataType).alias("partner"), F.lit(0.85).alias("confidence")))
 
 

@@ -96,3 +96,17 @@ def test_texts_are_read_before_rows_meet(spark):
     assert "RLIKE" not in plan(got).upper()
     words = lambda i: {w for w in matching.TRANSFER_WORDS if w in (texts[i // 2 % 5] or "").split()}
     assert all(r.words == len(words(r.out_id) | words(r.in_id)) for r in got.collect()) and got.count() > 100
+
+
+def test_transfers_to_accounts_of_one_phrase(spark):
+    """Against a plain version over rows and accounts, which meet as counts by day only."""
+    draw = random.Random(8)
+    day = lambda n: DAY + datetime.timedelta(days=n)
+    moves = [(i, draw.randrange(8), "current", day(draw.randrange(12)), 100 + i, f"TO REF{draw.randrange(4)} REF{draw.randrange(4)}") for i in range(150)]
+    names = [(a, f"ref{p}") for a in range(8) for p in range(4) if draw.random() < 0.35]
+    held = [(a, day(s), day(s + draw.randrange(-1, 8))) for a in range(7) for s in (draw.randrange(4), 4 + draw.randrange(5))]
+    near = lambda d, a: any(b == a and s - datetime.timedelta(1) <= d <= e + datetime.timedelta(1) for b, s, e in held)
+    want = {m[0] for m in moves for a, p in names if p.upper() in m[5].split() and a != m[1] and not near(m[3], a)}
+    run = composites.transfer_run(spark.createDataFrame(moves, MOVES), spark.createDataFrame([], MOVES), spark.createDataFrame(names, "account_id bigint, phrase string"), spark.createDataFrame(held, "account_id bigint, first_day date, last_day date"))
+    assert {r.id for r in run.collect()} == want and 0 < len(want) < 150
+    assert "other" not in plan(run)
