@@ -66,3 +66,11 @@ def in_parts(rows: Iterable, most: int) -> Iterator[list]:
     rows = iter(rows)
     while part := list(islice(rows, most)):
         yield part
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys (or evenly) to as many tasks as the session has shuffle partitions, however few bytes it has.
+
+    For rows that take much time or memory for their bytes: by bytes alone, few tasks would get them all.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

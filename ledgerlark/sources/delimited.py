@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.dates import pattern_of, printed_date
 from ..functions.money import direction, has_credit_marker, printed_pence
 from ..functions.text import header_key, normal_description
-from ..shared import cut, in_parts
+from ..shared import cut, dealt, in_parts
 from .layouts import LAYOUTS, Layout
 
 #: Records that are looked through for a header.
@@ -212,9 +212,13 @@ def cell_kind(cell: Column) -> Column:
 def inferred_columns(rows: DataFrame, key: str = "file") -> DataFrame:
     """key, at (the column's place from 0), kind (of most of its filled cells) and format (of dates: the one that reads most
     of them, the first of equals), from records (key, line, cells) below the header. No value leaves the column."""
-    cells = rows.select(key, F.posexplode("cells").alias("at", "cell")).withColumn("kind", cell_kind(F.col("cell"))).where("kind <> 'empty'")
+    each = rows.select(key, F.posexplode("cells").alias("at", "cell"))
     formats = sorted({f for x in LAYOUTS for f in x.formats})
-    reads = [F.count_if(printed_date(F.col("cell"), (pattern_of(f),)).isNotNull()).alias(f"r{i}") for i, f in enumerate(formats)]
+    read = [printed_date(F.col("cell"), (pattern_of(f),)).isNotNull().alias(f"r{i}") for i, f in enumerate(formats)]
+    # what a cell looks like is told once of equal ones; written, so that rows of a frequent one can be split
+    looks = cut(dealt(each.select("cell").distinct()).select("cell", cell_kind(F.col("cell")).alias("kind"), *read))
+    cells = each.join(looks.where("kind <> 'empty'"), "cell")  # asked before it's written, this would be told of every cell
+    reads = [F.count_if(f"r{i}").alias(f"r{i}") for i in range(len(formats))]
     counted = cells.groupBy(key, "at").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in CELL_KINDS[1:]], *reads)
     likely = F.coalesce(*[F.when(F.col(k) >= COLUMN_SHARE * F.col("n"), k) for k in CELL_KINDS[1:]], F.lit("text"))
     best = F.array_max(F.array(*[F.struct(F.col(f"r{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(formats)]))

@@ -110,3 +110,11 @@ def test_transfers_to_accounts_of_one_phrase(spark):
     run = composites.transfer_run(spark.createDataFrame(moves, MOVES), spark.createDataFrame([], MOVES), spark.createDataFrame(names, "account_id bigint, phrase string"), spark.createDataFrame(held, "account_id bigint, first_day date, last_day date"))
     assert {r.id for r in run.collect()} == want and 0 < len(want) < 150
     assert "other" not in plan(run)
+
+
+def test_like_cells_are_told_once(spark):
+    """A date is read for each different cell, after they're dealt out, not for each row; frequent and empty cells count as before."""
+    rows = spark.createDataFrame([(f, ["0%d/02/2024" % (1 + i % 9), "10.00", "", None, f"x{i}"]) for f in (1, 2) for i in range(30)], "file bigint, cells array<string>")
+    got = delimited.inferred_columns(rows)
+    assert sorted(map(tuple, got.collect())) == [(f, at, kind, form) for f in (1, 2) for at, kind, form in ((0, "date", "%d/%m/%Y"), (1, "money", None), (4, "text", None))]
+    assert "try_to_timestamp" not in plan(got) and "gettimestamp" not in plan(got)
