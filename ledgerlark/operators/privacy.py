@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import spans as S
+from ..shared import dealt
 from ..functions.text import squashed
 
 # The patterns of labels and values, of money and dates that stay, and of what joins numbers.
@@ -322,10 +323,10 @@ def wrapped(lines: DataFrame, key: str, pos: str) -> DataFrame:
 def prepared(lines: DataFrame, key: str, pos: str = "pos", text: str = "text", names: Column | None = None) -> DataFrame:
     """lines with kinds (of detail), outbound (what may leave of text, null if nothing may) and hidden (placeholder to what it stands for).
 
-    names: an array of a household's names, in whatever columns of lines. A window by key is all that moves.
+    names: an array of a household's names, in whatever columns of lines. Lines are dealt out by key once, which is all that moves.
     """
     given = [c for c in lines.columns if c not in ("kinds", "outbound", "hidden")]
-    own = read(lines.select(*given), text).withColumn("__forms", name_forms(names) if names is not None else F.array().cast("array<string>")).withColumn("__names", name_pattern(F.col("__forms")))
+    own = read(dealt(lines.select(*given), key), text).withColumn("__forms", name_forms(names) if names is not None else F.array().cast("array<string>")).withColumn("__names", name_pattern(F.col("__forms")))
     own = own.selectExpr("*", f"{look_alikes_read('seen')} AS __view").selectExpr("*", f"{without_money_and_own_date('__view')} AS __bare").selectExpr("*", f"{groups('__bare')} AS groups")
     own = wrapped(own, key, pos).selectExpr("*", f"{classes('seen', '__view', '__names')} AS kinds", f"{kept('seen')} AS __keep", f"concat({numbers('__bare', 'groups')}, wrapped) AS __numbers")
     own = own.selectExpr("*", f"{S.painted('seen', '__keep', KEPT)} AS __shown")

@@ -8,7 +8,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import accounts, composites, matching, sinks
+from ledgerlark.operators import accounts, composites, matching, privacy, sinks
 from ledgerlark.sources import delimited
 
 
@@ -118,3 +118,11 @@ def test_like_cells_are_told_once(spark):
     got = delimited.inferred_columns(rows)
     assert sorted(map(tuple, got.collect())) == [(f, at, kind, form) for f in (1, 2) for at, kind, form in ((0, "date", "%d/%m/%Y"), (1, "money", None), (4, "text", None))]
     assert "try_to_timestamp" not in plan(got) and "gettimestamp" not in plan(got)
+
+
+def test_lines_are_dealt_out_whatever_their_bytes(spark):
+    """A few lines of one file are prepared by as many tasks as the session has shuffle partitions."""
+    lines = spark.range(64).coalesce(1).selectExpr("id AS k", "concat('SHOP ', id) AS text")
+    with set_to(spark, spark__sql__shuffle__partitions="8"):
+        found = privacy.prepared(lines, "k", "k")
+        assert len({r.p for r in found.select(F.spark_partition_id().alias("p")).collect()}) > 4
