@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..shared import cut
 from .accounts import role_labels
 from .privacy import read
 
@@ -70,7 +71,8 @@ def replaced(lines: DataFrame, people: DataFrame, key: str, pos: str = "pos", te
     A text in which a name is found stands in normal form (single spaces); others stay as they are.
     """
     known = forms(people, key)
-    own = lines.withColumn("__row", F.monotonically_increasing_id()) if "__row" not in lines.columns else lines
+    # written: read twice, its rows must have the same numbers
+    own = cut(lines.withColumn("__row", F.monotonically_increasing_id())) if "__row" not in lines.columns else lines
     seen = read(own.select("__row", key, text), text)
     word = S.each(S.found("seen", S.raw(_WORD)), lambda s: f"named_struct('start', {s}.start, 'end', {s}.end, 'word', {S.part('seen', s)})")
     after = "transform(w, (x, i) -> named_struct('start', x.start, 'word', x.word, 'next', slice(w, i + 1, {n})))".format(n=MOST_WORDS)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SENSITIVE, iban_valid
+from ..shared import dealt
 from . import names
 
 #: Kinds that are hidden, in the order in which they're tried at a place; cards and IBANs only if their check digits are right.
@@ -36,6 +37,7 @@ def redacted(lines: DataFrame, key: str, pos: str = "pos", text: str = "text") -
     n counts a text's different values of a kind by first occurrence; values that differ in case, spaces or hyphens only
     are one, and shown is how it first stood. One pass finds all kinds; the mapping is joined back once.
     """
+    lines = dealt(lines, key)
     normal = lambda v: F.upper(F.regexp_replace(v, r"[\s-]", ""))
     found = lines.select(key, pos, F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("at", "shown")).withColumn("kind", kind_of(F.col("shown"))).where("kind is not null")
     first = found.groupBy(key, "kind", normal(F.col("shown")).alias("value")).agg(F.min(F.struct(pos, "at", "shown")).alias("seen"))
