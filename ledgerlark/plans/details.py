@@ -12,7 +12,7 @@ from ..functions.dates import bank_holidays, month_grid, next_due
 from ..functions.money import figures, pounds, printed_figures, typed_amount
 from ..functions.text import clean, display_name, fingerprint, phrase_in, sensitive_classes, similar_tokens, variant
 from ..operators import accounts, composites, documents, matching, privacy, redaction, rules, series, sinks, spending, understanding
-from ..shared import shared_dir
+from ..shared import dealt_by_rows, shared_dir
 from ..sources import delimited
 from ..sources.layouts import LAYOUTS
 from .adapter import CATEGORY, LEDGER, MOVEMENT, categories, ledger, movements, table, with_sql
@@ -601,12 +601,14 @@ def household(spark, sf_dir):
     """Two years of monthly payments for each customer, by customer's number: steady, never in February and March, stopped
     after a year, dearer after a year, with a trial before, or missing twice."""
     c, k = F.col("c_custkey"), F.col("k")
-    months = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    customers = dealt_by_rows(customers, customers.count(), 5_000, "c_custkey")  # of few bytes, but of some 24 payments each
+    months = customers.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"))
     day = F.date_add(F.add_months(F.lit("2023-01-01").cast("date"), k), (c % 28).cast("int"))
     kept = F.when(c % 6 == 1, ~F.month(day).isin(2, 3)).when(c % 6 == 2, k < 12).when(c % 6 == 5, ~k.isin(6, 7)).otherwise(True)
     pence = 1_000 + c % 50 + F.when((c % 6 == 3) & (k >= 12), 400).otherwise(0)
     paid = months.where(kept).select((c % 97).alias("merchant_id"), c.alias("account_id"), (c * 100 + k).alias("id"), day.alias("date"), pence.alias("pence"))
-    trial = table(spark, sf_dir, "customer").where(c % 6 == 4).select((c % 97).alias("merchant_id"), c.alias("account_id"), (c * 100 + 50).alias("id"), F.date_sub(F.date_add(F.lit("2023-01-01").cast("date"), (c % 28).cast("int")), 10).alias("date"), F.lit(100).cast("bigint").alias("pence"))
+    trial = customers.where(c % 6 == 4).select((c % 97).alias("merchant_id"), c.alias("account_id"), (c * 100 + 50).alias("id"), F.date_sub(F.date_add(F.lit("2023-01-01").cast("date"), (c % 28).cast("int")), 10).alias("date"), F.lit(100).cast("bigint").alias("pence"))
     return paid.unionByName(trial)
 
 

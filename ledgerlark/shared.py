@@ -74,3 +74,11 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     For rows that take much time or memory for their bytes: by bytes alone, few tasks would get them all.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def dealt_by_rows(df: DataFrame, rows: int, most: int, *keys: str) -> DataFrame:
+    """df dealt out by keys to tasks of about most of its rows, but to as many tasks as there are cores at least.
+
+    For rows that take little when they're shuffled and much when they're sorted: by bytes, a task would get too many.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)), *keys)

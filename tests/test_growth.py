@@ -8,7 +8,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import accounts, composites, matching, privacy, sinks
+from ledgerlark.operators import accounts, composites, matching, privacy, series, sinks
 from ledgerlark.sources import delimited
 
 
@@ -126,3 +126,18 @@ def test_lines_are_dealt_out_whatever_their_bytes(spark):
     with set_to(spark, spark__sql__shuffle__partitions="8"):
         found = privacy.prepared(lines, "k", "k")
         assert len({r.p for r in found.select(F.spark_partition_id().alias("p")).collect()}) > 4
+
+
+def test_payments_of_series_are_dealt_out_by_number(spark, monkeypatch):
+    """Where one task would get all payments by their bytes, it gets few; none is moved again for a join, and series are as before."""
+    payments = spark.range(3000).selectExpr("id % 7 AS merchant_id", "id % 250 AS account_id", "id", "add_months(date '2023-01-05', int(id div 250)) AS date", "1000 + id % 250 * IF(id div 250 > 5, 2, 1) AS pence").withColumn("merchant_id", F.col("account_id") % 7)
+    with set_to(spark, spark__sql__adaptive__coalescePartitions__parallelismFirst="false"):
+        held = sorted(map(str, series.detect(payments, datetime.date(2024, 6, 1)).collect()))
+        monkeypatch.setattr(series, "ROWS_A_TASK", 60)
+        found = series.detect(payments, datetime.date(2024, 6, 1))
+        by_task = collections.Counter()
+        for r in found.select(F.spark_partition_id().alias("p"), "occurrences").collect():
+            by_task[r.p] += r.occurrences
+        assert sum(by_task.values()) == 3000 and max(by_task.values()) <= 300
+        assert sorted(map(str, found.collect())) == held and len(held) == 250
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
