@@ -69,15 +69,19 @@ def transfer_run(moves: DataFrame, blocked: DataFrame, names: DataFrame, covered
 
 
 def commitment_run(payments: DataFrame, until, dismissed: DataFrame | None = None, tolerance: float = 0.15) -> DataFrame:
-    """Detected series with flags: price rise within a year, trial, lapsed, and duplicate (several active of one merchant)."""
+    """Detected series with flags: price rise within a year, trial, lapsed, and duplicate (several active of one merchant).
+
+    Series are written and counted by merchant, and meet the counts: a merchant of very many accounts isn't one task's.
+    """
     found = series.detect(payments, until, tolerance)
     if dismissed is not None:
         found = found.join(dismissed.select("merchant_id", "account_id"), ["merchant_id", "account_id"], "left_anti")
     last, before = F.try_element_at("price_history", F.lit(-1)), F.try_element_at("price_history", F.lit(-2))
     rise = (last["amount_pence"] > before["amount_pence"]) & (F.datediff(F.lit(until) if not isinstance(until, DataFrame) else F.col("last_date"), last["since"]) <= 365)
-    twins = F.count_if(F.col("status") == "active").over(Window.partitionBy("merchant_id"))
-    flags = F.array_compact(F.array(F.when(F.coalesce(rise, F.lit(False)), "price rise"), F.when(F.col("trial_id").isNotNull(), "trial"), F.when(F.col("status") == "lapsed", "lapsed"), F.when((F.col("status") == "active") & (twins > 1), "duplicate")))
-    return found.withColumn("flags", flags)
+    found = cut(found)
+    twins = cut(found.where("status = 'active'").groupBy("merchant_id").agg(F.count("*").alias("twins")))
+    flags = F.array_compact(F.array(F.when(F.coalesce(rise, F.lit(False)), "price rise"), F.when(F.col("trial_id").isNotNull(), "trial"), F.when(F.col("status") == "lapsed", "lapsed"), F.when((F.col("status") == "active") & (F.col("twins") > 1), "duplicate")))
+    return found.join(twins, "merchant_id", "left").select(*found.columns, flags.alias("flags"))
 
 
 def duplicate_commitments(found: DataFrame, services: list[str]) -> DataFrame:

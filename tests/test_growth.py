@@ -141,3 +141,11 @@ def test_payments_of_series_are_dealt_out_by_number(spark, monkeypatch):
         assert sum(by_task.values()) == 3000 and max(by_task.values()) <= 300
         assert sorted(map(str, found.collect())) == held and len(held) == 250
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_twins_of_a_merchant_are_counted(spark):
+    """Series of one merchant don't meet in one task to be counted."""
+    payments = spark.range(40).selectExpr("1L AS merchant_id", "id % 8 AS account_id", "id", "add_months(date '2024-01-05', int(id div 8)) AS date", "1000L AS pence")
+    run = composites.commitment_run(payments, datetime.date(2024, 6, 1))
+    assert [r.flags for r in run.collect()] == [["duplicate"]] * 8
+    assert "Window" not in plan(run)
