@@ -602,7 +602,7 @@ def household(spark, sf_dir):
     after a year, dearer after a year, with a trial before, or missing twice."""
     c, k = F.col("c_custkey"), F.col("k")
     customers = table(spark, sf_dir, "customer").select("c_custkey")
-    customers = dealt_by_rows(customers, customers.count(), 5_000, "c_custkey")  # of few bytes, but of some 24 payments each
+    customers = dealt_by_rows(customers, customers.count(), 20_000, "c_custkey")  # of few bytes, but of some 24 payments each
     months = customers.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"))
     day = F.date_add(F.add_months(F.lit("2023-01-01").cast("date"), k), (c % 28).cast("int"))
     kept = F.when(c % 6 == 1, ~F.month(day).isin(2, 3)).when(c % 6 == 2, k < 12).when(c % 6 == 5, ~k.isin(6, 7)).otherwise(True)

@@ -4,6 +4,7 @@ import collections
 import contextlib
 import datetime
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -162,3 +163,25 @@ def test_coverage_leaves_payments_dealt_out(spark, monkeypatch):
         by_task[r.p] += r.occurrences
     assert max(by_task.values()) <= 300 and sum(by_task.values()) == 1500
     assert {r.account_id for r in found if r.status == "lapsed"} == set(range(0, 125, 4))
+
+
+def test_series_meet_coverage_and_not_payments(spark):
+    """The day that an account's data goes to is joined to what payments were summed up to, and a status needs no lists of them."""
+    payments = spark.range(1500).selectExpr("id % 125 % 7 AS merchant_id", "id % 125 AS account_id", "id", "add_months(date '2023-01-05', int(id div 125)) AS date", "1000L AS pence")
+    until = spark.range(120).selectExpr("id AS account_id", "IF(id % 4 = 0, date '2024-12-31', date '2023-12-05') AS until")
+    found = series.detect(payments, until).select("account_id", "status")
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < optimized.index("Join") < optimized.index("Aggregate")
+    assert re.search(r"(\w*)Aggregate", found._jdf.queryExecution().executedPlan().toString())[1] == "Hash"
+    assert sorted(map(tuple, found.collect())) == [(a, "active" if a % 4 else "lapsed") for a in range(120)]
+
+
+def test_cadences_of_gaps_are_looked_up(spark):
+    """The table of gaps tells the same as the rule."""
+    gaps = spark.range(1400).selectExpr("int(id) AS gap").union(spark.sql("SELECT int(null)"))
+    steps = [series.gap_steps(F.col("gap"), c).alias(c) for c in series.CADENCES]
+    told = series._stepped(gaps).select("gap", "stepped", "single", *steps).collect()
+    for r in told:
+        want = [sum(1 << i for i, c in enumerate(series.CADENCES) if fits(r[c])) for fits in (lambda k: k is not None, lambda k: k == 1)]
+        assert [r.stepped, r.single] == ([None, None] if r.gap is None else want)
+    assert sum(bool(r.stepped) for r in told) > 100
